@@ -239,3 +239,11 @@ def rows_for_subjects(df: DataFrame, ids: DataFrame, key: str = "subject_id") ->
 def restrict_tables(tables: dict[str, DataFrame], ids: DataFrame, key: str = "subject_id") -> dict[str, DataFrame]:
     """Every table with ``key`` semi-joined to ``ids``; dictionaries untouched."""
     return {n: (rows_for_subjects(t, ids, key) if key in t.columns else t) for n, t in tables.items()}
+
+
+def table_counter(tables: dict[str, DataFrame], key: str = "subject_id") -> DataFrame:
+    """Rows and distinct subjects per table, one row per table (union of aggregates)."""
+    parts = [t.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct(key).alias("n_subjects"))
+              .select(F.lit(name).alias("table_name"), "n_rows", "n_subjects")
+             for name, t in tables.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)

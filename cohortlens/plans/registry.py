@@ -13,15 +13,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortlens.operators import cohort, features, joins
-from cohortlens.plans.roles import role, roles, with_roles
+from cohortlens.plans.roles import with_roles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None):
+    """Register a Spark plan under ``name`` with an optional exact SQL oracle."""
     def deco(fn):
+        if name in QUERIES:
+            raise ValueError(f"query {name} registered twice")
         QUERIES[name] = fn
         if sql is not None:
             ORACLE[name] = sql
@@ -29,174 +31,22 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
-def oracle_sql() -> dict[str, str]:
-    return {k: with_roles(v, "duckdb") for k, v in ORACLE.items()}
-
-
 def r6(c):
     return F.round(c, 6)
 
 
-# =========================================================== A5 order timing
-ORDER_TIMING_SQL = """
-SELECT patient,
-       min(ordertime) AS first_order_time,
-       max(ordertime) AS last_order_time,
-       count(order_type) AS total_orders,
-       count(DISTINCT order_type) AS unique_order_types,
-       CAST(sum(CASE WHEN ordertime <= admittime + INTERVAL 24 HOURS THEN 1 ELSE 0 END) AS BIGINT) AS orders_in_first_24h,
-       CAST(sum(CASE WHEN ordertime <= admittime + INTERVAL 48 HOURS THEN 1 ELSE 0 END) AS BIGINT) AS orders_in_first_48h,
-       CAST(sum(CASE WHEN ordertime <= admittime + INTERVAL 72 HOURS THEN 1 ELSE 0 END) AS BIGINT) AS orders_in_first_72h,
-       CAST(sum(CASE WHEN ordertime >= dischtime - INTERVAL 24 HOURS THEN 1 ELSE 0 END) AS BIGINT) AS orders_in_last_24h,
-       CAST(sum(CASE WHEN ordertime >= dischtime - INTERVAL 48 HOURS THEN 1 ELSE 0 END) AS BIGINT) AS orders_in_last_48h,
-       date_diff('microsecond', min(ordertime), max(ordertime)) / CAST(3600000000 AS DOUBLE) AS order_span_hours,
-       date_diff('microsecond',
-                 first(admittime ORDER BY ordertime NULLS LAST, event_id) FILTER (WHERE admittime IS NOT NULL),
-                 min(ordertime)) / CAST(3600000000 AS DOUBLE) AS time_to_first_order_hours,
-       date_diff('microsecond', max(ordertime),
-                 first(dischtime ORDER BY ordertime NULLS LAST, event_id) FILTER (WHERE dischtime IS NOT NULL))
-                 / CAST(3600000000 AS DOUBLE) AS time_from_last_order_to_discharge_hours
-FROM order_events GROUP BY patient
-"""
-
-
-@query("order_timing", ORDER_TIMING_SQL)
-def q_order_timing(spark, sf):
-    ev = role(spark, sf, "order_events")
-    return features.order_timing(ev, "patient", "order_type", "ordertime", "admittime", "dischtime",
-                                 tiebreak="event_id")
-
-
-# ===================================================== A2 / A3 frequency matrix
-_TOP_POE = """top AS (SELECT order_type, count(*) AS n FROM poe WHERE order_type IS NOT NULL
-                GROUP BY order_type ORDER BY n DESC, order_type LIMIT 20)"""
-ORDER_FREQ_SQL = f"""
-WITH {_TOP_POE},
-cnt AS (SELECT p.subject_id, p.order_type, count(*) AS n FROM poe p JOIN top t ON p.order_type = t.order_type
-        WHERE p.subject_id IS NOT NULL GROUP BY p.subject_id, p.order_type),
-pats AS (SELECT DISTINCT subject_id FROM cnt)
-SELECT pa.subject_id, t.order_type, CAST(coalesce(c.n, 0) AS BIGINT) AS n
-FROM pats pa CROSS JOIN top t
-LEFT JOIN cnt c ON c.subject_id = pa.subject_id AND c.order_type = t.order_type
-"""
-ORDER_FREQ_NORM_SQL = f"""
-WITH {_TOP_POE},
-cnt AS (SELECT p.subject_id, p.order_type, count(*) AS n FROM poe p JOIN top t ON p.order_type = t.order_type
-        WHERE p.subject_id IS NOT NULL GROUP BY p.subject_id, p.order_type),
-tot AS (SELECT subject_id, sum(n) AS s FROM cnt GROUP BY subject_id)
-SELECT pa.subject_id, t.order_type, coalesce(c.n, 0) / pa.s AS proportion
-FROM tot pa CROSS JOIN top t
-LEFT JOIN cnt c ON c.subject_id = pa.subject_id AND c.order_type = t.order_type
-"""
-
-
-@query("order_frequency", ORDER_FREQ_SQL)
-def q_order_frequency(spark, sf):
-    return features.order_frequency(role(spark, sf, "poe"), "subject_id", "order_type", top_n=20)
-
-
-@query("order_frequency_norm", ORDER_FREQ_NORM_SQL)
-def q_order_frequency_norm(spark, sf):
-    return features.order_frequency(role(spark, sf, "poe"), "subject_id", "order_type", top_n=20,
-                                    normalize=True)
-
-
-# ================================================================ A4 / A6
-@query("order_dist_overall", """
-SELECT order_type, count(*) AS n, count(*) / (SELECT count(*) FROM poe WHERE order_type IS NOT NULL) AS proportion
-FROM poe WHERE order_type IS NOT NULL GROUP BY order_type
-""")
-def q_order_dist_overall(spark, sf):
-    return features.order_distribution_overall(role(spark, sf, "poe"), "order_type")
-
-
-@query("order_dist_patient", """
-SELECT subject_id, order_type, count(*) AS n,
-       count(*) / sum(count(*)) OVER (PARTITION BY subject_id) AS proportion
-FROM poe WHERE order_type IS NOT NULL GROUP BY subject_id, order_type
-""")
-def q_order_dist_patient(spark, sf):
-    return features.order_distribution_patient(role(spark, sf, "poe"), "subject_id", "order_type")
-
-
-# ======================================================== W1 / A8 sequences
-@query("order_sequences", """
-SELECT patient, list(order_type ORDER BY ordertime NULLS LAST, event_id) AS sequence
-FROM (SELECT *, row_number() OVER (PARTITION BY patient ORDER BY ordertime NULLS LAST, event_id) AS rn
-      FROM order_events WHERE patient IS NOT NULL) s
-WHERE rn <= 20 GROUP BY patient
-""")
-def q_order_sequences(spark, sf):
-    return features.order_sequences(role(spark, sf, "order_events"), "patient", "order_type",
-                                    "ordertime", 20, tiebreak="event_id")
-
-
-def _poe_sequences(spark, sf):
-    return features.order_sequences(role(spark, sf, "poe"), "subject_id", "order_type", "ordertime",
-                                    20, tiebreak=["poe_id", "order_type"])
-
-
-_POE_SEQ_ITEMS = """
-ranked AS (SELECT subject_id AS patient, order_type AS item,
-                  row_number() OVER (PARTITION BY subject_id ORDER BY ordertime NULLS LAST, poe_id, order_type) AS rn
-           FROM poe WHERE subject_id IS NOT NULL),
-seqitems AS (SELECT * FROM ranked WHERE rn <= 20)"""
-
-
-@query("order_sequences_poe", f"""
-WITH {_POE_SEQ_ITEMS}
-SELECT patient AS subject_id, list(item ORDER BY rn) AS sequence FROM seqitems GROUP BY patient
-""")
-def q_order_sequences_poe(spark, sf):
-    return _poe_sequences(spark, sf)
-
-
-@query("sequence_stats", """
-SELECT count(*) AS n_patients, round(avg(CAST(len AS DOUBLE)), 6) AS mean_length
-FROM (SELECT subject_id, least(count(*), 20) AS len FROM poe WHERE subject_id IS NOT NULL GROUP BY subject_id) s
-""")
-def q_sequence_stats(spark, sf):
-    st = features.sequence_stats(_poe_sequences(spark, sf))
-    return st.select("n_patients", r6(F.col("mean_length")).alias("mean_length"))
-
-
-# =============================================================== A7 / W2
-_TRANSITIONS_TAIL = """
-top AS (SELECT item, count(*) AS n FROM seqitems WHERE item IS NOT NULL
-        GROUP BY item ORDER BY n DESC, item LIMIT 20),
-kept AS (SELECT s.patient, s.item, row_number() OVER (PARTITION BY s.patient ORDER BY s.rn) AS k
-         FROM seqitems s JOIN top t ON s.item = t.item),
-pairs AS (SELECT a.item AS from_order, b.item AS to_order, count(*) AS n
-          FROM kept a JOIN kept b ON a.patient = b.patient AND b.k = a.k + 1 GROUP BY a.item, b.item),
-grid AS (SELECT f.item AS from_order, t.item AS to_order, coalesce(p.n, 0) AS n
-         FROM top f CROSS JOIN top t LEFT JOIN pairs p ON p.from_order = f.item AND p.to_order = t.item)
-SELECT from_order, to_order, CAST(n AS BIGINT) AS n,
-       CASE WHEN sum(n) OVER (PARTITION BY from_order) > 0
-            THEN n / sum(n) OVER (PARTITION BY from_order) ELSE 0.0 END AS probability
-FROM grid
-"""
-
-
-@query("order_transitions", f"WITH {_POE_SEQ_ITEMS},{_TRANSITIONS_TAIL}")
-def q_order_transitions(spark, sf):
-    return features.order_transitions(_poe_sequences(spark, sf), top_n=20)
+def load_all() -> None:
+    """Import every query module (each registers itself)."""
+    from cohortlens.plans import (  # noqa: F401
+        feature_queries, cohort_queries, join_queries, analysis_queries, model_queries, io_queries,
+    )
 
 
-@query("order_transitions_events", """
-WITH ranked AS (SELECT patient, order_type AS item,
-                       row_number() OVER (PARTITION BY patient ORDER BY ordertime NULLS LAST, event_id) AS rn
-                FROM order_events WHERE patient IS NOT NULL),
-seqitems AS (SELECT * FROM ranked WHERE rn <= 20),""" + _TRANSITIONS_TAIL)
-def q_order_transitions_events(spark, sf):
-    seq = features.order_sequences(role(spark, sf, "order_events"), "patient", "order_type",
-                                   "ordertime", 20, tiebreak="event_id")
-    return features.order_transitions(seq, top_n=20)
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    load_all()
+    return dict(QUERIES)
 
 
-# ===================================================================== O2
-@query("top_orders", """
-SELECT order_type, count(*) AS n FROM poe WHERE order_type IS NOT NULL
-GROUP BY order_type ORDER BY n DESC, order_type LIMIT 20
-""")
-def q_top_orders(spark, sf):
-    return features.top_values(role(spark, sf, "poe"), "order_type", 20)
+def oracle_sql() -> dict[str, str]:
+    load_all()
+    return {k: with_roles(v, "duckdb") for k, v in ORACLE.items()}

@@ -107,6 +107,15 @@ SELECT o.o_custkey AS subject_id, l.l_orderkey AS hadm_id, l.l_partkey AS pharma
        CASE WHEN l.l_quantity > 25 THEN 'IV' ELSE 'PO' END AS route
 FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
 WHERE l.l_tax >= 0.04""",
+    "microbiologyevents": """
+SELECT conv_id * 1000 + turn AS microevent_id, conv_id AS subject_id, turn AS test_seq,
+       role AS org_name, text AS comments
+FROM conversations""",
+    "omr": """
+SELECT o.o_custkey AS subject_id, l.l_shipdate AS chartdate, CAST(l.l_linenumber AS BIGINT) AS seq_num,
+       CASE l.l_returnflag WHEN 'A' THEN 'Weight (Lbs)' WHEN 'N' THEN 'Height (Inches)' ELSE 'BMI (kg/m2)' END AS result_name,
+       l.l_linestatus AS result_value
+FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey""",
     # lab events: every event is a measurement; the item is the value decile band.
     "labevents": """
 SELECT event_id AS labevent_id, user_id AS subject_id, CAST(NULL AS BIGINT) AS hadm_id,
