@@ -104,20 +104,33 @@ def merged_table(patients: DataFrame, admissions: DataFrame, transfers: DataFram
       =left(subject, hadm, poe_id, poe_seq, provider null-safe)= prescriptions
       [-(subject, hadm, provider)- (labevents -(itemid)- lab_items)]
     """
-    m = merge_two(patients, admissions, "subject_id")                       # J1
-    m = merge_two(m, transfers, ["subject_id", "hadm_id"])                  # J2
-    diag = merge_two(diagnoses, sized_broadcast(icd_dictionary),            # J3
-                     ["icd_code", "icd_version"])
-    m = merge_two(m, diag, ["subject_id", "hadm_id"])                       # J4
-    orders = merge_two(poe, poe_detail, ["poe_id", "poe_seq", "subject_id"], detail_how)  # J5
-    m = merge_two(m, orders, ["subject_id", "hadm_id"])                     # J6
-    m = merge_two(m, prescriptions,                                         # J7
-                  ["subject_id", "hadm_id", "poe_id", "poe_seq", "order_provider_id"],
-                  "left", null_keys_match=["order_provider_id"])
-    if labevents is not None:                                               # J8
+    stages = merge_stages(patients, admissions, transfers, diagnoses, icd_dictionary, poe,
+                          poe_detail, prescriptions, labevents, lab_items, detail_how)
+    return list(stages.values())[-1]
+
+
+def merge_stages(patients: DataFrame, admissions: DataFrame, transfers: DataFrame,
+                 diagnoses: DataFrame, icd_dictionary: DataFrame, poe: DataFrame,
+                 poe_detail: DataFrame, prescriptions: DataFrame,
+                 labevents: DataFrame | None = None, lab_items: DataFrame | None = None,
+                 detail_how: str = "inner") -> dict[str, DataFrame]:
+    """Every intermediate of :func:`merged_table`, by stage name (for cardinality reports)."""
+    st: dict[str, DataFrame] = {}
+    st["patients_admissions"] = m = merge_two(patients, admissions, "subject_id")          # J1
+    st["with_transfers"] = m = merge_two(m, transfers, ["subject_id", "hadm_id"])          # J2
+    st["diagnoses_dictionary"] = diag = merge_two(                                         # J3
+        diagnoses, sized_broadcast(icd_dictionary), ["icd_code", "icd_version"])
+    st["with_diagnoses"] = m = merge_two(m, diag, ["subject_id", "hadm_id"])               # J4
+    st["orders_detail"] = orders = merge_two(                                              # J5
+        poe, poe_detail, ["poe_id", "poe_seq", "subject_id"], detail_how)
+    st["with_orders"] = m = merge_two(m, orders, ["subject_id", "hadm_id"])                # J6
+    st["with_prescriptions"] = m = merge_two(                                              # J7
+        m, prescriptions, ["subject_id", "hadm_id", "poe_id", "poe_seq", "order_provider_id"],
+        "left", null_keys_match=["order_provider_id"])
+    if labevents is not None:                                                              # J8
         labs = merge_two(labevents, sized_broadcast(lab_items), "itemid")
-        m = merge_two(m, labs, ["subject_id", "hadm_id", "order_provider_id"])
-    return m
+        st["with_labs"] = merge_two(m, labs, ["subject_id", "hadm_id", "order_provider_id"])
+    return st
 
 
 # ---------------------------------------------------------------- J11 / J12
@@ -155,9 +168,10 @@ def nearest_admission(labs: DataFrame, admissions: DataFrame, lab_key: str = "la
 
     l = (labs.select(*lab_cols).where(F.col(time).isNotNull() & F.col("subject_id").isNotNull())
              .withColumn("_b", bucket_of(time)))
-    a = (admissions.where(F.col("admittime").isNotNull() & F.col("subject_id").isNotNull())
+    a = (admissions.where(F.col("admittime").isNotNull() & F.col("dischtime").isNotNull()
+                          & F.col("subject_id").isNotNull())
          .withColumn("_lo", add_hours("admittime", -buffer_hours))
-         .withColumn("_hi", F.coalesce(add_hours("dischtime", buffer_hours), F.col("_lo")))
+         .withColumn("_hi", add_hours("dischtime", buffer_hours))
          .withColumn("_b", F.explode(F.sequence(bucket_of("_lo"), bucket_of("_hi")))))
     a = a.select("subject_id", "_b", "_lo", "_hi", *adm_cols)
     cand = l.join(a, ["subject_id", "_b"], "inner").where(
