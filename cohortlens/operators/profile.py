@@ -237,3 +237,9 @@ def neg_log10_p(p: Column) -> Column:
 def metrics_long(wide: DataFrame, id_cols: list[str], metric_cols: list[str]) -> DataFrame:
     """Wide metrics table -> (id..., metric, value) with null values dropped."""
     return melt(wide, id_cols, metric_cols, "metric", "value").where(F.col("value").isNotNull())
+
+
+# ------------------------------------------------------------------------ O3
+def preview(df: DataFrame, key: str, n: int = 100) -> DataFrame:
+    """First ``n`` rows by ``key`` (top-k; the limit is the feature)."""
+    return df.orderBy(key).limit(int(n))

@@ -1 +1,225 @@
-"""model_queries"""
+"""Preparation, clustering and topic-model queries.
+
+Seeded / iterative models (K-means, bisecting K-means, LDA, random forest,
+PCA signs, DBSCAN components) have no SQL oracle: they are registered
+without one and checked by invariants in ``tests/``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cohortlens.operators import cluster, features as feats, joins, prepare
+from cohortlens.plans.registry import query, r6
+from cohortlens.plans.roles import FEATURE_COLS, role, roles
+
+MISSING_COLS = [f"f{i:02d}" for i in range(8)]
+DB_EPS, DB_MIN = 0.05, 5
+
+
+def _round_all(df, keep=("key",)):
+    return df.select(*[F.col(c) if c in keep else r6(F.col(c)).alias(c) for c in df.columns])
+
+
+# ------------------------------------------------------------------------ P1
+def _impute_sql(stat: str) -> str:
+    if stat == "drop":
+        return ("SELECT key, " + ", ".join(f"round({c}, 6) AS {c}" for c in MISSING_COLS)
+                + " FROM features_missing WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in MISSING_COLS))
+    if stat == "mode":
+        parts = []
+        for c in MISSING_COLS:
+            parts.append(f"""(SELECT {c} FROM features_missing WHERE {c} IS NOT NULL
+                             GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1)""")
+        fills = parts
+    else:
+        fn = {"mean": "avg({c})", "median": "quantile_cont({c}, 0.5)"}[stat]
+        fills = [f"(SELECT {fn.format(c=c)} FROM features_missing)" for c in MISSING_COLS]
+    cols = ", ".join(f"round(coalesce({c}, {f}), 6) AS {c}" for c, f in zip(MISSING_COLS, fills))
+    return f"SELECT key, {cols} FROM features_missing"
+
+
+for _m in ("drop", "mean", "median", "mode"):
+    def _mk(m):
+        def fn(spark, sf):
+            out = prepare.impute(role(spark, sf, "features_missing"), m, MISSING_COLS)
+            return _round_all(out)
+        return fn
+    query(f"impute_{_m}", _impute_sql(_m))(_mk(_m))
+
+
+# ------------------------------------------------------------------- P2 - P5
+@query("scale_standard", "WITH s AS (SELECT " + ", ".join(
+    f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in FEATURE_COLS) + " FROM features)\nSELECT key, " + ", ".join(
+    f"round(CASE WHEN s_{c} > 0 THEN ({c} - m_{c}) / s_{c} ELSE 0.0 END, 6) AS {c}" for c in FEATURE_COLS)
+    + " FROM features, s")
+def q_scale_standard(spark, sf):
+    return _round_all(prepare.scale(role(spark, sf, "features"), "standard", FEATURE_COLS))
+
+
+@query("scale_minmax", "WITH s AS (SELECT " + ", ".join(
+    f"min({c}) AS lo_{c}, max({c}) AS hi_{c}" for c in FEATURE_COLS) + " FROM features)\nSELECT key, " + ", ".join(
+    f"round(CASE WHEN hi_{c} > lo_{c} THEN ({c} - lo_{c}) / (hi_{c} - lo_{c}) ELSE 0.0 END, 6) AS {c}"
+    for c in FEATURE_COLS) + " FROM features, s")
+def q_scale_minmax(spark, sf):
+    return _round_all(prepare.scale(role(spark, sf, "features"), "minmax", FEATURE_COLS))
+
+
+_NORM = "sqrt(" + " + ".join(f"{c} * {c}" for c in FEATURE_COLS) + ")"
+
+
+@query("normalize_l2", f"WITH n AS (SELECT *, {_NORM} AS nrm FROM features)\nSELECT key, " + ", ".join(
+    f"round(CASE WHEN nrm > 0 THEN {c} / nrm ELSE 0.0 END, 6) AS {c}" for c in FEATURE_COLS) + " FROM n")
+def q_normalize_l2(spark, sf):
+    return _round_all(prepare.scale(role(spark, sf, "features"), "normalize", FEATURE_COLS))
+
+
+@query("scale_none", "SELECT * FROM features")
+def q_scale_none(spark, sf):
+    return prepare.scale(role(spark, sf, "features"), None, FEATURE_COLS)
+
+
+# ------------------------------------------------------------------- P6 / P7
+@query("pca")
+def q_pca(spark, sf):
+    scores, _ = prepare.pca(role(spark, sf, "features"), 2, FEATURE_COLS)
+    return scores
+
+
+@query("svd")
+def q_svd(spark, sf):
+    scores, _ = prepare.truncated_svd(role(spark, sf, "features"), 2, FEATURE_COLS)
+    return scores
+
+
+# ------------------------------------------------------------------------ P8
+@query("documents_from_sequences", """
+WITH ranked AS (SELECT subject_id, order_type, ordertime, poe_id,
+                       row_number() OVER (PARTITION BY subject_id ORDER BY ordertime NULLS LAST, poe_id, order_type) AS rn
+                FROM poe WHERE subject_id IS NOT NULL)
+SELECT subject_id, list(order_type ORDER BY rn) FILTER (WHERE order_type IS NOT NULL) AS tokens
+FROM ranked WHERE rn <= 20 GROUP BY subject_id
+""")
+def q_documents_from_sequences(spark, sf):
+    seq = feats.order_sequences(role(spark, sf, "poe"), "subject_id", "order_type", "ordertime", 20,
+                                tiebreak=["poe_id", "order_type"])
+    return prepare.documents_from_sequences(seq, "subject_id")
+
+
+# ------------------------------------------------------------------- P9 / P10
+_TOKENS = r"""tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]{2,}')) AS term
+            FROM documents),
+tc AS (SELECT doc_id, term, count(*) AS n FROM tok GROUP BY doc_id, term)"""
+
+
+@query("term_counts", f"WITH {_TOKENS}\nSELECT * FROM tc")
+def q_term_counts(spark, sf):
+    docs = prepare.documents_from_text(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id", "text")
+    return prepare.term_counts(docs, "doc_id", "text")
+
+
+@query("tfidf", f"""WITH {_TOKENS},
+voc AS (SELECT term FROM tc GROUP BY term ORDER BY sum(n) DESC, term LIMIT 1000),
+kept AS (SELECT tc.* FROM tc JOIN voc USING (term)),
+idf AS (SELECT term, ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + count(DISTINCT doc_id))) + 1 AS idf
+        FROM kept GROUP BY term),
+w AS (SELECT doc_id, term, n * idf AS w FROM kept JOIN idf USING (term))
+SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS tfidf FROM w
+""")
+def q_tfidf(spark, sf):
+    raw = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = prepare.documents_from_text(raw, "doc_id", "text")
+    out = prepare.tfidf(prepare.term_counts(docs, "doc_id", "text"), "doc_id", 1000, n_docs=raw.count())
+    return out.select("doc_id", "term", r6(F.col("tfidf")).alias("tfidf"))
+
+
+# ------------------------------------------------------------------- C1 - C3
+@query("kmeans")
+def q_kmeans(spark, sf):
+    labels, _ = cluster.kmeans(role(spark, sf, "features"), 5, FEATURE_COLS)
+    return labels
+
+
+@query("assign_nearest_center", """
+WITH cen AS (SELECT l.cluster, f.feature, avg(f.value) AS mu FROM feature_long f JOIN cluster_labels l USING (key)
+             GROUP BY l.cluster, f.feature),
+d AS (SELECT f.key, c.cluster, sum((f.value - c.mu) * (f.value - c.mu)) AS d2
+      FROM feature_long f JOIN cen c ON c.feature = f.feature GROUP BY f.key, c.cluster),
+r AS (SELECT key, cluster, row_number() OVER (PARTITION BY key ORDER BY d2, cluster) AS rn FROM d)
+SELECT key, CAST(cluster AS INTEGER) AS cluster FROM r WHERE rn = 1
+""")
+def q_assign_nearest_center(spark, sf):
+    f, l = roles(spark, sf, "features", "cluster_labels")
+    centres = cluster.centres_from_labels(joins.align_labels(f, l, "key"), FEATURE_COLS)
+    return cluster.assign_nearest(f, centres, FEATURE_COLS)
+
+
+@query("kmeans_k_scan")
+def q_kmeans_k_scan(spark, sf):
+    return cluster.kmeans_k_scan(role(spark, sf, "features"), range(2, 11), FEATURE_COLS)
+
+
+# ------------------------------------------------------------------------ C4
+@query("dbscan_core_points", f"""
+WITH p AS (SELECT key, f00, f01 FROM features)
+SELECT a.key, count(*) AS n_neighbours, count(*) >= {DB_MIN} AS is_core
+FROM p a JOIN p b ON sqrt((a.f00 - b.f00) * (a.f00 - b.f00) + (a.f01 - b.f01) * (a.f01 - b.f01)) <= {DB_EPS}
+GROUP BY a.key
+""")
+def q_dbscan_core_points(spark, sf):
+    return cluster.dbscan_core_points(role(spark, sf, "features"), ["f00", "f01"], DB_EPS, DB_MIN)
+
+
+@query("dbscan")
+def q_dbscan(spark, sf):
+    return cluster.dbscan(role(spark, sf, "features"), ["f00", "f01"], DB_EPS, DB_MIN)
+
+
+# ------------------------------------------------------------------- C6 - C9
+@query("hierarchical")
+def q_hierarchical(spark, sf):
+    labels, _ = cluster.bisecting_kmeans(role(spark, sf, "features"), 5, FEATURE_COLS)
+    return labels
+
+
+def _lda(spark, sf):
+    raw = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = raw.select("doc_id", prepare.tokenize(F.col("text")).alias("tokens"))
+    return cluster.lda_topics(docs, "doc_id", "tokens", n_topics=5, max_features=1000)
+
+
+@query("lda_topics")
+def q_lda_topics(spark, sf):
+    td, _, _ = _lda(spark, sf)
+    return td
+
+
+@query("lda_top_terms")
+def q_lda_top_terms(spark, sf):
+    _, pipe, _ = _lda(spark, sf)
+    return cluster.top_terms_per_topic(pipe, 10)
+
+
+@query("order_patterns_by_cluster")
+def q_order_patterns_by_cluster(spark, sf):
+    poe, pc = roles(spark, sf, "poe", "patient_clusters")
+    freq = feats.order_frequency(poe, "subject_id", "order_type", top_n=20)
+    return cluster.order_patterns_by_cluster(freq, pc, "subject_id", "order_type", per_cluster=50)
+
+
+# ------------------------------------------------------------ M13 / O3 / O5
+@query("feature_importance")
+def q_feature_importance(spark, sf):
+    f, l = roles(spark, sf, "features", "cluster_labels")
+    return cluster.feature_importance(joins.align_labels(f, l, "key"), FEATURE_COLS)
+
+
+@query("seeded_sample")
+def q_seeded_sample(spark, sf):
+    return cluster.seeded_sample(spark.read.parquet(f"{sf}/events.parquet"), 1000, "event_id", seed=42)
+
+
+@query("preview", "SELECT * FROM events ORDER BY event_id LIMIT 100")
+def q_preview(spark, sf):
+    from cohortlens.operators.profile import preview
+    return preview(spark.read.parquet(f"{sf}/events.parquet"), "event_id", 100)

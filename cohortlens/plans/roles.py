@@ -153,7 +153,20 @@ FROM embeddings, range(1, 65) r(i)""",
                   + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS f{i:02d}" for i in range(N_EMBED))
                   + " FROM embeddings",
     },
+    # eight features with holes (for imputation).
+    "features_missing": {
+        "spark": "SELECT vec_id AS key, "
+                 + ", ".join(f"CASE WHEN (vec_id + {i}) % 13 = 0 THEN NULL ELSE CAST(embedding[{i}] AS DOUBLE) END AS f{i:02d}"
+                             for i in range(8))
+                 + " FROM embeddings",
+        "duckdb": "SELECT vec_id AS key, "
+                  + ", ".join(f"CASE WHEN (vec_id + {i}) % 13 = 0 THEN NULL ELSE CAST(embedding[{i + 1}] AS DOUBLE) END AS f{i:02d}"
+                              for i in range(8))
+                  + " FROM embeddings",
+    },
     "cluster_labels": "SELECT vec_id AS key, label AS cluster FROM embeddings",
+    # patients grouped by nation (given patient-level clusters).
+    "patient_clusters": "SELECT c_custkey AS subject_id, CAST(c_nationkey % 5 AS INTEGER) AS cluster FROM customer",
     # a second clustering of the same rows (for agreement indices): the
     # label folded onto five groups, with one group marked noise.
     "cluster_labels_b": """
