@@ -1 +1,131 @@
-"""io_queries"""
+"""Source / sink queries (S1, S3-S5, S8, S9, S12-S19, streaming conversion, F14-F16).
+
+Round-trip queries write into the shared checkpoint folder of the session
+and read the result back, so the check compares what was written.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.ml import Pipeline
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.sql import functions as F
+
+from cohortlens.functions.nulls import normalize_na
+from cohortlens.operators import features as feats
+from cohortlens.plans.feature_queries import ORDER_TIMING_SQL
+from cohortlens.plans.join_queries import _FILTERED, q_merged_table
+from cohortlens.plans.registry import query
+from cohortlens.plans.roles import FEATURE_COLS, role
+from cohortlens.session import scratch_path
+from cohortlens.sources import catalog, readers, sinks
+from cohortlens.streaming.convert import convert_stream
+
+
+def _scratch(spark, name: str) -> str:
+    return scratch_path(spark, f"io/{name}-{uuid.uuid4().hex[:12]}")
+
+
+@query("scan_parquet", """
+SELECT l_orderkey, l_extendedprice, l_shipdate FROM lineitem WHERE l_shipdate >= TIMESTAMP '1997-01-01 00:00:00'
+""")
+def q_scan_parquet(spark, sf):
+    li = readers.read_table(spark, sf, "lineitem")
+    return (li.where(F.col("l_shipdate") >= F.to_timestamp_ntz(F.lit("1997-01-01 00:00:00")))
+              .select("l_orderkey", "l_extendedprice", "l_shipdate"))
+
+
+@query("na_normalize", """
+SELECT event_id, TRY_CAST(CASE WHEN trim(subject_id_text) IN ('', 'NULL', 'null', 'None') THEN NULL
+                               ELSE trim(subject_id_text) END AS BIGINT) AS subject_id
+FROM raw_ids
+""")
+def q_na_normalize(spark, sf):
+    return role(spark, sf, "raw_ids").select("event_id", normalize_na("subject_id_text").alias("subject_id"))
+
+
+@query("csv_roundtrip", "SELECT * FROM admissions")
+def q_csv_roundtrip(spark, sf):
+    path = _scratch(spark, "admissions") + ".csv"
+    sinks.save_csv(role(spark, sf, "admissions"), path)
+    return readers.read_csv_typed(spark, path)
+
+
+@query("parquet_roundtrip", "SELECT * FROM poe")
+def q_parquet_roundtrip(spark, sf):
+    path = _scratch(spark, "poe") + ".parquet"
+    sinks.save_parquet(role(spark, sf, "poe"), path, max_records_per_file=1_000_000)
+    return spark.read.parquet(path)
+
+
+@query("cached_subject_ids", "SELECT DISTINCT subject_id FROM poe WHERE subject_id IS NOT NULL")
+def q_cached_subject_ids(spark, sf):
+    root = _scratch(spark, "ids")
+    first = catalog.cached_subject_ids(spark, role(spark, sf, "poe"), "poe", {"filtered": False}, root=root)
+    first.count()
+    # second call is served from the Parquet cache
+    return catalog.cached_subject_ids(spark, role(spark, sf, "poe"), "poe", {"filtered": False}, root=root)
+
+
+@query("catalog_scan")
+def q_catalog_scan(spark, sf):
+    return catalog.scan_directory(spark, sf)
+
+
+@query("column_roles")
+def q_column_roles(spark, sf):
+    return catalog.column_roles(role(spark, sf, "poe"))
+
+
+@query("convert_tables")
+def q_convert_tables(spark, sf):
+    return sinks.convert_tables(spark, sf, ["region", "nation", "supplier", "customer", "missing_table"],
+                                _scratch(spark, "converted"))
+
+
+_ADM_COLS = ["subject_id", "hadm_id", "admittime", "dischtime", "deathtime", "admission_type",
+             "admit_provider_id", "admission_location", "discharge_location", "insurance", "language",
+             "marital_status", "race", "edregtime", "edouttime", "hospital_expire_flag"]
+
+
+@query("stream_convert", "SELECT * FROM admissions")
+def q_stream_convert(spark, sf):
+    base = _scratch(spark, "stream")
+    src, out, ckpt = f"{base}/src", f"{base}/out", f"{base}/checkpoint"
+    role(spark, sf, "admissions").repartition(4).write.option("header", True).csv(src)
+    convert_stream(spark, src, _ADM_COLS, out, ckpt, max_files_per_trigger=2, timeout_s=600)
+    return spark.read.parquet(out)
+
+
+@query("feature_sink", ORDER_TIMING_SQL)
+def q_feature_sink(spark, sf):
+    t = feats.order_timing(role(spark, sf, "order_events"), "patient", "order_type", "ordertime",
+                           "admittime", "dischtime", tiebreak="event_id")
+    path = sinks.save_features(t, "timing", _scratch(spark, "features"), "parquet")
+    return spark.read.parquet(path)
+
+
+@query("merged_export", f"WITH {_FILTERED}\nSELECT * FROM m5")
+def q_merged_export(spark, sf):
+    paths = sinks.save_parquet_and_csv(q_merged_table(spark, sf), _scratch(spark, "merged"))
+    return spark.read.parquet(paths["parquet"])
+
+
+@query("numeric_input", """
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax
+FROM lineitem
+""")
+def q_numeric_input(spark, sf):
+    return readers.numeric_input(spark, f"{sf}/lineitem.parquet")
+
+
+@query("model_roundtrip")
+def q_model_roundtrip(spark, sf):
+    f = role(spark, sf, "features")
+    pipe = Pipeline(stages=[VectorAssembler(inputCols=FEATURE_COLS, outputCol="_raw"),
+                            StandardScaler(inputCol="_raw", outputCol="_x"),
+                            KMeans(k=5, seed=42, featuresCol="_x", predictionCol="cluster")]).fit(f)
+    path = sinks.save_model(pipe, _scratch(spark, "model"))
+    return sinks.load_model(path).transform(f).select("key", F.col("cluster").cast("int").alias("cluster"))

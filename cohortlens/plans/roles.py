@@ -125,6 +125,14 @@ SELECT event_id AS labevent_id, user_id AS subject_id, CAST(NULL AS BIGINT) AS h
 FROM events""",
     "d_labitems": """
 SELECT p_partkey AS itemid, p_name AS label, p_type AS fluid, p_brand AS category FROM part""",
+    # integer ids delivered as text with NA tokens and junk (for the NA rule).
+    "raw_ids": """
+SELECT event_id,
+       CASE event_id % 10 WHEN 0 THEN '' WHEN 1 THEN 'NULL' WHEN 2 THEN 'null' WHEN 3 THEN 'None'
+                          WHEN 4 THEN 'x' || CAST(user_id AS STRING)
+                          WHEN 5 THEN ' ' || CAST(user_id AS STRING) || ' '
+                          ELSE CAST(user_id AS STRING) END AS subject_id_text
+FROM events""",
     # stays for the nearest-interval join: every signup opens a 12 hour stay.
     "stays": """
 SELECT user_id AS subject_id, event_id AS hadm_id, ts AS admittime,
