@@ -63,13 +63,16 @@ def kmeans(df: DataFrame, k: int = 5, features=None, key: str = "key", n_init: i
 def assign_nearest(df: DataFrame, centres: list[list[float]], features: list[str], key: str = "key") -> DataFrame:
     """Label each row with its nearest centre (squared Euclidean; ties -> lower id).
 
-    ``centres`` is the model's fixed-size state (k x d) applied as literals.
+    ``centres`` is the model's fixed-size state (k x d) applied as one literal
+    array; distances are array expressions (``zip_with`` / ``aggregate``), so
+    the generated code stays small for any k and d.
     """
-    dists = []
-    for cid, c in enumerate(centres):
-        d = sum(((q(f) - F.lit(float(v))) * (q(f) - F.lit(float(v))) for f, v in zip(features, c)), F.lit(0.0))
-        dists.append(F.struct(d.alias("d"), F.lit(cid).alias("id")))
-    return df.select(key, F.array_min(F.array(*dists))["id"].cast("int").alias("cluster"))
+    x = F.array(*[q(f).cast("double") for f in features])
+    cs = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in centres])
+    dist = F.transform(cs, lambda c: F.aggregate(F.zip_with(x, c, lambda a, b: (a - b) * (a - b)),
+                                                 F.lit(0.0), lambda acc, v: acc + v))
+    return (df.select(key, dist.alias("_d"))
+              .select(key, (F.array_position("_d", F.array_min("_d")) - 1).cast("int").alias("cluster")))
 
 
 def centres_from_labels(labelled: DataFrame, features: list[str], cluster: str = "cluster") -> list[list[float]]:

@@ -208,11 +208,19 @@ def register_base(spark: SparkSession, sf_dir: str) -> None:
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
 
 
-def register_roles(spark: SparkSession, sf_dir: str) -> None:
+_MARK = "cohortlens.roles.dir"
+
+
+def register_roles(spark: SparkSession, sf_dir: str, force: bool = False) -> None:
+    """Register base tables and role views for ``sf_dir`` (skipped when this
+    session already has them for the same directory)."""
     apply_runtime_defaults(spark)
+    if not force and spark.conf.get(_MARK, None) == sf_dir and spark.catalog.tableExists(list(ROLE_SQL)[-1]):
+        return
     register_base(spark, sf_dir)
     for name in ROLE_SQL:
         spark.sql(_sql_for(name, "spark")).createOrReplaceTempView(name)
+    spark.conf.set(_MARK, sf_dir)
 
 
 def role(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
