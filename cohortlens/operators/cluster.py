@@ -209,7 +209,11 @@ def lda_topics(docs: DataFrame, key: str, tokens: str, n_topics: int = 5, max_fe
     lda = LDA(k=n_topics, maxIter=max_iter, optimizer="online", seed=seed, featuresCol="counts",
               topicDistributionCol="_td")
     pipe = Pipeline(stages=[cv, lda]).fit(docs.select(key, tokens))
-    td = pipe.transform(docs.select(key, tokens)).select(key, vector_to_array("_td").alias("topic_distribution"))
+    td = pipe.transform(docs.select(key, tokens)).select(key, vector_to_array("_td").alias("_v"))
+    # a document without any vocabulary term gets the uniform (prior) distribution
+    total = F.aggregate("_v", F.lit(0.0), lambda a, b: a + b)
+    uniform = F.array_repeat(F.lit(1.0 / n_topics), n_topics)
+    td = td.select(key, F.when(total > 0, F.col("_v")).otherwise(uniform).alias("topic_distribution"))
     td = td.withColumn("dominant_topic",
                        (F.array_position("topic_distribution", F.array_max("topic_distribution")) - 1).cast("int"))
     return td, pipe, pipe.stages[0].vocabulary
