@@ -174,22 +174,20 @@ def order_transitions(seq: DataFrame, sequence: str = "sequence", top_n: int = 2
 def order_timing(df: DataFrame, patient: str, order: str, time: str,
                  admit: str | None = None, disch: str | None = None,
                  tiebreak: str | None = None) -> DataFrame:
-    """Per-patient timing features in one aggregation.
+    """Per-patient timing features in one hash aggregation.
 
     ``total_orders`` counts non-null orders, ``unique_order_types`` distinct
     non-null orders.  ``orders_in_first_{24,48,72}h`` count rows with
     ``time <= admit + h`` (no lower bound; each row's own admission time),
-    ``orders_in_last_{24,48}h`` rows with ``time >= disch - h``.  The
-    patient's admission / discharge time for the span features is the one
-    on its earliest non-null row by (time, tiebreak) -- deterministic where
-    the reference depends on row order.
+    ``orders_in_last_{24,48}h`` rows with ``time >= disch - h``.  For the
+    span features the patient's admission / discharge is the earliest
+    non-null one (deterministic where the reference takes the first row in
+    file order).  Every aggregate has a fixed-width buffer, so Spark plans
+    a hash aggregate with map-side partial aggregation: only one row per
+    patient and map task is shuffled, however skewed the patients are.
+    ``tiebreak`` is accepted for API symmetry with the sequence operators.
     """
     _require(df, patient, order, time, admit, disch, tiebreak)
-    order_key = [F.col(time).isNull(), F.col(time)] + ([F.col(tiebreak)] if tiebreak else [])
-
-    def first_non_null(c: str) -> Column:
-        key = F.when(F.col(c).isNotNull(), F.struct(*order_key))
-        return F.min_by(F.col(c), key)
 
     def count_if(cond: Column) -> Column:
         return F.sum(F.when(cond, 1).otherwise(0)).cast("bigint")
@@ -200,11 +198,11 @@ def order_timing(df: DataFrame, patient: str, order: str, time: str,
     if admit:
         for h in (24, 48, 72):
             aggs.append(count_if(F.col(time) <= add_hours(admit, h)).alias(f"orders_in_first_{h}h"))
-        aggs.append(first_non_null(admit).alias("_adm"))
+        aggs.append(F.min(admit).alias("_adm"))
     if disch:
         for h in (24, 48):
             aggs.append(count_if(F.col(time) >= add_hours(disch, -h)).alias(f"orders_in_last_{h}h"))
-        aggs.append(first_non_null(disch).alias("_dis"))
+        aggs.append(F.min(disch).alias("_dis"))
     g = df.groupBy(patient).agg(*aggs)
     g = g.withColumn("order_span_hours", hours_between("first_order_time", "last_order_time"))
     if admit:

@@ -24,31 +24,49 @@ def _clean(long: DataFrame, group: str, value: str, noise) -> DataFrame:
 
 
 # ------------------------------------------------------------------------ W6
-def average_ranks(counts: DataFrame, by: list[str], value: str, t: str = "t",
+def ranked_counts(cgv: DataFrame, by: list[str], group: str, value: str, n: str = "n",
                   buckets: int = RANK_BUCKETS) -> DataFrame:
-    """Average (mid) ranks of distinct values within each ``by`` group.
-
-    ``counts`` has one row per (by..., value) with multiplicity ``t``.  The
-    rank of value v is ``#(values < v) + (t + 1) / 2``.  A global ordered
-    window would put a whole group in one task; instead values are cut into
-    ``buckets`` ranges (boundaries from ``percentile_approx`` -- they only
-    choose the cut, ranks stay exact), bucket totals give each bucket's
-    offset, and the running sum runs per (group, bucket).
+    """Pooled average (mid) ranks for grouped value counts.
+
+    ``cgv`` has one row per (by..., group, value) with multiplicity ``n``.
+    Adds ``t`` (multiplicity of the value over all groups), ``avg_rank``
+    (= #values below + (t + 1) / 2) and ``first`` (true on exactly one row
+    per distinct value, for tie sums).
+
+    A global ordered window would put a whole ``by`` group into one task.
+    Instead each value falls into one of ``buckets`` ranges (boundaries from
+    ``percentile_approx``: they only choose the cut, ranks stay exact); the
+    bucket totals -- a table of (by, bucket) rows, bounded and broadcast --
+    give each bucket's offset, and the running counts are windows over
+    (by, bucket), which the data is partitioned by once.
     """
     probs = [i / buckets for i in range(1, buckets)]
-    bounds = counts.groupBy(*by).agg(F.percentile_approx(value, probs, 10_000).alias("_bnd"))
-    cb = counts.join(bounds, by).withColumn(
-        "_bk", F.size(F.filter("_bnd", lambda b: b < F.col(value)))).drop("_bnd")
-    btot = cb.groupBy(*by, "_bk").agg(F.sum(t).alias("_bt"))
+    bounds = cgv.groupBy(*by).agg(F.percentile_approx(value, probs, 10_000).alias("_bnd"))
+    cb = (cgv.join(F.broadcast(bounds), by)
+             .withColumn("_bk", F.size(F.filter("_bnd", lambda b: b < F.col(value)))).drop("_bnd"))
+    btot = cb.groupBy(*by, "_bk").agg(F.sum(n).alias("_bt"))
     w_b = Window.partitionBy(*by).orderBy("_bk").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     boff = btot.withColumn("_boff", F.sum("_bt").over(w_b) - F.col("_bt")).drop("_bt")
-    w_v = (Window.partitionBy(*by, "_bk").orderBy(value)
-           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = cb.join(boff, by + ["_bk"]).withColumn(
-        "avg_rank", F.col("_boff") + F.sum(t).over(w_v) - F.col(t) + (F.col(t) + 1) / 2.0)
+    part = [*by, "_bk"]
+    w_le = Window.partitionBy(*part).orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    w_v = Window.partitionBy(*part, value)
+    out = (cb.join(F.broadcast(boff), part)
+             .withColumn("t", F.sum(n).over(w_v))
+             .withColumn("avg_rank", F.col("_boff") + F.sum(n).over(w_le) - F.col("t") + (F.col("t") + 1) / 2.0)
+             .withColumn("first", F.col(group) == F.min(group).over(w_v)))
     return out.drop("_bk", "_boff")
 
 
+def _rank_sums(d: DataFrame, feature: str, group: str, value: str, buckets: int) -> DataFrame:
+    """(feature, group, n, R, tie) with R the rank sum of the group and tie the
+    group's share of sum(t^3 - t) over the feature's distinct values."""
+    cgv = d.groupBy(feature, group, value).agg(F.count(F.lit(1)).alias("n"))
+    r = ranked_counts(cgv, [feature], group, value, "n", buckets)
+    tie = F.when(F.col("first"), F.pow(F.col("t"), 3) - F.col("t")).otherwise(F.lit(0.0))
+    return r.groupBy(feature, group).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("avg_rank")).alias("R"),
+                                         F.sum(tie).alias("tie"))
+
+
 # ------------------------------------------------------------------------ M5
 def anova(long: DataFrame, feature: str = "feature", group: str = "cluster", value: str = "value",
           noise=-1) -> DataFrame:
@@ -79,17 +97,11 @@ def with_f_pvalue(res: DataFrame) -> DataFrame:
 def kruskal(long: DataFrame, feature: str = "feature", group: str = "cluster", value: str = "value",
             noise=-1, buckets: int = RANK_BUCKETS) -> DataFrame:
     """Kruskal-Wallis H per feature, tie-corrected, over pooled average ranks."""
-    d = _clean(long, group, value, noise)
-    cgv = d.groupBy(feature, group, value).agg(F.count(F.lit(1)).alias("n"))
-    cv = cgv.groupBy(feature, value).agg(F.sum("n").alias("t"))
-    ranks = average_ranks(cv, [feature], value, "t", buckets)
-    ties = ranks.groupBy(feature).agg(F.sum(F.pow(F.col("t"), 3) - F.col("t")).alias("tie"))
-    rg = (cgv.join(ranks.select(feature, value, "avg_rank"), [feature, value])
-             .groupBy(feature, group).agg(F.sum("n").alias("n"),
-                                          F.sum(F.col("n") * F.col("avg_rank")).alias("R")))
-    per = rg.groupBy(feature).agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("N"),
-                                  F.sum(F.col("R") * F.col("R") / F.col("n")).alias("_s")).where(F.col("k") >= 2)
-    per = per.join(ties, feature)
+    rg = _rank_sums(_clean(long, group, value, noise), feature, group, value, buckets)
+    per = (rg.groupBy(feature).agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("N"),
+                                   F.sum(F.col("R") * F.col("R") / F.col("n")).alias("_s"),
+                                   F.sum("tie").alias("tie"))
+             .where(F.col("k") >= 2))
     n = F.col("N").cast("double")
     h = F.lit(12.0) / (n * (n + 1)) * F.col("_s") - 3 * (n + 1)
     corr = F.lit(1.0) - F.col("tie") / (n * n * n - n)
@@ -109,19 +121,15 @@ def mann_whitney(long: DataFrame, group_a, group_b, feature: str = "feature", gr
     with tie and continuity correction.
     """
     d = _clean(long, group, value, None).where(F.col(group).isin([group_a, group_b]))
-    cgv = d.groupBy(feature, group, value).agg(F.count(F.lit(1)).alias("n"))
-    cv = cgv.groupBy(feature, value).agg(F.sum("n").alias("t"))
-    ranks = average_ranks(cv, [feature], value, "t", buckets)
-    ties = ranks.groupBy(feature).agg(F.sum(F.pow(F.col("t"), 3) - F.col("t")).alias("tie"))
+    rg = _rank_sums(d, feature, group, value, buckets)
     is_a = F.col(group) == F.lit(group_a)
-    per = (cgv.join(ranks.select(feature, value, "avg_rank"), [feature, value])
-              .groupBy(feature).agg(
-                  F.sum(F.when(is_a, F.col("n")).otherwise(0)).alias("n1"),
-                  F.sum(F.when(~is_a, F.col("n")).otherwise(0)).alias("n2"),
-                  F.sum(F.when(is_a, F.col("n") * F.col("avg_rank")).otherwise(0.0)).alias("R1"))
-              .where((F.col("n1") > 0) & (F.col("n2") > 0))
-              .join(ties, feature))
-    n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
+    per = (rg.groupBy(feature).agg(
+               F.sum(F.when(is_a, F.col("n")).otherwise(0)).alias("n1"),
+               F.sum(F.when(~is_a, F.col("n")).otherwise(0)).alias("n2"),
+               F.sum(F.when(is_a, F.col("R")).otherwise(0.0)).alias("R1"),
+               F.sum("tie").alias("tie"))
+             .where((F.col("n1") > 0) & (F.col("n2") > 0)))
+    n1 = F.col("n1").cast("double")
     u1 = F.col("R1") - n1 * (n1 + 1) / 2
     return per.select(feature, "n1", "n2", u1.alias("statistic"), "tie")
 

@@ -21,12 +21,10 @@ SELECT patient,
        CAST(sum(CASE WHEN ordertime >= dischtime - INTERVAL 24 HOURS THEN 1 ELSE 0 END) AS BIGINT) AS orders_in_last_24h,
        CAST(sum(CASE WHEN ordertime >= dischtime - INTERVAL 48 HOURS THEN 1 ELSE 0 END) AS BIGINT) AS orders_in_last_48h,
        date_diff('microsecond', min(ordertime), max(ordertime)) / CAST(3600000000 AS DOUBLE) AS order_span_hours,
-       date_diff('microsecond',
-                 first(admittime ORDER BY ordertime NULLS LAST, event_id) FILTER (WHERE admittime IS NOT NULL),
-                 min(ordertime)) / CAST(3600000000 AS DOUBLE) AS time_to_first_order_hours,
-       date_diff('microsecond', max(ordertime),
-                 first(dischtime ORDER BY ordertime NULLS LAST, event_id) FILTER (WHERE dischtime IS NOT NULL))
-                 / CAST(3600000000 AS DOUBLE) AS time_from_last_order_to_discharge_hours
+       date_diff('microsecond', min(admittime), min(ordertime)) / CAST(3600000000 AS DOUBLE)
+           AS time_to_first_order_hours,
+       date_diff('microsecond', max(ordertime), min(dischtime)) / CAST(3600000000 AS DOUBLE)
+           AS time_from_last_order_to_discharge_hours
 FROM order_events GROUP BY patient
 """
 

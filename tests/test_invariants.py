@@ -144,3 +144,16 @@ def test_repartitioning_does_not_change_results(spark):
     a = rows(joins.nearest_admission(labs, stays))
     b = rows(joins.nearest_admission(labs.repartition(5), stays.repartition(3), bucket_hours=3))
     assert a == b
+
+
+def test_rank_buckets_do_not_change_statistics(spark):
+    from cohortlens.functions.frames import melt
+    from cohortlens.operators import stats
+    f, l = roles(spark, SF_SMALL, "features", "cluster_labels")
+    long = melt(joins.align_labels(f, l, "key").select("key", "cluster", "f00", "f01"), ["key", "cluster"],
+                ["f00", "f01"])
+    # coarse values force many ties, some across bucket boundaries
+    long = long.withColumn("value", F.round("value", 1))
+    a = {r["feature"]: r["statistic"] for r in stats.kruskal(long, buckets=2).collect()}
+    b = {r["feature"]: r["statistic"] for r in stats.kruskal(long, buckets=256).collect()}
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
