@@ -113,7 +113,7 @@ def _metric_expr(metric: str, a: list[Column], b: list[Column]) -> Column:
         return F.sqrt(sum(((x - y) * (x - y) for x, y in zip(a, b)), F.lit(0.0)))
     if metric == "manhattan":
         return sum((F.abs(x - y) for x, y in zip(a, b)), F.lit(0.0))
-    raise ValueError(f"metric {metric} has no exact grid join; use euclidean or manhattan")
+    raise ValueError(f"metric {metric} has no exact grid join; use euclidean, manhattan or cosine")
 
 
 def eps_neighbours(df: DataFrame, features: list[str], eps: float, key: str = "key",
@@ -127,6 +127,12 @@ def eps_neighbours(df: DataFrame, features: list[str], eps: float, key: str = "k
     d = len(features)
     if d > MAX_GRID_DIMS:
         raise ValueError(f"grid neighbour join needs <= {MAX_GRID_DIMS} dimensions (reduce with PCA first)")
+    if metric == "cosine":
+        # cosine distance 1 - cos(u, v) <= eps  <=>  |u/|u| - v/|v|| <= sqrt(2 eps):
+        # an exact Euclidean join on the unit-normalised points (zero rows have no angle: dropped)
+        norm = F.sqrt(sum((q(f).cast("double") * q(f).cast("double") for f in features), F.lit(0.0)))
+        unit = df.where(norm > 0).select(key, *[(q(f) / norm).alias(f) for f in features])
+        return eps_neighbours(unit, features, float((2.0 * eps) ** 0.5), key, "euclidean")
     cells = [F.floor(q(f) / F.lit(float(eps))).cast("long") for f in features]
     pts = df.select(F.col(key).alias("_k"), *[q(f).cast("double").alias(f"_x{i}") for i, f in enumerate(features)],
                     *[c.alias(f"_c{i}") for i, c in enumerate(cells)]).where(

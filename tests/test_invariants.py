@@ -157,3 +157,10 @@ def test_rank_buckets_do_not_change_statistics(spark):
     a = {r["feature"]: r["statistic"] for r in stats.kruskal(long, buckets=2).collect()}
     b = {r["feature"]: r["statistic"] for r in stats.kruskal(long, buckets=256).collect()}
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
+
+
+def test_dbscan_cosine(spark):
+    pts = spark.createDataFrame([(1, 1.0, 0.0), (2, 2.0, 0.1), (3, 0.0, 1.0), (4, 0.0, 0.0)],
+                                "key long, x double, y double")
+    got = {r["key"]: r["cluster"] for r in cluster.dbscan(pts, ["x", "y"], 0.01, 2, metric="cosine").collect()}
+    assert got == {1: 1, 2: 1, 3: -1, 4: -1}
