@@ -158,42 +158,61 @@ def dbscan_core_points(df: DataFrame, features: list[str], eps: float, min_sampl
     return cnt.withColumn("is_core", F.col("n_neighbours") >= F.lit(int(min_samples)))
 
 
+def connected_components(edges: DataFrame, nodes: DataFrame, src: str = "src", dst: str = "dst",
+                         max_iter: int = 100, checkpoint_every: int = 2) -> DataFrame:
+    """(node, label) with label = smallest node id of the node's component.
+
+    Min-label propagation with pointer jumping: each round takes the
+    smallest label among a node's neighbours (one join + aggregate over the
+    edge list) and then replaces every label by its label's label (one join),
+    so labels travel along paths in ~log(diameter) rounds instead of one hop
+    per round.  Labels only decrease and stay inside the component; the round
+    without any change is the fixed point.  The label table is checkpointed to
+    the shared folder every few rounds (short lineage, cheap recovery).
+    """
+    labels = nodes.select(F.col("node"), F.col("node").alias("label"))
+    e = edges.select(F.col(src).alias("node"), F.col(dst).alias("nbr"))
+    for it in range(max_iter):
+        nb = (e.join(labels.select(F.col("node").alias("nbr"), F.col("label").alias("_l")), "nbr")
+               .groupBy("node").agg(F.min("_l").alias("_m")))
+        hooked = (labels.join(nb, "node", "left")
+                        .select("node", F.least("label", F.coalesce("_m", "label")).alias("label")))
+        jumped = (hooked.join(hooked.select(F.col("node").alias("label"), F.col("label").alias("_ll")), "label", "left")
+                        .select("node", F.least("label", F.coalesce("_ll", "label")).alias("label")))
+        if (it + 1) % checkpoint_every == 0:
+            jumped = jumped.checkpoint(eager=True)
+        changed = (jumped.join(labels.select("node", F.col("label").alias("_old")), "node")
+                         .where(F.col("label") != F.col("_old")).limit(1).count())
+        labels = jumped
+        if changed == 0:
+            break
+    else:
+        raise RuntimeError(f"connected components did not converge in {max_iter} rounds")
+    return labels
+
+
 def dbscan(df: DataFrame, features: list[str], eps: float = 0.5, min_samples: int = 5, key: str = "key",
-           metric: str = "euclidean", max_iter: int = 100, checkpoint_every: int = 3) -> DataFrame:
+           metric: str = "euclidean", max_iter: int = 100, checkpoint_every: int = 2) -> DataFrame:
     """DBSCAN labels ``(key, cluster)``; noise is -1.
 
     Clusters are the connected components of the core-core eps graph,
-    labelled by the smallest core key in the component.  A border point takes
-    the smallest label among its core neighbours.  Components are found by
-    min-label propagation over the edge list; the label table is written to
-    the checkpoint folder every few rounds so lineage stays short and a lost
-    executor recomputes only the last rounds.
+    labelled by the smallest core key in the component
+    (:func:`connected_components`).  A border point takes the smallest label
+    among its core neighbours.
     """
-    nb = eps_neighbours(df, features, eps, key, metric).persist()
+    nb = eps_neighbours(df, features, eps, key, metric)
     core = (nb.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-              .where(F.col("_n") >= F.lit(int(min_samples))).select(key))
-    core_nbr = core.select(F.col(key).alias("nbr"))
-    edges = nb.join(core, key, "left_semi").join(core_nbr, "nbr", "left_semi").persist()
-    labels = core.select(key, F.col(key).alias("label"))
-    for it in range(max_iter):
-        prop = (edges.join(labels.select(F.col(key).alias("nbr"), F.col("label").alias("_l")), "nbr")
-                     .groupBy(key).agg(F.min("_l").alias("_m")))
-        new = (labels.join(prop, key, "left")
-                     .select(key, F.least(F.col("label"), F.coalesce(F.col("_m"), F.col("label"))).alias("label")))
-        if (it + 1) % checkpoint_every == 0:
-            new = new.checkpoint(eager=True)
-        changed = new.join(labels.select(key, F.col("label").alias("_old")), key).where(
-            F.col("label") != F.col("_old")).limit(1).count()
-        labels = new
-        if changed == 0:
-            break
-    border = (nb.join(core, key, "left_anti")
-                .join(labels.select(F.col(key).alias("nbr"), F.col("label").alias("_l")), "nbr")
+              .where(F.col("_n") >= F.lit(int(min_samples))).select(F.col(key).alias("node")))
+    core_edges = (nb.join(core.select(F.col("node").alias(key)), key, "left_semi")
+                    .join(core.select(F.col("node").alias("nbr")), "nbr", "left_semi")
+                    .where(F.col(key) != F.col("nbr"))).checkpoint(eager=True)
+    labels = connected_components(core_edges, core, key, "nbr", max_iter, checkpoint_every)
+    border = (nb.join(core.select(F.col("node").alias(key)), key, "left_anti")
+                .join(labels.select(F.col("node").alias("nbr"), F.col("label").alias("_l")), "nbr")
                 .groupBy(key).agg(F.min("_l").alias("label")))
-    assigned = labels.unionByName(border)
-    out = (df.select(key).join(assigned, key, "left")
-             .select(key, F.coalesce(F.col("label"), F.lit(-1)).cast("long").alias("cluster")))
-    return out
+    assigned = labels.select(F.col("node").alias(key), "label").unionByName(border)
+    return (df.select(key).join(assigned, key, "left")
+              .select(key, F.coalesce(F.col("label"), F.lit(-1)).cast("long").alias("cluster")))
 
 
 # ------------------------------------------------------------------------ C6

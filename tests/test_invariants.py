@@ -164,3 +164,13 @@ def test_dbscan_cosine(spark):
                                 "key long, x double, y double")
     got = {r["key"]: r["cluster"] for r in cluster.dbscan(pts, ["x", "y"], 0.01, 2, metric="cosine").collect()}
     assert got == {1: 1, 2: 1, 3: -1, 4: -1}
+
+
+def test_connected_components_long_path(spark):
+    n = 300
+    edges = spark.createDataFrame([(i, i + 1) for i in range(n - 1)] + [(i + 1, i) for i in range(n - 1)]
+                                  + [(1000, 1001), (1001, 1000)], "src long, dst long")
+    nodes = spark.createDataFrame([(i,) for i in list(range(n)) + [1000, 1001, 2000]], "node long")
+    # a path of 300 nodes must converge well within 20 rounds thanks to pointer jumping
+    lab = {r["node"]: r["label"] for r in cluster.connected_components(edges, nodes, max_iter=20).collect()}
+    assert all(lab[i] == 0 for i in range(n)) and lab[1000] == lab[1001] == 1000 and lab[2000] == 2000
