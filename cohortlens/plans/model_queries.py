@@ -223,3 +223,32 @@ def q_seeded_sample(spark, sf):
 def q_preview(spark, sf):
     from cohortlens.operators.profile import preview
     return preview(spark.read.parquet(f"{sf}/events.parquet"), "event_id", 100)
+
+
+# ------------------------------------------------------------- J16 / C5 / W7
+_KNN_SQL = """
+p AS (SELECT key, f00, f01 FROM features),
+pd AS (SELECT a.key, sqrt((a.f00 - b.f00) * (a.f00 - b.f00) + (a.f01 - b.f01) * (a.f01 - b.f01)) AS d,
+              row_number() OVER (PARTITION BY a.key ORDER BY
+                  sqrt((a.f00 - b.f00) * (a.f00 - b.f00) + (a.f01 - b.f01) * (a.f01 - b.f01))) AS rn
+       FROM p a, p b),
+kd AS (SELECT key, d AS knn_distance FROM pd WHERE rn = 5)"""
+
+
+@query("knn_distance", f"WITH {_KNN_SQL}\nSELECT key, round(knn_distance, 6) AS knn_distance FROM kd")
+def q_knn_distance(spark, sf):
+    from cohortlens.operators.neighbors import knn_distances
+    out = knn_distances(role(spark, sf, "features"), ["f00", "f01"], k=5)
+    return out.select("key", r6(F.col("knn_distance")).alias("knn_distance"))
+
+
+@query("dbscan_eps", f"""WITH {_KNN_SQL},
+s AS (SELECT knn_distance, row_number() OVER (ORDER BY knn_distance) AS i FROM kd),
+g AS (SELECT i, knn_distance, knn_distance - lag(knn_distance) OVER (ORDER BY i) AS gap FROM s)
+SELECT round(knn_distance, 6) AS suggested_eps FROM g WHERE gap IS NOT NULL
+ORDER BY gap DESC, i LIMIT 1
+""")
+def q_dbscan_eps(spark, sf):
+    from cohortlens.operators.neighbors import suggest_eps
+    out = suggest_eps(role(spark, sf, "features"), ["f00", "f01"], k=5)
+    return out.select(r6(F.col("suggested_eps")).alias("suggested_eps"))

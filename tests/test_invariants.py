@@ -174,3 +174,15 @@ def test_connected_components_long_path(spark):
     # a path of 300 nodes must converge well within 20 rounds thanks to pointer jumping
     lab = {r["node"]: r["label"] for r in cluster.connected_components(edges, nodes, max_iter=20).collect()}
     assert all(lab[i] == 0 for i in range(n)) and lab[1000] == lab[1001] == 1000 and lab[2000] == 2000
+
+
+def test_knn_duplicates_and_small_sets(spark):
+    from cohortlens.operators.neighbors import knn_distances, largest_gap_value
+    pts = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.0, 0.0), (3, 3.0, 4.0), (4, 100.0, 0.0)],
+                                "key long, x double, y double")
+    k2 = {r["key"]: r["knn_distance"] for r in knn_distances(pts, ["x", "y"], k=2).collect()}
+    assert k2 == {1: 0.0, 2: 0.0, 3: 5.0, 4: pytest.approx(math.dist((100, 0), (3, 4)))}
+    k5 = {r["key"]: r["knn_distance"] for r in knn_distances(pts, ["x", "y"], k=5).collect()}
+    assert all(v is None for v in k5.values())                # fewer than k points
+    vals = spark.createDataFrame([(float(x),) for x in [1, 2, 3, 10, 11, 30]], "v double")
+    assert largest_gap_value(vals, "v", buckets=3) == 30.0
