@@ -116,45 +116,66 @@ def _metric_expr(metric: str, a: list[Column], b: list[Column]) -> Column:
     raise ValueError(f"metric {metric} has no exact grid join; use euclidean, manhattan or cosine")
 
 
-def eps_neighbours(df: DataFrame, features: list[str], eps: float, key: str = "key",
-                   metric: str = "euclidean") -> DataFrame:
-    """All pairs ``(key, nbr)`` with distance <= eps (inclusive; self included).
-
-    Exact and pair-bounded: points are hashed to eps-sized grid cells; a point
-    only meets points of its own and adjacent cells (3^d offsets), which
-    contain every eps-neighbour for both metrics.  Needs d <= 3.
-    """
+def _points(df: DataFrame, features: list[str], key: str, eps: float, metric: str):
+    """Points ``(key, _x0.._x{d-1})`` without nulls, plus the metric and eps to
+    search with (cosine becomes Euclidean on unit vectors)."""
     d = len(features)
     if d > MAX_GRID_DIMS:
         raise ValueError(f"grid neighbour join needs <= {MAX_GRID_DIMS} dimensions (reduce with PCA first)")
+    xs = [q(f).cast("double") for f in features]
+    base = df.where(" AND ".join(f"`{f}` IS NOT NULL" for f in features))
     if metric == "cosine":
         # cosine distance 1 - cos(u, v) <= eps  <=>  |u/|u| - v/|v|| <= sqrt(2 eps):
         # an exact Euclidean join on the unit-normalised points (zero rows have no angle: dropped)
-        norm = F.sqrt(sum((q(f).cast("double") * q(f).cast("double") for f in features), F.lit(0.0)))
-        unit = df.where(norm > 0).select(key, *[(q(f) / norm).alias(f) for f in features])
-        return eps_neighbours(unit, features, float((2.0 * eps) ** 0.5), key, "euclidean")
-    cells = [F.floor(q(f) / F.lit(float(eps))).cast("long") for f in features]
-    pts = df.select(F.col(key).alias("_k"), *[q(f).cast("double").alias(f"_x{i}") for i, f in enumerate(features)],
-                    *[c.alias(f"_c{i}") for i, c in enumerate(cells)]).where(
-        " AND ".join(f"_x{i} IS NOT NULL" for i in range(d)))
+        norm = F.sqrt(sum((x * x for x in xs), F.lit(0.0)))
+        pts = base.where(norm > 0).select(F.col(key), *[(x / norm).alias(f"_x{i}") for i, x in enumerate(xs)])
+        return pts, float((2.0 * eps) ** 0.5), "euclidean"
+    _metric_expr(metric, [], [])  # validate the metric name
+    return base.select(F.col(key), *[x.alias(f"_x{i}") for i, x in enumerate(xs)]), float(eps), metric
+
+
+def eps_neighbours(df: DataFrame, features: list[str], eps: float, key: str = "key",
+                   metric: str = "euclidean"):
+    """Exact eps-neighbourhoods (distance <= eps, inclusive) at *location* level.
+
+    Points with identical coordinates are first collapsed into one location
+    (id = smallest key there, weight = number of points), so a coordinate
+    shared by a third of all rows is one row, not a quadratic block of pairs.
+    Locations are hashed to eps-sized grid cells; a location only meets the
+    locations of its own and adjacent cells (3^d offsets), which contain every
+    eps-neighbour for these metrics.  Needs d <= 3.
+
+    Returns ``(points(key, _loc), pairs(_loc, _nloc, _nw))`` where pairs lists
+    every neighbouring location (itself included) with its weight.
+    """
+    pts, eps, metric = _points(df, features, key, eps, metric)
+    d = len(features)
+    xs = [f"_x{i}" for i in range(d)]
+    locs = pts.groupBy(*xs).agg(F.min(key).alias("_loc"), F.count(F.lit(1)).alias("_w"))
+    cells = [F.floor(F.col(x) / F.lit(eps)).cast("long") for x in xs]
     offsets = [list(o) for o in itertools.product((-1, 0, 1), repeat=d)]
-    probe = pts.select("_k", *[F.col(f"_x{i}") for i in range(d)],
-                       F.explode(F.array(*[F.array(*[F.lit(v) for v in o]) for o in offsets])).alias("_o"),
-                       *[F.col(f"_c{i}") for i in range(d)])
-    probe = probe.select("_k", *[F.col(f"_x{i}") for i in range(d)],
-                         *[(F.col(f"_c{i}") + F.col("_o")[i]).alias(f"_c{i}") for i in range(d)])
-    other = pts.select(F.col("_k").alias("nbr"), *[F.col(f"_x{i}").alias(f"_y{i}") for i in range(d)],
-                       *[F.col(f"_c{i}") for i in range(d)])
-    j = probe.join(other, [f"_c{i}" for i in range(d)])
-    dist = _metric_expr(metric, [F.col(f"_x{i}") for i in range(d)], [F.col(f"_y{i}") for i in range(d)])
-    return j.where(dist <= F.lit(float(eps))).select(F.col("_k").alias(key), "nbr")
+    probe = (locs.select("_loc", *xs, F.explode(F.array(*[F.array(*[F.lit(v) for v in o]) for o in offsets]))
+                         .alias("_o"), *[c.alias(f"_c{i}") for i, c in enumerate(cells)])
+                 .select("_loc", *xs, *[(F.col(f"_c{i}") + F.col("_o")[i]).alias(f"_c{i}") for i in range(d)]))
+    other = locs.select(F.col("_loc").alias("_nloc"), F.col("_w").alias("_nw"),
+                        *[F.col(x).alias(f"_y{i}") for i, x in enumerate(xs)],
+                        *[c.alias(f"_c{i}") for i, c in enumerate(cells)])
+    dist = _metric_expr(metric, [F.col(x) for x in xs], [F.col(f"_y{i}") for i in range(d)])
+    pairs = (probe.join(other, [f"_c{i}" for i in range(d)]).where(dist <= F.lit(eps))
+                  .select("_loc", "_nloc", "_nw"))
+    point_loc = pts.join(locs.select(*xs, "_loc"), xs).select(key, "_loc")
+    return point_loc, pairs
+
+
+def _location_counts(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("_loc").agg(F.sum("_nw").alias("n_neighbours"))
 
 
 def dbscan_core_points(df: DataFrame, features: list[str], eps: float, min_samples: int,
                        key: str = "key", metric: str = "euclidean") -> DataFrame:
-    """(key, n_neighbours including self, is_core)."""
-    nb = eps_neighbours(df, features, eps, key, metric)
-    cnt = nb.groupBy(key).agg(F.count(F.lit(1)).alias("n_neighbours"))
+    """(key, n_neighbours including itself, is_core)."""
+    point_loc, pairs = eps_neighbours(df, features, eps, key, metric)
+    cnt = point_loc.join(_location_counts(pairs), "_loc").select(key, "n_neighbours")
     return cnt.withColumn("is_core", F.col("n_neighbours") >= F.lit(int(min_samples)))
 
 
@@ -195,23 +216,28 @@ def dbscan(df: DataFrame, features: list[str], eps: float = 0.5, min_samples: in
            metric: str = "euclidean", max_iter: int = 100, checkpoint_every: int = 2) -> DataFrame:
     """DBSCAN labels ``(key, cluster)``; noise is -1.
 
-    Clusters are the connected components of the core-core eps graph,
-    labelled by the smallest core key in the component
-    (:func:`connected_components`).  A border point takes the smallest label
-    among its core neighbours.
+    Works on locations (identical coordinates collapsed, see
+    :func:`eps_neighbours`).  A location is core when the points within eps
+    (its own included) number at least ``min_samples``.  Clusters are the
+    connected components of the core-core graph (:func:`connected_components`),
+    labelled by the smallest core key in the component; a border location
+    takes the smallest label among its core neighbours; points inherit their
+    location's label.
     """
-    nb = eps_neighbours(df, features, eps, key, metric)
-    core = (nb.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-              .where(F.col("_n") >= F.lit(int(min_samples))).select(F.col(key).alias("node")))
-    core_edges = (nb.join(core.select(F.col("node").alias(key)), key, "left_semi")
-                    .join(core.select(F.col("node").alias("nbr")), "nbr", "left_semi")
-                    .where(F.col(key) != F.col("nbr"))).checkpoint(eager=True)
-    labels = connected_components(core_edges, core, key, "nbr", max_iter, checkpoint_every)
-    border = (nb.join(core.select(F.col("node").alias(key)), key, "left_anti")
-                .join(labels.select(F.col("node").alias("nbr"), F.col("label").alias("_l")), "nbr")
-                .groupBy(key).agg(F.min("_l").alias("label")))
-    assigned = labels.select(F.col("node").alias(key), "label").unionByName(border)
-    return (df.select(key).join(assigned, key, "left")
+    point_loc, pairs = eps_neighbours(df, features, eps, key, metric)
+    pairs = pairs.checkpoint(eager=True)
+    core = (_location_counts(pairs).where(F.col("n_neighbours") >= F.lit(int(min_samples)))
+              .select(F.col("_loc").alias("node")))
+    core_edges = (pairs.join(core.select(F.col("node").alias("_loc")), "_loc", "left_semi")
+                       .join(core.select(F.col("node").alias("_nloc")), "_nloc", "left_semi")
+                       .where(F.col("_loc") != F.col("_nloc")))
+    labels = connected_components(core_edges, core, "_loc", "_nloc", max_iter, checkpoint_every)
+    border = (pairs.join(core.select(F.col("node").alias("_loc")), "_loc", "left_anti")
+                   .join(labels.select(F.col("node").alias("_nloc"), F.col("label").alias("_l")), "_nloc")
+                   .groupBy("_loc").agg(F.min("_l").alias("label")))
+    assigned = labels.select(F.col("node").alias("_loc"), "label").unionByName(border)
+    labelled = point_loc.join(assigned, "_loc").select(key, "label")
+    return (df.select(key).join(labelled, key, "left")
               .select(key, F.coalesce(F.col("label"), F.lit(-1)).cast("long").alias("cluster")))
 
 

@@ -94,7 +94,10 @@ def largest_gap_value(values: DataFrame, col: str, buckets: int = 256) -> float
     buckets; gaps inside a bucket come from a per-bucket ordered window,
     gaps between buckets from the (bounded) table of bucket minima/maxima.
     """
-    v = values.select(F.col(col).alias("_v")).where(F.col("_v").isNotNull())
+    v_all = values.select(F.col(col).alias("_v")).where(F.col("_v").isNotNull())
+    # gaps only exist between distinct values; collapsing duplicates first keeps a
+    # value shared by a third of all rows from landing in one window task
+    v = v_all.distinct()
     probs = [i / buckets for i in range(1, buckets)]
     bnd = v.agg(F.percentile_approx("_v", probs, 10_000).alias("b")).first()["b"]
     if bnd is None:
@@ -111,7 +114,8 @@ def largest_gap_value(values: DataFrame, col: str, buckets: int = 256) -> float
     for a, b in zip(ext, ext[1:]):
         cand.append((b["mn"] - a["mx"], a["mx"], b["mn"]))
     if not cand:
-        return None
+        # one distinct value: every difference is 0 and the second sorted value is returned
+        return float(ext[0]["mn"]) if ext and v_all.limit(2).count() == 2 else None
     cand.sort(key=lambda t: (-t[0], t[1]))
     return float(cand[0][2])
 

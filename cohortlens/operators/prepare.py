@@ -78,8 +78,12 @@ def scale(df: DataFrame, method: str | None = "standard", columns=None, key: str
             out.append((v / F.lit(float(hi - lo)) if hi is not None and hi != lo else v * F.lit(0.0)).alias(c))
         return df.select(*keep, *out)
     if method == "normalize":
-        norm = F.sqrt(reduce(lambda a, b: a + b, [q(c).cast("double") * q(c).cast("double") for c in cols]))
-        return df.select(*keep, *[F.when(norm > 0, q(c) / norm).otherwise(F.lit(0.0)).alias(c) for c in cols])
+        # the row norm is computed once per row, then every column is divided by it
+        norm = F.sqrt(F.aggregate(F.array(*[q(c).cast("double") for c in cols]), F.lit(0.0),
+                                  lambda acc, x: acc + x * x))
+        with_norm = df.withColumn("__norm", norm)
+        nn = F.col("__norm")
+        return with_norm.select(*keep, *[F.when(nn > 0, q(c) / nn).otherwise(F.lit(0.0)).alias(c) for c in cols])
     raise ValueError(f"Invalid preprocessing method: {method}")
 
 
@@ -105,30 +109,58 @@ def pca(df: DataFrame, k: int = 2, columns=None, key: str = "key") -> tuple[Data
     return out, [float(x) for x in model.explainedVariance]
 
 
+def _gram_partials(cols: list[str]):
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+        d = len(cols)
+        g = np.zeros((d, d))
+        for pdf in batches:
+            x = pdf[cols].to_numpy(dtype="float64", na_value=0.0)
+            g += x.T @ x
+        iu = np.triu_indices(d)
+        yield pd.DataFrame({"i": iu[0].astype("int32"), "j": iu[1].astype("int32"), "v": g[iu]})
+    return run
+
+
+def gram_matrix(df: DataFrame, cols: list[str]) -> np.ndarray:
+    """X'X (d x d, bounded by the number of columns; nulls count as 0).
+
+    Each task folds its Arrow batches into one d x d partial with numpy; only
+    d(d+1)/2 numbers per task are shuffled and summed.
+    """
+    d = len(cols)
+    parts = df.select(*[q(c).cast("double").alias(c) for c in cols]).mapInPandas(
+        _gram_partials(cols), "i int, j int, v double")
+    G = np.zeros((d, d))
+    for r in parts.groupBy("i", "j").agg(F.sum("v").alias("v")).collect():
+        G[r["i"], r["j"]] = G[r["j"], r["i"]] = r["v"]
+    return G
+
+
 def truncated_svd(df: DataFrame, k: int = 2, columns=None, key: str = "key") -> tuple[DataFrame, list[float]]:
     """Uncentred truncated SVD scores ``X V_k``.
 
-    The Gram matrix X'X (d x d, bounded by the number of columns) is one
-    aggregate; its eigenvectors are the right singular vectors; scores are a
-    projection with literal coefficients.  Returns the explained variance
-    ratio of each component's scores.
+    The Gram matrix X'X is one distributed pass (:func:`gram_matrix`); its
+    eigenvectors are the right singular vectors; scores are a projection with
+    literal coefficients.  Returns the explained variance ratio of each
+    component's scores.
     """
     cols = _cols(df, columns, key)
     d = len(cols)
-    pairs = [(i, j) for i in range(d) for j in range(i, d)]
-    g = df.agg(*[F.sum(q(cols[i]).cast("double") * q(cols[j]).cast("double")).alias(f"g{i}_{j}")
-                 for i, j in pairs]).first()
-    G = np.zeros((d, d))
-    for i, j in pairs:
-        G[i, j] = G[j, i] = g[f"g{i}_{j}"] or 0.0
+    G = gram_matrix(df, cols)
     w, V = np.linalg.eigh(G)
     order = np.argsort(w)[::-1][:k]
     V = V[:, order]
     for c in range(V.shape[1]):  # deterministic sign: largest |coefficient| positive
         if V[np.argmax(np.abs(V[:, c])), c] < 0:
             V[:, c] = -V[:, c]
-    comps = [reduce(lambda a, b: a + b, [q(cols[i]) * F.lit(float(V[i, c])) for i in range(d)]).alias(f"pc{c + 1}")
-             for c in range(V.shape[1])]
+    x = F.array(*[q(c).cast("double") for c in cols])
+    comps = []
+    for c in range(V.shape[1]):
+        coef = F.array(*[F.lit(float(V[i, c])) for i in range(d)])
+        comps.append(F.aggregate(F.zip_with(x, coef, lambda a, b: a * b), F.lit(0.0),
+                                 lambda acc, v: acc + v).alias(f"pc{c + 1}"))
     out = df.select(key, *comps)
     var = out.agg(*[F.var_pop(f"pc{c + 1}").alias(f"v{c}") for c in range(V.shape[1])]).first()
     total = df.agg(reduce(lambda a, b: a + b, [F.var_pop(q(c)) for c in cols]).alias("t")).first()["t"]

@@ -186,3 +186,16 @@ def test_knn_duplicates_and_small_sets(spark):
     assert all(v is None for v in k5.values())                # fewer than k points
     vals = spark.createDataFrame([(float(x),) for x in [1, 2, 3, 10, 11, 30]], "v double")
     assert largest_gap_value(vals, "v", buckets=3) == 30.0
+
+
+def test_dbscan_hot_coordinate(spark):
+    # a third of the rows share one coordinate: collapsed to one location, same labels as brute force
+    data = [(i, 0.5, 0.5) for i in range(60)] + [(100 + i, 0.5 + 0.01 * i, 0.2) for i in range(60)] \
+        + [(200 + i, 3.0 + 0.3 * i, 3.0) for i in range(60)]
+    df = spark.createDataFrame(data, "key long, x double, y double")
+    pts = {k: (x, y) for k, x, y in data}
+    for eps, ms in ((0.05, 3), (0.35, 2), (0.31, 70)):
+        got = {r["key"]: r["cluster"] for r in cluster.dbscan(df, ["x", "y"], eps, ms).collect()}
+        assert got == _brute_dbscan(pts, eps, ms)
+    core = {r["key"]: r["n_neighbours"] for r in cluster.dbscan_core_points(df, ["x", "y"], 0.05, 3).collect()}
+    assert core[0] == 60 and len(core) == 180
