@@ -16,7 +16,8 @@ from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cohortlens.functions.frames import numeric_columns, q
+from cohortlens.functions.frames import melt, numeric_columns, q
+from cohortlens.functions.quantiles import exact_mode, quantile_columns
 
 # Fixed value: token pattern equal to ``\w\w+`` over Unicode letters/digits.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
@@ -37,15 +38,16 @@ def impute(df: DataFrame, method: str = "drop", columns=None, key: str | None =
     if method == "drop":
         return df.na.drop(how="any")
     if method == "mean":
-        stat = [F.avg(q(c)).alias(c) for c in cols]
-    elif method == "median":
-        stat = [F.percentile(q(c), 0.5).alias(c) for c in cols]
-    elif method == "mode":
-        stat = [F.mode(q(c), True).alias(c) for c in cols]
+        row = df.agg(*[F.avg(q(c)).alias(c) for c in cols]).first()
+        fill = {c: row[c] for c in cols if row[c] is not None}
+    elif method in ("median", "mode"):
+        # exact and distributed (no column's values buffered in one task); one row per column
+        long = melt(df, [], cols, "column_name")
+        stat = (quantile_columns(long, ["column_name"], "value", {"s": 0.5}) if method == "median"
+                else exact_mode(long, ["column_name"], "value").withColumnRenamed("mode", "s"))
+        fill = {r["column_name"]: r["s"] for r in stat.collect() if r["s"] is not None}
     else:
         raise ValueError(f"Invalid missing value handling method: {method}")
-    row = df.agg(*stat).first()
-    fill = {c: row[c] for c in cols if row[c] is not None}
     out = df.select(*[F.coalesce(q(c), F.lit(fill[c]).cast(df.schema[c].dataType)).alias(c)
                       if c in fill else q(c) for c in df.columns])
     return out

@@ -4,7 +4,9 @@ Inputs are a *labelled* frame: one row per entity with a ``cluster`` column
 and numeric feature columns (``align_labels(data, labels, key)``).  Wide
 aggregations run once per cluster (partial aggregation map-side, one row per
 cluster shuffled); results are stacked to long ``(cluster, feature, ...)``.
-Quantiles are exact (``percentile``) unless ``approx=True`` is requested.
+Quantiles and modes are exact and distributed
+(:mod:`cohortlens.functions.quantiles`: no group is ever buffered in one
+task); ``approx=True`` switches to ``percentile_approx`` in the wide pass.
 """
 
 from __future__ import annotations
@@ -14,13 +16,22 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortlens.functions.frames import melt, numeric_columns, q, stack_stats
+from cohortlens.functions.quantiles import exact_mode, quantile_columns
 from cohortlens.functions.timefn import days_between
 
 MAX_CLUSTERS = 100_000
 
 
-def _quantile(c: Column, p, approx: bool) -> Column:
-    return F.percentile_approx(c, p, 10_000) if approx else F.percentile(c, p)
+def _left_join(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on keys where null keys match (group keys may be null)."""
+    from cohortlens.operators.joins import merge_two
+    return merge_two(a, b, keys, "left", null_keys_match=True)
+
+
+def _long_quantiles(wide: DataFrame, by: list[str], feats: list[str], named: dict[str, float]) -> DataFrame:
+    """Exact named quantiles of every feature per group: (by..., feature, name...)."""
+    long = melt(wide, by, feats)
+    return quantile_columns(long, by + ["feature"], "value", named)
 
 
 def _share(n: str, scale: float = 100.0) -> Column:
@@ -53,10 +64,16 @@ def cluster_profile(labelled: DataFrame, cluster: str = "cluster", key: str | No
     feats = _features(labelled, features, cluster, key)
     aggs = []
     for f in feats:
-        aggs += [F.avg(q(f)).alias(f"{f}__mean"), _quantile(q(f), 0.5, approx).alias(f"{f}__median"),
-                 F.stddev_samp(q(f)).alias(f"{f}__std"), F.count(q(f)).alias(f"{f}__count")]
+        aggs += [F.avg(q(f)).alias(f"{f}__mean"), F.stddev_samp(q(f)).alias(f"{f}__std"),
+                 F.count(q(f)).alias(f"{f}__count")]
+        if approx:
+            aggs.append(F.percentile_approx(q(f), 0.5, 10_000).alias(f"{f}__median"))
     g = labelled.groupBy(cluster).agg(*aggs)
-    return stack_stats(g, [cluster], feats, ["mean", "median", "std", "count"])
+    if approx:
+        return stack_stats(g, [cluster], feats, ["mean", "median", "std", "count"])
+    base = stack_stats(g, [cluster], feats, ["mean", "std", "count"])
+    med = _long_quantiles(labelled, [cluster], feats, {"median": 0.5})
+    return _left_join(base, med, [cluster, "feature"]).select(cluster, "feature", "mean", "median", "std", "count")
 
 
 # ----------------------------------------------------------------------- A11
@@ -69,11 +86,15 @@ def cluster_radar(labelled: DataFrame, cluster: str = "cluster", key: str | None
     """
     feats = _features(labelled, features, cluster, key)
     stats = labelled.agg(*[x for f in feats for x in (
-        _quantile(q(f), 0.5, approx).alias(f"{f}__med"), F.min(q(f)).alias(f"{f}__min"),
-        F.max(q(f)).alias(f"{f}__max"))]).first()
+        F.min(q(f)).alias(f"{f}__min"), F.max(q(f)).alias(f"{f}__max"))]
+        + ([F.percentile_approx(q(f), 0.5, 10_000).alias(f"{f}__med") for f in feats] if approx else [])).first()
+    if approx:
+        meds = {f: stats[f"{f}__med"] for f in feats}
+    else:   # one row per feature
+        meds = {r["feature"]: r["median"] for r in _long_quantiles(labelled, [], feats, {"median": 0.5}).collect()}
     cols = []
     for f in feats:
-        med, lo, hi = stats[f"{f}__med"], stats[f"{f}__min"], stats[f"{f}__max"]
+        med, lo, hi = meds.get(f), stats[f"{f}__min"], stats[f"{f}__max"]
         v = F.coalesce(q(f).cast("double"), F.lit(med))
         span = (hi - lo) if (hi is not None and lo is not None) else None
         scaled = (v - F.lit(lo)) / F.lit(span) if span else F.lit(0.0)
@@ -92,18 +113,20 @@ def cluster_characterization(labelled: DataFrame, cluster: str = "cluster", key:
     overall = labelled.agg(F.count(F.lit(1)).alias("_n"),
                            *[F.avg(q(f)).alias(f) for f in feats]).first()
     total = overall["_n"]
+    named = {"median": 0.5, "p25": 0.25, "p75": 0.75}
     aggs = [F.count(F.lit(1)).alias("size")]
     for f in feats:
         aggs += [F.avg(q(f)).alias(f"{f}__mean"), F.stddev_samp(q(f)).alias(f"{f}__std"),
-                 F.min(q(f)).alias(f"{f}__min"), F.max(q(f)).alias(f"{f}__max"),
-                 _quantile(q(f), 0.5, approx).alias(f"{f}__median"),
-                 _quantile(q(f), 0.25, approx).alias(f"{f}__p25"),
-                 _quantile(q(f), 0.75, approx).alias(f"{f}__p75")]
-    g = (labelled.where(F.col(cluster).isNull() | (F.col(cluster) != F.lit(noise)))
-                 .groupBy(cluster).agg(*aggs)
-                 .withColumn("percentage", F.col("size") * F.lit(100.0) / F.lit(float(total or 1))))
-    long = stack_stats(g, [cluster, "size", "percentage"], feats,
-                       ["mean", "std", "min", "max", "median", "p25", "p75"])
+                 F.min(q(f)).alias(f"{f}__min"), F.max(q(f)).alias(f"{f}__max")]
+        if approx:
+            aggs += [F.percentile_approx(q(f), p, 10_000).alias(f"{f}__{n}") for n, p in named.items()]
+    kept = labelled.where(F.col(cluster).isNull() | (F.col(cluster) != F.lit(noise)))
+    g = (kept.groupBy(cluster).agg(*aggs)
+             .withColumn("percentage", F.col("size") * F.lit(100.0) / F.lit(float(total or 1))))
+    stats_ = ["mean", "std", "min", "max"] + (list(named) if approx else [])
+    long = stack_stats(g, [cluster, "size", "percentage"], feats, stats_)
+    if not approx:
+        long = _left_join(long, _long_quantiles(kept, [cluster], feats, named), [cluster, "feature"])
     om = F.create_map(*[x for f in feats for x in (F.lit(f), F.lit(overall[f]).cast("double"))])
     overall_mean = om[F.col("feature")]
     diff = F.when(overall_mean == 0, F.lit(0.0)).otherwise(
@@ -122,12 +145,15 @@ def los_by_cluster(los: DataFrame, cluster: str = "cluster", value: str = "lengt
                    approx: bool = False) -> DataFrame:
     """Count, mean, std, min, max and quartiles (rounded to 2) of LOS per cluster."""
     v = F.col(value)
-    return los.groupBy(cluster).agg(
-        F.count(v).alias("count"), F.avg(v).alias("mean_los"), F.stddev_samp(v).alias("std_los"),
-        F.min(v).alias("min_los"), F.max(v).alias("max_los"),
-        F.round(_quantile(v, 0.25, approx), 2).alias("p25"),
-        F.round(_quantile(v, 0.5, approx), 2).alias("median"),
-        F.round(_quantile(v, 0.75, approx), 2).alias("p75"))
+    named = {"p25": 0.25, "median": 0.5, "p75": 0.75}
+    aggs = [F.count(v).alias("count"), F.avg(v).alias("mean_los"), F.stddev_samp(v).alias("std_los"),
+            F.min(v).alias("min_los"), F.max(v).alias("max_los")]
+    if approx:
+        return los.groupBy(cluster).agg(*aggs, *[F.round(F.percentile_approx(v, p, 10_000), 2).alias(n)
+                                                 for n, p in named.items()])
+    qs = quantile_columns(los, [cluster], value, named)
+    qs = qs.select(cluster, *[F.round(n, 2).alias(n) for n in named])
+    return _left_join(los.groupBy(cluster).agg(*aggs), qs, [cluster])
 
 
 # ------------------------------------------------------------- A15 / A16
@@ -181,12 +207,16 @@ def cluster_sizes(labels: DataFrame, cluster: str = "cluster") -> DataFrame:
 def impute_stats(df: DataFrame, columns=None, approx: bool = False) -> DataFrame:
     """Mean, median and mode (smallest on ties) of every numeric column."""
     cols = list(columns) if columns else numeric_columns(df)
-    aggs = []
-    for c in cols:
-        aggs += [F.avg(q(c)).alias(f"{c}__mean"), _quantile(q(c), 0.5, approx).alias(f"{c}__median"),
-                 F.mode(q(c), True).alias(f"{c}__mode")]
-    g = df.agg(*aggs)
-    return stack_stats(g, [], cols, ["mean", "median", "mode"], feature_col="column_name")
+    means = stack_stats(df.agg(*[F.avg(q(c)).alias(f"{c}__mean") for c in cols]), [], cols, ["mean"],
+                        feature_col="column_name")
+    long = melt(df, [], cols, "column_name")
+    if approx:
+        med = long.groupBy("column_name").agg(F.percentile_approx("value", 0.5, 10_000).alias("median"))
+    else:
+        med = quantile_columns(long, ["column_name"], "value", {"median": 0.5})
+    mode = exact_mode(long, ["column_name"], "value")
+    return (means.join(med, "column_name", "left").join(mode, "column_name", "left")
+                 .select("column_name", "mean", "median", "mode"))
 
 
 # ----------------------------------------------------------------------- A22
@@ -223,10 +253,18 @@ def top_categories(df: DataFrame, col: str, n: int = 20) -> DataFrame:
 def box_stats(df: DataFrame, value: str, by: str | None = None, approx: bool = False) -> DataFrame:
     """Five-number summary per group (exact linear-interpolated quartiles)."""
     v = F.col(value)
-    aggs = [F.min(v).alias("min"), _quantile(v, 0.25, approx).alias("q1"),
-            _quantile(v, 0.5, approx).alias("median"), _quantile(v, 0.75, approx).alias("q3"),
-            F.max(v).alias("max"), F.count(v).alias("n")]
-    return df.groupBy(by).agg(*aggs) if by else df.agg(*aggs)
+    named = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    keys = [by] if by else []
+    base = [F.min(v).alias("min"), F.max(v).alias("max"), F.count(v).alias("n")]
+    if approx:
+        aggs = base + [F.percentile_approx(v, p, 10_000).alias(n) for n, p in named.items()]
+        out = df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
+    else:
+        agg = df.groupBy(*keys).agg(*base) if keys else df.agg(*base)
+        qs = quantile_columns(df, keys, value, named)
+        out = _left_join(agg, qs, keys) if keys else agg.select(*agg.columns, *[F.lit(qs.first()[n]).alias(n)
+                                                                                for n in named])
+    return out.select(*keys, "min", "q1", "median", "q3", "max", "n")
 
 
 def neg_log10_p(p: Column) -> Column:
