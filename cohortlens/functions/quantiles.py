@@ -21,7 +21,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-BUCKETS = 512
+from cohortlens.session import materialize
+
+BUCKETS = 64
 
 
 def value_counts(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -42,7 +44,7 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float]
 
 
 def _quantiles(df: DataFrame, by: list[str], value: str, probs: list[float], buckets: int) -> DataFrame:
-    cv = value_counts(df, by, value)
+    cv = materialize(value_counts(df, by, value))   # read by the cut, the totals and the ranking
     cuts = [i / buckets for i in range(1, buckets)]
     bounds = cv.groupBy(*by).agg(F.percentile_approx(value, cuts, 10_000).alias("_bnd"))
     cb = (cv.join(F.broadcast(bounds), by)
@@ -83,7 +85,7 @@ def exact_mode(df: DataFrame, by: list[str], value: str) -> DataFrame:
     group's values are ever buffered together.
     """
     grp = F.struct(*[F.col(c) for c in by]) if by else F.struct(F.lit(0).alias("_all"))
-    cv = value_counts(df.select(grp.alias("_grp"), F.col(value).alias("_val")), ["_grp"], "_val")
+    cv = materialize(value_counts(df.select(grp.alias("_grp"), F.col(value).alias("_val")), ["_grp"], "_val"))
     top = cv.groupBy("_grp").agg(F.max("_n").alias("_m"))
     out = (cv.join(top, "_grp").where(F.col("_n") == F.col("_m"))
              .groupBy("_grp").agg(F.min("_val").alias("mode")))

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortlens.functions.timefn import add_hours, hours_between
+from cohortlens.session import materialize
 
 MAX_PIVOT_VALUES = 1000
 
@@ -140,6 +141,7 @@ def order_transitions(seq: DataFrame, sequence: str = "sequence", top_n: int = 2
     All per-sequence work is array expressions on the row; the only
     shuffles are the global item count and the pair count.
     """
+    seq = materialize(seq.select(sequence))   # read by the top-N job and by the pair count
     items = seq.select(F.explode(sequence).alias("item"))
     if top_n and top_n > 0:
         top = top_value_list(items, "item", top_n)

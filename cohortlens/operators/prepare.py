@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortlens.functions.frames import melt, numeric_columns, q
 from cohortlens.functions.quantiles import exact_mode, quantile_columns
+from cohortlens.session import materialize
 
 # Fixed value: token pattern equal to ``\w\w+`` over Unicode letters/digits.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
@@ -208,6 +209,7 @@ def tfidf(counts: DataFrame, key: str, max_features: int | None = 1000, n_docs:
     no tokens); the vocabulary cap keeps the top terms by corpus count (the
     cap's list is bounded, so it is broadcast).
     """
+    counts = materialize(counts)   # tokenising happens once; read for the vocabulary, df and weights
     if n_docs is None:
         n_docs = counts.select(key).distinct().count()
     vocab = vocabulary(counts, max_features).select("term")

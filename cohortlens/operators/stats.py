@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortlens.functions.distributions import chi2_pvalue, f_pvalue, norm_two_sided_pvalue, t_pvalue
 from cohortlens.operators.features import MAX_PIVOT_VALUES
+from cohortlens.session import materialize
 
-RANK_BUCKETS = 256
+RANK_BUCKETS = 64
 
 
 def _clean(long: DataFrame, group: str, value: str, noise) -> DataFrame:
@@ -60,7 +61,8 @@ def ranked_counts(cgv: DataFrame, by: list[str], group: str, value: str, n: str
 def _rank_sums(d: DataFrame, feature: str, group: str, value: str, buckets: int) -> DataFrame:
     """(feature, group, n, R, tie) with R the rank sum of the group and tie the
     group's share of sum(t^3 - t) over the feature's distinct values."""
-    cgv = d.groupBy(feature, group, value).agg(F.count(F.lit(1)).alias("n"))
+    # the grouped counts feed the bucket cut, the bucket totals and the ranking: computed once
+    cgv = materialize(d.groupBy(feature, group, value).agg(F.count(F.lit(1)).alias("n")))
     r = ranked_counts(cgv, [feature], group, value, "n", buckets)
     tie = F.when(F.col("first"), F.pow(F.col("t"), 3) - F.col("t")).otherwise(F.lit(0.0))
     return r.groupBy(feature, group).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("avg_rank")).alias("R"),

@@ -72,3 +72,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub path of the shared checkpoint folder for written intermediate tables."""
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def materialize(df):
+    """Compute ``df`` once and cut its lineage (reliable checkpoint in the shared
+    folder).  Used for intermediates that a plan reads several times -- an
+    aggregated table feeding both a statistic and a join -- so the expensive
+    upstream work (scans, tokenising, shuffles) runs once, and a lost executor
+    re-reads the checkpoint instead of recomputing the lineage."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
