@@ -92,10 +92,9 @@ def kmeans_k_scan(df: DataFrame, ks=range(2, 11), features=None, key: str = "key
     for k in ks:
         labels, model = kmeans(df, k, feats, key, n_init=n_init, seed=seed)
         lab = df.select(key, *feats).join(labels, key)
-        rows.append((int(k), float(model.summary.trainingCost),
-                     evaluate.silhouette_sq(lab, feats).first()[0],
-                     evaluate.davies_bouldin(lab, feats).first()[0],
-                     evaluate.calinski_harabasz(lab, feats).first()[0]))
+        ix = evaluate.centroid_indices(lab, feats)
+        rows.append((int(k), float(model.summary.trainingCost), evaluate.silhouette_sq(lab, feats).first()[0],
+                     ix["davies_bouldin"], ix["calinski_harabasz"]))
     inert = [r[1] for r in rows]
     drops = [(inert[i] - inert[i + 1]) / inert[i] if inert[i] else 0.0 for i in range(len(inert) - 1)]
     elbow_idx = min(max(drops.index(max(drops)) + 1, 0), len(rows) - 1) if drops else 0

@@ -33,59 +33,67 @@ def centroids(labelled: DataFrame, features: list[str], cluster: str = "cluster"
                                          *[F.avg(q(f)).alias(f) for f in features])
 
 
-def _sq_dist_to_centroid(labelled: DataFrame, features: list[str], cluster: str) -> DataFrame:
-    cent = centroids(labelled, features, cluster)
-    k = cent.count()
+def centroid_indices(labelled: DataFrame, features: list[str], cluster: str = "cluster") -> dict:
+    """Inertia, Davies-Bouldin and Calinski-Harabasz from two passes.
+
+    Pass 1: cluster means and sizes (k rows, k checked).  Pass 2: every row's
+    distance to its own mean -- the k means travel as one literal map, so no
+    join -- summed per cluster (k rows).  The indices are closed forms of
+    those 2k rows.
+    """
+    cent = centroids(labelled, features, cluster).collect()
+    k = len(cent)
     _check_k(k)
-    c = cent.select(cluster, *[q(f).alias(f"_c_{f}") for f in features])
-    j = labelled.select(cluster, *features).join(F.broadcast(c), cluster)
-    d2 = sum(((q(f) - q(f"_c_{f}")) * (q(f) - q(f"_c_{f}")) for f in features), F.lit(0.0))
-    return j.select(cluster, d2.alias("d2"))
+    out = {"k": k, "n": sum(r["_n"] for r in cent), "inertia": None, "davies_bouldin": None,
+           "calinski_harabasz": None}
+    if k == 0:
+        return out
+    means = F.create_map(*[x for r in cent for x in (
+        F.lit(r[cluster]), F.array(*[F.lit(float(r[f]) if r[f] is not None else None) for f in features]))])
+    x = F.array(*[q(f).cast("double") for f in features])
+    d2 = F.aggregate(F.zip_with(x, F.element_at(means, F.col(cluster)), lambda a, b: (a - b) * (a - b)),
+                     F.lit(0.0), lambda acc, v: acc + v)
+    per = {r[cluster]: r for r in labelled.select(cluster, d2.alias("_d2")).groupBy(cluster).agg(
+        F.sum("_d2").alias("_w"), F.avg(F.sqrt("_d2")).alias("_s")).collect()}
+    C = np.array([[r[f] for f in features] for r in cent], dtype=float)
+    N = np.array([r["_n"] for r in cent], dtype=float)
+    W = np.array([per[r[cluster]]["_w"] for r in cent], dtype=float)
+    S = np.array([per[r[cluster]]["_s"] for r in cent], dtype=float)
+    n = out["n"]
+    w = float(W.sum())
+    out["inertia"] = w
+    if k > 1:
+        mu = (N[:, None] * C).sum(0) / n
+        b = float((N * ((C - mu) ** 2).sum(1)).sum())
+        out["calinski_harabasz"] = (b / (k - 1)) / (w / (n - k)) if n > k and w else None
+        dist = np.sqrt(((C[:, None, :] - C[None, :, :]) ** 2).sum(-1))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = (S[:, None] + S[None, :]) / dist
+        np.fill_diagonal(ratio, -np.inf)
+        out["davies_bouldin"] = float(np.mean(np.max(ratio, axis=1)))
+    return out
+
+
+def _one(labelled: DataFrame, name: str, value) -> DataFrame:
+    return labelled.sparkSession.createDataFrame([(value,)], f"{name} double")
 
 
 # ------------------------------------------------------------------------ M4
 def inertia(labelled: DataFrame, features: list[str], cluster: str = "cluster") -> DataFrame:
     """Sum of squared distances of rows to their cluster mean."""
-    return _sq_dist_to_centroid(labelled, features, cluster).agg(F.sum("d2").alias("inertia"))
+    return _one(labelled, "inertia", centroid_indices(labelled, features, cluster)["inertia"])
 
 
 # ------------------------------------------------------------------------ M3
 def calinski_harabasz(labelled: DataFrame, features: list[str], cluster: str = "cluster") -> DataFrame:
     """(B/(k-1)) / (W/(n-k)); null for a single cluster."""
-    cent = centroids(labelled, features, cluster).collect()
-    _check_k(len(cent))
-    n = sum(r["_n"] for r in cent)
-    k = len(cent)
-    mu = np.array([sum(r["_n"] * r[f] for r in cent) / n for f in features])
-    b = float(sum(r["_n"] * float(np.sum((np.array([r[f] for f in features]) - mu) ** 2)) for r in cent))
-    w = _sq_dist_to_centroid(labelled, features, cluster).agg(F.sum("d2")).first()[0]
-    val = (b / (k - 1)) / (w / (n - k)) if k > 1 and n > k and w else None
-    spark = labelled.sparkSession
-    return spark.createDataFrame([(val,)], "calinski_harabasz double")
+    return _one(labelled, "calinski_harabasz", centroid_indices(labelled, features, cluster)["calinski_harabasz"])
 
 
 # ------------------------------------------------------------------------ M2
 def davies_bouldin(labelled: DataFrame, features: list[str], cluster: str = "cluster") -> DataFrame:
     """Mean over clusters of max_j (s_i + s_j) / d(c_i, c_j); s = mean distance to centre."""
-    cent = centroids(labelled, features, cluster)
-    k = cent.count()
-    _check_k(k)
-    c = cent.select(cluster, *[q(f).alias(f"_c_{f}") for f in features])
-    d = sum(((q(f) - q(f"_c_{f}")) * (q(f) - q(f"_c_{f}")) for f in features), F.lit(0.0))
-    s = (labelled.select(cluster, *features).join(F.broadcast(c), cluster)
-                 .groupBy(cluster).agg(F.avg(F.sqrt(d)).alias("_s")))
-    rows = cent.join(s, cluster).collect()
-    spark = labelled.sparkSession
-    if len(rows) < 2:
-        return spark.createDataFrame([(None,)], "davies_bouldin double")
-    C = np.array([[r[f] for f in features] for r in rows], dtype=float)
-    S = np.array([r["_s"] for r in rows], dtype=float)
-    dist = np.sqrt(((C[:, None, :] - C[None, :, :]) ** 2).sum(-1))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        ratio = (S[:, None] + S[None, :]) / dist
-    np.fill_diagonal(ratio, -np.inf)
-    val = float(np.mean(np.max(ratio, axis=1)))
-    return spark.createDataFrame([(val,)], "davies_bouldin double")
+    return _one(labelled, "davies_bouldin", centroid_indices(labelled, features, cluster)["davies_bouldin"])
 
 
 # ------------------------------------------------------------------------ M1
@@ -149,8 +157,8 @@ def metrics_summary(labelled: DataFrame, features: list[str], name: str, cluster
                          ).first()
     clean = labelled.where(F.col(cluster) != F.lit(noise))
     sil = silhouette_sq(clean, features, cluster).first()[0]
-    db = davies_bouldin(clean, features, cluster).first()[0]
-    ch = calinski_harabasz(clean, features, cluster).first()[0]
+    ix = centroid_indices(clean, features, cluster)
+    db, ch = ix["davies_bouldin"], ix["calinski_harabasz"]
     pct = 100.0 * (stats["noise"] or 0) / stats["n"] if stats["n"] else None
     spark = labelled.sparkSession
     return spark.createDataFrame(
