@@ -7,8 +7,6 @@ integer columns are parsed as text and converted by the NA rule.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortlens import schema
@@ -68,8 +66,8 @@ def read_table(spark: SparkSession, base: str, table: str, **kw) -> DataFrame:
 
 def numeric_input(spark: SparkSession, path: str) -> DataFrame:
     """An external CSV/Parquet file reduced to its numeric columns."""
-    if path.endswith(".parquet") or os.path.isdir(path):
-        df = spark.read.parquet(path)
-    else:
+    if path.endswith((".csv", ".csv.gz")):
         df = read_csv_typed(spark, path)
+    else:   # a Parquet file or directory on any file system
+        df = spark.read.parquet(path)
     return df.select(*numeric_columns(df))
