@@ -11,14 +11,15 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from cohortlens.functions.frames import numeric_columns, temporal_columns
 from cohortlens.session import scratch_path
 
-# regex over the listed file path: <root>/[<module>/]<table><suffix>[/part-file]
-_FILE_RE = r"^(?:.*/)?(?:(hosp|icu)/)?([^/]+?)(\.parquet|\.csv\.gz|\.csv)(?:/[^/]*)?$"
+# regex over a file path relative to the root: [<module>/]<table><suffix>[/part-file...]
+_FILE_RE = r"^(?:(hosp|icu)/)?([^/]+?)(\.parquet|\.csv\.gz|\.csv)(?:/.*)?$"
 
 
 def scan_directory(spark: SparkSession, root: str) -> DataFrame:
@@ -30,13 +31,17 @@ def scan_directory(spark: SparkSession, root: str) -> DataFrame:
     root = root.rstrip("/")
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
              .select("path", "length"))
-    rel = F.regexp_replace("path", r"^file:", "")
-    parsed = files.select(
+    full = F.regexp_replace("path", r"^file:", "")
+    under = re.escape(root) + "/"
+    rel = F.regexp_extract(full, under + "(.*)$", 1)
+    parsed = (files.where(full.rlike(under)).select(
         F.regexp_extract(rel, _FILE_RE, 1).alias("module"),
         F.regexp_extract(rel, _FILE_RE, 2).alias("table_name"),
         F.regexp_extract(rel, _FILE_RE, 3).alias("suffix"),
-        F.regexp_extract(rel, r"^(.*?(?:\.parquet|\.csv\.gz|\.csv))(?:/[^/]*)?$", 1).alias("table_path"),
-        "length").where((F.col("table_name") != "") & ~F.col("path").rlike(r"/(_SUCCESS|\.[^/]*)$"))
+        F.concat(F.lit(root + "/"), F.regexp_extract(rel, r"^((?:(?:hosp|icu)/)?[^/]+?(?:\.parquet|\.csv\.gz|\.csv))", 1))
+         .alias("table_path"),
+        "length", "path")
+        .where((F.col("table_name") != "") & ~F.col("path").rlike(r"/(_SUCCESS|\.[^/]*)$")).drop("path"))
     per_file = parsed.groupBy("module", "table_name", "suffix", "table_path").agg(
         F.sum("length").alias("size_bytes"), F.count(F.lit(1)).alias("n_files"))
     prio = F.when(F.col("suffix") == ".parquet", 0).when(F.col("suffix") == ".csv", 1).otherwise(2)
