@@ -225,4 +225,5 @@ def bonferroni(tests: DataFrame, p: str = "p_value", alpha: float = 0.05) -> Dat
     adj = F.least(F.col(p) * m, F.lit(1.0))
     return (tests.withColumn("significant", F.col(p) < alpha)
                  .withColumn("adjusted_p_value", adj)
-                 .withColumn("significant_adjusted", F.col("adjusted_p_value") < alpha))
+                 .withColumn("significant_adjusted", F.col("adjusted_p_value") < alpha)
+                 .withColumn("neg_log10_p", -F.log10(F.col(p) + F.lit(1e-10))))

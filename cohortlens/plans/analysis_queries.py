@@ -435,16 +435,23 @@ def q_adjusted_rand(spark, sf):
 
 
 
-@query("metrics_summary", f"""
-WITH sil AS ({_sil_sql('cluster_labels_b', '').replace('JOIN cluster_labels_b l USING (key))', 'JOIN cluster_labels_b l USING (key) WHERE l.cluster <> -1)')}),
-db AS ({_db_sql('cluster_labels_b', '').replace('JOIN cluster_labels_b l USING (key))', 'JOIN cluster_labels_b l USING (key) WHERE l.cluster <> -1)')}),
-ch AS ({_ch_sql('cluster_labels_b', '').replace('JOIN cluster_labels_b l USING (key))', 'JOIN cluster_labels_b l USING (key) WHERE l.cluster <> -1)')}),
+def _summary_sql(view: str, name: str) -> str:
+    def clean(sql: str) -> str:
+        return sql.replace(f"JOIN {view} l USING (key))", f"JOIN {view} l USING (key) WHERE l.cluster <> -1)")
+    return f"""SELECT * FROM (
+WITH sil AS ({clean(_sil_sql(view, ''))}),
+db AS ({clean(_db_sql(view, ''))}),
+ch AS ({clean(_ch_sql(view, ''))}),
 st AS (SELECT count(*) AS n, sum(CASE WHEN cluster = -1 THEN 1 ELSE 0 END) AS noise,
-              count(DISTINCT CASE WHEN cluster <> -1 THEN cluster END) AS k FROM cluster_labels_b)
-SELECT 'given_b' AS algorithm, CAST(k AS BIGINT) AS n_clusters, round(noise * 100.0 / n, 6) AS noise_pct,
+              count(DISTINCT CASE WHEN cluster <> -1 THEN cluster END) AS k FROM {view})
+SELECT '{name}' AS algorithm, CAST(k AS BIGINT) AS n_clusters, round(noise * 100.0 / n, 6) AS noise_pct,
        sil.silhouette_sq, db.davies_bouldin, ch.calinski_harabasz
-FROM st, sil, db, ch
-""")
+FROM st, sil, db, ch) x"""
+
+
+@query("metrics_summary", _summary_sql("cluster_labels", "given") + "\nUNION ALL\n"
+       + _summary_sql("cluster_labels_b", "given_b"))
 def q_metrics_summary(spark, sf):
-    out = evaluate.metrics_summary(_labelled(spark, sf, "cluster_labels_b"), FEATURE_COLS, "given_b")
+    out = evaluate.metrics_summary(_labelled(spark, sf, "cluster_labels"), FEATURE_COLS, "given").unionByName(
+        evaluate.metrics_summary(_labelled(spark, sf, "cluster_labels_b"), FEATURE_COLS, "given_b"))
     return _round(out, {"noise_pct", "silhouette_sq", "davies_bouldin", "calinski_harabasz"})
