@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.operators import cohort, joins
 from cohortlens.plans.registry import query
-from cohortlens.plans.roles import role, roles
+from cohortlens.plans.roles import roles
 
 POE_COLS = ["poe_id", "poe_seq", "subject_id", "hadm_id", "ordertime", "order_type", "order_subtype",
             "transaction_type", "discontinue_of_poe_id", "discontinued_by_poe_id", "order_provider_id",

@@ -4,7 +4,6 @@ import datetime as dt
 import math
 
 import pytest
-from pyspark.sql import functions as F
 
 from cohortlens.functions.nulls import normalize_na
 from cohortlens.operators import cohort, evaluate, features, joins, prepare, profile, stats

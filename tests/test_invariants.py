@@ -3,7 +3,6 @@ a brute-force check of DBSCAN, and metamorphic checks (repartitioning the
 input must not change any result)."""
 
 import math
-from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F

@@ -6,7 +6,6 @@ import random
 
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from cohortlens.functions.quantiles import exact_quantiles
 from cohortlens.operators import features, joins

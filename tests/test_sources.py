@@ -4,7 +4,6 @@ import os
 import tempfile
 
 import pytest
-from pyspark.sql import functions as F
 
 from cohortlens.operators import features
 from cohortlens.sources import catalog, readers, sinks
