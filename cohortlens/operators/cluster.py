@@ -256,7 +256,9 @@ def lda_topics(docs: DataFrame, key: str, tokens: str, n_topics: int = 5, max_fe
     """Online LDA over count vectors.  Returns ``(doc_topics, model, vocabulary)``
     with doc_topics = (key, topic_distribution array, dominant_topic)."""
     cv = CountVectorizer(inputCol=tokens, outputCol="counts", vocabSize=max_features)
-    lda = LDA(k=n_topics, maxIter=max_iter, optimizer="online", seed=seed, featuresCol="counts",
+    # every iteration sees the whole corpus (an epoch), as ``max_iter`` passes of the online method do
+    lda = LDA(k=n_topics, maxIter=max_iter, optimizer="online", subsamplingRate=1.0, seed=seed,
+              featuresCol="counts",
               topicDistributionCol="_td")
     pipe = Pipeline(stages=[cv, lda]).fit(docs.select(key, tokens))
     td = pipe.transform(docs.select(key, tokens)).select(key, vector_to_array("_td").alias("_v"))

@@ -11,11 +11,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from cohortlens.functions.timefn import add_hours
 
 DICTIONARY_MAX_ROWS = 2_000_000
+# value types a hash aggregate can keep in its fixed-width buffer
+_FIXED_WIDTH = (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
+                T.DoubleType, T.DateType, T.TimestampType, T.TimestampNTZType, T.DecimalType)
 
 
 def sized_broadcast(df: DataFrame, max_rows: int = DICTIONARY_MAX_ROWS) -> DataFrame:
@@ -150,9 +153,15 @@ def nearest_admission(labs: DataFrame, admissions: DataFrame, lab_key: str = "la
     ``bucket_hours`` buckets and each lab falls in exactly one bucket, so
     the equi-join key is ``(subject_id, bucket)`` -- a subject with a huge
     history is spread over its buckets -- and a pair meets at most once.
-    The exact range test is the residual join condition.  The arg-min is a
-    ``min_by`` over a struct ordering key, grouped by the lab key, which
-    carries the whole row through a single shuffle.
+    The exact range test is the residual join condition.
+
+    The arg-min is grouped by the lab key.  For one lab time c the order
+    (|t - c|, t) equals the order of ``2|t - c| + [t > c]``; appending the
+    rank of ``hadm_id`` among stays of the subject with the same admittime
+    makes one exact long key.  With fixed-width payload columns every output
+    column is a ``min_by(column, key)``: a hash aggregate with map-side
+    partial aggregation.  When the key could overflow (or a payload column is
+    variable-width) the same arg-min runs as ``min_by`` over a struct key.
     """
     lab_cols = [c for c in labs.columns if c not in drop_lab_cols]
     adm_cols = [c for c in admissions.columns if c != "subject_id"]
@@ -172,16 +181,34 @@ def nearest_admission(labs: DataFrame, admissions: DataFrame, lab_key: str = "la
                           & F.col("subject_id").isNotNull())
          .withColumn("_lo", add_hours("admittime", -buffer_hours))
          .withColumn("_hi", add_hours("dischtime", buffer_hours))
+         # rank among the subject's stays with the same admittime (tie -> smaller hadm_id)
+         .withColumn("_tr", F.dense_rank().over(Window.partitionBy("subject_id", "admittime").orderBy("hadm_id")) - 1)
          .withColumn("_b", F.explode(F.sequence(bucket_of("_lo"), bucket_of("_hi")))))
-    a = a.select("subject_id", "_b", "_lo", "_hi", *adm_cols)
+    a = a.select("subject_id", "_b", "_lo", "_hi", "_tr", *adm_cols)
     cand = l.join(a, ["subject_id", "_b"], "inner").where(
         (F.col("_lo") <= F.col(time)) & (F.col(time) <= F.col("_hi")))
     absdiff = F.abs(F.expr(f"timestampdiff(MICROSECOND, `{time}`, admittime)"))
+    payload = [c for c in lab_cols + adm_cols if c != lab_key]
+    schema = dict((f.name, f.dataType) for f in cand.schema.fields)
+    fixed = all(isinstance(schema[c], _FIXED_WIDTH) and not (isinstance(schema[c], T.DecimalType)
+                                                            and schema[c].precision > 18) for c in payload)
+    bound = None
+    if fixed:   # bound the packed key: (2 * max window span + 1) * ranks < 2^62
+        span = admissions.agg(F.max(F.expr("timestampdiff(MICROSECOND, admittime, dischtime)"))).first()[0]
+        ties = (admissions.groupBy("subject_id", "admittime").agg(F.count(F.lit(1)).alias("n"))
+                          .agg(F.max("n")).first()[0])
+        if span is not None and ties:
+            span = abs(int(span)) + 2 * int(buffer_hours) * 3_600_000_000
+            if (2 * span + 2) * int(ties) < 2 ** 62:
+                bound = int(ties)
+    if bound:
+        key = ((F.lit(2) * absdiff + F.when(F.col("admittime") > F.col(time), 1).otherwise(0))
+               * F.lit(bound) + F.col("_tr"))
+        best = cand.groupBy(lab_key).agg(*[F.min_by(F.col(c), key).alias(c) for c in payload])
+        return best.select(lab_key, *payload)
     key = F.struct(absdiff.alias("d"), F.col("admittime").alias("t"), F.col("hadm_id").alias("h"))
-    out_cols = lab_cols + adm_cols
-    best = cand.groupBy(lab_key).agg(
-        F.min_by(F.struct(*[F.col(c) for c in out_cols if c != lab_key]), key).alias("_r"))
-    return best.select(lab_key, *[F.col(f"_r.`{c}`").alias(c) for c in out_cols if c != lab_key])
+    best = cand.groupBy(lab_key).agg(F.min_by(F.struct(*[F.col(c) for c in payload]), key).alias("_r"))
+    return best.select(lab_key, *[F.col(f"_r.`{c}`").alias(c) for c in payload])
 
 
 def attach_dictionary(df: DataFrame, dictionary: DataFrame, key, how: str = "left",

@@ -271,3 +271,17 @@ def test_histogram_max_in_last_bin(spark):
     df = spark.createDataFrame([(float(x),) for x in [0, 1, 2, 3, 10]], "v double")
     h = {r["bin"]: r["n"] for r in profile.histogram(df, "v", bins=5).collect()}
     assert h == {0: 2, 1: 2, 4: 1}
+
+
+def test_j11_same_admittime_tie(spark):
+    adm = spark.createDataFrame([
+        (1, 21, T(2020, 1, 10), T(2020, 1, 12)),
+        (1, 20, T(2020, 1, 10), T(2020, 1, 11)),   # same admittime, smaller id
+        (1, 22, T(2020, 1, 10), T(2020, 1, 30)),
+    ], "subject_id long, hadm_id long, admittime timestamp_ntz, dischtime timestamp_ntz")
+    labs = spark.createDataFrame([(1, 1, T(2020, 1, 11)), (2, 1, T(2020, 1, 12, 12)), (3, 1, T(2020, 1, 25))],
+                                 "labevent_id long, subject_id long, charttime timestamp_ntz")
+    got = {r["labevent_id"]: r["hadm_id"] for r in joins.nearest_admission(labs, adm).collect()}
+    assert got == {1: 20, 2: 21, 3: 22}
+    plan = joins.nearest_admission(labs, adm)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
