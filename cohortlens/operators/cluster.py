@@ -19,6 +19,7 @@ from pyspark.ml.feature import CountVectorizer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from cohortlens.session import materialize
 from cohortlens.functions.frames import numeric_columns, q
 from cohortlens.operators import evaluate
 
@@ -52,7 +53,7 @@ def kmeans(df: DataFrame, k: int = 5, features=None, key: str = "key", n_init: i
         labels = model.transform(vec).select(key, F.col("cluster").cast("int").alias("cluster"))
         if persist:
             # materialise to the shared checkpoint folder before the cache is released
-            labels = labels.checkpoint(eager=True)
+            labels = materialize(labels)
         return labels, model
     finally:
         if persist:
@@ -200,7 +201,7 @@ def connected_components(edges: DataFrame, nodes: DataFrame, src: str = "src", d
         jumped = (hooked.join(hooked.select(F.col("node").alias("label"), F.col("label").alias("_ll")), "label", "left")
                         .select("node", F.least("label", F.coalesce("_ll", "label")).alias("label")))
         if (it + 1) % checkpoint_every == 0:
-            jumped = jumped.checkpoint(eager=True)
+            jumped = materialize(jumped)
         changed = (jumped.join(labels.select("node", F.col("label").alias("_old")), "node")
                          .where(F.col("label") != F.col("_old")).limit(1).count())
         labels = jumped
@@ -224,7 +225,7 @@ def dbscan(df: DataFrame, features: list[str], eps: float = 0.5, min_samples: in
     location's label.
     """
     point_loc, pairs = eps_neighbours(df, features, eps, key, metric)
-    pairs = pairs.checkpoint(eager=True)
+    pairs = materialize(pairs)
     core = (_location_counts(pairs).where(F.col("n_neighbours") >= F.lit(int(min_samples)))
               .select(F.col("_loc").alias("node")))
     core_edges = (pairs.join(core.select(F.col("node").alias("_loc")), "_loc", "left_semi")

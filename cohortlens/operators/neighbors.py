@@ -18,6 +18,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from cohortlens.session import materialize
 from cohortlens.functions.frames import q
 
 MAX_DIMS = 3
@@ -42,7 +43,7 @@ def knn_distances(df: DataFrame, features: list[str], k: int = 5, key: str = "ke
         " AND ".join(f"_x{i} IS NOT NULL" for i in range(d)))
     xs = [f"_x{i}" for i in range(d)]
     locs = pts.groupBy(*xs).agg(F.count(F.lit(1)).alias("_w")).withColumn("_loc", F.monotonically_increasing_id())
-    locs = locs.checkpoint(eager=True)  # stable location ids, read once per round
+    locs = materialize(locs)  # stable location ids, read once per round
     st = locs.agg(F.sum("_w").alias("n"), *[x for i in range(d) for x in (F.min(xs[i]), F.max(xs[i]))]).first()
     n = st["n"] or 0
     spans = [(st[2 + 2 * i] or 0.0) - (st[1 + 2 * i] or 0.0) for i in range(d)]
@@ -70,10 +71,9 @@ def knn_distances(df: DataFrame, features: list[str], k: int = 5, key: str = "ke
                       .where(F.col("_d") <= F.lit(r)))
         w = Window.partitionBy("_loc").orderBy("_d").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         cum = pairs.withColumn("_cum", F.sum("_wn").over(w))
-        res = (cum.where(F.col("_cum") >= k).groupBy("_loc").agg(F.min("_d").alias("knn_distance"))
-                  .checkpoint(eager=True))
+        res = materialize(cum.where(F.col("_cum") >= k).groupBy("_loc").agg(F.min("_d").alias("knn_distance")))
         done.append(res)
-        unresolved = unresolved.join(res.select("_loc"), "_loc", "left_anti").checkpoint(eager=True)
+        unresolved = materialize(unresolved.join(res.select("_loc"), "_loc", "left_anti"))
         if unresolved.isEmpty():
             break
         if r > 2 * diag + 1e-12:   # everything already within reach: fewer than k points

@@ -17,7 +17,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlens.session import apply_runtime_defaults
+from cohortlens.session import apply_runtime_defaults, checkpoint_dir
 
 BASE_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -215,6 +215,7 @@ def register_roles(spark: SparkSession, sf_dir: str, force: bool = False) -> Non
     """Register base tables and role views for ``sf_dir`` (skipped when this
     session already has them for the same directory)."""
     apply_runtime_defaults(spark)
+    checkpoint_dir(spark)   # shared folder for materialised intermediates (set here only if unset)
     if not force and spark.conf.get(_MARK, None) == sf_dir and spark.catalog.tableExists(list(ROLE_SQL)[-1]):
         return
     register_base(spark, sf_dir)
