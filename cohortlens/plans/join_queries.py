@@ -177,3 +177,22 @@ def q_nearest_admission_dict(spark, sf):
 def q_align_labels(spark, sf):
     f, l = roles(spark, sf, "features", "cluster_labels_b")
     return joins.align_labels(f, l)
+
+
+# --------------------------------------------------- study cohort (J9 + U1 + O4 + J13)
+_STUDY_IDS = """
+ids AS (SELECT subject_id FROM (
+          SELECT subject_id FROM fp WHERE subject_id IS NOT NULL INTERSECT
+          SELECT subject_id FROM fa WHERE subject_id IS NOT NULL INTERSECT
+          SELECT subject_id FROM ft WHERE subject_id IS NOT NULL INTERSECT
+          SELECT subject_id FROM fd WHERE subject_id IS NOT NULL INTERSECT
+          SELECT subject_id FROM fpoe WHERE subject_id IS NOT NULL INTERSECT
+          SELECT subject_id FROM poe_detail WHERE subject_id IS NOT NULL INTERSECT
+          SELECT subject_id FROM frx WHERE subject_id IS NOT NULL) s
+        ORDER BY subject_id LIMIT 25)"""
+
+
+@query("study_cohort", f"WITH {_FILTERED},{_STUDY_IDS}\nSELECT * FROM m5 WHERE subject_id IN (SELECT subject_id FROM ids)")
+def q_study_cohort(spark, sf):
+    from cohortlens.plans.study import STUDY_TABLES, study_cohort
+    return study_cohort(dict(zip(STUDY_TABLES, roles(spark, sf, *STUDY_TABLES))), n_subjects=25)
