@@ -196,3 +196,13 @@ ids AS (SELECT subject_id FROM (
 def q_study_cohort(spark, sf):
     from cohortlens.plans.study import STUDY_TABLES, study_cohort
     return study_cohort(dict(zip(STUDY_TABLES, roles(spark, sf, *STUDY_TABLES))), n_subjects=25)
+
+
+@query("admission_cohort", f"""WITH {_NEAREST}
+SELECT * FROM nearest LEFT JOIN d_labitems USING (itemid)
+WHERE subject_id IN (SELECT subject_id FROM patients
+                     WHERE anchor_age BETWEEN 18 AND 75 AND anchor_year_group IN ('2017 - 2019') AND dod IS NULL)""")
+def q_admission_cohort(spark, sf):
+    from cohortlens.plans.study import admission_cohort
+    l, s, d, p = roles(spark, sf, "labevents", "stays", "d_labitems", "patients")
+    return admission_cohort(l, s, d, subjects=cohort.filter_patients(p).select("subject_id"))

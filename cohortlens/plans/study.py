@@ -32,3 +32,21 @@ def study_cohort(tables: dict[str, DataFrame], n_subjects: int | None = None,
 def load_study_tables(spark: SparkSession, base: str, names=STUDY_TABLES) -> dict[str, DataFrame]:
     """Read each study table from ``base`` (Parquet preferred over CSV over CSV.gz)."""
     return {n: readers.read_table(spark, base, n) for n in names}
+
+
+def admission_cohort(labs: DataFrame, admissions: DataFrame, lab_items: DataFrame,
+                     subjects: DataFrame | None = None, out_base: str | None = None) -> DataFrame:
+    """Labs attached to their nearest admission, with the lab dictionary.
+
+    Optionally restricted to a subject sample first (semi-joins, so the
+    nearest-interval join only sees those subjects) and written as Parquet
+    and CSV under ``out_base``.
+    """
+    from cohortlens.sources import sinks
+    if subjects is not None:
+        labs = cohort.rows_for_subjects(labs, subjects)
+        admissions = cohort.rows_for_subjects(admissions, subjects)
+    out = joins.attach_dictionary(joins.nearest_admission(labs, admissions), lab_items, "itemid", "left")
+    if out_base:
+        sinks.save_parquet_and_csv(out, out_base)
+    return out
