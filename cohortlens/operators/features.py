@@ -69,6 +69,12 @@ def order_frequency(df: DataFrame, patient: str, order: str, top_n: int = 20,
         if len(top) > MAX_PIVOT_VALUES:
             raise ValueError(f"more than {MAX_PIVOT_VALUES} order types; pass top_n")
         top.sort()
+    if not top:   # no non-null orders at all: an empty matrix
+        value_type = "double" if normalize else "bigint"
+        schema = (f"`{patient}` {base.schema[patient].dataType.simpleString()}, "
+                  f"`{order}` {base.schema[order].dataType.simpleString()}, "
+                  f"{'proportion' if normalize else 'n'} {value_type}")
+        return base.sparkSession.createDataFrame([], schema)
     kept = base.where(F.col(patient).isNotNull() & F.col(order).isin(top))
     wide = kept.groupBy(patient).pivot(order, top).count().na.fill(0)
     cells = [F.col(f"`{v}`").cast("bigint") for v in top]
@@ -151,7 +157,10 @@ def order_transitions(seq: DataFrame, sequence: str = "sequence", top_n: int = 2
         if len(top) > MAX_PIVOT_VALUES:
             raise ValueError(f"more than {MAX_PIVOT_VALUES} order types; pass top_n")
         top.sort()
-    top_arr = F.array(*[F.lit(v) for v in top]) if top else F.array().cast("array<string>")
+    if not top:   # no items at all: an empty matrix
+        return seq.sparkSession.createDataFrame(
+            [], "from_order string, to_order string, n bigint, probability double")
+    top_arr = F.array(*[F.lit(v) for v in top])
     kept = F.filter(sequence, lambda x: F.array_contains(top_arr, x))
     pairs = (seq.select(kept.alias("s"))
                 .where(F.size("s") > 1)

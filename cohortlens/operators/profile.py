@@ -262,8 +262,11 @@ def box_stats(df: DataFrame, value: str, by: str | None = None, approx: bool = F
     else:
         agg = df.groupBy(*keys).agg(*base) if keys else df.agg(*base)
         qs = quantile_columns(df, keys, value, named)
-        out = _left_join(agg, qs, keys) if keys else agg.select(*agg.columns, *[F.lit(qs.first()[n]).alias(n)
-                                                                                for n in named])
+        if keys:
+            out = _left_join(agg, qs, keys)
+        else:
+            row = qs.first()
+            out = agg.select(*agg.columns, *[F.lit(row[n] if row else None).cast("double").alias(n) for n in named])
     return out.select(*keys, "min", "q1", "median", "q3", "max", "n")
 
 

@@ -187,6 +187,8 @@ def chi2_contingency(df: DataFrame, row: str, col: str, correction: bool = True)
     if len(cvals) > MAX_PIVOT_VALUES:
         raise ValueError("too many contingency columns")
     cvals = sorted(cvals)
+    if not cvals:   # empty table: no statistic
+        return df.sparkSession.createDataFrame([(None, 0)], "statistic double, dof bigint")
     wide = base.groupBy(row).pivot(col, cvals).count().na.fill(0)
     cells = [F.col(f"`{c}`") for c in cvals]
     rt = cells[0]
@@ -208,6 +210,8 @@ def chi2_contingency(df: DataFrame, row: str, col: str, correction: bool = True)
         if correction and dof == 1:
             diff = diff - F.least(F.lit(0.5), diff)
         terms.append(F.when(e > 0, diff * diff / e).otherwise(F.lit(0.0)))
+    if not terms:   # empty table: no statistic
+        return df.sparkSession.createDataFrame([(None, 0)], "statistic double, dof bigint")
     s = terms[0]
     for t in terms[1:]:
         s = s + t
