@@ -75,8 +75,7 @@ def order_frequency(df: DataFrame, patient: str, order: str, top_n: int = 20,
                   f"`{order}` {base.schema[order].dataType.simpleString()}, "
                   f"{'proportion' if normalize else 'n'} {value_type}")
         return base.sparkSession.createDataFrame([], schema)
-    kept = base.where(F.col(patient).isNotNull() & F.col(order).isin(top))
-    wide = kept.groupBy(patient).pivot(order, top).count().na.fill(0)
+    wide = _frequency_wide(base, patient, order, top)
     cells = [F.col(f"`{v}`").cast("bigint") for v in top]
     if normalize:
         # row total over the kept types only, computed on the wide row (no extra shuffle)
@@ -90,6 +89,20 @@ def order_frequency(df: DataFrame, patient: str, order: str, top_n: int = 20,
                 .select(patient, F.col(f"_c.{order}").alias(order), F.col(f"_c.{value_col}").alias(value_col)))
 
 
+def _frequency_wide(base: DataFrame, patient: str, order: str, top: list) -> DataFrame:
+    kept = base.where(F.col(patient).isNotNull() & F.col(order).isin(top))
+    return kept.groupBy(patient).pivot(order, top).count().na.fill(0)
+
+
+def order_frequency_wide(df: DataFrame, patient: str, order: str, top_n: int = 20) -> DataFrame:
+    """The crosstab itself: one row per patient, one count column per kept
+    order type (explicit, bounded pivot list), missing cells 0."""
+    _require(df, patient, order)
+    base = df.select(patient, order)
+    top = top_value_list(base, order, top_n)
+    return _frequency_wide(base, patient, order, top)
+
+
 def to_wide(long_df: DataFrame, row_key: str, col_key: str, value: str,
             values: list | None = None, fill=0) -> DataFrame:
     """Long -> wide (U4) with an explicit, bounded list of column values."""

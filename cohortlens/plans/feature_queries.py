@@ -64,6 +64,15 @@ def q_order_frequency(spark, sf):
     return features.order_frequency(role(spark, sf, "poe"), "subject_id", "order_type", top_n=20)
 
 
+@query("order_frequency_wide", f"""
+WITH {_TOP_POE},
+kept AS (SELECT p.subject_id, p.order_type FROM poe p JOIN top t USING (order_type) WHERE p.subject_id IS NOT NULL)
+SELECT * FROM (PIVOT kept ON order_type USING count(*) GROUP BY subject_id)
+""")
+def q_order_frequency_wide(spark, sf):
+    return features.order_frequency_wide(role(spark, sf, "poe"), "subject_id", "order_type", top_n=20)
+
+
 @query("order_frequency_norm", ORDER_FREQ_NORM_SQL)
 def q_order_frequency_norm(spark, sf):
     return features.order_frequency(role(spark, sf, "poe"), "subject_id", "order_type", top_n=20,
