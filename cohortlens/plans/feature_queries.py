@@ -160,6 +160,13 @@ def q_order_transitions(spark, sf):
     return features.order_transitions(_poe_sequences(spark, sf), top_n=20)
 
 
+@query("order_transitions_wide", "SELECT * FROM (PIVOT (WITH " + _POE_SEQ_ITEMS + "," + _TRANSITIONS_TAIL
+       + ") ON to_order USING first(probability) GROUP BY from_order)")
+def q_order_transitions_wide(spark, sf):
+    long = features.order_transitions(_poe_sequences(spark, sf), top_n=20)
+    return features.to_wide(long.drop("n"), "from_order", "to_order", "probability")
+
+
 @query("order_transitions_events", """
 WITH ranked AS (SELECT patient, order_type AS item,
                        row_number() OVER (PARTITION BY patient ORDER BY ordertime NULLS LAST, event_id) AS rn
