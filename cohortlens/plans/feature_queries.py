@@ -97,6 +97,21 @@ def q_order_dist_patient(spark, sf):
     return features.order_distribution_patient(role(spark, sf, "poe"), "subject_id", "order_type")
 
 
+@query("order_dist_patient_wide", """
+WITH dist AS (SELECT subject_id, order_type, count(*) / sum(count(*)) OVER (PARTITION BY subject_id) AS proportion
+              FROM poe WHERE order_type IS NOT NULL GROUP BY subject_id, order_type),
+pats AS (SELECT DISTINCT subject_id FROM dist),
+types AS (SELECT DISTINCT order_type FROM dist),
+dense AS (SELECT p.subject_id, t.order_type, coalesce(d.proportion, 0.0) AS proportion
+          FROM pats p CROSS JOIN types t
+          LEFT JOIN dist d ON d.subject_id IS NOT DISTINCT FROM p.subject_id AND d.order_type = t.order_type)
+SELECT * FROM (PIVOT dense ON order_type USING first(proportion) GROUP BY subject_id)
+""")
+def q_order_dist_patient_wide(spark, sf):
+    long = features.order_distribution_patient(role(spark, sf, "poe"), "subject_id", "order_type")
+    return features.to_wide(long.drop("n"), "subject_id", "order_type", "proportion")
+
+
 # ======================================================== W1 / A8 sequences
 @query("order_sequences", """
 SELECT patient, list(order_type ORDER BY ordertime NULLS LAST, event_id) AS sequence
