@@ -37,7 +37,9 @@ def get_spark(master: str | None = None, app: str = "cohortlens",
     b = (b.config("spark.ui.enabled", "false")
           .config("spark.ui.showConsoleProgress", "false")
           .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-          .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "128m"))
+          .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "128m")
+          # materialised intermediates are deleted from the shared folder once unreferenced
+          .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true"))
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in extra.items():
