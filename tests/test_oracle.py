@@ -33,3 +33,20 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0
     assert "patient" in df.columns and "total_orders" in df.columns
+
+
+@pytest.fixture()
+def other_plans(spark):
+    """Different physical plans: 3 shuffle partitions and no size-based broadcast joins."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield spark
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_result_does_not_depend_on_the_plan(other_plans, con, name):
+    r = compare(other_plans, con, name, QUERIES[name], ORACLE[name], SF_SMALL)
+    assert r["status"] == "OK", r
