@@ -129,3 +129,19 @@ def q_model_roundtrip(spark, sf):
                             KMeans(k=5, seed=42, featuresCol="_x", predictionCol="cluster")]).fit(f)
     path = sinks.save_model(pipe, _scratch(spark, "model"))
     return sinks.load_model(path).transform(f).select("key", F.col("cluster").cast("int").alias("cluster"))
+
+
+def _violations_sql(table: str, cols: list[str]) -> str:
+    from cohortlens.schema import CATEGORIES
+    parts = []
+    for c in cols:
+        allowed = ", ".join("'" + v.replace("'", "''") + "'" for v in CATEGORIES[c])
+        parts.append(f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value, count(*) AS n FROM {table} "
+                     f"WHERE {c} IS NOT NULL AND {c} NOT IN ({allowed}) GROUP BY {c}")
+    return "\nUNION ALL\n".join(parts)
+
+
+@query("category_violations", _violations_sql("poe", ["transaction_type", "order_status", "order_type"]))
+def q_category_violations(spark, sf):
+    from cohortlens.schema import category_violations
+    return category_violations(role(spark, sf, "poe"))

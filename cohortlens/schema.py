@@ -38,6 +38,9 @@ CATEGORIES = {
     "interpretation": ["I", "R", "S", "P"],
     "sliding_scale": ["Y", "N"],
     "priority": ["ROUTINE", "STAT"],
+    "order_type": ["ADT orders", "Blood Bank", "Cardiology", "Consults", "Critical Care", "General Care",
+                   "Hemodialysis", "IV therapy", "Lab", "Medications", "Neurology", "Nutrition", "OB",
+                   "Radiology", "Respiratory", "TPN"],
 }
 
 _TYPES: dict[str, T.DataType] = {}
@@ -65,3 +68,20 @@ def read_schema_for(columns: list[str]) -> T.StructType:
     """Schema used while parsing text: integer columns as strings (NA rule after)."""
     return T.StructType([T.StructField(c, T.StringType() if is_integer_column(c) else column_type(c), True)
                          for c in columns])
+
+
+def category_violations(df, categories: dict[str, list[str]] | None = None):
+    """Values of categorical columns outside their allowed list:
+    ``(column_name, value, n)`` -- one partial+final count per checked column,
+    nulls allowed.  Empty when every value is allowed."""
+    from functools import reduce
+
+    from pyspark.sql import functions as F
+    cats = {c: v for c, v in (categories or CATEGORIES).items() if c in df.columns}
+    if not cats:
+        return df.sparkSession.createDataFrame([], "column_name string, value string, n bigint")
+    parts = [df.where(F.col(c).isNotNull() & ~F.col(c).isin(allowed))
+               .groupBy(F.col(c).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+               .select(F.lit(c).alias("column_name"), "value", "n")
+             for c, allowed in cats.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
