@@ -49,9 +49,18 @@ def knn_distances(df: DataFrame, features: list[str], k: int = 5, key: str = "ke
     spans = [(st[2 + 2 * i] or 0.0) - (st[1 + 2 * i] or 0.0) for i in range(d)]
     diag = math.sqrt(sum(s * s for s in spans)) if metric == "euclidean" else sum(spans)
     if r0 is None:
+        # start at the radius that holds ~k points in the *densest* region: a dense
+        # spot (say a third of all points in a tiny area) then resolves in the first
+        # rounds with few candidates each, instead of meeting all of its points at a
+        # radius sized for the average density; sparse points just take more rounds.
         vol = math.prod(s for s in spans if s > 0) if any(s > 0 for s in spans) else 1.0
         dims = max(1, sum(1 for s in spans if s > 0))
-        r0 = 0.25 * (vol * k / max(n, 1)) ** (1.0 / dims) if n else 1.0
+        r_avg = (vol * k / max(n, 1)) ** (1.0 / dims) if n else 1.0
+        r_avg = r_avg if r_avg > 0 else 1.0
+        coarse = 4.0 * r_avg
+        dense = (locs.groupBy(*[F.floor(F.col(x) / F.lit(coarse)) for x in xs])
+                     .agg(F.sum("_w").alias("c")).agg(F.max("c")).first()[0] or 1)
+        r0 = min(0.25 * r_avg, 0.5 * coarse * (k / dense) ** (1.0 / dims))
         r0 = r0 if r0 > 0 else 1.0
     offsets = [list(o) for o in itertools.product((-1, 0, 1), repeat=d)]
     unresolved = locs.select("_loc", *xs, "_w")

@@ -198,3 +198,16 @@ def test_dbscan_hot_coordinate(spark):
         assert got == _brute_dbscan(pts, eps, ms)
     core = {r["key"]: r["n_neighbours"] for r in cluster.dbscan_core_points(df, ["x", "y"], 0.05, 3).collect()}
     assert core[0] == 60 and len(core) == 180
+
+
+def test_knn_dense_spot_matches_brute_force(spark):
+    import random
+    from cohortlens.operators.neighbors import knn_distances
+    rnd = random.Random(11)
+    pts = [(i, 0.5 + rnd.random() * 1e-4, 0.5 + rnd.random() * 1e-4) for i in range(150)]      # a dense spot
+    pts += [(1000 + i, rnd.random(), rnd.random()) for i in range(300)]
+    df = spark.createDataFrame(pts, "key long, x double, y double")
+    got = {r["key"]: r["knn_distance"] for r in knn_distances(df, ["x", "y"], k=4).collect()}
+    for key, x, y in pts[::37]:
+        d = sorted(math.dist((x, y), (a, b)) for _, a, b in pts)
+        assert got[key] == pytest.approx(d[3])
