@@ -195,3 +195,20 @@ def q_sampled_tables(spark, sf):
 def q_table_counter(spark, sf):
     tabs = dict(zip(STUDY_TABLES, roles(spark, sf, *STUDY_TABLES)))
     return cohort.table_counter({k: v for k, v in tabs.items() if "subject_id" in v.columns})
+
+
+ORDER_CRITERIA = cohort.CohortCriteria(
+    admission_locations=["EMERGENCY ROOM"], order_types=["Brand#13", "Brand#21", "Brand#34"],
+    transaction_types=["New"])
+
+
+@query("cohort_criteria_orders", """
+SELECT a.* FROM admissions a
+WHERE a.admission_location IN ('EMERGENCY ROOM')
+  AND EXISTS (SELECT 1 FROM poe o
+              WHERE o.subject_id = a.subject_id AND o.hadm_id = a.hadm_id
+                AND o.order_type IN ('Brand#13', 'Brand#21', 'Brand#34') AND o.transaction_type IN ('New'))
+""")
+def q_cohort_criteria_orders(spark, sf):
+    adm, poe = roles(spark, sf, "admissions", "poe")
+    return cohort.cohort_criteria(adm, ORDER_CRITERIA, orders=poe)
