@@ -11,6 +11,7 @@ components by iterative min-label propagation with checkpoints.
 from __future__ import annotations
 
 import itertools
+import math
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
@@ -134,48 +135,63 @@ def _points(df: DataFrame, features: list[str], key: str, eps: float, metric: st
     return base.select(F.col(key), *[x.alias(f"_x{i}") for i, x in enumerate(xs)]), float(eps), metric
 
 
-def eps_neighbours(df: DataFrame, features: list[str], eps: float, key: str = "key",
-                   metric: str = "euclidean"):
-    """Exact eps-neighbourhoods (distance <= eps, inclusive) at *location* level.
+def _small_cells(metric: str, eps: float, d: int) -> tuple[float, int]:
+    """Cell side so that any two points of one cell are closer than eps, and the
+    number of cells (per dimension) an eps-neighbour can be away."""
+    side = eps / (math.sqrt(d) if metric == "euclidean" else d) * (1 - 1e-9)
+    return side, int(math.ceil(eps / side))
 
-    Points with identical coordinates are first collapsed into one location
-    (id = smallest key there, weight = number of points), so a coordinate
-    shared by a third of all rows is one row, not a quadratic block of pairs.
-    Locations are hashed to eps-sized grid cells; a location only meets the
-    locations of its own and adjacent cells (3^d offsets), which contain every
-    eps-neighbour for these metrics.  Needs d <= 3.
 
-    Returns ``(points(key, _loc), pairs(_loc, _nloc, _nw))`` where pairs lists
-    every neighbouring location (itself included) with its weight.
+def eps_neighbours(df: DataFrame, features: list[str], eps: float, key: str = "key",
+                   metric: str = "euclidean"):
+    """Exact eps-neighbourhoods (distance <= eps, inclusive) without quadratic blocks.
+
+    * Points with identical coordinates collapse into one *location* (id =
+      smallest key there, weight = number of points).
+    * Locations fall into small grid cells whose diameter is below eps, so all
+      locations of one cell are neighbours of each other: they are counted
+      by the cell's total weight, never paired.  A spot holding a third of all
+      rows inside one cell costs one row per location.
+    * Only locations in *different* cells within reach are paired, through an
+      equi-join on the shifted cell coordinates and the exact distance test.
+
+    Returns ``(points(key, _loc), locations(_loc, _w, _cell), cross pairs(_loc, _nloc, _nw))``.
+    Needs d <= 3.
     """
     pts, eps, metric = _points(df, features, key, eps, metric)
     d = len(features)
     xs = [f"_x{i}" for i in range(d)]
-    locs = pts.groupBy(*xs).agg(F.min(key).alias("_loc"), F.count(F.lit(1)).alias("_w"))
-    cells = [F.floor(F.col(x) / F.lit(eps)).cast("long") for x in xs]
-    offsets = [list(o) for o in itertools.product((-1, 0, 1), repeat=d)]
+    side, reach = _small_cells(metric, eps, d)
+    locs = (pts.groupBy(*xs).agg(F.min(key).alias("_loc"), F.count(F.lit(1)).alias("_w"))
+               .select("_loc", "_w", *xs, *[F.floor(F.col(x) / F.lit(side)).cast("long").alias(f"_c{i}")
+                                           for i, x in enumerate(xs)]))
+    offsets = [list(o) for o in itertools.product(range(-reach, reach + 1), repeat=d) if any(o)]
     probe = (locs.select("_loc", *xs, F.explode(F.array(*[F.array(*[F.lit(v) for v in o]) for o in offsets]))
-                         .alias("_o"), *[c.alias(f"_c{i}") for i, c in enumerate(cells)])
+                         .alias("_o"), *[f"_c{i}" for i in range(d)])
                  .select("_loc", *xs, *[(F.col(f"_c{i}") + F.col("_o")[i]).alias(f"_c{i}") for i in range(d)]))
     other = locs.select(F.col("_loc").alias("_nloc"), F.col("_w").alias("_nw"),
-                        *[F.col(x).alias(f"_y{i}") for i, x in enumerate(xs)],
-                        *[c.alias(f"_c{i}") for i, c in enumerate(cells)])
+                        *[F.col(x).alias(f"_y{i}") for i, x in enumerate(xs)], *[f"_c{i}" for i in range(d)])
     dist = _metric_expr(metric, [F.col(x) for x in xs], [F.col(f"_y{i}") for i in range(d)])
-    pairs = (probe.join(other, [f"_c{i}" for i in range(d)]).where(dist <= F.lit(eps))
+    cross = (probe.join(other, [f"_c{i}" for i in range(d)]).where(dist <= F.lit(eps))
                   .select("_loc", "_nloc", "_nw"))
     point_loc = pts.join(locs.select(*xs, "_loc"), xs).select(key, "_loc")
-    return point_loc, pairs
+    cells = locs.select("_loc", "_w", F.struct(*[f"_c{i}" for i in range(d)]).alias("_cell"))
+    return point_loc, cells, cross
 
 
-def _location_counts(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("_loc").agg(F.sum("_nw").alias("n_neighbours"))
+def _location_counts(cells: DataFrame, cross: DataFrame) -> DataFrame:
+    """Neighbours of every location: its cell's whole weight plus the cross pairs."""
+    own = cells.join(cells.groupBy("_cell").agg(F.sum("_w").alias("_cw")), "_cell")
+    far = cross.groupBy("_loc").agg(F.sum("_nw").alias("_xw"))
+    return (own.join(far, "_loc", "left")
+               .select("_loc", "_cell", (F.col("_cw") + F.coalesce(F.col("_xw"), F.lit(0))).alias("n_neighbours")))
 
 
 def dbscan_core_points(df: DataFrame, features: list[str], eps: float, min_samples: int,
                        key: str = "key", metric: str = "euclidean") -> DataFrame:
     """(key, n_neighbours including itself, is_core)."""
-    point_loc, pairs = eps_neighbours(df, features, eps, key, metric)
-    cnt = point_loc.join(_location_counts(pairs), "_loc").select(key, "n_neighbours")
+    point_loc, cells, cross = eps_neighbours(df, features, eps, key, metric)
+    cnt = point_loc.join(_location_counts(cells, cross), "_loc").select(key, "n_neighbours")
     return cnt.withColumn("is_core", F.col("n_neighbours") >= F.lit(int(min_samples)))
 
 
@@ -216,25 +232,36 @@ def dbscan(df: DataFrame, features: list[str], eps: float = 0.5, min_samples: in
            metric: str = "euclidean", max_iter: int = 100, checkpoint_every: int = 2) -> DataFrame:
     """DBSCAN labels ``(key, cluster)``; noise is -1.
 
-    Works on locations (identical coordinates collapsed, see
-    :func:`eps_neighbours`).  A location is core when the points within eps
-    (its own included) number at least ``min_samples``.  Clusters are the
-    connected components of the core-core graph (:func:`connected_components`),
-    labelled by the smallest core key in the component; a border location
-    takes the smallest label among its core neighbours; points inherit their
-    location's label.
+    Works on locations and small cells (see :func:`eps_neighbours`).  A
+    location is core when the points within eps (its own included) number at
+    least ``min_samples``.  Core locations of one cell are linked to the
+    cell's smallest core location (a star, not all pairs); core locations of
+    different cells are linked by the cross pairs.  Clusters are the connected
+    components (:func:`connected_components`), labelled by the smallest core
+    key; a border location takes the smallest label among its core
+    neighbours (same cell or cross pairs); points inherit their location's
+    label.
     """
-    point_loc, pairs = eps_neighbours(df, features, eps, key, metric)
-    pairs = materialize(pairs)
-    core = (_location_counts(pairs).where(F.col("n_neighbours") >= F.lit(int(min_samples)))
-              .select(F.col("_loc").alias("node")))
-    core_edges = (pairs.join(core.select(F.col("node").alias("_loc")), "_loc", "left_semi")
-                       .join(core.select(F.col("node").alias("_nloc")), "_nloc", "left_semi")
-                       .where(F.col("_loc") != F.col("_nloc")))
-    labels = connected_components(core_edges, core, "_loc", "_nloc", max_iter, checkpoint_every)
-    border = (pairs.join(core.select(F.col("node").alias("_loc")), "_loc", "left_anti")
-                   .join(labels.select(F.col("node").alias("_nloc"), F.col("label").alias("_l")), "_nloc")
-                   .groupBy("_loc").agg(F.min("_l").alias("label")))
+    point_loc, cells, cross = eps_neighbours(df, features, eps, key, metric)
+    cross = materialize(cross)
+    counts = materialize(_location_counts(cells, cross))
+    core = counts.where(F.col("n_neighbours") >= F.lit(int(min_samples))).select("_loc", "_cell")
+    core_ids = core.select(F.col("_loc").alias("node"))
+    rep = core.groupBy("_cell").agg(F.min("_loc").alias("_rep"))
+    star = core.join(rep, "_cell").where(F.col("_loc") != F.col("_rep"))
+    cross_core = (cross.join(core.select("_loc"), "_loc", "left_semi")
+                       .join(core.select(F.col("_loc").alias("_nloc")), "_nloc", "left_semi")
+                       .select("_loc", "_nloc"))
+    edges = (cross_core
+             .unionByName(star.select("_loc", F.col("_rep").alias("_nloc")))
+             .unionByName(star.select(F.col("_rep").alias("_loc"), F.col("_loc").alias("_nloc"))))
+    labels = connected_components(edges, core_ids, "_loc", "_nloc", max_iter, checkpoint_every)
+    lab = labels.select(F.col("node").alias("_nloc"), F.col("label").alias("_l"))
+    non_core = counts.join(core.select("_loc"), "_loc", "left_anti").select("_loc", "_cell")
+    via_cross = cross.join(non_core.select("_loc"), "_loc", "left_semi").join(lab, "_nloc").select("_loc", "_l")
+    cell_label = (rep.join(lab.withColumnRenamed("_nloc", "_rep"), "_rep").select("_cell", "_l"))
+    via_cell = non_core.join(cell_label, "_cell").select("_loc", "_l")
+    border = via_cross.unionByName(via_cell).groupBy("_loc").agg(F.min("_l").alias("label"))
     assigned = labels.select(F.col("node").alias("_loc"), "label").unionByName(border)
     labelled = point_loc.join(assigned, "_loc").select(key, "label")
     return (df.select(key).join(labelled, key, "left")

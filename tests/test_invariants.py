@@ -211,3 +211,19 @@ def test_knn_dense_spot_matches_brute_force(spark):
     for key, x, y in pts[::37]:
         d = sorted(math.dist((x, y), (a, b)) for _, a, b in pts)
         assert got[key] == pytest.approx(d[3])
+
+
+def test_dbscan_dense_distinct_spot(spark):
+    # a third of the rows at distinct coordinates inside one small cell: no pair block, same labels
+    import random
+    rnd = random.Random(2)
+    data = [(i, 0.3 + rnd.random() * 1e-3, 0.3 + rnd.random() * 1e-3) for i in range(120)]
+    data += [(500 + i, rnd.random(), rnd.random()) for i in range(240)]
+    df = spark.createDataFrame(data, "key long, x double, y double")
+    pts = {k: (x, y) for k, x, y in data}
+    for eps, ms in ((0.05, 4), (0.1, 10), (0.02, 2)):
+        got = {r["key"]: r["cluster"] for r in cluster.dbscan(df, ["x", "y"], eps, ms).collect()}
+        assert got == _brute_dbscan(pts, eps, ms)
+    # the pairs the plan forms exclude the spot's intra-cell block
+    _, cells, cross = cluster.eps_neighbours(df, ["x", "y"], 0.05)
+    assert cross.count() < 120 * 119
