@@ -65,6 +65,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return d
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local"):
+            # a machine-local folder would not be shared by the executors of a cluster
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors "
+                               "(HDFS / object store) before running cohortlens on a cluster")
         d = tempfile.mkdtemp(prefix="cohortlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
