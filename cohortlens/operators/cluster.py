@@ -3,9 +3,10 @@
 Models are Spark ML estimators trained on the whole frame (no row caps);
 only fixed-size model state (centres, topic-term weights, importances)
 reaches the driver.  Labels come back as ``(key, cluster)`` frames.
-DBSCAN is built from joins and aggregations: an exact eps-neighbour join on
-a grid of eps-sized cells, core flags by neighbour count, and connected
-components by iterative min-label propagation with checkpoints.
+DBSCAN is built from joins and aggregations: locations and small cells
+(diameter < eps) whose members are neighbours without pairing, an exact
+cross-cell eps join, core flags by neighbour count, and connected components
+by min-label propagation with pointer jumping and checkpoints.
 """
 
 from __future__ import annotations
@@ -88,7 +89,9 @@ def centres_from_labels(labelled: DataFrame, features: list[str], cluster: str =
 def kmeans_k_scan(df: DataFrame, ks=range(2, 11), features=None, key: str = "key", seed: int = 42,
                   n_init: int = 1) -> DataFrame:
     """Inertia, squared silhouette, Davies-Bouldin, Calinski-Harabasz for each k,
-    plus the elbow pick (arg-max relative inertia drop + 1, clamped)."""
+    and the pick of each selection rule: elbow (arg-max of the relative inertia
+    change + 1, clamped), best silhouette (max), Davies-Bouldin (min) and
+    Calinski-Harabasz (max); NaN values are skipped."""
     feats = list(features) if features else numeric_columns(df, exclude={key})
     rows = []
     for k in ks:
@@ -98,14 +101,25 @@ def kmeans_k_scan(df: DataFrame, ks=range(2, 11), features=None, key: str = "key
         rows.append((int(k), float(model.summary.trainingCost), evaluate.silhouette_sq(lab, feats).first()[0],
                      ix["davies_bouldin"], ix["calinski_harabasz"]))
     inert = [r[1] for r in rows]
-    drops = [(inert[i] - inert[i + 1]) / inert[i] if inert[i] else 0.0 for i in range(len(inert) - 1)]
-    elbow_idx = min(max(drops.index(max(drops)) + 1, 0), len(rows) - 1) if drops else 0
-    elbow_k = rows[elbow_idx][0]
+    # elbow rule: relative change (I[i+1] - I[i]) / I[i], arg-max (first) + 1, clamped to the last k
+    rate = [(inert[i + 1] - inert[i]) / inert[i] if inert[i] else 0.0 for i in range(len(inert) - 1)]
+    elbow_idx = min(rate.index(max(rate)) + 1, len(rows) - 1) if rate else 0
+
+    def arg(values, best):
+        ok = [(v, i) for i, v in enumerate(values) if v is not None and v == v]
+        if not ok:
+            return -1
+        target = best(v for v, _ in ok)
+        return next(i for v, i in ok if v == target)
+
+    best_sil = arg([r[2] for r in rows], max)
+    best_db = arg([r[3] for r in rows], min)
+    best_ch = arg([r[4] for r in rows], max)
     spark = df.sparkSession
     return spark.createDataFrame(
-        [r + (r[0] == elbow_k,) for r in rows],
+        [r + (i == elbow_idx, i == best_sil, i == best_db, i == best_ch) for i, r in enumerate(rows)],
         "k int, inertia double, silhouette_sq double, davies_bouldin double, calinski_harabasz double, "
-        "elbow boolean")
+        "elbow boolean, best_silhouette boolean, best_davies_bouldin boolean, best_calinski_harabasz boolean")
 
 
 # ------------------------------------------------------------------------ C4

@@ -227,3 +227,14 @@ def test_dbscan_dense_distinct_spot(spark):
     # the pairs the plan forms exclude the spot's intra-cell block
     _, cells, cross = cluster.eps_neighbours(df, ["x", "y"], 0.05)
     assert cross.count() < 120 * 119
+
+
+def test_k_scan_selection_rules(spark):
+    scan = Q["kmeans_k_scan"](spark, SF_SMALL).collect()
+    for col in ("elbow", "best_silhouette", "best_davies_bouldin", "best_calinski_harabasz"):
+        assert sum(r[col] for r in scan) == 1
+    inert = [r["inertia"] for r in scan]
+    rate = [(inert[i + 1] - inert[i]) / inert[i] for i in range(len(inert) - 1)]
+    i = min(rate.index(max(rate)) + 1, len(scan) - 1)
+    assert scan[i]["elbow"]
+    assert max(scan, key=lambda r: r["silhouette_sq"])["best_silhouette"]
