@@ -69,6 +69,14 @@ def _rank_sums(d: DataFrame, feature: str, group: str, value: str, buckets: int)
                                          F.sum(tie).alias("tie"))
 
 
+def _n_groups(long: DataFrame, group: str, noise) -> int:
+    """Groups present in the data (non-null, non-noise), whatever their values."""
+    g = long.where(F.col(group).isNotNull())
+    if noise is not None:
+        g = g.where(F.col(group) != F.lit(noise))
+    return g.agg(F.countDistinct(group)).first()[0] or 0
+
+
 # ------------------------------------------------------------------------ M5
 def anova(long: DataFrame, feature: str = "feature", group: str = "cluster", value: str = "value",
           noise=-1) -> DataFrame:
@@ -76,15 +84,17 @@ def anova(long: DataFrame, feature: str = "feature", group: str = "cluster", val
 
     Per (feature, group): n, mean and population variance (Spark's central
     moment aggregates are numerically stable); F = (SSB/(k-1)) / (SSW/(N-k)).
-    Features with fewer than 2 groups give no row.
+    A feature gets a row only when every group has at least one value and
+    there are at least 2 groups.
     """
+    k_all = _n_groups(long, group, noise)
     g = (_clean(long, group, value, noise).groupBy(feature, group)
          .agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("m"), F.var_pop(value).alias("v")))
     per = g.groupBy(feature).agg(
         F.count(F.lit(1)).alias("k"), F.sum("n").alias("N"),
         F.sum(F.col("n") * F.col("m")).alias("_sx"),
         F.sum(F.col("n") * F.col("v")).alias("ssw"),
-        F.collect_list(F.struct("n", "m")).alias("_g")).where(F.col("k") >= 2)
+        F.collect_list(F.struct("n", "m")).alias("_g")).where((F.col("k") >= 2) & (F.col("k") == k_all))
     gm = F.col("_sx") / F.col("N")
     ssb = F.aggregate("_g", F.lit(0.0), lambda acc, s: acc + s["n"] * (s["m"] - gm) * (s["m"] - gm))
     fstat = F.try_divide(ssb / (F.col("k") - 1), F.col("ssw") / (F.col("N") - F.col("k")))
@@ -98,12 +108,14 @@ def with_f_pvalue(res: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------------ M6
 def kruskal(long: DataFrame, feature: str = "feature", group: str = "cluster", value: str = "value",
             noise=-1, buckets: int = RANK_BUCKETS) -> DataFrame:
-    """Kruskal-Wallis H per feature, tie-corrected, over pooled average ranks."""
+    """Kruskal-Wallis H per feature, tie-corrected, over pooled average ranks
+    (same row rule as :func:`anova`)."""
+    k_all = _n_groups(long, group, noise)
     rg = _rank_sums(_clean(long, group, value, noise), feature, group, value, buckets)
     per = (rg.groupBy(feature).agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("N"),
                                    F.sum(F.col("R") * F.col("R") / F.col("n")).alias("_s"),
                                    F.sum("tie").alias("tie"))
-             .where(F.col("k") >= 2))
+             .where((F.col("k") >= 2) & (F.col("k") == k_all)))
     n = F.col("N").cast("double")
     h = F.lit(12.0) / (n * (n + 1)) * F.col("_s") - 3 * (n + 1)
     corr = F.lit(1.0) - F.col("tie") / (n * n * n - n)

@@ -285,3 +285,12 @@ def test_j11_same_admittime_tie(spark):
     assert got == {1: 20, 2: 21, 3: 22}
     plan = joins.nearest_admission(labs, adm)._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan
+
+
+def test_m5_m6_group_without_values_skips_feature(spark):
+    long = spark.createDataFrame(
+        [("f", 0, 1.0), ("f", 1, 2.0), ("f", 2, None), ("f", 0, 3.0), ("f", 1, 5.0),
+         ("g", 0, 1.0), ("g", 1, 2.0), ("g", 2, 3.0), ("g", 0, 2.0)],
+        "feature string, cluster int, value double")
+    assert {r["feature"] for r in stats.anova(long).collect()} == {"g"}
+    assert {r["feature"] for r in stats.kruskal(long).collect()} == {"g"}
