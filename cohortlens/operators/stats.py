@@ -243,3 +243,26 @@ def bonferroni(tests: DataFrame, p: str = "p_value", alpha: float = 0.05) -> Dat
                  .withColumn("adjusted_p_value", adj)
                  .withColumn("significant_adjusted", F.col("adjusted_p_value") < alpha)
                  .withColumn("neg_log10_p", -F.log10(F.col(p) + F.lit(1e-10))))
+
+
+# ------------------------------------------------------------ M6/M7 by group count
+def group_difference_test(df: DataFrame, group: str, value: str, noise=None, with_p: bool = True) -> DataFrame:
+    """One test of ``value`` across the groups of ``group`` (noise excluded):
+    Mann-Whitney U when there are exactly two groups, Kruskal-Wallis H when
+    there are more, no row with fewer.  One row (test, statistic[, p_value])."""
+    d = df.where(F.col(group).isNotNull() & F.col(value).isNotNull())
+    if noise is not None:
+        d = d.where(F.col(group) != F.lit(noise))
+    groups = [r[0] for r in d.select(group).distinct().limit(3).collect()]
+    long = d.select(F.lit("_").alias("feature"), F.col(group).alias("_g"), F.col(value).cast("double").alias("value"))
+    spark = df.sparkSession
+    if len(groups) < 2:
+        return spark.createDataFrame([], "test string, statistic double" + (", p_value double" if with_p else ""))
+    if len(groups) == 2:
+        a, b = sorted(groups)
+        res = mann_whitney(long, a, b, group="_g")
+        res = with_mw_pvalue(res) if with_p else res.drop("tie")
+        return res.select(F.lit("mann_whitney").alias("test"), "statistic", *(["p_value"] if with_p else []))
+    res = kruskal(long, group="_g", noise=None)
+    res = with_chi2_pvalue(res) if with_p else res
+    return res.select(F.lit("kruskal").alias("test"), "statistic", *(["p_value"] if with_p else []))

@@ -455,3 +455,27 @@ def q_metrics_summary(spark, sf):
     out = evaluate.metrics_summary(_labelled(spark, sf, "cluster_labels"), FEATURE_COLS, "given").unionByName(
         evaluate.metrics_summary(_labelled(spark, sf, "cluster_labels_b"), FEATURE_COLS, "given_b"))
     return _round(out, {"noise_pct", "silhouette_sq", "davies_bouldin", "calinski_harabasz"})
+
+
+_LOS = ("los AS (SELECT admission_type AS cluster, "
+        "date_diff('microsecond', admittime, dischtime) / CAST(86400000000 AS DOUBLE) AS v FROM admissions "
+        "WHERE admission_type IS NOT NULL AND dischtime IS NOT NULL)")
+
+
+@query("los_group_test", f"""WITH {_LOS},
+d AS (SELECT '_' AS feature, cluster, v AS value FROM los),
+cv AS (SELECT value, count(*) AS t FROM d GROUP BY value),
+rk AS (SELECT value, t, sum(t) OVER (ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+              - t + (t + 1) / 2.0 AS r FROM cv),
+rg AS (SELECT d.cluster, count(*) AS n, sum(rk.r) AS R FROM d JOIN rk USING (value) GROUP BY d.cluster),
+tot AS (SELECT sum(n) AS N, sum(R * R / n) AS s FROM rg),
+ties AS (SELECT sum(t * t * t - t) AS tie FROM cv)
+SELECT 'kruskal' AS test,
+       round((12.0 / (N * (N + 1)) * s - 3 * (N + 1)) / (1 - tie / (CAST(N AS DOUBLE) * N * N - N)), 6) AS statistic
+FROM tot, ties
+""")
+def q_los_group_test(spark, sf):
+    adm = role(spark, sf, "admissions")
+    los = profile.length_of_stay(adm.withColumnRenamed("admission_type", "cluster"), "admittime", "dischtime",
+                                 "cluster")
+    return _round(stats.group_difference_test(los, "cluster", "length_of_stay", with_p=False), {"statistic"})

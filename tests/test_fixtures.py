@@ -294,3 +294,14 @@ def test_m5_m6_group_without_values_skips_feature(spark):
         "feature string, cluster int, value double")
     assert {r["feature"] for r in stats.anova(long).collect()} == {"g"}
     assert {r["feature"] for r in stats.kruskal(long).collect()} == {"g"}
+
+
+def test_group_difference_test_picks_the_test(spark):
+    two = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 2.0), ("b", 2.0), ("b", 3.0), ("b", 4.0),
+                                 ("Noise", 9.0)], "g string, v double")
+    r = stats.group_difference_test(two, "g", "v", noise="Noise").first()
+    assert r["test"] == "mann_whitney" and r["statistic"] == pytest.approx(1.0) and 0 <= r["p_value"] <= 1
+    three = two.unionByName(spark.createDataFrame([("c", 7.0)], "g string, v double"))
+    assert stats.group_difference_test(three, "g", "v", noise="Noise").first()["test"] == "kruskal"
+    one = spark.createDataFrame([("a", 1.0)], "g string, v double")
+    assert stats.group_difference_test(one, "g", "v").count() == 0
