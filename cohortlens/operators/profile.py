@@ -168,6 +168,15 @@ def contingency(df: DataFrame, row: str, col: str) -> DataFrame:
     return df.groupBy(row, col).agg(F.count(F.lit(1)).alias("n"))
 
 
+def contingency_wide(df: DataFrame, row: str, col: str, max_columns: int = 1000) -> DataFrame:
+    """The crosstab itself: one row per ``row`` value, one zero-filled count
+    column per ``col`` value (explicit, checked pivot list)."""
+    vals = [r[0] for r in df.where(F.col(col).isNotNull()).select(col).distinct().limit(max_columns + 1).collect()]
+    if len(vals) > max_columns:
+        raise ValueError(f"more than {max_columns} crosstab columns")
+    return df.where(F.col(col).isNotNull()).groupBy(row).pivot(col, sorted(vals)).count().na.fill(0)
+
+
 # ----------------------------------------------------------------------- A17
 def column_profile(df: DataFrame) -> DataFrame:
     """Per column: type, non-null count, missing % (2 dp); one aggregation."""

@@ -124,6 +124,14 @@ def q_contingency(spark, sf):
     return profile.contingency(role(spark, sf, "doc_outcomes"), "cluster_name", "toxic")
 
 
+@query("contingency_wide", """
+SELECT * FROM (PIVOT (SELECT cluster_name, toxic FROM doc_outcomes WHERE toxic IS NOT NULL)
+               ON toxic USING count(*) GROUP BY cluster_name)
+""")
+def q_contingency_wide(spark, sf):
+    return profile.contingency_wide(role(spark, sf, "doc_outcomes"), "cluster_name", "toxic")
+
+
 # ----------------------------------------------------------------------- A17
 _ADM_COLS = ["subject_id", "hadm_id", "admittime", "dischtime", "deathtime", "admission_type",
              "admit_provider_id", "admission_location", "discharge_location", "insurance", "language",
