@@ -326,16 +326,29 @@ def top_terms_per_topic(pipe: PipelineModel, n: int = 10) -> DataFrame:
 
 
 # ------------------------------------------------------------------------ C9
-def order_patterns_by_cluster(freq_long: DataFrame, labels: DataFrame, patient: str, order: str,
-                              per_cluster: int = 50, seed: int = 42, cluster: str = "cluster") -> DataFrame:
-    """Heat-map input: frequency rows of at most ``per_cluster`` patients per
-    cluster, chosen by a seeded hash order (repeatable sampling)."""
-    pats = freq_long.select(patient).distinct().join(labels, patient)
+def order_patterns_by_cluster(seq: DataFrame, labels: DataFrame, patient: str, sequence: str = "sequence",
+                              max_orders: int = 20, per_cluster: int = 50, seed: int = 42,
+                              cluster: str = "cluster") -> DataFrame:
+    """Heat-map input ``(cluster, patient, order, n)``.
+
+    Patients with both a sequence and a label are matched; the ``max_orders``
+    most frequent orders over the matched sequences are kept; at most
+    ``per_cluster`` patients per cluster are chosen by a seeded hash order
+    (repeatable sampling, a partial group limit before the shuffle); each
+    chosen patient gets one count per kept order (zeros included) from its
+    sequence.
+    """
+    from cohortlens.operators.features import top_value_list
+    matched = seq.select(patient, sequence).join(labels.select(patient, cluster), patient)
+    top = top_value_list(matched.select(F.explode(sequence).alias("_o")), "_o", max_orders)
     rank = F.row_number().over(
         Window.partitionBy(cluster).orderBy(F.xxhash64(F.col(patient), F.lit(seed)), F.col(patient)))
-    chosen = pats.withColumn("_r", rank).where(F.col("_r") <= per_cluster).drop("_r")
-    return freq_long.join(chosen, patient).select(cluster, patient, order, *[c for c in freq_long.columns
-                                                                               if c not in (patient, order)])
+    chosen = matched.withColumn("_r", rank).where(F.col("_r") <= per_cluster).drop("_r")
+    counts = F.array(*[F.struct(F.lit(o).alias("order"),
+                                F.size(F.filter(sequence, lambda x: x == F.lit(o))).cast("bigint").alias("n"))
+                       for o in top])
+    return (chosen.select(cluster, patient, F.explode(counts).alias("_c"))
+                  .select(cluster, patient, F.col("_c.order").alias("order"), F.col("_c.n").alias("n")))
 
 
 # ------------------------------------------------------------------------ O5

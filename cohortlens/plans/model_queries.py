@@ -203,8 +203,8 @@ def q_lda_top_terms(spark, sf):
 @query("order_patterns_by_cluster")
 def q_order_patterns_by_cluster(spark, sf):
     poe, pc = roles(spark, sf, "poe", "patient_clusters")
-    freq = feats.order_frequency(poe, "subject_id", "order_type", top_n=20)
-    return cluster.order_patterns_by_cluster(freq, pc, "subject_id", "order_type", per_cluster=50)
+    seq = feats.order_sequences(poe, "subject_id", "order_type", "ordertime", 20, tiebreak=["poe_id", "order_type"])
+    return cluster.order_patterns_by_cluster(seq, pc, "subject_id", max_orders=20, per_cluster=50)
 
 
 # ------------------------------------------------------------ M13 / O3 / O5

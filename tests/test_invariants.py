@@ -238,3 +238,15 @@ def test_k_scan_selection_rules(spark):
     i = min(rate.index(max(rate)) + 1, len(scan) - 1)
     assert scan[i]["elbow"]
     assert max(scan, key=lambda r: r["silhouette_sq"])["best_silhouette"]
+
+
+def test_order_patterns_counts_match_sequences(spark):
+    seq = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["b", "c"]), (3, ["a"]), (4, ["z"])],
+                                "p long, sequence array<string>")
+    lab = spark.createDataFrame([(1, 0), (2, 0), (3, 1)], "p long, cluster int")
+    out = {(r["p"], r["order"]): r["n"] for r in
+           cluster.order_patterns_by_cluster(seq, lab, "p", max_orders=2, per_cluster=50).collect()}
+    # top-2 over matched sequences (patient 4 has no label): a (3), b (2)
+    assert out == {(1, "a"): 2, (1, "b"): 1, (2, "a"): 0, (2, "b"): 1, (3, "a"): 1, (3, "b"): 0}
+    few = cluster.order_patterns_by_cluster(seq, lab, "p", max_orders=2, per_cluster=1)
+    assert few.select("p").distinct().count() == 2          # one patient per cluster
