@@ -294,23 +294,40 @@ def bisecting_kmeans(df: DataFrame, k: int = 5, features=None, key: str = "key",
 
 # ------------------------------------------------------------------- C7 / C8
 def lda_topics(docs: DataFrame, key: str, tokens: str, n_topics: int = 5, max_features: int = 1000,
-               max_iter: int = 10, seed: int = 42):
-    """Online LDA over count vectors.  Returns ``(doc_topics, model, vocabulary)``
-    with doc_topics = (key, topic_distribution array, dominant_topic)."""
-    cv = CountVectorizer(inputCol=tokens, outputCol="counts", vocabSize=max_features)
+               max_iter: int = 10, seed: int = 42, vectorizer: str = "count"):
+    """Online LDA over count or TF-IDF vectors.
+
+    Returns ``(doc_topics, model, vocabulary)`` with doc_topics = (key,
+    topic_distribution array, dominant_topic); ``model.stages`` are the
+    fitted vocabulary and the LDA model.  ``tfidf`` weights are the smoothed
+    ``tf * (ln((1+n)/(1+df)) + 1)``, L2-normalised per document: Spark's IDF
+    gives ``tf * ln((1+n)/(1+df))``, to which the counts are added.
+    """
+    if vectorizer not in ("count", "tfidf"):
+        raise ValueError(f"unknown vectorizer {vectorizer}")
+    base = docs.select(key, tokens)
+    cv_model = CountVectorizer(inputCol=tokens, outputCol="counts", vocabSize=max_features).fit(base)
+    vec = cv_model.transform(base)
+    feats = "counts"
+    if vectorizer == "tfidf":
+        from pyspark.ml.feature import IDF, Normalizer
+        from pyspark.ml.functions import array_to_vector
+        idf = IDF(inputCol="counts", outputCol="_idf").fit(vec).transform(vec)
+        summed = idf.withColumn("_raw", array_to_vector(F.zip_with(
+            vector_to_array("_idf"), vector_to_array("counts"), lambda a, b: a + b)))
+        vec = Normalizer(inputCol="_raw", outputCol="_tfidf", p=2.0).transform(summed)
+        feats = "_tfidf"
     # every iteration sees the whole corpus (an epoch), as ``max_iter`` passes of the online method do
-    lda = LDA(k=n_topics, maxIter=max_iter, optimizer="online", subsamplingRate=1.0, seed=seed,
-              featuresCol="counts",
-              topicDistributionCol="_td")
-    pipe = Pipeline(stages=[cv, lda]).fit(docs.select(key, tokens))
-    td = pipe.transform(docs.select(key, tokens)).select(key, vector_to_array("_td").alias("_v"))
+    lda_model = LDA(k=n_topics, maxIter=max_iter, optimizer="online", subsamplingRate=1.0, seed=seed,
+                    featuresCol=feats, topicDistributionCol="_td").fit(vec)
+    td = lda_model.transform(vec).select(key, vector_to_array("_td").alias("_v"))
     # a document without any vocabulary term gets the uniform (prior) distribution
     total = F.aggregate("_v", F.lit(0.0), lambda a, b: a + b)
     uniform = F.array_repeat(F.lit(1.0 / n_topics), n_topics)
     td = td.select(key, F.when(total > 0, F.col("_v")).otherwise(uniform).alias("topic_distribution"))
     td = td.withColumn("dominant_topic",
                        (F.array_position("topic_distribution", F.array_max("topic_distribution")) - 1).cast("int"))
-    return td, pipe, pipe.stages[0].vocabulary
+    return td, PipelineModel(stages=[cv_model, lda_model]), cv_model.vocabulary
 
 
 def top_terms_per_topic(pipe: PipelineModel, n: int = 10) -> DataFrame:

@@ -194,6 +194,14 @@ def q_lda_topics(spark, sf):
     return td
 
 
+@query("lda_topics_tfidf")
+def q_lda_topics_tfidf(spark, sf):
+    raw = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = raw.select("doc_id", prepare.tokenize(F.col("text")).alias("tokens"))
+    td, _, _ = cluster.lda_topics(docs, "doc_id", "tokens", n_topics=5, max_features=1000, vectorizer="tfidf")
+    return td
+
+
 @query("lda_top_terms")
 def q_lda_top_terms(spark, sf):
     _, pipe, _ = _lda(spark, sf)

@@ -250,3 +250,9 @@ def test_order_patterns_counts_match_sequences(spark):
     assert out == {(1, "a"): 2, (1, "b"): 1, (2, "a"): 0, (2, "b"): 1, (3, "a"): 1, (3, "b"): 0}
     few = cluster.order_patterns_by_cluster(seq, lab, "p", max_orders=2, per_cluster=1)
     assert few.select("p").distinct().count() == 2          # one patient per cluster
+
+
+def test_lda_tfidf(spark):
+    td = Q["lda_topics_tfidf"](spark, SF_SMALL)
+    r = td.select(F.aggregate("topic_distribution", F.lit(0.0), lambda a, b: a + b).alias("s")).collect()
+    assert r and all(abs(x["s"] - 1) < 1e-6 for x in r)
