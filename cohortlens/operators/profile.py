@@ -57,6 +57,19 @@ def cluster_summary(labelled: DataFrame, cluster: str = "cluster", key: str | No
     return stack_stats(g, [cluster, "n", "percentage"], feats, ["mean", "std", "min", "max"])
 
 
+def cluster_summary_wide(labelled: DataFrame, cluster: str = "cluster", key: str | None = "key",
+                         features=None) -> DataFrame:
+    """The summary as one row per cluster: count, percentage and
+    ``{feature}_mean/_std/_min/_max`` columns (one wide aggregate)."""
+    feats = _features(labelled, features, cluster, key)
+    aggs = [F.count(F.lit(1)).alias("count")]
+    for f in feats:
+        aggs += [F.avg(q(f)).alias(f"{f}_mean"), F.stddev_samp(q(f)).alias(f"{f}_std"),
+                 F.min(q(f)).alias(f"{f}_min"), F.max(q(f)).alias(f"{f}_max")]
+    g = labelled.groupBy(cluster).agg(*aggs)
+    return g.withColumn("percentage", _share("count"))
+
+
 # ----------------------------------------------------------------------- A10
 def cluster_profile(labelled: DataFrame, cluster: str = "cluster", key: str | None = "key",
                     features=None, approx: bool = False) -> DataFrame:

@@ -44,6 +44,16 @@ def q_cluster_summary(spark, sf):
     return _round(profile.cluster_summary(_labelled(spark, sf)), {"percentage", "mean", "std"})
 
 
+@query("cluster_summary_wide", "SELECT cluster, count(*) AS count, "
+       "round(count(*) * 100.0 / (SELECT count(*) FROM cluster_labels), 6) AS percentage, "
+       + ", ".join(f"round(avg({c}), 6) AS {c}_mean, round(stddev_samp({c}), 6) AS {c}_std, "
+                        f"min({c}) AS {c}_min, max({c}) AS {c}_max" for c in FEATURE_COLS)
+       + " FROM features JOIN cluster_labels USING (key) GROUP BY cluster")
+def q_cluster_summary_wide(spark, sf):
+    out = profile.cluster_summary_wide(_labelled(spark, sf))
+    return _round(out, {"percentage"} | {f"{c}_{s}" for c in FEATURE_COLS for s in ("mean", "std")})
+
+
 # ----------------------------------------------------------------------- A10
 @query("cluster_profile", f"""WITH {_LAB.format(labels='cluster_labels')}
 SELECT cluster, feature, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median,
