@@ -27,6 +27,18 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+@query("op1_langid")
+def op1_langid(spark, sf_dir):
+    from cohortlens.llm.op1_langid import language_id
+    return language_id(read(spark, sf_dir, "documents"))
+
+
+@query("op5_toxicity")
+def op5_toxicity(spark, sf_dir):
+    from cohortlens.llm.op5_toxicity import toxicity
+    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 @query("op4_secrets")
 def op4_secrets(spark, sf_dir):
     from cohortlens.llm.op4_secrets import scan_secrets
