@@ -39,6 +39,32 @@ def op5_toxicity(spark, sf_dir):
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+OP3_SQL = r"""
+WITH i0 AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM benchmark WHERE text IS NOT NULL),
+i1 AS (SELECT item_id, ws, len(ws) AS l, least(5, len(ws)) AS k FROM i0 WHERE len(ws) > 0),
+i2 AS (SELECT item_id, l, k, unnest(list_transform(range(1, l - k + 2), lambda p: array_to_string(ws[p:p + k - 1], ' '))) AS s FROM i1),
+i3 AS (SELECT item_id, l, k, s, count(*) AS c FROM i2 GROUP BY ALL),
+d0 AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM documents WHERE text IS NOT NULL),
+ks AS (SELECT DISTINCT k FROM i1),
+d1 AS (SELECT doc_id, len(ws) AS n, k, unnest(range(0, len(ws) - k + 1)) AS pos,
+              unnest(list_transform(range(1, len(ws) - k + 2), lambda p: array_to_string(ws[p:p + k - 1], ' '))) AS s FROM d0, ks WHERE len(ws) >= k),
+h AS (SELECT DISTINCT d1.doc_id, d1.n, i3.l, i3.k, i3.item_id, d1.pos FROM d1 JOIN i3 ON i3.k = d1.k AND i3.s = d1.s),
+w AS (SELECT DISTINCT doc_id, n, l, k, item_id, unnest(range(least(greatest(0, n - l), greatest(0, pos - l + k)), least(pos, greatest(0, n - l)) + 1)) AS w FROM h),
+x AS (SELECT w.doc_id, w.item_id, w.l, w.w, least(w.l, w.n) - w.k + 1 AS mw, w.l - w.k + 1 AS mi, d1.s, count(*) AS c
+      FROM w JOIN d1 ON d1.doc_id = w.doc_id AND d1.k = w.k AND d1.pos BETWEEN w.w AND w.w + least(w.l, w.n) - w.k GROUP BY ALL),
+y AS (SELECT x.doc_id, x.item_id, x.l, x.w, mw, mi, sum(least(x.c, i3.c)) AS b FROM x JOIN i3 ON i3.item_id = x.item_id AND i3.s = x.s GROUP BY ALL),
+z AS (SELECT doc_id, item_id, l, w, b / (mw + mi - b) AS sim FROM y),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY sim DESC, w) AS rn FROM z WHERE sim >= 0.8)
+SELECT doc_id, item_id, round(sim, 6) AS similarity, w::INT AS start_word, l::INT AS n_words FROM r WHERE rn = 1
+"""
+
+
+@query("op3_decontaminate", OP3_SQL)
+def op3_decontaminate(spark, sf_dir):
+    from cohortlens.llm.op3_decontaminate import leaks
+    return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 @query("op4_secrets")
 def op4_secrets(spark, sf_dir):
     from cohortlens.llm.op4_secrets import scan_secrets
@@ -67,6 +93,25 @@ def op6_jaccard_join(spark, sf_dir):
     return jaccard_components(read(spark, sf_dir, "documents"))
 
 
+OP7_SQL = r"""
+WITH l AS (SELECT doc_id, source, unnest(a) AS line, unnest(range(len(a))) AS pos
+           FROM (SELECT doc_id, source, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL)),
+w AS (SELECT *, regexp_matches(line, '[^\x20\x09-\x0D]') AS has FROM l),
+b AS (SELECT line, min((doc_id, pos)) AS first FROM w WHERE has GROUP BY line
+      HAVING count(DISTINCT coalesce(source, chr(1))) >= 10),
+k AS (SELECT w.doc_id, w.pos, w.line, b.line IS NULL OR b.first = (w.doc_id, w.pos) AS keep FROM w LEFT JOIN b ON w.has AND b.line = w.line)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(x.t, '') END AS text, coalesce(x.n, 0)::INT AS n_lines, coalesce(x.r, 0)::INT AS n_removed
+FROM documents d LEFT JOIN (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) FILTER (keep) AS t, count(*) AS n, count(*) FILTER (NOT keep) AS r
+                            FROM k GROUP BY 1) x USING (doc_id)
+"""
+
+
+@query("op7_line_dedup", OP7_SQL)
+def op7_line_dedup(spark, sf_dir):
+    from cohortlens.llm.op7_linededup import dedup_lines
+    return dedup_lines(read(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
 @query("op10_sharding")
 def op10_sharding(spark, sf_dir):
     from cohortlens.llm.op10_sharding import shard
