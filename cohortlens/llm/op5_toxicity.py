@@ -200,24 +200,41 @@ def fit(docs: DataFrame, labels: DataFrame, eligible, sample_rows: int = SAMPLE_
     return margin, bias, share
 
 
+def _scores(texts, model) -> np.ndarray:
+    if model is None:
+        return np.zeros(len(texts))
+    margin, bias, empty = model
+    s = np.empty(len(texts))
+    for k, text in enumerate(texts):
+        f = features(text)
+        z = margin[f].sum(dtype=np.float64) / max(PAD, len(f)) + bias
+        s[k] = 1 / (1 + np.exp(-np.clip(z, -500, 500))) if len(f) else empty
+    return s
+
+
 def score(docs: DataFrame, model, threshold: float = 0.3) -> DataFrame:
     """``doc_id, score, predicted`` of every document."""
-    margin, bias, empty = model if model is not None else (np.zeros(BUCKETS, dtype=np.float32), 0.0, 0.0)
-    blank = model is None
-
     def run(batches):
         schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32())])
         for b in batches:
-            s = np.empty(b.num_rows)
-            for k, text in enumerate(b.column("text").to_pylist()):
-                f = features(text)
-                s[k] = empty if blank or not len(f) else 1 / (1 + np.exp(-np.clip(margin[f].sum(dtype=np.float64) / max(PAD, len(f)) + bias, -500, 500)))
+            s = _scores(b.column("text").to_pylist(), model)
             yield pa.record_batch([b.column("doc_id"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], schema=schema)
 
     return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
                 .mapInArrow(run, "doc_id long, score double, predicted int"))
 
 
+def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that score below the threshold, all columns as they are."""
+    model = fit(docs, labels, ~held_out())
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(_scores(b.column("text").to_pylist(), model) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(remainder: int = 2, of: int = 4):
     """Rows never learned from: crc32 of the doc_id as text leaves this remainder."""
     crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))

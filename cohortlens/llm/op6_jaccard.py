@@ -196,6 +196,34 @@ def _labelled(nodes: DataFrame, links: DataFrame | None) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, q: int = 3, threshold_pct: int = 90) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document."""
+    return _components(docs, q, threshold_pct).select("doc_id", "n_shingles", "component_id")
+
+
+def keep_one(docs: DataFrame, q: int = 3, threshold_pct: int = 90) -> DataFrame:
+    """``docs`` with one row of each component, its smallest doc_id; all columns as they are.
+
+    Only the keys of what goes are joined, never the texts of what stays.
+    """
+    found = materialize(_components(docs, q, threshold_pct).where(F.col("n_shingles") > 0)
+                        .groupBy("doc_id", "th").agg(F.max((~F.col("doc_id").eqNullSafe(F.col("component_id"))).cast("int")).alias("_goes"),
+                                                     F.count(F.lit(1)).alias("_rows")))
+    def of(rows):
+        keys = rows.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
+        return F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys
+
+    marked = docs.withColumn("_h", F.xxhash64("text"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th"))
+    out = marked.join(of(found.where(F.col("_goes") == 1)), same, "left_anti")
+    again = found.where((F.col("_goes") == 0) & (F.col("_rows") > 1))     # rows that repeat id and text
+    if not again.isEmpty():
+        keys = of(again)
+        once = out.join(keys, same, "left_semi").dropDuplicates(["doc_id", "_h"])
+        out = out.join(keys, same, "left_anti").unionByName(once)
+    return out.drop("_h")
+
+
+def _components(docs: DataFrame, q: int, threshold_pct: int) -> DataFrame:
+    """``doc_id, th, n_shingles, component_id`` (``th``: hash of the text) of every document."""
     pct = threshold_pct
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     classes = frequency_classes(docs, q)
@@ -255,10 +283,10 @@ def jaccard_components(docs: DataFrame, q: int = 3, threshold_pct: int = 90) ->
     if more.count():
         labels = materialize(_labelled(nodes, links.union(more)))
 
-    placed = rows.select("doc_id", F.col("n").alias("n_shingles"), "sid").join(labels.select("sid", "comp"), "sid", "left")
+    placed = rows.select("doc_id", "th", F.col("n").alias("n_shingles"), "sid").join(labels.select("sid", "comp"), "sid", "left")
     names = placed.where(F.col("n_shingles") > 0).groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     return (placed.join(names, "comp", "left")
-                  .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
+                  .select("doc_id", "th", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
 
 
 def _seats(shared: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:

@@ -73,3 +73,12 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     cleaned = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(
         F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
     return out.withColumn("text", cleaned).drop("_id", "_id0", "_th", "_th0", "_drop")
+
+
+def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+    """``docs`` with cleaned texts (and their lengths); a row whose every word was boilerplate that
+    stays elsewhere goes, all others stay."""
+    out = dedup_lines(docs, min_sites).where((F.col("n_removed") == 0) | F.col("text").rlike(WORD))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)

@@ -112,6 +112,12 @@ def op7_line_dedup(spark, sf_dir):
     return dedup_lines(read(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
 
+@query("op9_sentencepiece")
+def op9_sentencepiece(spark, sf_dir):
+    from cohortlens.llm.op9_sentencepiece import encode
+    return encode(read(spark, sf_dir, "documents"))
+
+
 @query("op10_sharding")
 def op10_sharding(spark, sf_dir):
     from cohortlens.llm.op10_sharding import shard
