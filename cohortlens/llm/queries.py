@@ -39,6 +39,42 @@ def op5_toxicity(spark, sf_dir):
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
+ln AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
+dl AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM ln WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1),
+win AS (SELECT doc_id, unnest(range(1, len(ws) - 6)) AS p, unnest(list_transform(range(1, len(ws) - 6), lambda i: array_to_string(ws[i:i + 7], ' '))) AS s FROM w WHERE len(ws) >= 8),
+rep AS (SELECT doc_id, p FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1),
+rw AS (SELECT doc_id, count(DISTINCT p + j) AS n_repeat_words FROM rep, (SELECT unnest(range(8)) AS j) GROUP BY 1),
+tbl AS (SELECT list(c ORDER BY i) AS tbl FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c
+        FROM (SELECT unnest(range(256)) AS i))),
+g AS (SELECT doc_id, unnest(list_concat(ws, CASE WHEN len(ws) > 1 THEN list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) ELSE [] END)) AS g FROM w),
+u AS (SELECT DISTINCT g, hex(encode(g)) AS h FROM g),
+b AS (SELECT g, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(0, len(h) // 2), lambda i: ('0x' || substr(h, (2 * i + 1)::BIGINT, 2))::BIGINT)),
+        lambda c, x: xor(c >> 8, tbl[(xor(c, x) & 255) + 1]))) & 16383 AS b FROM u, tbl),
+f AS (SELECT g.doc_id, b.b, count(*) AS n FROM g JOIN b USING (g) GROUP BY 1, 2),
+q AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
+c AS (SELECT b, sum(n) AS r, sum(n) FILTER (WHERE q.doc_id IS NOT NULL) AS t FROM f LEFT JOIN q USING (doc_id) GROUP BY 1),
+tot AS (SELECT sum(r)::DOUBLE AS r, coalesce(sum(t), 0)::DOUBLE AS t FROM c),
+lr AS (SELECT b, CASE WHEN tot.t = 0 THEN 0 ELSE floor(1000000 * ln((coalesce(c.t, 0) + 1.0::DOUBLE) / (tot.t + 16384) / ((c.r + 1.0::DOUBLE) / (tot.r + 16384))) + 0.5)::BIGINT END AS v FROM c, tot),
+s AS (SELECT doc_id, sum(n * v)::BIGINT AS log_ratio, sum(n)::BIGINT AS n_features FROM f JOIN lr USING (b) GROUP BY 1),
+m AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+      coalesce(dl.n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(rw.n_repeat_words, 0)::BIGINT AS n_repeat_words,
+      coalesce(s.log_ratio, 0)::BIGINT AS log_ratio, coalesce(s.n_features, 0)::BIGINT AS n_features
+      FROM w LEFT JOIN dl USING (doc_id) LEFT JOIN rw USING (doc_id) LEFT JOIN s USING (doc_id))
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND log_ratio >= n_features * -60000 AS kept FROM m
+"""
+
+
+@query("op2_quality", OP2_SQL)
+def op2_quality(spark, sf_dir):
+    from cohortlens.llm.op2_quality import quality
+    trusted = read(spark, sf_dir, "labels").where(F.col("quality") == 1).select("doc_id")
+    return quality(read(spark, sf_dir, "documents"), trusted)
+
+
 OP3_SQL = r"""
 WITH i0 AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM benchmark WHERE text IS NOT NULL),
 i1 AS (SELECT item_id, ws, len(ws) AS l, least(5, len(ws)) AS k FROM i0 WHERE len(ws) > 0),
