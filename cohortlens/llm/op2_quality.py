@@ -1,8 +1,9 @@
 r"""Quality rules: hashed n-gram log-likelihood ratio of a trusted target against the raw corpus.
 
 Words are the runs of ``[^\x20\x09-\x0D]``; features are their unigrams and bigrams, hashed by
-CRC-32 into ``BUCKETS``.  Two smoothed multinomials are counted over all documents: the raw corpus
-(every text) and the target (texts with a trusted quality label).  A text scores the mean over
+CRC-32 into ``BUCKETS``.  Two multinomials are counted over all documents: the raw corpus (every text)
+and the target (texts with a trusted quality label), the latter smoothed towards the raw one by
+``ALPHA`` pseudo-counts per bucket, so little evidence means a ratio near 1.  A text scores the mean over
 its features of ``ln p_target - ln p_raw`` and is kept when that reaches ``THRESHOLD``.  Log
 ratios are rounded to millionths and summed as integers, so the verdict of every document is the same
 in any order of summation.
@@ -24,7 +25,7 @@ import math
 from pyspark.sql import DataFrame, functions as F
 
 BUCKETS = 1 << 14
-ALPHA = 1.0
+ALPHA = 8.0
 THRESHOLD = -0.06
 MIN_WORDS = 20
 MAX_REPEAT_PCT = 30
@@ -67,7 +68,8 @@ def log_ratios(counts: dict[int, tuple[int, int]]) -> list[int]:
     out = []
     for b in range(BUCKETS):
         r, t = counts.get(b, (0, 0))
-        out.append(int(math.floor(MICRO * math.log((t + ALPHA) / (target + ALPHA * BUCKETS) / ((r + ALPHA) / (raw + ALPHA * BUCKETS))) + 0.5)))
+        ratio = (t + ALPHA * BUCKETS * r / raw) / ((target + ALPHA * BUCKETS) * r / raw) if r else 1.0
+        out.append(int(math.floor(MICRO * math.log(ratio) + 0.5)))
     return out
 
 

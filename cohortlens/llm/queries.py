@@ -57,7 +57,7 @@ f AS (SELECT g.doc_id, b.b, count(*) AS n FROM g JOIN b USING (g) GROUP BY 1, 2)
 q AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
 c AS (SELECT b, sum(n) AS r, sum(n) FILTER (WHERE q.doc_id IS NOT NULL) AS t FROM f LEFT JOIN q USING (doc_id) GROUP BY 1),
 tot AS (SELECT sum(r)::DOUBLE AS r, coalesce(sum(t), 0)::DOUBLE AS t FROM c),
-lr AS (SELECT b, CASE WHEN tot.t = 0 THEN 0 ELSE floor(1000000 * ln((coalesce(c.t, 0) + 1.0::DOUBLE) / (tot.t + 16384) / ((c.r + 1.0::DOUBLE) / (tot.r + 16384))) + 0.5)::BIGINT END AS v FROM c, tot),
+lr AS (SELECT b, CASE WHEN tot.t = 0 THEN 0 ELSE floor(1000000 * ln((coalesce(c.t, 0) + 131072.0::DOUBLE * c.r / tot.r) / ((tot.t + 131072.0::DOUBLE) * c.r / tot.r)) + 0.5)::BIGINT END AS v FROM c, tot),
 s AS (SELECT doc_id, sum(n * v)::BIGINT AS log_ratio, sum(n)::BIGINT AS n_features FROM f JOIN lr USING (b) GROUP BY 1),
 m AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
       coalesce(dl.n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(rw.n_repeat_words, 0)::BIGINT AS n_repeat_words,
