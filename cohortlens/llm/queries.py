@@ -148,6 +148,12 @@ def op7_line_dedup(spark, sf_dir):
     return dedup_lines(read(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
 
+@query("op8_pii")
+def op8_pii(spark, sf_dir):
+    from cohortlens.llm.op8_pii import find_pii
+    return find_pii(read(spark, sf_dir, "documents"))
+
+
 @query("op9_sentencepiece")
 def op9_sentencepiece(spark, sf_dir):
     from cohortlens.llm.op9_sentencepiece import encode
