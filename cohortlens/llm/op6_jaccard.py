@@ -11,8 +11,9 @@ documents link when ``100 |A & B| >= threshold_pct |A | B|``.
   ``n - ceil(t n) + 1``; linked sets share a prefix shingle.  Documents with identical
   sets are one node; nodes with identical prefix and size are one group and post their
   prefix once.
-* **Filters.**  Size, position of the shared shingle, and an exact bound from 16-bin
-  histograms of the sets (``|A ^ B| >= sum |a_i - b_i|``) drop pairs before any set is read.
+* **Filters.**  Size, position of the shared shingle, and an exact bound from histograms of the
+  sets (``|A ^ B| >= sum |a_i - b_i|``) drop pairs before any set is read: 32 bins inside the
+  join, then bins in proportion to the set size.
 * **Expand and verify.**  What is asked for is the components, so pairs inside one
   component need no look.  Star rounds verify members against their group's first
   node, groups against pivots of each shared shingle's groups, then nodes against
@@ -33,7 +34,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from cohortlens.llm.components import components
 from cohortlens.llm.textops import codepoints, lower_ascii, mix, word_hashes
@@ -41,7 +42,8 @@ from cohortlens.session import materialize
 
 BUCKETS = 1 << 20
 _CHUNKS = 256
-BINS = 16
+BINS = 32
+FINE = 64                     # finer histogram: this many bins for up to 4,096 shingles, doubled with the size
 BROADCAST_IDS = 1_000_000     # ids (8 bytes each) a side may have to be broadcast; larger ones are joined by shuffle
 PIVOTS = 6
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
@@ -107,16 +109,20 @@ def frequency_classes(docs: DataFrame, q: int) -> np.ndarray:
     return np.where(over > 1, np.ceil(np.log2(np.maximum(over, 1))), 0).astype(np.uint8)
 
 
-_PROFILE = "doc_id long, th long, n long, sid long, gkey long, hist array<int>, prefix array<long>"
+_PROFILE = "doc_id long, th long, n long, sid long, gkey long, hist array<int>, fine binary, prefix array<long>"
+
+
+def fine_bins(n: int) -> int:
+    return FINE << max(0, (n - 1).bit_length() - 12)
 
 
 def _profile(q: int, pct: int, classes: np.ndarray):
     schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("gkey", pa.int64()),
-                        ("hist", pa.list_(pa.int32())), ("prefix", pa.list_(pa.int64()))])
+                        ("hist", pa.list_(pa.int32())), ("fine", pa.binary()), ("prefix", pa.list_(pa.int64()))])
 
     def run(batches):
         for b in batches:
-            n, sid, gkey, hist, prefix = [], [], [], [], []
+            n, sid, gkey, hist, fine, prefix = [], [], [], [], [], []
             for text in b.column("text").to_pylist():
                 s = shingles(text, q)
                 k = len(s)
@@ -125,6 +131,7 @@ def _profile(q: int, pct: int, classes: np.ndarray):
                     sid.append(0)
                     gkey.append(0)
                     hist.append([])
+                    fine.append(b"")
                     prefix.append([])
                     continue
                 cls = classes[(s >> np.uint64(44)).astype(np.int64)]
@@ -133,9 +140,11 @@ def _profile(q: int, pct: int, classes: np.ndarray):
                 sid.append(int(mix((mix(s ^ np.uint64(k)) * weight).sum(keepdims=True, dtype=np.uint64)).view(np.int64)[0]))
                 gkey.append(int(mix((mix(first) * weight[:len(first)]).sum(keepdims=True, dtype=np.uint64) + np.uint64(k)).view(np.int64)[0]))
                 hist.append(np.bincount((s & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS).astype(np.int32))
+                bins = fine_bins(k)
+                fine.append(np.bincount(((s >> np.uint64(8)) & np.uint64(bins - 1)).astype(np.int64), minlength=bins).astype(np.uint16).tobytes())
                 prefix.append(first.view(np.int64))
             yield pa.record_batch([b.column("doc_id"), b.column("th"), pa.array(n, pa.int64()), pa.array(sid, pa.int64()),
-                                   pa.array(gkey, pa.int64()), pa.array(hist, pa.list_(pa.int32())),
+                                   pa.array(gkey, pa.int64()), pa.array(hist, pa.list_(pa.int32())), pa.array(fine, pa.binary()),
                                    pa.array(prefix, pa.list_(pa.int64()))], schema=schema)
     return run
 
@@ -167,6 +176,28 @@ def _close(a: str, b: str, pct: int):
             & (gap * (100 + pct) <= (100 - pct) * (na + nb)))
 
 
+def _fine_filter(pct: int):
+    """Keeps the pairs that pass the histogram bound with bins in proportion to their sizes."""
+    def run(batches):
+        for b in batches:
+            keep = []
+            for na, nb, x, y in zip(b.column("na").to_pylist(), b.column("nb").to_pylist(), b.column("fa").to_pylist(), b.column("fb").to_pylist()):
+                x, y = np.frombuffer(x, dtype=np.uint16).astype(np.int64), np.frombuffer(y, dtype=np.uint16).astype(np.int64)
+                w = min(len(x), len(y))     # the finer one folds onto the coarser one
+                gap = int(np.abs(x.reshape(-1, w).sum(axis=0) - y.reshape(-1, w).sum(axis=0)).sum())
+                keep.append(gap * (100 + pct) <= (100 - pct) * (na + nb))
+            yield b.filter(pa.array(keep, pa.bool_())).select(["a", "b", "ta", "tb"])
+    return run
+
+
+def _pairs(joined: DataFrame, pct: int) -> DataFrame:
+    """Distinct node pairs of ``x`` and ``y`` (structs of nodes) that pass all filters."""
+    close = joined.where(_close("x", "y", pct)).select(
+        F.col("x.sid").alias("a"), F.col("y.sid").alias("b"), F.col("x.th").alias("ta"), F.col("y.th").alias("tb"),
+        F.col("x.n").alias("na"), F.col("y.n").alias("nb"), F.col("x.fine").alias("fa"), F.col("y.fine").alias("fb"))
+    return close.mapInArrow(_fine_filter(pct), "a long, b long, ta long, tb long").distinct()
+
+
 def _verify(docs: DataFrame, pairs: DataFrame, q: int, pct: int) -> DataFrame:
     """Of ``pairs(a, b, ta, tb)`` (nodes and a text hash of each) those that link, by whole sets."""
     spark = docs.sparkSession
@@ -186,11 +217,9 @@ def _verify(docs: DataFrame, pairs: DataFrame, q: int, pct: int) -> DataFrame:
     return both.where(F.col("i") * 100 >= (F.col("na") + F.col("nb") - F.col("i")) * pct).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def _labelled(nodes: DataFrame, links: DataFrame | None) -> DataFrame:
+def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """``nodes`` with the component of each (itself where it has no link)."""
-    if links is None:
-        return nodes.withColumn("comp", F.col("sid"))
-    return (nodes.drop("comp").join(components(links).withColumnRenamed("v", "sid"), "sid", "left")
+    return (nodes.join(components(links).withColumnRenamed("v", "sid"), "sid", "left")
                  .withColumn("comp", F.coalesce("comp", "sid")))
 
 
@@ -229,76 +258,70 @@ def _components(docs: DataFrame, q: int, threshold_pct: int) -> DataFrame:
     classes = frequency_classes(docs, q)
     rows = materialize(docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(_profile(q, pct, classes), _PROFILE))
     full = rows.where(F.col("n") > 0)
-    nodes = materialize(full.select("sid", "th", "n", "gkey", "hist").dropDuplicates(["sid"]))
     groups = full.select("gkey", "n", "prefix").dropDuplicates(["gkey"])
 
     # postings of groups: one exchange by shingle serves the count per shingle and the join with it
     post = groups.select("gkey", "n", F.posexplode("prefix").alias("pos", "tok")).repartition("tok")
     toks = (post.groupBy("tok").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("n", "gkey")).alias("first"))
                 .where(F.col("m") > 1).select("tok", F.col("first.gkey").alias("pivot")))
-    shared = materialize(post.join(toks, "tok").select("tok", "gkey", "n", "pos", "pivot"))
+    shared = materialize(post.join(toks, "tok").select("tok", "gkey", "pos", "pivot"))
 
-    node = F.struct("sid", "th", "n", "hist")
-    reps = nodes.groupBy("gkey").agg(F.min("sid").alias("rep"), F.count(F.lit(1)).alias("m"))
-    first = nodes.join(reps.select(F.col("rep").alias("sid")), "sid", "left_semi").select("gkey", node.alias("x"))
+    # nodes (distinct sets) of the groups that share a shingle or have several members
+    sizes = full.select("gkey", "sid").distinct().groupBy("gkey").agg(F.min("sid").alias("rep"), F.count(F.lit(1)).alias("m"))
+    wanted = sizes.join(shared.select("gkey", F.lit(True).alias("posted")).distinct(), "gkey", "left").where(F.col("posted") | (F.col("m") > 1))
+    nodes = materialize(full.join(wanted.select("gkey", "rep"), "gkey").select("sid", "th", "n", "gkey", "hist", "fine", "rep").dropDuplicates(["sid"]))
+    node = F.struct("sid", "th", "n", "hist", "fine").alias("x")
 
     # star rounds: group members with their group's first node, groups with the first group of each shared shingle
+    first = nodes.where(F.col("sid") == F.col("rep")).select("gkey", node)
     cross = (shared.where(F.col("gkey") != F.col("pivot")).select("gkey", "pivot").distinct()
                    .join(first, "gkey").join(first.select(F.col("gkey").alias("pivot"), F.col("x").alias("y")), "pivot"))
-    within = (nodes.join(reps.where(F.col("m") > 1), "gkey").where(F.col("sid") != F.col("rep"))
-                   .select(F.col("gkey"), node.alias("x")).join(first.select("gkey", F.col("x").alias("y")), "gkey"))
-    pairs = cross.select("x", "y").union(within.select("x", "y")).where(_close("x", "y", pct))
-    flat = [F.col("x.sid").alias("a"), F.col("y.sid").alias("b"), F.col("x.th").alias("ta"), F.col("y.th").alias("tb")]
-    links = materialize(_verify(docs, pairs.select(*flat), q, pct))
-    labels = materialize(_labelled(nodes, links))
-
-    for seed in range(2):
-        seats = _seats(shared, reps, labels)
-        # several random pivots per shingle that still spans components
-        pick = [F.min_by(F.struct("sid", "th", "n", "hist", "comp"), F.xxhash64("sid", F.lit(seed * PIVOTS + k))).alias(f"p{k}")
-                for k in range(PIVOTS)]
-        pivots = seats.groupBy("tok").agg(*pick).select("tok", F.explode(F.array(*[f"p{k}" for k in range(PIVOTS)])).alias("y")).distinct()
-        pairs = (seats.select("tok", F.struct("sid", "th", "n", "hist", "comp").alias("x")).join(pivots, "tok")
-                      .where((F.col("x.comp") != F.col("y.comp")) & _close("x", "y", pct)))
-        more = materialize(_verify(docs, pairs.select(*flat).distinct(), q, pct))
-        found = more.count()
-        links = materialize(links.union(more))
-        labels = materialize(_labelled(nodes, links))
-        if not found:
+    within = (nodes.where(F.col("sid") != F.col("rep")).select("gkey", node).join(first.select("gkey", F.col("x").alias("y")), "gkey"))
+    links = materialize(_verify(docs, _pairs(cross.select("x", "y").union(within.select("x", "y")), pct), q, pct))
+    labels = materialize(_labelled(nodes.select("sid", "gkey"), links))
+
+    for seed in range(3):
+        # several random pivots per shingle whose postings still span components
+        seats = _seats(shared, labels)
+        pick = [F.min_by(F.struct("sid", "comp"), F.xxhash64("sid", F.lit(seed * PIVOTS + k))).alias(f"p{k}") for k in range(PIVOTS)]
+        pivots = seats.groupBy("tok").agg(*pick).select("tok", F.explode(F.array(*[f"p{k}" for k in range(PIVOTS)])).alias("p")).distinct()
+        found = (seats.join(pivots, "tok").where(F.col("comp") != F.col("p.comp")).select("sid", F.col("p.sid").alias("other")).distinct())
+        more = materialize(_verify(docs, _pairs(_with_nodes(found, nodes, node), pct), q, pct))
+        if more.isEmpty():
             break
+        links = materialize(links.union(more))
+        labels = materialize(_labelled(nodes.select("sid", "gkey"), links))
 
     # closing round: every candidate pair of nodes that lie in different components
-    seats = materialize(_seats(shared, reps, labels).select("tok", "pos", F.struct("sid", "th", "n", "hist", "comp").alias("x")))
-    other = seats.select("tok", F.col("pos").alias("qos"), F.col("x").alias("y"))
-    room = 1 + F.least(F.col("x.n") - F.col("pos"), F.col("y.n") - F.col("qos"))   # shared shingles from here on, and one to spare
-    before = F.least(F.col("pos"), F.col("qos"))
-    inside = (seats.join(other, "tok")
-                   .where((F.col("x.sid") < F.col("y.sid")) & (F.col("x.comp") != F.col("y.comp"))
-                          & ((room + before) * (100 + pct) >= pct * (F.col("x.n") + F.col("y.n"))) & _close("x", "y", pct))
-                   .select(*flat))
-    grouped = _within(nodes, reps, labels)
-    same = (grouped.select("gkey", "x").join(grouped.select("gkey", F.col("x").alias("y")), "gkey")
-                   .where((F.col("x.sid") < F.col("y.sid")) & (F.col("x.comp") != F.col("y.comp")) & _close("x", "y", pct)).select(*flat))
-    more = materialize(_verify(docs, inside.union(same).distinct(), q, pct))
-    if more.count():
-        labels = materialize(_labelled(nodes, links.union(more)))
-
-    placed = rows.select("doc_id", "th", F.col("n").alias("n_shingles"), "sid").join(labels.select("sid", "comp"), "sid", "left")
+    seats = materialize(_seats(shared, labels).join(nodes.select("sid", node), "sid").select("tok", "pos", "comp", "x"))
+    other = seats.select("tok", F.col("pos").alias("qos"), F.col("comp").alias("comp2"), F.col("x").alias("y"))
+    both = F.least("pos", "qos") + F.least(F.col("x.n") - F.col("pos"), F.col("y.n") - F.col("qos"))    # most that can be shared
+    inside = (seats.join(other, "tok").where((F.col("x.sid") < F.col("y.sid")) & (F.col("comp") != F.col("comp2"))
+                                             & (both * (100 + pct) >= pct * (F.col("x.n") + F.col("y.n"))) & _close("x", "y", pct)).select("x", "y"))
+    open_ = (labels.groupBy("gkey").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi")).select("gkey"))
+    member = labels.join(open_, "gkey", "left_semi").join(nodes.select("sid", node), "sid").select("gkey", "comp", "x")
+    same = (member.join(member.select("gkey", F.col("comp").alias("comp2"), F.col("x").alias("y")), "gkey")
+                  .where((F.col("x.sid") < F.col("y.sid")) & (F.col("comp") != F.col("comp2")) & _close("x", "y", pct)).select("x", "y"))
+    more = materialize(_verify(docs, _pairs(inside.union(same), pct), q, pct))
+    if not more.isEmpty():
+        labels = materialize(_labelled(nodes.select("sid", "gkey"), links.union(more)))
+
+    placed = (rows.select("doc_id", "th", F.col("n").alias("n_shingles"), "sid").join(labels.select("sid", "comp"), "sid", "left")
+                  .withColumn("comp", F.coalesce("comp", "sid")))
     names = placed.where(F.col("n_shingles") > 0).groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     return (placed.join(names, "comp", "left")
                   .select("doc_id", "th", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
 
 
-def _seats(shared: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
-    """Nodes at the shingles whose postings still span several components."""
+def _seats(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """``tok, pos, sid, comp``: nodes at the shingles whose postings still span several components."""
     spans = labels.groupBy("gkey").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     at = shared.select("tok", "gkey", "pos").join(spans, "gkey")
     open_ = (at.groupBy("tok").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where(F.col("lo") != F.col("hi")).select("tok"))
-    return at.select("tok", "gkey", "pos").join(open_, "tok", "left_semi").join(labels.select("gkey", "sid", "th", "n", "hist", "comp"), "gkey")
+    return at.select("tok", "gkey", "pos").join(open_, "tok", "left_semi").join(labels, "gkey").select("tok", "pos", "sid", "comp")
 
 
-def _within(nodes: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of the groups that still span several components."""
-    open_ = (labels.groupBy("gkey").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-                   .where(F.col("lo") != F.col("hi")).select("gkey"))
-    return labels.join(open_, "gkey", "left_semi").select("gkey", F.struct("sid", "th", "n", "hist", "comp").alias("x"))
+def _with_nodes(pairs: DataFrame, nodes: DataFrame, node) -> DataFrame:
+    """``x, y`` of the nodes ``sid`` and ``other``."""
+    at = nodes.select("sid", node)
+    return (pairs.join(at, "sid").join(at.select(F.col("sid").alias("other"), F.col("x").alias("y")), "other").select("x", "y"))
