@@ -46,6 +46,7 @@ BINS = 32
 FINE = 64                     # finer histogram: this many bins for up to 4,096 shingles, doubled with the size
 BROADCAST_IDS = 1_000_000     # ids (8 bytes each) a side may have to be broadcast; larger ones are joined by shuffle
 PIVOTS = 6
+DENSE = 32          # pivot rounds look at shingles of this many groups or more; the closing round at all
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
                   0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
@@ -109,7 +110,8 @@ def frequency_classes(docs: DataFrame, q: int) -> np.ndarray:
     return np.where(over > 1, np.ceil(np.log2(np.maximum(over, 1))), 0).astype(np.uint8)
 
 
-_PROFILE = "doc_id long, th long, n long, sid long, gkey long, hist array<int>, fine binary, prefix array<long>"
+_HIST = [f"h{i}" for i in range(BINS // 8)]      # 32 bins of one byte each, packed into longs
+_PROFILE = f"doc_id long, th long, n long, sid long, gkey long, {', '.join(h + ' long' for h in _HIST)}, fine binary, prefix array<long>"
 
 
 def fine_bins(n: int) -> int:
@@ -118,7 +120,7 @@ def fine_bins(n: int) -> int:
 
 def _profile(q: int, pct: int, classes: np.ndarray):
     schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("gkey", pa.int64()),
-                        ("hist", pa.list_(pa.int32())), ("fine", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+                        *((h, pa.int64()) for h in _HIST), ("fine", pa.binary()), ("prefix", pa.list_(pa.int64()))])
 
     def run(batches):
         for b in batches:
@@ -130,7 +132,7 @@ def _profile(q: int, pct: int, classes: np.ndarray):
                 if not k:
                     sid.append(0)
                     gkey.append(0)
-                    hist.append([])
+                    hist.append(np.zeros(len(_HIST), dtype=np.int64))
                     fine.append(b"")
                     prefix.append([])
                     continue
@@ -139,12 +141,13 @@ def _profile(q: int, pct: int, classes: np.ndarray):
                 weight = np.arange(1, k + 1, dtype=np.uint64)
                 sid.append(int(mix((mix(s ^ np.uint64(k)) * weight).sum(keepdims=True, dtype=np.uint64)).view(np.int64)[0]))
                 gkey.append(int(mix((mix(first) * weight[:len(first)]).sum(keepdims=True, dtype=np.uint64) + np.uint64(k)).view(np.int64)[0]))
-                hist.append(np.bincount((s & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS).astype(np.int32))
+                # saturated bins differ by no more than the true ones: the bound stays a bound
+                hist.append(np.minimum(np.bincount((s & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).view(np.int64))
                 bins = fine_bins(k)
                 fine.append(np.bincount(((s >> np.uint64(8)) & np.uint64(bins - 1)).astype(np.int64), minlength=bins).astype(np.uint16).tobytes())
                 prefix.append(first.view(np.int64))
             yield pa.record_batch([b.column("doc_id"), b.column("th"), pa.array(n, pa.int64()), pa.array(sid, pa.int64()),
-                                   pa.array(gkey, pa.int64()), pa.array(hist, pa.list_(pa.int32())), pa.array(fine, pa.binary()),
+                                   pa.array(gkey, pa.int64()), *(pa.array([h[i] for h in hist], pa.int64()) for i in range(len(_HIST))), pa.array(fine, pa.binary()),
                                    pa.array(prefix, pa.list_(pa.int64()))], schema=schema)
     return run
 
@@ -169,8 +172,10 @@ def _close(a: str, b: str, pct: int):
     """Size and histogram filters on two node structs: necessary for a link."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
     gap = F.lit(0)
-    for i in range(BINS):
-        gap = gap + F.abs(F.col(f"{a}.hist")[i] - F.col(f"{b}.hist")[i])
+    for h in _HIST:
+        for at in range(0, 64, 8):
+            x, y = (F.shiftrightunsigned(F.col(f"{s}.{h}"), at).bitwiseAND(F.lit(255)) for s in (a, b))
+            gap = gap + F.abs(x - y)
     # |A ^ B| <= (1 - t) / (1 + t) (|A| + |B|)
     return ((F.least(na, nb) * 100 >= F.greatest(na, nb) * pct)
             & (gap * (100 + pct) <= (100 - pct) * (na + nb)))
@@ -190,12 +195,13 @@ def _fine_filter(pct: int):
     return run
 
 
-def _pairs(joined: DataFrame, pct: int) -> DataFrame:
-    """Distinct node pairs of ``x`` and ``y`` (structs of nodes) that pass all filters."""
-    close = joined.where(_close("x", "y", pct)).select(
-        F.col("x.sid").alias("a"), F.col("y.sid").alias("b"), F.col("x.th").alias("ta"), F.col("y.th").alias("tb"),
-        F.col("x.n").alias("na"), F.col("y.n").alias("nb"), F.col("x.fine").alias("fa"), F.col("y.fine").alias("fb"))
-    return close.mapInArrow(_fine_filter(pct), "a long, b long, ta long, tb long").distinct()
+def _attached(pairs: DataFrame, nodes: DataFrame, pct: int) -> DataFrame:
+    """Node pairs ``a, b`` that pass the fine histograms, with the text hash of each."""
+    at = nodes.select("sid", "th", "n", "fine")
+    left = at.select(F.col("sid").alias("a"), F.col("th").alias("ta"), F.col("n").alias("na"), F.col("fine").alias("fa"))
+    right = at.select(F.col("sid").alias("b"), F.col("th").alias("tb"), F.col("n").alias("nb"), F.col("fine").alias("fb"))
+    return (pairs.select("a", "b").distinct().join(left, "a").join(right, "b")
+                 .mapInArrow(_fine_filter(pct), "a long, b long, ta long, tb long"))
 
 
 def _verify(docs: DataFrame, pairs: DataFrame, q: int, pct: int) -> DataFrame:
@@ -261,48 +267,54 @@ def _components(docs: DataFrame, q: int, threshold_pct: int) -> DataFrame:
     groups = full.select("gkey", "n", "prefix").dropDuplicates(["gkey"])
 
     # postings of groups: one exchange by shingle serves the count per shingle and the join with it
-    post = groups.select("gkey", "n", F.posexplode("prefix").alias("pos", "tok")).repartition("tok")
+    before = F.concat(F.array(F.lit(0).cast("long")), F.slice("prefix", F.lit(1), F.size("prefix") - 1))
+    post = (groups.select("gkey", "n", F.posexplode(F.arrays_zip(F.col("prefix").alias("tok"), before.alias("prev"))).alias("pos", "e"))
+                  .select("gkey", "n", "pos", "e.tok", "e.prev").repartition("tok"))
     toks = (post.groupBy("tok").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("n", "gkey")).alias("first"))
-                .where(F.col("m") > 1).select("tok", F.col("first.gkey").alias("pivot")))
-    shared = materialize(post.join(toks, "tok").select("tok", "gkey", "pos", "pivot"))
+                .where(F.col("m") > 1).select("tok", F.col("first").alias("pivot")))
+    shared = materialize(post.join(toks, "tok").select("tok", "gkey", "n", "pos", "prev", "pivot"))
 
     # nodes (distinct sets) of the groups that share a shingle or have several members
     sizes = full.select("gkey", "sid").distinct().groupBy("gkey").agg(F.min("sid").alias("rep"), F.count(F.lit(1)).alias("m"))
     wanted = sizes.join(shared.select("gkey", F.lit(True).alias("posted")).distinct(), "gkey", "left").where(F.col("posted") | (F.col("m") > 1))
-    nodes = materialize(full.join(wanted.select("gkey", "rep"), "gkey").select("sid", "th", "n", "gkey", "hist", "fine", "rep").dropDuplicates(["sid"]))
-    node = F.struct("sid", "th", "n", "hist", "fine").alias("x")
+    nodes = materialize(full.join(wanted.select("gkey", "rep"), "gkey").select("sid", "th", "n", "gkey", *_HIST, "fine", "rep").dropDuplicates(["sid"]))
+    node = F.struct("sid", "n", *_HIST)
+    pair = [F.col("x.sid").alias("a"), F.col("y.sid").alias("b")]
 
     # star rounds: group members with their group's first node, groups with the first group of each shared shingle
-    first = nodes.where(F.col("sid") == F.col("rep")).select("gkey", node)
-    cross = (shared.where(F.col("gkey") != F.col("pivot")).select("gkey", "pivot").distinct()
+    first = nodes.where(F.col("sid") == F.col("rep")).select("gkey", node.alias("x"))
+    close = (F.col("n") * 100 >= F.col("pivot.n") * pct) & (F.col("pivot.n") * 100 >= F.col("n") * pct)
+    cross = (shared.where((F.col("gkey") != F.col("pivot.gkey")) & close).select("gkey", F.col("pivot.gkey").alias("pivot")).distinct()
                    .join(first, "gkey").join(first.select(F.col("gkey").alias("pivot"), F.col("x").alias("y")), "pivot"))
-    within = (nodes.where(F.col("sid") != F.col("rep")).select("gkey", node).join(first.select("gkey", F.col("x").alias("y")), "gkey"))
-    links = materialize(_verify(docs, _pairs(cross.select("x", "y").union(within.select("x", "y")), pct), q, pct))
+    within = nodes.where(F.col("sid") != F.col("rep")).select("gkey", node.alias("x")).join(first.select("gkey", F.col("x").alias("y")), "gkey")
+    pairs = cross.select("x", "y").union(within.select("x", "y")).where(_close("x", "y", pct)).select(*pair)
+    links = materialize(_verify(docs, _attached(pairs, nodes, pct), q, pct))
     labels = materialize(_labelled(nodes.select("sid", "gkey"), links))
 
     for seed in range(3):
         # several random pivots per shingle whose postings still span components
-        seats = _seats(shared, labels)
-        pick = [F.min_by(F.struct("sid", "comp"), F.xxhash64("sid", F.lit(seed * PIVOTS + k))).alias(f"p{k}") for k in range(PIVOTS)]
-        pivots = seats.groupBy("tok").agg(*pick).select("tok", F.explode(F.array(*[f"p{k}" for k in range(PIVOTS)])).alias("p")).distinct()
-        found = (seats.join(pivots, "tok").where(F.col("comp") != F.col("p.comp")).select("sid", F.col("p.sid").alias("other")).distinct())
-        more = materialize(_verify(docs, _pairs(_with_nodes(found, nodes, node), pct), q, pct))
+        seats = _seats(shared, labels, nodes, node, DENSE)
+        pick = [F.min_by(F.struct("comp", "pos", "x"), F.xxhash64("x.sid", F.lit(seed * PIVOTS + k))).alias(f"p{k}") for k in range(PIVOTS)]
+        pivots = (seats.groupBy("tok").agg(*pick).select("tok", F.explode(F.array(*[f"p{k}" for k in range(PIVOTS)])).alias("p"))
+                       .select("tok", F.col("p.pos").alias("qos"), F.col("p.comp").alias("comp2"), F.col("p.x").alias("y")).distinct())
+        pairs = seats.join(pivots, "tok").where(_candidate(pct)).select(*pair)
+        more = materialize(_verify(docs, _attached(pairs, nodes, pct), q, pct))
         if more.isEmpty():
             break
         links = materialize(links.union(more))
         labels = materialize(_labelled(nodes.select("sid", "gkey"), links))
 
     # closing round: every candidate pair of nodes that lie in different components
-    seats = materialize(_seats(shared, labels).join(nodes.select("sid", node), "sid").select("tok", "pos", "comp", "x"))
-    other = seats.select("tok", F.col("pos").alias("qos"), F.col("comp").alias("comp2"), F.col("x").alias("y"))
-    both = F.least("pos", "qos") + F.least(F.col("x.n") - F.col("pos"), F.col("y.n") - F.col("qos"))    # most that can be shared
-    inside = (seats.join(other, "tok").where((F.col("x.sid") < F.col("y.sid")) & (F.col("comp") != F.col("comp2"))
-                                             & (both * (100 + pct) >= pct * (F.col("x.n") + F.col("y.n"))) & _close("x", "y", pct)).select("x", "y"))
+    seats = _seats(shared, labels, nodes, node, 2).repartition("tok")
+    other = seats.select("tok", F.col("pos").alias("qos"), F.col("prev").alias("qrev"), F.col("comp").alias("comp2"), F.col("x").alias("y"))
+    # where the shingle before is shared too, the pair is met there: it comes once per run of shared shingles
+    again = (F.col("pos") > 0) & (F.col("qos") > 0) & (F.col("prev") == F.col("qrev"))
+    inside = seats.join(other, "tok").where((F.col("x.sid") < F.col("y.sid")) & ~again & _candidate(pct)).select(*pair)
     open_ = (labels.groupBy("gkey").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi")).select("gkey"))
-    member = labels.join(open_, "gkey", "left_semi").join(nodes.select("sid", node), "sid").select("gkey", "comp", "x")
+    member = labels.join(open_, "gkey", "left_semi").join(nodes.select("sid", node.alias("x")), "sid").select("gkey", "comp", "x")
     same = (member.join(member.select("gkey", F.col("comp").alias("comp2"), F.col("x").alias("y")), "gkey")
-                  .where((F.col("x.sid") < F.col("y.sid")) & (F.col("comp") != F.col("comp2")) & _close("x", "y", pct)).select("x", "y"))
-    more = materialize(_verify(docs, _pairs(inside.union(same), pct), q, pct))
+                  .where((F.col("x.sid") < F.col("y.sid")) & (F.col("comp") != F.col("comp2")) & _close("x", "y", pct)).select(*pair))
+    more = materialize(_verify(docs, _attached(inside.union(same), nodes, pct), q, pct))
     if not more.isEmpty():
         labels = materialize(_labelled(nodes.select("sid", "gkey"), links.union(more)))
 
@@ -313,15 +325,17 @@ def _components(docs: DataFrame, q: int, threshold_pct: int) -> DataFrame:
                   .select("doc_id", "th", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
 
 
-def _seats(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """``tok, pos, sid, comp``: nodes at the shingles whose postings still span several components."""
-    spans = labels.groupBy("gkey").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    at = shared.select("tok", "gkey", "pos").join(spans, "gkey")
-    open_ = (at.groupBy("tok").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where(F.col("lo") != F.col("hi")).select("tok"))
-    return at.select("tok", "gkey", "pos").join(open_, "tok", "left_semi").join(labels, "gkey").select("tok", "pos", "sid", "comp")
+def _candidate(pct: int):
+    """Of ``x`` at ``pos`` and ``y`` at ``qos`` of one shingle: different components, and size, position and histogram allow a link."""
+    most = F.least("pos", "qos") + F.least(F.col("x.n") - F.col("pos"), F.col("y.n") - F.col("qos"))    # that can be shared
+    return (F.col("comp") != F.col("comp2")) & (most * (100 + pct) >= pct * (F.col("x.n") + F.col("y.n"))) & _close("x", "y", pct)
 
 
-def _with_nodes(pairs: DataFrame, nodes: DataFrame, node) -> DataFrame:
-    """``x, y`` of the nodes ``sid`` and ``other``."""
-    at = nodes.select("sid", node)
-    return (pairs.join(at, "sid").join(at.select(F.col("sid").alias("other"), F.col("x").alias("y")), "other").select("x", "y"))
+def _seats(shared: DataFrame, labels: DataFrame, nodes: DataFrame, node, least: int) -> DataFrame:
+    """``tok, pos, prev, comp, x``: nodes at the shingles that span several components and have ``least`` groups or more."""
+    spans = labels.groupBy("gkey").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    at = shared.select("tok", "gkey", "pos", "prev").join(spans, "gkey")
+    open_ = (at.groupBy("tok").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count(F.lit(1)).alias("m"))
+               .where((F.col("lo") != F.col("hi")) & (F.col("m") >= least)).select("tok"))
+    who = labels.join(nodes.select("sid", node.alias("x")), "sid").select("gkey", "comp", "x")
+    return at.select("tok", "gkey", "pos", "prev").join(open_, "tok", "left_semi").join(who, "gkey").select("tok", "pos", "prev", "comp", "x")
