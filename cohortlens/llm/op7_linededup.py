@@ -60,6 +60,11 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """Every row of ``docs`` with its boilerplate lines removed, and ``n_lines``, ``n_removed``."""
+    out = _cleaned(docs.drop("n_lines", "n_removed"), min_sites)
+    return out.withColumnRenamed("_n_lines", "n_lines").withColumnRenamed("_n_removed", "n_removed")
+
+
+def _cleaned(docs: DataFrame, min_sites: int) -> DataFrame:
     wide = boilerplate(docs, min_sites).select("h", "h2", F.col("id").alias("id0"), F.col("pos").alias("pos0"))
     drop = (line_sites(docs).join(wide, ["h", "h2"])
             .where(F.col("id").isNotNull() & ~((F.col("id") == F.col("id0")) & (F.col("pos") == F.col("pos0"))))
@@ -68,8 +73,8 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_drop"))
     same = (F.col("_id0") == F.col("_id")) & (F.col("_th0") == F.col("_th"))     # a repeated doc_id with another text is another row
     out = (docs.withColumn("_id0", F.col("doc_id").cast("long")).withColumn("_th0", F.xxhash64("text")).join(drop, same, "left")
-               .withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)))
-               .withColumn("n_removed", F.when(F.col("_drop").isNull() | F.col("text").isNull(), 0).otherwise(F.size("_drop"))))
+               .withColumn("_n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)))
+               .withColumn("_n_removed", F.when(F.col("_drop").isNull() | F.col("text").isNull(), 0).otherwise(F.size("_drop"))))
     cleaned = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(
         F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
     return out.withColumn("text", cleaned).drop("_id", "_id0", "_th", "_th0", "_drop")
@@ -78,7 +83,7 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """``docs`` with cleaned texts (and their lengths); a row whose every word was boilerplate that
     stays elsewhere goes, all others stay."""
-    out = dedup_lines(docs, min_sites).where((F.col("n_removed") == 0) | F.col("text").rlike(WORD))
+    out = _cleaned(docs, min_sites).where((F.col("_n_removed") == 0) | F.col("text").rlike(WORD))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
