@@ -1,9 +1,14 @@
-"""Tail probabilities of the F, chi-squared and normal distributions.
+"""Tail probabilities of the F, t, chi-squared and normal distributions.
 
 Applied only to small statistic tables (one row per feature or test) as
-Arrow-batched pandas UDFs.  The special functions are the textbook
-continued-fraction / series forms of the regularised incomplete beta and
-gamma functions (Numerical Recipes, ch. 6), accurate to ~1e-12.
+Arrow-batched pandas UDFs.
+
+Both regularised incomplete functions are written as a leading density term
+times a continued fraction.  The term is built from deviances
+(``a (log(1+d) - d)`` and ``a log(x/p)``) and Stirling corrections, never from
+differences of large log-gammas, so it keeps its digits for any degrees of
+freedom.  The fractions run until they settle: about the square root of the
+parameter in steps, so there is no cap on them.
 """
 
 from __future__ import annotations
@@ -14,96 +19,131 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
-_EPS = 1e-15
-_FPMIN = 1e-300
-_MAXIT = 500
-
-
-def _betacf(a: float, b: float, x: float) -> float:
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c, d = 1.0, 1.0 - qab * x / qap
-    d = 1.0 / (d if abs(d) > _FPMIN else _FPMIN)
-    h = d
-    for m in range(1, _MAXIT + 1):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > _FPMIN else _FPMIN)
-        c = 1.0 + aa / c
-        c = c if abs(c) > _FPMIN else _FPMIN
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > _FPMIN else _FPMIN)
-        c = 1.0 + aa / c
-        c = c if abs(c) > _FPMIN else _FPMIN
-        de = d * c
-        h *= de
-        if abs(de - 1.0) < _EPS:
-            break
-    return h
-
-
-def betainc(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta I_x(a, b)."""
-    if x <= 0.0:
-        return 0.0
-    if x >= 1.0:
-        return 1.0
-    lbt = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    if x < (a + 1.0) / (a + b + 2.0):
-        return math.exp(lbt) * _betacf(a, b, x) / a
-    return 1.0 - math.exp(lbt) * _betacf(b, a, 1.0 - x) / b
+_HALF_LOG_2PI = 0.5 * math.log(2 * math.pi)
+
+
+def _log1p_less(d: float) -> float:
+    """log(1 + d) - d without cancellation."""
+    if abs(d) > 0.1:
+        return math.log1p(d) - d
+    total, power, k = 0.0, d, 2
+    while True:
+        power *= -d
+        if total + power / k == total:
+            return total
+        total += power / k
+        k += 1
+
+
+def _stirling_rest(a: float) -> float:
+    """lgamma(a) less Stirling's leading terms."""
+    if a < 10:
+        return math.lgamma(a) - ((a - 0.5) * math.log(a) - a + _HALF_LOG_2PI)
+    r = 1 / (a * a)
+    return (1 / 12 - r * (1 / 360 - r * (1 / 1260 - r * (1 / 1680 - r / 1188)))) / a
+
+
+def _fraction(terms) -> float:
+    """Value of ``b0 + a1/(b1 + a2/(b2 + ...))`` from its ``(a, b)`` terms, evaluated forward until it settles."""
+    tiny = 1e-300
+    _, b = next(terms)
+    value = ratio = b or tiny
+    inverse = 0.0
+    for a, b in terms:
+        inverse = 1 / ((b + a * inverse) or tiny)
+        ratio = (b + a / ratio) or tiny
+        step = ratio * inverse
+        value *= step
+        if abs(step - 1) < 4e-16:
+            return value
+    return value
+
+
+def _gamma_density(a: float, x: float) -> float:
+    """x^a e^-x / Gamma(a)."""
+    return math.exp(a * _log1p_less((x - a) / a) + 0.5 * math.log(a) - _HALF_LOG_2PI - _stirling_rest(a))
 
 
 def gammaincc(a: float, x: float) -> float:
     """Regularised upper incomplete gamma Q(a, x)."""
-    if x <= 0.0:
+    if x <= 0:
         return 1.0
-    if x < a + 1.0:
-        ap, s, d = a, 1.0 / a, 1.0 / a
-        for _ in range(_MAXIT):
-            ap += 1.0
-            d *= x / ap
-            s += d
-            if abs(d) < abs(s) * _EPS:
-                break
-        return 1.0 - s * math.exp(-x + a * math.log(x) - math.lgamma(a))
-    b = x + 1.0 - a
-    c, d = 1.0 / _FPMIN, 1.0 / b
-    h = d
-    for i in range(1, _MAXIT + 1):
-        an = -i * (i - a)
-        b += 2.0
-        d = an * d + b
-        d = 1.0 / (d if abs(d) > _FPMIN else _FPMIN)
-        c = b + an / c
-        c = c if abs(c) > _FPMIN else _FPMIN
-        de = d * c
-        h *= de
-        if abs(de - 1.0) < _EPS:
-            break
-    return math.exp(-x + a * math.log(x) - math.lgamma(a)) * h
+    if x >= a + 1:
+        def upper():
+            yield 0.0, x + 1 - a
+            k = 1
+            while True:
+                yield -k * (k - a), x + 2 * k + 1 - a
+                k += 1
+        return _gamma_density(a, x) / _fraction(upper())
+    total = term = 1 / a
+    k = a
+    while term > total * 1e-17:
+        k += 1
+        term *= x / k
+        total += term
+    return 1 - total * _gamma_density(a, x)
+
+
+def _beta_density(a: float, b: float, x: float, y: float) -> float:
+    """x^a y^b / B(a, b) for y = 1 - x."""
+    n = a + b
+    # a log(x / (a/n)) + b log(y / (b/n)): deviations from the mode cancel to first order
+    d = x * b - y * a
+    dev = a * _log1p_less(d / a) + b * _log1p_less(-d / b)
+    return math.exp(dev + 0.5 * (math.log(a) + math.log(b) - math.log(n)) - _HALF_LOG_2PI
+                    + _stirling_rest(n) - _stirling_rest(a) - _stirling_rest(b))
+
+
+def betainc(a: float, b: float, x: float, y: float | None = None) -> float:
+    """Regularised incomplete beta I_x(a, b); ``y`` is 1 - x where it is known more exactly."""
+    y = 1 - x if y is None else y
+    if x <= 0 or y <= 0:
+        return 0.0 if x <= 0 else 1.0
+    if x * (a + b + 2) > a + 1:
+        return 1 - betainc(b, a, y, x)
+
+    def lower():
+        yield 0.0, 1.0
+        k = 0
+        while True:
+            yield -(a + k) * (a + b + k) * x / ((a + 2 * k) * (a + 2 * k + 1)), 1.0
+            k += 1
+            yield k * (b - k) * x / ((a + 2 * k - 1) * (a + 2 * k)), 1.0
+    return _beta_density(a, b, x, y) / a / _fraction(lower())
+
+
+def _missing(*v) -> bool:
+    return any(x is None or math.isnan(x) for x in v)
 
 
 def f_sf(f: float, d1: float, d2: float) -> float:
-    if f is None or d1 is None or d2 is None or any(map(math.isnan, (f, d1, d2))) or d1 <= 0 or d2 <= 0:
+    if _missing(f, d1, d2) or d1 <= 0 or d2 <= 0:
         return float("nan")
     if f <= 0:
         return 1.0
-    return betainc(d2 / 2.0, d1 / 2.0, d2 / (d2 + d1 * f))
+    x = d1 * f
+    if d2 > 1e8 * max(1.0, x * x / 4, d1 * d1):      # the limit; it differs by about x^2 / d2
+        return chi2_sf(x, d1)
+    return betainc(d2 / 2, d1 / 2, d2 / (d2 + x), x / (d2 + x))
 
 
 def chi2_sf(x: float, k: float) -> float:
-    if x is None or k is None or math.isnan(x) or math.isnan(k) or k <= 0:
+    if _missing(x, k) or k <= 0:
         return float("nan")
-    return gammaincc(k / 2.0, x / 2.0) if x > 0 else 1.0
+    return gammaincc(k / 2, x / 2)
 
 
 def norm_sf(z: float) -> float:
-    if z is None or math.isnan(z):
+    if _missing(z):
         return float("nan")
-    return 0.5 * math.erfc(z / math.sqrt(2.0))
+    return 0.5 * math.erfc(z / math.sqrt(2))
+
+
+def t_two_sided(t: float, df: float) -> float:
+    if _missing(t, df) or df <= 0:
+        return float("nan")
+    return f_sf(t * t, 1.0, df)
 
 
 def _vec(fn):
@@ -131,11 +171,5 @@ def norm_two_sided_pvalue(z: Column) -> Column:
     return F.least(F.lit(1.0), F.lit(2.0) * _udf(norm_sf)(F.abs(z).cast("double")))
 
 
-def t_two_sided(t: float, df: float) -> float:
-    if t is None or df is None or math.isnan(t) or math.isnan(df) or df <= 0:
-        return float("nan")
-    return betainc(df / 2.0, 0.5, df / (df + t * t))
-
-
 def t_pvalue(t: Column, df: Column) -> Column:
     return _udf(t_two_sided)(t.cast("double"), df.cast("double"))

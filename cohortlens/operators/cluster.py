@@ -317,9 +317,11 @@ def lda_topics(docs: DataFrame, key: str, tokens: str, n_topics: int = 5, max_fe
             vector_to_array("_idf"), vector_to_array("counts"), lambda a, b: a + b)))
         vec = Normalizer(inputCol="_raw", outputCol="_tfidf", p=2.0).transform(summed)
         feats = "_tfidf"
+    vec = vec.persist()     # every pass of the fit reads the vectors, not the texts
     # every iteration sees the whole corpus (an epoch), as ``max_iter`` passes of the online method do
     lda_model = LDA(k=n_topics, maxIter=max_iter, optimizer="online", subsamplingRate=1.0, seed=seed,
                     featuresCol=feats, topicDistributionCol="_td").fit(vec)
+    vec.unpersist()
     td = lda_model.transform(vec).select(key, vector_to_array("_td").alias("_v"))
     # a document without any vocabulary term gets the uniform (prior) distribution
     total = F.aggregate("_v", F.lit(0.0), lambda a, b: a + b)
@@ -368,20 +370,36 @@ def order_patterns_by_cluster(seq: DataFrame, labels: DataFrame, patient: str, s
                   .select(cluster, patient, F.col("_c.order").alias("order"), F.col("_c.n").alias("n")))
 
 
+def order_counts_by_cluster(orders: DataFrame, labels: DataFrame, patient: str, order: str,
+                            max_orders: int = 20, cluster: str = "cluster") -> DataFrame:
+    """Heat-map counts ``(cluster, patient, order, n)`` over whole histories.
+
+    Orders of labelled patients; the ``max_orders`` most frequent of them are
+    kept; every patient with a kept order gets one count per kept order (zeros
+    included).  A plot samples patients from this with :func:`seeded_sample`.
+    """
+    from cohortlens.operators.features import order_frequency
+    lab = labels.where(F.col(cluster).isNotNull()).select(patient, cluster)
+    matched = orders.select(patient, order).join(lab, patient, "left_semi")
+    counts = order_frequency(matched, patient, order, top_n=max_orders)
+    return counts.join(lab, patient).select(cluster, patient, F.col(order).alias("order"), "n")
+
+
 # ------------------------------------------------------------------------ O5
 def seeded_sample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     """At most ``n`` rows chosen by a seeded hash of the key (repeatable)."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(int(n))
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary")), F.col(key)).limit(int(n))
 
 
 # ----------------------------------------------------------------------- M13
 def feature_importance(labelled: DataFrame, features: list[str], cluster: str = "cluster",
-                       n_trees: int = 100, seed: int = 42) -> DataFrame:
-    """Random-forest importances for predicting the cluster from standardised features."""
+                       n_trees: int = 100, seed: int = 42, max_depth: int = 15) -> DataFrame:
+    """Random-forest importances for predicting the cluster from standardised features, largest first."""
     vec = VectorAssembler(inputCols=features, outputCol="_raw").transform(
         labelled.select(F.col(cluster).cast("double").alias("_y"), *features))
     sc = StandardScaler(inputCol="_raw", outputCol="_x", withMean=True, withStd=True).fit(vec).transform(vec)
-    rf = RandomForestClassifier(numTrees=n_trees, seed=seed, featuresCol="_x", labelCol="_y").fit(sc)
+    rf = RandomForestClassifier(numTrees=n_trees, maxDepth=max_depth, seed=seed, featuresCol="_x", labelCol="_y").fit(sc)
     imp = rf.featureImportances.toArray().tolist()
     spark = labelled.sparkSession
-    return spark.createDataFrame(list(zip(features, [float(x) for x in imp])), "feature string, importance double")
+    ranked = sorted(zip(features, [float(x) for x in imp]), key=lambda x: (-x[1], x[0]))
+    return spark.createDataFrame(ranked, "feature string, importance double")

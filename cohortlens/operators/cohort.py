@@ -149,6 +149,11 @@ def cohort_criteria(admissions: DataFrame, c: CohortCriteria, patients: DataFram
     Row predicates become one ``where``; criteria on other tables are
     ``left_semi`` joins on the admission key, so no admission is duplicated.
     """
+    for wanted, table, name in ((c.age_min is not None or c.age_max is not None, patients, "patients"),
+                                (c.diagnosis_prefixes, diagnoses, "diagnoses"), (c.required_units, transfers, "transfers"),
+                                (c.order_types or c.transaction_types, orders, "orders")):
+        if wanted and table is None:
+            raise ValueError(f"a criterion needs the {name} table")
     preds: list[Column] = []
     if c.encounter_start:
         preds.append(F.col("admittime") >= F.to_timestamp_ntz(F.lit(c.encounter_start)))
@@ -162,21 +167,21 @@ def cohort_criteria(admissions: DataFrame, c: CohortCriteria, patients: DataFram
         preds.append(F.col("admittime").isNotNull() & F.col("dischtime").isNotNull()
                      & (F.col("dischtime") > F.col("admittime")))
     out = admissions.where(reduce(lambda a, b: a & b, preds)) if preds else admissions
-    if (c.age_min is not None or c.age_max is not None) and patients is not None:
+    if c.age_min is not None or c.age_max is not None:
         p = patients
         if c.age_min is not None:
             p = p.where(F.col("anchor_age") >= c.age_min)
         if c.age_max is not None:
             p = p.where(F.col("anchor_age") <= c.age_max)
         out = out.join(p.select("subject_id"), "subject_id", "left_semi")
-    if c.diagnosis_prefixes and diagnoses is not None:
+    if c.diagnosis_prefixes:
         cond = reduce(lambda a, b: a | b, [F.col("icd_code").startswith(x) for x in c.diagnosis_prefixes])
         out = out.join(diagnoses.where(cond).select("subject_id", "hadm_id"),
                        ["subject_id", "hadm_id"], "left_semi")
-    if c.required_units and transfers is not None:
+    if c.required_units:
         out = out.join(transfers.where(F.col("careunit").isin(c.required_units))
                        .select("subject_id", "hadm_id"), ["subject_id", "hadm_id"], "left_semi")
-    if (c.order_types or c.transaction_types) and orders is not None:
+    if c.order_types or c.transaction_types:
         o = orders
         if c.order_types:
             o = o.where(F.col("order_type").isin(c.order_types))

@@ -194,6 +194,45 @@ def order_transitions(seq: DataFrame, sequence: str = "sequence", top_n: int = 2
     return out.select("from_order", "to_order", "n", prob.alias("probability"))
 
 
+def history_transitions(df: DataFrame, patient: str, order: str, time: str, top_n: int = 20,
+                        tiebreak: str | list[str] | None = None) -> DataFrame:
+    """Transition probabilities over every patient's whole history.
+
+    Same output as :func:`order_transitions`, without building sequences: rows of
+    the ``top_n`` order types are paired inside (patient, calendar day) windows,
+    and the days of a patient are stitched by each day's first and last row (one
+    pair of fixed-size aggregates per day).  A patient holding a third of all
+    rows is spread over its days; only one row per day meets in its window.
+    Null times form a last slice of their own.
+    """
+    ties = [tiebreak] if isinstance(tiebreak, str) else list(tiebreak or [])
+    _require(df, patient, order, time, *ties)
+    top = top_value_list(df.where(F.col(patient).isNotNull()), order, top_n)
+    spark = df.sparkSession
+    if not top:
+        return spark.createDataFrame([], "from_order string, to_order string, n bigint, probability double")
+    keys = [F.col(time).isNull(), F.col(time)] + [F.col(t) for t in ties]
+    rows = (df.where(F.col(patient).isNotNull() & F.col(order).isin(top))
+              .select(F.col(patient).alias("_p"), F.coalesce(F.to_date(time), F.lit("9999-12-31").cast("date")).alias("_day"),
+                      F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)], F.col(order).alias("o")).alias("_k")))
+    inside = rows.select(F.col("_k.o").alias("from_order"),
+                         F.lead("_k.o").over(Window.partitionBy("_p", "_day").orderBy("_k")).alias("to_order"))
+    days = rows.groupBy("_p", "_day").agg(F.min("_k").alias("_first"), F.max("_k").alias("_last"))
+    across = days.select(F.col("_last.o").alias("from_order"),
+                         F.lead("_first.o").over(Window.partitionBy("_p").orderBy("_day")).alias("to_order"))
+    pairs = inside.union(across).where(F.col("to_order").isNotNull()).groupBy("from_order", "to_order").agg(F.count(F.lit(1)).alias("n"))
+    grid = spark.createDataFrame([(a, b) for a in top for b in top], "from_order string, to_order string")   # top_n^2 rows
+    out = grid.join(pairs, ["from_order", "to_order"], "left").na.fill(0, ["n"])
+    tot = F.sum("n").over(Window.partitionBy("from_order"))
+    return out.select("from_order", "to_order", "n", F.when(tot > 0, F.col("n") / tot).otherwise(F.lit(0.0)).alias("probability"))
+
+
+def history_stats(df: DataFrame, patient: str) -> DataFrame:
+    """Number of patients and mean length of their whole histories."""
+    per = df.where(F.col(patient).isNotNull()).groupBy(patient).agg(F.count(F.lit(1)).alias("_n"))
+    return per.agg(F.count(F.lit(1)).alias("n_patients"), F.avg(F.col("_n").cast("double")).alias("mean_length"))
+
+
 # ------------------------------------------------------------------------ A5
 def order_timing(df: DataFrame, patient: str, order: str, time: str,
                  admit: str | None = None, disch: str | None = None,
@@ -209,7 +248,8 @@ def order_timing(df: DataFrame, patient: str, order: str, time: str,
     file order).  Every aggregate has a fixed-width buffer, so Spark plans
     a hash aggregate with map-side partial aggregation: only one row per
     patient and map task is shuffled, however skewed the patients are.
-    ``tiebreak`` is accepted for API symmetry with the sequence operators.
+    Rows without a patient are dropped.  ``tiebreak`` is accepted for API
+    symmetry with the sequence operators.
     """
     _require(df, patient, order, time, admit, disch, tiebreak)
 
@@ -227,7 +267,7 @@ def order_timing(df: DataFrame, patient: str, order: str, time: str,
         for h in (24, 48):
             aggs.append(count_if(F.col(time) >= add_hours(disch, -h)).alias(f"orders_in_last_{h}h"))
         aggs.append(F.min(disch).alias("_dis"))
-    g = df.groupBy(patient).agg(*aggs)
+    g = df.where(F.col(patient).isNotNull()).groupBy(patient).agg(*aggs)
     g = g.withColumn("order_span_hours", hours_between("first_order_time", "last_order_time"))
     if admit:
         g = g.withColumn("time_to_first_order_hours", hours_between("_adm", "first_order_time")).drop("_adm")
@@ -246,11 +286,11 @@ def order_distribution_overall(df: DataFrame, order: str) -> DataFrame:
 
 
 def order_distribution_patient(df: DataFrame, patient: str, order: str) -> DataFrame:
-    """Per-patient proportions of each order type (long, non-zero cells).
+    """Per-patient proportions of each order type (long, non-zero cells; null patients dropped).
 
     The wide, zero-filled matrix of the reference is ``to_wide(...)`` of this.
     """
-    c = (df.where(F.col(order).isNotNull())
+    c = (df.where(F.col(order).isNotNull() & F.col(patient).isNotNull())
            .groupBy(patient, order).agg(F.count(F.lit(1)).alias("n")))
     tot = F.sum("n").over(Window.partitionBy(patient))
     return c.select(patient, order, "n", (F.col("n") / tot).alias("proportion"))

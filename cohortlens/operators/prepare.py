@@ -81,12 +81,13 @@ def scale(df: DataFrame, method: str | None = "standard", columns=None, key: str
             out.append((v / F.lit(float(hi - lo)) if hi is not None and hi != lo else v * F.lit(0.0)).alias(c))
         return df.select(*keep, *out)
     if method == "normalize":
-        # the row norm is computed once per row, then every column is divided by it
+        # the row norm is computed once per row, then every column is divided by it;
+        # a row with a null has no norm and stays null
         norm = F.sqrt(F.aggregate(F.array(*[q(c).cast("double") for c in cols]), F.lit(0.0),
                                   lambda acc, x: acc + x * x))
         with_norm = df.withColumn("__norm", norm)
         nn = F.col("__norm")
-        return with_norm.select(*keep, *[F.when(nn > 0, q(c) / nn).otherwise(F.lit(0.0)).alias(c) for c in cols])
+        return with_norm.select(*keep, *[F.when(nn > 0, q(c) / nn).when(nn == 0, F.lit(0.0)).alias(c) for c in cols])
     raise ValueError(f"Invalid preprocessing method: {method}")
 
 
@@ -127,7 +128,7 @@ def _gram_partials(cols: list[str]):
 
 
 def gram_matrix(df: DataFrame, cols: list[str]) -> np.ndarray:
-    """X'X (d x d, bounded by the number of columns; nulls count as 0).
+    """X'X (d x d, bounded by the number of columns) of rows without nulls.
 
     Each task folds its Arrow batches into one d x d partial with numpy; only
     d(d+1)/2 numbers per task are shuffled and summed.
@@ -147,9 +148,10 @@ def truncated_svd(df: DataFrame, k: int = 2, columns=None, key: str = "key") ->
     The Gram matrix X'X is one distributed pass (:func:`gram_matrix`); its
     eigenvectors are the right singular vectors; scores are a projection with
     literal coefficients.  Returns the explained variance ratio of each
-    component's scores.
+    component's scores.  Rows with a null feature are left out of both.
     """
     cols = _cols(df, columns, key)
+    df = df.na.drop(subset=cols)
     d = len(cols)
     G = gram_matrix(df, cols)
     w, V = np.linalg.eigh(G)
@@ -195,7 +197,7 @@ def term_counts(docs: DataFrame, key: str, text: str | None = "text", tokens: st
 
 def vocabulary(counts: DataFrame, max_features: int | None = 1000) -> DataFrame:
     """Terms by corpus count (ties by term); the top ``max_features`` kept."""
-    v = counts.groupBy("term").agg(F.sum("n").alias("corpus_n"))
+    v = counts.groupBy("term").agg(F.sum("n").alias("corpus_n"), F.count(F.lit(1)).alias("df"))
     if max_features:
         v = v.orderBy(F.desc("corpus_n"), F.asc("term")).limit(int(max_features))
     return v
@@ -213,10 +215,10 @@ def tfidf(counts: DataFrame, key: str, max_features: int | None = 1000, n_docs:
     if n_docs is None:
         n_docs = counts.select(key).distinct().count()
     vocab = vocabulary(counts, max_features).select("term")
-    kept = counts.join(F.broadcast(vocab) if max_features else vocab, "term")
-    dfreq = counts.join(F.broadcast(vocab) if max_features else vocab, "term").groupBy("term").agg(
-        F.countDistinct(key).alias("df"))
-    idf = dfreq.select("term", (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf"))
-    w = kept.join(F.broadcast(idf) if max_features else idf, "term").withColumn("w", F.col("n") * F.col("idf"))
+    # (key, term) pairs are unique, so a term's rows are its documents: one aggregate gives the
+    # vocabulary and the document frequencies, one join the weights
+    idf = (vocabulary(counts, max_features)
+           .select("term", (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf")))
+    w = counts.join(F.broadcast(idf) if max_features else idf, "term").withColumn("w", F.col("n") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
     return w.select(key, "term", (F.col("w") / norm).alias("tfidf"))

@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from cohortlens.functions.distributions import chi2_pvalue, f_pvalue, norm_two_sided_pvalue, t_pvalue
-from cohortlens.operators.features import MAX_PIVOT_VALUES
 from cohortlens.session import materialize
 
 RANK_BUCKETS = 64
@@ -90,14 +89,14 @@ def anova(long: DataFrame, feature: str = "feature", group: str = "cluster", val
     k_all = _n_groups(long, group, noise)
     g = (_clean(long, group, value, noise).groupBy(feature, group)
          .agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("m"), F.var_pop(value).alias("v")))
-    per = g.groupBy(feature).agg(
-        F.count(F.lit(1)).alias("k"), F.sum("n").alias("N"),
-        F.sum(F.col("n") * F.col("m")).alias("_sx"),
-        F.sum(F.col("n") * F.col("v")).alias("ssw"),
-        F.collect_list(F.struct("n", "m")).alias("_g")).where((F.col("k") >= 2) & (F.col("k") == k_all))
-    gm = F.col("_sx") / F.col("N")
-    ssb = F.aggregate("_g", F.lit(0.0), lambda acc, s: acc + s["n"] * (s["m"] - gm) * (s["m"] - gm))
-    fstat = F.try_divide(ssb / (F.col("k") - 1), F.col("ssw") / (F.col("N") - F.col("k")))
+    tot = (g.groupBy(feature).agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("_total"),
+                                  (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("_gm"))
+            .where((F.col("k") >= 2) & (F.col("k") == k_all)))
+    dev = F.col("m") - F.col("_gm")
+    per = (g.join(tot, feature).groupBy(feature, "k", F.col("_total").alias("N"))
+            .agg(F.sum(F.col("n") * dev * dev).alias("ssb"), F.sum(F.col("n") * F.col("v")).alias("ssw")))
+    # no statistic when every group has one row (N = k) or no group varies
+    fstat = F.try_divide(F.col("ssb") / (F.col("k") - 1), F.try_divide(F.col("ssw"), F.col("N") - F.col("k")))
     return per.select(feature, "k", "N", fstat.alias("statistic"))
 
 
@@ -154,8 +153,10 @@ def with_mw_pvalue(res: DataFrame) -> DataFrame:
     mu = n1 * n2 / 2
     u = F.greatest(F.col("statistic"), n1 * n2 - F.col("statistic"))
     sigma = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("tie") / (n * (n - 1))))
-    z = (u - mu - 0.5) / sigma
-    return res.withColumn("p_value", norm_two_sided_pvalue(z)).drop("tie")
+    z = F.try_divide(u - mu - 0.5, sigma)
+    # a feature that is constant over both groups separates nothing
+    p = F.when(sigma == 0, F.lit(1.0)).otherwise(norm_two_sided_pvalue(z))
+    return res.withColumn("p_value", p).drop("tie")
 
 
 # ------------------------------------------------------------------------ M8
@@ -173,12 +174,12 @@ def t_test(long: DataFrame, group_a, group_b, feature: str = "feature", group: s
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     if equal_var:
         df_ = n1 + n2 - 2
-        sp = ((n1 - 1) * F.col("v1") + (n2 - 1) * F.col("v2")) / df_
+        sp = F.try_divide((n1 - 1) * F.col("v1") + (n2 - 1) * F.col("v2"), df_)
         se = F.sqrt(sp * (1 / n1 + 1 / n2))
     else:
         a1, a2 = F.col("v1") / n1, F.col("v2") / n2
         se = F.sqrt(a1 + a2)
-        df_ = (a1 + a2) * (a1 + a2) / (a1 * a1 / (n1 - 1) + a2 * a2 / (n2 - 1))
+        df_ = F.try_divide((a1 + a2) * (a1 + a2), F.try_divide(a1 * a1, n1 - 1) + F.try_divide(a2 * a2, n2 - 1))
     return j.select(feature, "n1", "n2", F.try_divide(F.col("m1") - F.col("m2"), se).alias("statistic"),
                     df_.alias("df"))
 
@@ -191,43 +192,30 @@ def with_t_pvalue(res: DataFrame) -> DataFrame:
 def chi2_contingency(df: DataFrame, row: str, col: str, correction: bool = True) -> DataFrame:
     """Pearson chi-squared of the row x col table, Yates-corrected when dof = 1.
 
-    Columns are pivoted densely with an explicit (checked) value list so
-    empty cells count; expected counts come from the margins.
+    Works on the long counts of the cells that occur: an empty cell adds its
+    expected count, and all empty cells together add ``N`` less the expected
+    counts of the others, so no dense table is built for any number of rows
+    or columns.  In a 2 x 2 table ``|n - e|`` is the same in all four cells.
     """
-    base = df.where(F.col(row).isNotNull() & F.col(col).isNotNull())
-    cvals = [r[col] for r in base.select(col).distinct().limit(MAX_PIVOT_VALUES + 1).collect()]
-    if len(cvals) > MAX_PIVOT_VALUES:
-        raise ValueError("too many contingency columns")
-    cvals = sorted(cvals)
-    if not cvals:   # empty table: no statistic
+    base = df.where(F.col(row).isNotNull() & F.col(col).isNotNull()).select(F.col(row).alias("_r"), F.col(col).alias("_c"))
+    cell = materialize(base.groupBy("_r", "_c").agg(F.count(F.lit(1)).cast("double").alias("n")))
+    rows = cell.groupBy("_r").agg(F.sum("n").alias("rt"))
+    cols = cell.groupBy("_c").agg(F.sum("n").alias("ct"))
+    t = rows.agg(F.count(F.lit(1)).alias("R"), F.sum("rt").alias("N"), F.sum(1 / F.col("rt")).alias("ir")).first()
+    u = cols.agg(F.count(F.lit(1)).alias("C"), F.sum(1 / F.col("ct")).alias("ic")).first()
+    n, dof = t["N"], max((t["R"] - 1) * (u["C"] - 1), 0)
+    if not n:   # empty table: no statistic
         return df.sparkSession.createDataFrame([(None, 0)], "statistic double, dof bigint")
-    wide = base.groupBy(row).pivot(col, cvals).count().na.fill(0)
-    cells = [F.col(f"`{c}`") for c in cvals]
-    rt = cells[0]
-    for c in cells[1:]:
-        rt = rt + c
-    wide = wide.withColumn("_rt", rt)
-    tot = wide.agg(F.count(F.lit(1)).alias("R"), F.sum("_rt").alias("N"),
-                   *[F.sum(c).alias(f"_ct{i}") for i, c in enumerate(cells)]).first()
-    R, N = tot["R"], float(tot["N"] or 0)
-    C = sum(1 for i in range(len(cvals)) if tot[f"_ct{i}"])
-    dof = max((R - 1) * (C - 1), 0)
-    terms = []
-    for i, c in enumerate(cells):
-        ct = tot[f"_ct{i}"]
-        if not ct:
-            continue
-        e = F.col("_rt") * F.lit(float(ct)) / F.lit(N)
-        diff = F.abs(c - e)
-        if correction and dof == 1:
-            diff = diff - F.least(F.lit(0.5), diff)
-        terms.append(F.when(e > 0, diff * diff / e).otherwise(F.lit(0.0)))
-    if not terms:   # empty table: no statistic
-        return df.sparkSession.createDataFrame([(None, 0)], "statistic double, dof bigint")
-    s = terms[0]
-    for t in terms[1:]:
-        s = s + t
-    return wide.agg(F.sum(s).alias("statistic")).select("statistic", F.lit(dof).cast("bigint").alias("dof"))
+    e = F.col("rt") * F.col("ct") / F.lit(n)
+    dev = F.col("n") - e
+    joined = cell.join(rows, "_r").join(cols, "_c")
+    if correction and dof == 1:
+        diff = F.max(F.abs(dev))
+        diff = diff - F.least(F.lit(0.5), diff)
+        stat = diff * diff * F.lit(n * t["ir"] * u["ic"])
+    else:
+        stat = F.sum(dev * dev / e) + (F.lit(n) - F.sum(e))
+    return joined.agg(stat.alias("statistic")).select("statistic", F.lit(dof).cast("bigint").alias("dof"))
 
 
 # ----------------------------------------------------------------------- M10

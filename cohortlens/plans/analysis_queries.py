@@ -135,8 +135,8 @@ def q_contingency(spark, sf):
 
 
 @query("contingency_wide", """
-SELECT * FROM (PIVOT (SELECT cluster_name, toxic FROM doc_outcomes WHERE toxic IS NOT NULL)
-               ON toxic USING count(*) GROUP BY cluster_name)
+SELECT cluster_name, count(*) FILTER (toxic = 0) AS "0", count(*) FILTER (toxic = 1) AS "1"
+FROM doc_outcomes WHERE toxic IS NOT NULL GROUP BY cluster_name
 """)
 def q_contingency_wide(spark, sf):
     return profile.contingency_wide(role(spark, sf, "doc_outcomes"), "cluster_name", "toxic")
@@ -370,6 +370,19 @@ def q_chi2_test(spark, sf):
     return r.withColumn("p_value", chi2_pvalue(F.col("statistic"), F.col("dof")))
 
 
+@query("bonferroni", """
+WITH t AS (SELECT l_returnflag || l_linestatus || l_linenumber AS feature, avg(l_discount) * min(l_tax + 0.01) * 4 AS p_value FROM lineitem GROUP BY 1),
+a AS (SELECT feature, p_value, least(p_value * (SELECT count(*) FROM t), 1.0) AS adjusted FROM t)
+SELECT feature, round(p_value, 6) AS p_value, p_value < 0.05 AS significant, round(adjusted, 6) AS adjusted_p_value,
+       adjusted < 0.05 AS significant_adjusted, round(-log10(p_value + 1e-10), 6) AS neg_log10_p FROM a
+""")
+def q_bonferroni(spark, sf):
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
+    tests = li.groupBy(F.concat("l_returnflag", "l_linestatus", F.col("l_linenumber").cast("string")).alias("feature")).agg(
+        (F.avg("l_discount") * F.min(F.col("l_tax") + F.lit(0.01)) * 4).alias("p_value"))
+    return _round(stats.bonferroni(tests), {"p_value", "adjusted_p_value", "neg_log10_p"})
+
+
 # ============================================================ metrics M1-M12
 _CENT = """cen AS (SELECT cluster, feature, avg(value) AS mu, count(*) AS n FROM lab GROUP BY cluster, feature)"""
 

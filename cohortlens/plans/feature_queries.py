@@ -25,15 +25,14 @@ SELECT patient,
            AS time_to_first_order_hours,
        date_diff('microsecond', max(ordertime), min(dischtime)) / CAST(3600000000 AS DOUBLE)
            AS time_from_last_order_to_discharge_hours
-FROM order_events GROUP BY patient
+FROM order_events WHERE patient IS NOT NULL GROUP BY patient
 """
 
 
 @query("order_timing", ORDER_TIMING_SQL)
 def q_order_timing(spark, sf):
     ev = role(spark, sf, "order_events")
-    return features.order_timing(ev, "patient", "order_type", "ordertime", "admittime", "dischtime",
-                                 tiebreak="event_id")
+    return features.order_timing(ev, "patient", "order_type", "ordertime", "admittime", "dischtime")
 
 
 # ===================================================== A2 / A3 frequency matrix
@@ -64,13 +63,20 @@ def q_order_frequency(spark, sf):
     return features.order_frequency(role(spark, sf, "poe"), "subject_id", "order_type", top_n=20)
 
 
+def _numbered(df, prefix):
+    """A matrix with its value columns named by their place."""
+    return df.toDF(df.columns[0], *[f"{prefix}{i:02d}" for i in range(1, len(df.columns))])
+
+
 @query("order_frequency_wide", f"""
 WITH {_TOP_POE},
-kept AS (SELECT p.subject_id, p.order_type FROM poe p JOIN top t USING (order_type) WHERE p.subject_id IS NOT NULL)
-SELECT * FROM (PIVOT kept ON order_type USING count(*) GROUP BY subject_id)
+kept AS (SELECT p.subject_id, t.r FROM poe p JOIN (SELECT order_type, row_number() OVER (ORDER BY n DESC, order_type) AS r FROM top) t
+         USING (order_type) WHERE p.subject_id IS NOT NULL)
+SELECT subject_id, """ + ", ".join(f"count(*) FILTER (r = {i}) AS o{i:02d}" for i in range(1, 21)) + """
+FROM kept GROUP BY subject_id
 """)
 def q_order_frequency_wide(spark, sf):
-    return features.order_frequency_wide(role(spark, sf, "poe"), "subject_id", "order_type", top_n=20)
+    return _numbered(features.order_frequency_wide(role(spark, sf, "poe"), "subject_id", "order_type", top_n=20), "o")
 
 
 @query("order_frequency_norm", ORDER_FREQ_NORM_SQL)
@@ -91,7 +97,7 @@ def q_order_dist_overall(spark, sf):
 @query("order_dist_patient", """
 SELECT subject_id, order_type, count(*) AS n,
        count(*) / sum(count(*)) OVER (PARTITION BY subject_id) AS proportion
-FROM poe WHERE order_type IS NOT NULL GROUP BY subject_id, order_type
+FROM poe WHERE order_type IS NOT NULL AND subject_id IS NOT NULL GROUP BY subject_id, order_type
 """)
 def q_order_dist_patient(spark, sf):
     return features.order_distribution_patient(role(spark, sf, "poe"), "subject_id", "order_type")
@@ -99,17 +105,14 @@ def q_order_dist_patient(spark, sf):
 
 @query("order_dist_patient_wide", """
 WITH dist AS (SELECT subject_id, order_type, count(*) / sum(count(*)) OVER (PARTITION BY subject_id) AS proportion
-              FROM poe WHERE order_type IS NOT NULL GROUP BY subject_id, order_type),
-pats AS (SELECT DISTINCT subject_id FROM dist),
-types AS (SELECT DISTINCT order_type FROM dist),
-dense AS (SELECT p.subject_id, t.order_type, coalesce(d.proportion, 0.0) AS proportion
-          FROM pats p CROSS JOIN types t
-          LEFT JOIN dist d ON d.subject_id IS NOT DISTINCT FROM p.subject_id AND d.order_type = t.order_type)
-SELECT * FROM (PIVOT dense ON order_type USING first(proportion) GROUP BY subject_id)
+              FROM poe WHERE order_type IS NOT NULL AND subject_id IS NOT NULL GROUP BY subject_id, order_type),
+types AS (SELECT order_type, row_number() OVER (ORDER BY order_type) AS r FROM (SELECT DISTINCT order_type FROM dist) s)
+SELECT subject_id, """ + ", ".join(f"coalesce(max(proportion) FILTER (r = {i}), 0.0) AS t{i:02d}" for i in range(1, 26)) + """
+FROM dist JOIN types USING (order_type) GROUP BY subject_id
 """)
 def q_order_dist_patient_wide(spark, sf):
     long = features.order_distribution_patient(role(spark, sf, "poe"), "subject_id", "order_type")
-    return features.to_wide(long.drop("n"), "subject_id", "order_type", "proportion")
+    return _numbered(features.to_wide(long.drop("n"), "subject_id", "order_type", "proportion"), "t")
 
 
 # ======================================================== W1 / A8 sequences
@@ -146,10 +149,10 @@ def q_order_sequences_poe(spark, sf):
 
 @query("sequence_stats", """
 SELECT count(*) AS n_patients, round(avg(CAST(len AS DOUBLE)), 6) AS mean_length
-FROM (SELECT subject_id, least(count(*), 20) AS len FROM poe WHERE subject_id IS NOT NULL GROUP BY subject_id) s
+FROM (SELECT subject_id, count(*) AS len FROM poe WHERE subject_id IS NOT NULL GROUP BY subject_id) s
 """)
 def q_sequence_stats(spark, sf):
-    st = features.sequence_stats(_poe_sequences(spark, sf))
+    st = features.history_stats(role(spark, sf, "poe"), "subject_id")
     return st.select("n_patients", r6(F.col("mean_length")).alias("mean_length"))
 
 
@@ -170,27 +173,40 @@ FROM grid
 """
 
 
-@query("order_transitions", f"WITH {_POE_SEQ_ITEMS},{_TRANSITIONS_TAIL}")
+_POE_HISTORY = """
+seqitems AS (SELECT subject_id AS patient, order_type AS item,
+                    row_number() OVER (PARTITION BY subject_id ORDER BY ordertime NULLS LAST, poe_id, order_type) AS rn
+             FROM poe WHERE subject_id IS NOT NULL)"""
+
+
+def _poe_transitions(spark, sf):
+    return features.history_transitions(role(spark, sf, "poe"), "subject_id", "order_type", "ordertime", 20,
+                                        tiebreak=["poe_id", "order_type"])
+
+
+@query("order_transitions", f"WITH {_POE_HISTORY},{_TRANSITIONS_TAIL}")
 def q_order_transitions(spark, sf):
-    return features.order_transitions(_poe_sequences(spark, sf), top_n=20)
+    return _poe_transitions(spark, sf)
 
 
-@query("order_transitions_wide", "SELECT * FROM (PIVOT (WITH " + _POE_SEQ_ITEMS + "," + _TRANSITIONS_TAIL
-       + ") ON to_order USING first(probability) GROUP BY from_order)")
+@query("order_transitions_wide", f"WITH {_POE_HISTORY},{_TRANSITIONS_TAIL}".replace("SELECT from_order, to_order, CAST(n AS BIGINT)", """, prob AS (
+SELECT from_order, to_order, CAST(n AS BIGINT)""").rstrip() + """),
+place AS (SELECT item AS to_order, row_number() OVER (ORDER BY n DESC, item) AS r FROM top)
+SELECT from_order, """ + ", ".join(f"max(probability) FILTER (r = {i}) AS t{i:02d}" for i in range(1, 21)) + """
+FROM prob JOIN place USING (to_order) GROUP BY from_order
+""")
 def q_order_transitions_wide(spark, sf):
-    long = features.order_transitions(_poe_sequences(spark, sf), top_n=20)
-    return features.to_wide(long.drop("n"), "from_order", "to_order", "probability")
+    poe = role(spark, sf, "poe")
+    top = features.top_value_list(poe.where(F.col("subject_id").isNotNull()), "order_type", 20)
+    return _numbered(features.to_wide(_poe_transitions(spark, sf).drop("n"), "from_order", "to_order", "probability", values=top), "t")
 
 
 @query("order_transitions_events", """
-WITH ranked AS (SELECT patient, order_type AS item,
-                       row_number() OVER (PARTITION BY patient ORDER BY ordertime NULLS LAST, event_id) AS rn
-                FROM order_events WHERE patient IS NOT NULL),
-seqitems AS (SELECT * FROM ranked WHERE rn <= 20),""" + _TRANSITIONS_TAIL)
+WITH seqitems AS (SELECT patient, order_type AS item,
+                         row_number() OVER (PARTITION BY patient ORDER BY ordertime NULLS LAST, event_id) AS rn
+                  FROM order_events WHERE patient IS NOT NULL),""" + _TRANSITIONS_TAIL)
 def q_order_transitions_events(spark, sf):
-    seq = features.order_sequences(role(spark, sf, "order_events"), "patient", "order_type",
-                                   "ordertime", 20, tiebreak="event_id")
-    return features.order_transitions(seq, top_n=20)
+    return features.history_transitions(role(spark, sf, "order_events"), "patient", "order_type", "ordertime", 20, tiebreak="event_id")
 
 
 # ===================================================================== O2

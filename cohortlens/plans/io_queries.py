@@ -79,10 +79,14 @@ def q_column_roles(spark, sf):
     return catalog.column_roles(role(spark, sf, "poe"))
 
 
-@query("convert_tables")
+_CONVERTED = ["region", "nation", "supplier", "customer"]
+
+
+@query("convert_tables", "\nUNION ALL\n".join(f"SELECT '{t}' AS table_name, 'ok' AS status, count(*) AS rows FROM {t}" for t in _CONVERTED)
+       + "\nUNION ALL\nSELECT 'missing_table', 'failed', NULL")
 def q_convert_tables(spark, sf):
-    return sinks.convert_tables(spark, sf, ["region", "nation", "supplier", "customer", "missing_table"],
-                                _scratch(spark, "converted"))
+    done = sinks.convert_tables(spark, sf, [*_CONVERTED, "missing_table"], _scratch(spark, "converted"))
+    return done.select("table_name", "status", "rows")
 
 
 _ADM_COLS = ["subject_id", "hadm_id", "admittime", "dischtime", "deathtime", "admission_type",

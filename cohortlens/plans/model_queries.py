@@ -208,11 +208,17 @@ def q_lda_top_terms(spark, sf):
     return cluster.top_terms_per_topic(pipe, 10)
 
 
-@query("order_patterns_by_cluster")
+@query("order_patterns_by_cluster", """
+WITH m AS (SELECT p.subject_id, p.order_type, c.cluster FROM poe p JOIN patient_clusters c USING (subject_id) WHERE c.cluster IS NOT NULL),
+top AS (SELECT order_type, count(*) AS n FROM m WHERE order_type IS NOT NULL GROUP BY order_type ORDER BY n DESC, order_type LIMIT 20),
+cnt AS (SELECT subject_id, m.order_type, count(*) AS n FROM m JOIN top USING (order_type) GROUP BY subject_id, m.order_type),
+pats AS (SELECT DISTINCT m.subject_id, m.cluster FROM m JOIN cnt USING (subject_id))
+SELECT p.cluster, p.subject_id, t.order_type AS "order", CAST(coalesce(c.n, 0) AS BIGINT) AS n
+FROM pats p CROSS JOIN top t LEFT JOIN cnt c ON c.subject_id = p.subject_id AND c.order_type = t.order_type
+""")
 def q_order_patterns_by_cluster(spark, sf):
     poe, pc = roles(spark, sf, "poe", "patient_clusters")
-    seq = feats.order_sequences(poe, "subject_id", "order_type", "ordertime", 20, tiebreak=["poe_id", "order_type"])
-    return cluster.order_patterns_by_cluster(seq, pc, "subject_id", max_orders=20, per_cluster=50)
+    return cluster.order_counts_by_cluster(poe, pc, "subject_id", "order_type", max_orders=20)
 
 
 # ------------------------------------------------------------ M13 / O3 / O5
@@ -222,7 +228,7 @@ def q_feature_importance(spark, sf):
     return cluster.feature_importance(joins.align_labels(f, l, "key"), FEATURE_COLS)
 
 
-@query("seeded_sample")
+@query("seeded_sample", "SELECT * FROM events ORDER BY md5('42:' || event_id), event_id LIMIT 1000")
 def q_seeded_sample(spark, sf):
     return cluster.seeded_sample(spark.read.parquet(f"{sf}/events.parquet"), 1000, "event_id", seed=42)
 

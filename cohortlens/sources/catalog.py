@@ -13,6 +13,7 @@ import hashlib
 import json
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from cohortlens.functions.frames import numeric_columns, temporal_columns
@@ -73,15 +74,19 @@ def cached_subject_ids(spark: SparkSession, df: DataFrame, table: str, params: d
     """Distinct subject ids of a table, cached as Parquet in the shared folder.
 
     The cache key includes a hash of the filter parameters (so filtered and
-    unfiltered id sets never collide); ``recalculate`` overwrites it.
+    unfiltered id sets never collide) and of the source files the table is read
+    from (so a rewritten or another source is another key); ``recalculate``
+    overwrites it.
     """
-    tag = hashlib.sha1(json.dumps(params or {}, sort_keys=True, default=str).encode()).hexdigest()[:12]
+    source = hashlib.sha1("\n".join(sorted(df.inputFiles())).encode()).hexdigest()
+    tag = hashlib.sha1(json.dumps([params or {}, source], sort_keys=True, default=str).encode()).hexdigest()[:12]
     path = f"{(root or scratch_path(spark, 'subject_ids')).rstrip('/')}/{table}-{tag}.parquet"
     if not recalculate:
         try:
             return spark.read.parquet(path)
-        except Exception:  # not cached yet
-            pass
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):   # anything but "not cached yet" is a real error
+                raise
     (df.select(key).where(F.col(key).isNotNull()).distinct()
        .write.mode("overwrite").parquet(path))
     return spark.read.parquet(path)
@@ -98,16 +103,14 @@ DATE_REGEXES = [r"\d{4}-\d{2}-\d{2}", r"\d{2}/\d{2}/\d{4}", r"\d{4}/\d{2}/\d{2}"
 PATIENT_ID_CANDIDATES = ["subject_id", "patient_id", "patientid", "pat_id", "patient"]
 
 
-def column_roles(df: DataFrame, sample: int = 10) -> DataFrame:
+def column_roles(df: DataFrame) -> DataFrame:
     """F14-F16 as one profile: rows (column, role, evidence).
 
     Roles: ``order`` by name; ``temporal`` by name and type, or for text
-    columns when the first ``sample`` non-null values look like dates (one
-    bounded ``limit`` job); ``patient_id`` from the candidate list, else the
+    columns when any value looks like a date (one aggregate over all such
+    columns); ``patient_id`` from the candidate list, else the
     first ``*id*`` column whose distinct count exceeds 10% of rows.
     """
-    import re
-
     spark = df.sparkSession
     rows = []
     lower = {c: c.lower() for c in df.columns}
@@ -118,15 +121,14 @@ def column_roles(df: DataFrame, sample: int = 10) -> DataFrame:
             rows.append((c, "order", "affix"))
     tcols = set(temporal_columns(df))
     types = dict(df.dtypes)
-    for c, lc in lower.items():
-        if not any(t in lc for t in TIME_TERMS):
-            continue
+    named = [c for c, lc in lower.items() if any(t in lc for t in TIME_TERMS)]
+    texts = [c for c in named if c not in tcols and types[c] == "string"]
+    dated = df.agg(*[F.max(F.col(c).rlike("|".join(DATE_REGEXES))).alias(c) for c in texts]).first() if texts else {}
+    for c in named:
         if c in tcols:
             rows.append((c, "temporal", "type"))
-        elif types[c] == "string":
-            vals = [r[0] for r in df.select(c).where(F.col(c).isNotNull()).limit(sample).collect()]
-            if any(re.search(p, str(v)) for v in vals for p in DATE_REGEXES):
-                rows.append((c, "temporal", "pattern"))
+        elif c in texts and dated[c]:
+            rows.append((c, "temporal", "pattern"))
     pid = next((c for c in PATIENT_ID_CANDIDATES if c in df.columns), None)
     if pid is not None:
         rows.append((pid, "patient_id", "name"))

@@ -71,12 +71,10 @@ def save_features(df: DataFrame, feature_type: str, base_path: str, fmt: str = "
     return path
 
 
-def _size(spark: SparkSession, path: str) -> int:
-    try:
-        return int(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-                   .agg(F.sum("length")).first()[0] or 0)
-    except Exception:
-        return 0
+def _size(spark: SparkSession, paths: list[str]) -> int:
+    """Bytes of all files under ``paths``: one listing, one job."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+    return int(files.agg(F.sum("length")).first()[0] or 0)
 
 
 def convert_tables(spark: SparkSession, src_base: str, tables: list[str], out_base: str,
@@ -94,8 +92,8 @@ def convert_tables(spark: SparkSession, src_base: str, tables: list[str], out_ba
             src_path = src.inputFiles()
             out = save_parquet(observed, f"{out_base.rstrip('/')}/{t}.parquet", **write_kw)
             secs = time.time() - t0
-            b_in = sum(_size(spark, p) for p in src_path)
-            b_out = _size(spark, out)
+            b_in = _size(spark, list(src_path))
+            b_out = _size(spark, [out])
             rows.append((t, "ok", int(obs.get["rows"]), b_in, b_out,
                          (b_in / b_out) if b_out else None, (b_in / 1e6 / secs) if secs else None, None))
         except Exception as e:  # keep going; report the failure
