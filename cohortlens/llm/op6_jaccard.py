@@ -4,9 +4,9 @@ A document's set is its distinct word ``q``-gram shingles (64-bit hashes).  Two
 documents link when ``100 |A & B| >= threshold_pct |A | B|``.
 
 * **Order.**  Shingle frequencies over all documents are counted in a table of fixed
-  size (``BUCKETS`` hashed counters).  Shingles are ordered by the doublings of their
-  counter above the mean load, then by hash: shingles of very common lines and
-  passages come last and stay out of prefixes, all others come in random order.
+  size (``BUCKETS`` hashed counters).  Shingles whose counter stands out of the chance
+  variation of its load come last, by doublings; all others come in hash order.  Shingles of
+  common lines and passages so stay out of prefixes.
 * **Groups.**  The prefix of a set of ``n`` shingles is its first
   ``n - ceil(t n) + 1``; linked sets share a prefix shingle.  Documents with identical
   sets are one node; nodes with identical prefix and size are one group and post their
@@ -96,7 +96,7 @@ def _merge(key, frame):
 
 
 def frequency_classes(docs: DataFrame, q: int) -> np.ndarray:
-    """Per counter: doublings of its load above four times the mean (0 for ordinary shingles)."""
+    """Per counter: 0 for ordinary shingles, else 1 and the doublings of its excess over the mean load."""
     parts = docs.select("text").mapInArrow(_sketch(q), "chunk int, counts binary")
     merged = "chunk int, salt int, counts binary"
     parts = parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64)))     # merged in two levels: a few tables per task
@@ -106,8 +106,10 @@ def frequency_classes(docs: DataFrame, q: int) -> np.ndarray:
     for r in rows:
         c[r.chunk] = np.frombuffer(r.counts, dtype=np.int64)
     c = c.reshape(-1)
-    over = c / max(4.0, 4 * c.sum() / BUCKETS)
-    return np.where(over > 1, np.ceil(np.log2(np.maximum(over, 1))), 0).astype(np.uint8)
+    mean = c.sum() / BUCKETS
+    chance = 6 * np.sqrt(mean) + 8          # six deviations of a load of single shingles
+    over = (c - mean) / chance
+    return np.where(over > 1, 1 + np.floor(np.log2(np.maximum(over, 1))), 0).astype(np.uint8)
 
 
 _HIST = [f"h{i}" for i in range(BINS // 8)]      # 32 bins of one byte each, packed into longs
@@ -266,11 +268,11 @@ def _components(docs: DataFrame, q: int, threshold_pct: int) -> DataFrame:
     full = rows.where(F.col("n") > 0)
     groups = full.select("gkey", "n", "prefix").dropDuplicates(["gkey"])
 
-    # postings of groups: one exchange by shingle serves the count per shingle and the join with it
+    # postings of groups: one exchange by shingle serves the count per shingle and the join with it (both read the same columns)
     before = F.concat(F.array(F.lit(0).cast("long")), F.slice("prefix", F.lit(1), F.size("prefix") - 1))
     post = (groups.select("gkey", "n", F.posexplode(F.arrays_zip(F.col("prefix").alias("tok"), before.alias("prev"))).alias("pos", "e"))
                   .select("gkey", "n", "pos", "e.tok", "e.prev").repartition("tok"))
-    toks = (post.groupBy("tok").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("n", "gkey")).alias("first"))
+    toks = (post.groupBy("tok").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("n", "gkey", "pos", "prev")).alias("first"))
                 .where(F.col("m") > 1).select("tok", F.col("first").alias("pivot")))
     shared = materialize(post.join(toks, "tok").select("tok", "gkey", "n", "pos", "prev", "pivot"))
 
