@@ -393,7 +393,7 @@ def seeded_sample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
 
 # ----------------------------------------------------------------------- M13
 def feature_importance(labelled: DataFrame, features: list[str], cluster: str = "cluster",
-                       n_trees: int = 100, seed: int = 42, max_depth: int = 15) -> DataFrame:
+                       n_trees: int = 100, seed: int = 42, max_depth: int = 10) -> DataFrame:
     """Random-forest importances for predicting the cluster from standardised features, largest first."""
     vec = VectorAssembler(inputCols=features, outputCol="_raw").transform(
         labelled.select(F.col(cluster).cast("double").alias("_y"), *features))
