@@ -268,10 +268,11 @@ def _components(docs: DataFrame, q: int, threshold_pct: int) -> DataFrame:
     full = rows.where(F.col("n") > 0)
     groups = full.select("gkey", "n", "prefix").dropDuplicates(["gkey"])
 
-    # postings of groups: one exchange by shingle serves the count per shingle and the join with it (both read the same columns)
+    # postings of groups: one exchange by shingle serves the count per shingle and the join with it (both read the same columns, and
+    # the join's null filter stands before the exchange)
     before = F.concat(F.array(F.lit(0).cast("long")), F.slice("prefix", F.lit(1), F.size("prefix") - 1))
     post = (groups.select("gkey", "n", F.posexplode(F.arrays_zip(F.col("prefix").alias("tok"), before.alias("prev"))).alias("pos", "e"))
-                  .select("gkey", "n", "pos", "e.tok", "e.prev").repartition("tok"))
+                  .select("gkey", "n", "pos", "e.tok", "e.prev").where(F.col("tok").isNotNull()).repartition("tok"))
     toks = (post.groupBy("tok").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("n", "gkey", "pos", "prev")).alias("first"))
                 .where(F.col("m") > 1).select("tok", F.col("first").alias("pivot")))
     shared = materialize(post.join(toks, "tok").select("tok", "gkey", "n", "pos", "prev", "pivot"))
