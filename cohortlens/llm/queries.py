@@ -144,8 +144,8 @@ FROM documents d LEFT JOIN (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos
 
 @query("op7_line_dedup", OP7_SQL)
 def op7_line_dedup(spark, sf_dir):
-    from cohortlens.llm.op7_linededup import dedup_lines
-    return dedup_lines(read(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+    from cohortlens.llm.op7_linededup import CONTRACT_SITES, dedup_lines
+    return dedup_lines(read(spark, sf_dir, "documents"), CONTRACT_SITES).select("doc_id", "text", "n_lines", "n_removed")
 
 
 @query("op8_pii")

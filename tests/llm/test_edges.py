@@ -1,5 +1,7 @@
 """Nulls in any column, empty and very long texts, ties, repeated rows, empty tables, clashing names."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,3 +104,16 @@ def test_ties_in_spans_and_slots(spark):
     assert {r.spans for r in op4_secrets.scan_secrets(d).collect()} == {"assign:0:14"}
     out = op10_sharding.shard(d).groupBy("shard").agg(F.collect_list("slot").alias("s")).collect()
     assert all(sorted(r.s) == list(range(len(r.s))) for r in out)
+
+
+@pytest.mark.parametrize("copies", [12, 15, 20])
+def test_passages_of_few_documents_go_when_one_source_holds_a_third(spark, copies):
+    passages = [f"passage {p} " + "of many words " * 20 for p in range(10)]
+    rows, rng = [], random.Random(copies)
+    for p, passage in enumerate(passages):
+        for i in range(copies):
+            source = 0 if rng.random() < 1 / 3 else rng.randrange(1, 20)
+            rows.append((p * copies + i, f"own {p} {i}\n{passage}", "en", f"s{source}"))
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = {r.doc_id: r.n_removed for r in op7_linededup.dedup_lines(d).collect()}
+    assert out == {r[0]: int(r[0] % copies > 0) for r in rows}
