@@ -10,9 +10,10 @@ Information-theoretic sanitisation adds the terms around them.  A protected enti
 * ``PMI(e, t) = ln(n_et N / (n_e n_t))`` is how much of it the term ``t`` discloses, ``n_et`` counting the
   documents with ``t`` within ``CONTEXT`` words of ``e``.
 
-A term discloses an entity when ``PMI >= ALPHA * IC`` with support from at least ``MIN_TEXTS`` different
-texts (copies of one text are no evidence); its occurrences beside that entity become
-``term`` spans.  ``sanitize`` generalises pattern spans to their kind and removes disclosing terms.
+A term discloses an entity when ``PMI >= ALPHA * IC``, that is ``n_t <= n_et (N / n_e) ** (1 - ALPHA)``.
+For a value one text is enough: beside a value that stands once, the terms of at most ``N ** (1 - ALPHA)``
+documents disclose it.  A kind needs support from at least ``MIN_KIND_TEXTS`` different texts (copies of one
+text are no evidence for it).  The occurrences of a disclosing term beside its entity become ``term`` spans.  ``sanitize`` generalises pattern spans to their kind and removes disclosing terms.
 
 Defined results: a null or empty text has no spans; overlapping spans of different kinds all stay; a
 term inside a pattern span adds none; repeated rows repeat; an empty table gives no rows;
@@ -34,10 +35,8 @@ KINDS = ("email", "ip", "card", "phone")
 CONTEXT = 5
 REACH = 200          # code points on either side in which the context words are looked for
 ALPHA = 0.8
-MIN_TEXTS = 3
 MIN_KIND_TEXTS = 10
 TERM = r"\p{L}{3,}"
-BROADCAST_TERMS = 200_000     # candidate terms that may be broadcast; more are joined by shuffle
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
@@ -137,8 +136,7 @@ def _terms(text):
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
-def disclosing_terms(docs: DataFrame, scanned: DataFrame, alpha: float = ALPHA, min_texts: int = MIN_TEXTS,
-                     min_kind_texts: int = MIN_KIND_TEXTS) -> DataFrame:
+def disclosing_terms(docs: DataFrame, scanned: DataFrame, alpha: float = ALPHA, min_kind_texts: int = MIN_KIND_TEXTS) -> DataFrame:
     """``(entity, term, ratio)``: terms that disclose an entity (a value's hash, or a kind's)."""
     n_docs = max(1, scanned.count())
     near = (scanned.select("doc_id", "th", F.explode("mentions").alias("m"))
@@ -148,15 +146,13 @@ def disclosing_terms(docs: DataFrame, scanned: DataFrame, alpha: float = ALPHA,
     entity = near.groupBy("entity").agg(F.count_distinct(row).alias("n_e"))
     with_t = (near.select("doc_id", "th", "entity", "is_kind", F.explode(F.array_distinct(_terms(F.array_join("words", " ")))).alias("term"))
                   .groupBy("entity", "term").agg(F.count_distinct(row).alias("n_et"), F.count_distinct("th").alias("texts"), F.max("is_kind").alias("is_kind"))
-                  .where(F.col("texts") >= F.when(F.col("is_kind"), min_kind_texts).otherwise(min_texts)))
+                  .where(~F.col("is_kind") | (F.col("texts") >= min_kind_texts)))
     with_t = materialize(with_t.join(entity, "entity"))
-    wanted = with_t.select("term").distinct()
-    n = wanted.count()
-    if n == 0:
+    if with_t.isEmpty():
         return with_t.select("entity", "term", F.lit(0.0).alias("ratio"))
-    wanted = F.broadcast(wanted) if n <= BROADCAST_TERMS else wanted
+    # the whole vocabulary is counted before the join: candidates grow with the corpus, and so would a join of its terms with them
     df = (docs.where(F.col("text").isNotNull()).select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
-              .join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t")))
+              .groupBy("term").agg(F.count(F.lit(1)).alias("n_t")))
     pmi = F.log(F.col("n_et") * F.lit(float(n_docs)) / (F.col("n_e").cast("double") * F.col("n_t")))
     ic = -F.log(F.col("n_e") / F.lit(float(n_docs)))
     return (with_t.join(df, "term").withColumn("pmi", pmi).withColumn("ic", ic)

@@ -129,6 +129,16 @@ def test_disclosing_terms_are_found_and_removed(spark):
     assert "[email]" in clean[61] and "zebrafish" not in clean[61] and clean[3] == filler[3]
 
 
+def test_one_text_is_enough_to_disclose_a_value(spark):
+    filler = ["lorem ipsum dolor sit amet number %d" % i for i in range(60)]
+    values = ["lorem zebrafish zoe@example.org ipsum", "lorem aardvark 10.1.2.3 ipsum", "lorem okapi +1 555 123 4567 ipsum"]
+    texts = filler + values
+    out = {r.doc_id: r.spans for r in op8_pii.find_pii(docs_of(spark, texts)).collect()}
+    for i, name in enumerate(("zebrafish", "aardvark", "okapi"), 60):
+        assert [s for s in out[i].split(",") if s.startswith("term")] == [f"term:6:{6 + len(name)}"]
+    assert all(out[i] == "" for i in range(60))
+
+
 # -- op6 ---------------------------------------------------------------------------------------
 
 def brute_components(texts, q=3, pct=90):
