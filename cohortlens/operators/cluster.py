@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from cohortlens.session import materialize
 from cohortlens.functions.frames import numeric_columns, q
 from cohortlens.operators import evaluate
+from cohortlens.operators.neighbors import _dist_arrays, grid_axes
 
 MAX_GRID_DIMS = 3
 
@@ -134,9 +135,6 @@ def _metric_expr(metric: str, a: list[Column], b: list[Column]) -> Column:
 def _points(df: DataFrame, features: list[str], key: str, eps: float, metric: str):
     """Points ``(key, _x0.._x{d-1})`` without nulls, plus the metric and eps to
     search with (cosine becomes Euclidean on unit vectors)."""
-    d = len(features)
-    if d > MAX_GRID_DIMS:
-        raise ValueError(f"grid neighbour join needs <= {MAX_GRID_DIMS} dimensions (reduce with PCA first)")
     xs = [q(f).cast("double") for f in features]
     base = df.where(" AND ".join(f"`{f}` IS NOT NULL" for f in features))
     if metric == "cosine":
@@ -169,11 +167,14 @@ def eps_neighbours(df: DataFrame, features: list[str], eps: float, key: str = "k
     * Only locations in *different* cells within reach are paired, through an
       equi-join on the shifted cell coordinates and the exact distance test.
 
+    Above 3 features see :func:`_projected_neighbours`.
+
     Returns ``(points(key, _loc), locations(_loc, _w, _cell), cross pairs(_loc, _nloc, _nw))``.
-    Needs d <= 3.
     """
     pts, eps, metric = _points(df, features, key, eps, metric)
     d = len(features)
+    if d > MAX_GRID_DIMS:
+        return _projected_neighbours(pts, d, eps, key, metric)
     xs = [f"_x{i}" for i in range(d)]
     side, reach = _small_cells(metric, eps, d)
     locs = (pts.groupBy(*xs).agg(F.min(key).alias("_loc"), F.count(F.lit(1)).alias("_w"))
@@ -193,6 +194,35 @@ def eps_neighbours(df: DataFrame, features: list[str], eps: float, key: str = "k
     return point_loc, cells, cross
 
 
+def _projected_neighbours(pts: DataFrame, d: int, eps: float, key: str, metric: str):
+    """:func:`eps_neighbours` in many dimensions: an eps-sized grid on at most 3
+    projected axes finds the candidates, the distance over all features decides.
+
+    Points of one projected cell need not be neighbours, so every location is a
+    cell of its own and all pairs are cross pairs; each is tested once (half of
+    the adjacent cells) and goes out in both directions.
+    """
+    xs = [f"_x{i}" for i in range(d)]
+    locs = materialize(pts.groupBy(*xs).agg(F.min(key).alias("_loc"), F.count(F.lit(1)).alias("_w")))
+    axes, slack = grid_axes(locs, xs)
+    cs = [f"_c{i}" for i in range(len(axes))]
+    side = eps * (1 + 1e-6) + 2 * slack
+    grid = locs.select("_loc", "_w", F.array(*xs).alias("_v"),
+                       *[F.floor(a / F.lit(side)).cast("long").alias(c) for a, c in zip(axes, cs)])
+    half = [o for o in itertools.product((-1, 0, 1), repeat=len(cs)) if o >= (0,) * len(cs)]
+    probe = (grid.withColumn("_o", F.explode(F.array(*[F.array(*[F.lit(v) for v in o]) for o in half])))
+                 .select("_loc", "_w", "_v", F.forall("_o", lambda v: v == 0).alias("_home"),
+                         *[(F.col(c) + F.col("_o")[i]).alias(c) for i, c in enumerate(cs)]))
+    other = grid.select(F.col("_loc").alias("_nloc"), F.col("_w").alias("_nw"), F.col("_v").alias("_nv"), *cs)
+    pairs = (probe.join(other, cs).where(~F.col("_home") | (F.col("_loc") < F.col("_nloc")))
+                  .where(_dist_arrays(metric, F.col("_v"), F.col("_nv")) <= F.lit(eps)))
+    cross = pairs.select(F.explode(F.array(
+        F.struct("_loc", "_nloc", "_nw"),
+        F.struct(F.col("_nloc").alias("_loc"), F.col("_loc").alias("_nloc"), F.col("_w").alias("_nw")))).alias("_p")).select("_p.*")
+    return (pts.join(locs.select(*xs, "_loc"), xs).select(key, "_loc"),
+            locs.select("_loc", "_w", F.struct("_loc").alias("_cell")), cross)
+
+
 def _location_counts(cells: DataFrame, cross: DataFrame) -> DataFrame:
     """Neighbours of every location: its cell's whole weight plus the cross pairs."""
     own = cells.join(cells.groupBy("_cell").agg(F.sum("_w").alias("_cw")), "_cell")

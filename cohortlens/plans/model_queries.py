@@ -172,7 +172,18 @@ def q_dbscan_core_points(spark, sf):
 
 @query("dbscan")
 def q_dbscan(spark, sf):
-    return cluster.dbscan(role(spark, sf, "features"), ["f00", "f01"], DB_EPS, DB_MIN)
+    return cluster.dbscan(role(spark, sf, "features"), FEATURE_COLS, DB_EPS, DB_MIN)
+
+
+_D_ALL = "sqrt(" + " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in FEATURE_COLS) + ")"
+
+
+@query("dbscan_core_points_all", f"""
+SELECT a.key, count(*) AS n_neighbours, count(*) >= {DB_MIN} AS is_core
+FROM features a JOIN features b ON {_D_ALL} <= {DB_EPS} GROUP BY a.key
+""")
+def q_dbscan_core_points_all(spark, sf):
+    return cluster.dbscan_core_points(role(spark, sf, "features"), FEATURE_COLS, DB_EPS, DB_MIN)
 
 
 # ------------------------------------------------------------------- C6 - C9
@@ -266,3 +277,28 @@ def q_dbscan_eps(spark, sf):
     from cohortlens.operators.neighbors import suggest_eps
     out = suggest_eps(role(spark, sf, "features"), ["f00", "f01"], k=5)
     return out.select(r6(F.col("suggested_eps")).alias("suggested_eps"))
+
+
+_KNN_ALL_SQL = f"""
+pd AS (SELECT key, d, row_number() OVER (PARTITION BY key ORDER BY d) AS rn
+       FROM (SELECT a.key, {_D_ALL} AS d FROM features a, features b)),
+kd AS (SELECT key, d AS knn_distance FROM pd WHERE rn = 5)"""
+
+
+@query("knn_distance_all", f"WITH {_KNN_ALL_SQL}\nSELECT key, round(knn_distance, 6) AS knn_distance FROM kd")
+def q_knn_distance_all(spark, sf):
+    from cohortlens.operators.neighbors import knn_distances
+    out = knn_distances(role(spark, sf, "features"), FEATURE_COLS, k=5)
+    return out.select("key", r6(F.col("knn_distance")).alias("knn_distance"))
+
+
+@query("dbscan_eps_all", f"""WITH {_KNN_ALL_SQL},
+s AS (SELECT knn_distance, row_number() OVER (ORDER BY knn_distance) AS i FROM kd),
+g AS (SELECT i, knn_distance, knn_distance - lag(knn_distance) OVER (ORDER BY i) AS gap FROM s)
+SELECT round(knn_distance, 6) AS suggested_eps FROM g WHERE gap IS NOT NULL
+ORDER BY gap DESC, i LIMIT 1
+""")
+def q_dbscan_eps_all(spark, sf):
+    from cohortlens.operators.neighbors import suggest_eps
+    out = suggest_eps(role(spark, sf, "features"), FEATURE_COLS, k=5)
+    return out.select(r6(F.col("suggested_eps")).alias("suggested_eps"))

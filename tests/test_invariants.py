@@ -256,3 +256,25 @@ def test_lda_tfidf(spark):
     td = Q["lda_topics_tfidf"](spark, SF_SMALL)
     r = td.select(F.aggregate("topic_distribution", F.lit(0.0), lambda a, b: a + b).alias("s")).collect()
     assert r and all(abs(x["s"] - 1) < 1e-6 for x in r)
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
+def test_dbscan_and_knn_on_all_features(spark, metric):
+    from cohortlens.operators.neighbors import knn_distances
+    from cohortlens.plans.roles import FEATURE_COLS
+    f = role(spark, SF_SMALL, "features").where("key < 150").persist()
+    pts = {r["key"]: tuple(r[c] for c in FEATURE_COLS) for r in f.collect()}
+
+    def dist(a, b):
+        return math.dist(a, b) if metric == "euclidean" else sum(abs(x - y) for x, y in zip(a, b))
+
+    ds = {a: sorted(dist(pts[a], pts[b]) for b in pts) for a in pts}
+    eps = sorted(d[4] for d in ds.values())[len(ds) // 2] + 1e-9
+    core = {r["key"]: r["n_neighbours"] for r in cluster.dbscan_core_points(f, FEATURE_COLS, eps, 5, metric=metric).collect()}
+    assert core == {a: sum(x <= eps for x in d) for a, d in ds.items()}
+    if metric == "euclidean":
+        got = {r["key"]: r["cluster"] for r in cluster.dbscan(f, FEATURE_COLS, eps, 5).collect()}
+        assert got == _brute_dbscan(pts, eps, 5) and len(set(got.values())) > 1
+    knn = {r["key"]: r["knn_distance"] for r in knn_distances(f, FEATURE_COLS, k=5, metric=metric).collect()}
+    assert all(abs(knn[a] - d[4]) < 1e-9 for a, d in ds.items())
+    f.unpersist()
