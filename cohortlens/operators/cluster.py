@@ -34,6 +34,17 @@ def _vectors(df: DataFrame, features: list[str], key: str) -> DataFrame:
         df.select(key, *features))
 
 
+def _best_kmeans(vec: DataFrame, k: int, n_init: int, max_iter: int, seed: int):
+    best = None
+    for i in range(n_init):
+        m = KMeans(k=k, maxIter=max_iter, seed=seed + i, featuresCol="features",
+                   predictionCol="cluster").fit(vec)
+        cost = m.summary.trainingCost
+        if best is None or cost < best[0]:
+            best = (cost, m)
+    return best[1]
+
+
 # ------------------------------------------------------------------------ C1
 def kmeans(df: DataFrame, k: int = 5, features=None, key: str = "key", n_init: int = 10,
            max_iter: int = 300, seed: int = 42, persist: bool = True):
@@ -45,14 +56,7 @@ def kmeans(df: DataFrame, k: int = 5, features=None, key: str = "key", n_init: i
     if persist:
         vec = vec.persist()
     try:
-        best = None
-        for i in range(n_init):
-            m = KMeans(k=k, maxIter=max_iter, seed=seed + i, featuresCol="features",
-                       predictionCol="cluster").fit(vec)
-            cost = m.summary.trainingCost
-            if best is None or cost < best[0]:
-                best = (cost, m)
-        model = best[1]
+        model = _best_kmeans(vec, k, n_init, max_iter, seed)
         labels = model.transform(vec).select(key, F.col("cluster").cast("int").alias("cluster"))
         if persist:
             # materialise to the shared checkpoint folder before the cache is released
@@ -88,19 +92,24 @@ def centres_from_labels(labelled: DataFrame, features: list[str], cluster: str =
 
 # ------------------------------------------------------------------------ C3
 def kmeans_k_scan(df: DataFrame, ks=range(2, 11), features=None, key: str = "key", seed: int = 42,
-                  n_init: int = 1) -> DataFrame:
+                  n_init: int = 10, max_iter: int = 300) -> DataFrame:
     """Inertia, squared silhouette, Davies-Bouldin, Calinski-Harabasz for each k,
     and the pick of each selection rule: elbow (arg-max of the relative inertia
     change + 1, clamped), best silhouette (max), Davies-Bouldin (min) and
-    Calinski-Harabasz (max); NaN values are skipped."""
+    Calinski-Harabasz (max); NaN values are skipped.  Each k is the best of ``n_init``
+    starts; the vectors are assembled and cached once for all of them."""
     feats = list(features) if features else numeric_columns(df, exclude={key})
     rows = []
-    for k in ks:
-        labels, model = kmeans(df, k, feats, key, n_init=n_init, seed=seed)
-        lab = df.select(key, *feats).join(labels, key)
-        ix = evaluate.centroid_indices(lab, feats)
-        rows.append((int(k), float(model.summary.trainingCost), evaluate.silhouette_sq(lab, feats).first()[0],
-                     ix["davies_bouldin"], ix["calinski_harabasz"]))
+    vec = VectorAssembler(inputCols=feats, outputCol="features").transform(df.select(key, *feats)).persist()
+    try:
+        for k in ks:
+            model = _best_kmeans(vec, k, n_init, max_iter, seed)
+            lab = model.transform(vec).select(key, *feats, F.col("cluster").cast("int").alias("cluster"))
+            ix = evaluate.centroid_indices(lab, feats)
+            rows.append((int(k), float(model.summary.trainingCost), evaluate.silhouette_sq(lab, feats).first()[0],
+                         ix["davies_bouldin"], ix["calinski_harabasz"]))
+    finally:
+        vec.unpersist()
     inert = [r[1] for r in rows]
     # elbow rule: relative change (I[i+1] - I[i]) / I[i], arg-max (first) + 1, clamped to the last k
     rate = [(inert[i + 1] - inert[i]) / inert[i] if inert[i] else 0.0 for i in range(len(inert) - 1)]

@@ -278,3 +278,17 @@ def test_dbscan_and_knn_on_all_features(spark, metric):
     knn = {r["key"]: r["knn_distance"] for r in knn_distances(f, FEATURE_COLS, k=5, metric=metric).collect()}
     assert all(abs(knn[a] - d[4]) < 1e-9 for a, d in ds.items())
     f.unpersist()
+
+
+def test_k_scan_keeps_the_best_of_ten_starts(spark):
+    import numpy as np
+    from pyspark.ml.clustering import KMeans
+    rng = np.random.default_rng(4)
+    pts = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(rng.random((300, 2)))],
+                                "key long, x double, y double").coalesce(1).persist()
+    vec = cluster._vectors(pts, ["x", "y"], "key").persist()
+    cost = [KMeans(k=8, maxIter=300, seed=42 + i, featuresCol="features").fit(vec).summary.trainingCost for i in range(10)]
+    got = cluster.kmeans_k_scan(pts, [8], ["x", "y"]).first()["inertia"]
+    assert got < cost[0] - 1e-9 and abs(got - min(cost)) < 1e-9
+    vec.unpersist()
+    pts.unpersist()
