@@ -178,6 +178,13 @@ def documents_from_sequences(seq: DataFrame, key: str, sequence: str = "sequence
     return seq.select(key, F.filter(sequence, lambda x: x.isNotNull()).alias("tokens"))
 
 
+def documents_from_histories(df: DataFrame, key: str, item: str) -> DataFrame:
+    """Documents of whole histories as long counts ``(key, term, n)``: every item counts (null
+    items and keys dropped), and no history has to fit a row."""
+    return (df.where(F.col(key).isNotNull() & F.col(item).isNotNull())
+              .groupBy(key, F.col(item).alias("term")).agg(F.count(F.lit(1)).alias("n")))
+
+
 def documents_from_text(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, F.coalesce(F.col(text), F.lit("")).alias("text"))
 

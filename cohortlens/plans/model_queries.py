@@ -106,6 +106,14 @@ def q_documents_from_sequences(spark, sf):
     return prepare.documents_from_sequences(seq, "subject_id")
 
 
+@query("documents_from_histories", """
+SELECT subject_id, order_type AS term, count(*) AS n FROM poe
+WHERE subject_id IS NOT NULL AND order_type IS NOT NULL GROUP BY subject_id, order_type
+""")
+def q_documents_from_histories(spark, sf):
+    return prepare.documents_from_histories(role(spark, sf, "poe"), "subject_id", "order_type")
+
+
 # ------------------------------------------------------------------- P9 / P10
 _TOKENS = r"""tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]{2,}')) AS term
             FROM documents),

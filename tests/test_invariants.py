@@ -292,3 +292,10 @@ def test_k_scan_keeps_the_best_of_ten_starts(spark):
     assert got < cost[0] - 1e-9 and abs(got - min(cost)) < 1e-9
     vec.unpersist()
     pts.unpersist()
+
+
+def test_documents_of_whole_histories(spark):
+    from cohortlens.operators import prepare
+    rows = [(1, "a")] * 25 + [(1, "late")] * 3 + [(1, None), (None, "a"), (2, "b")]
+    got = prepare.documents_from_histories(spark.createDataFrame(rows, "p long, o string"), "p", "o").collect()
+    assert sorted(map(tuple, got)) == [(1, "a", 25), (1, "late", 3), (2, "b", 1)]
