@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings every plan in the library assumes.  They are session
 # scoped and safe to set on a shared session:
@@ -88,3 +89,37 @@ def materialize(df):
     re-reads the checkpoint instead of recomputing the lineage."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+class Scratch:
+    """Written intermediates of one operator run, in a folder of their own under the shared checkpoint folder.
+
+    ``keep`` writes a table as compressed Parquet and reads it back with its schema, so later reads prune
+    columns and see real sizes; ``drop`` deletes tables that nothing reads any more, ``close`` the whole folder.
+    Nothing depends on the session's checkpoint settings, and a lost executor rereads shared files.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self._n = spark, scratch_path(spark, f"{name}-{uuid.uuid4().hex}"), 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{self.path}/{self._n}"
+        self._n += 1
+        df.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._scratch = path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            delete_path(self.spark, t._scratch)
+
+    def close(self) -> None:
+        delete_path(self.spark, self.path)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a written intermediate through Hadoop's file system of its path."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
