@@ -168,6 +168,94 @@ def op10_sharding(spark, sf_dir):
                       F.lit(None).cast("int").alias("grown_shard"), "vslot", "map_version")
 
 
+OP11_SQL = r"""
+WITH d0 AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                                       '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents WHERE text IS NOT NULL),
+d AS (SELECT k, doc_id, ts, len(ts)::BIGINT AS n FROM d0 WHERE len(ts) > 0),
+s AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS total FROM d),
+i0 AS (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL),
+i1 AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                 '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM i0),
+i AS (SELECT item_id, t, count(*) AS q FROM i1 GROUP BY 1, 2),
+p0 AS (SELECT k, doc_id, n, unnest(ts) AS t FROM d),
+p AS (SELECT k, doc_id, n, t, count(*)::BIGINT AS tf FROM p0 GROUP BY ALL),
+w AS (SELECT t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM (SELECT t, count(*) AS df FROM p GROUP BY 1), s),
+x AS (SELECT i.item_id, p.k, p.doc_id, sum(i.q * w.w * ((1000000000 * p.tf) // (1000 * p.tf + 8 * (25 + (75 * p.n * n_docs) // total))))::BIGINT AS score
+      FROM i JOIN w USING (t) JOIN p USING (t), s GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM x WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+
+@query("op11_search", OP11_SQL)
+def op11_search(spark, sf_dir):
+    from cohortlens.llm.op11_search import search
+    return search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+OP12_SQL = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS k, vec_id, embedding::DOUBLE[] AS e,
+                     coalesce(len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                              AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false) AS fine FROM embeddings),
+f AS (SELECT k, vec_id, e, len(e) AS d, sqrt(list_dot_product(e, e)) AS norm FROM v WHERE fine),
+l AS (SELECT a.k AS x, b.k AS y FROM f a JOIN f b ON a.k <> b.k AND a.d = b.d AND list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.9),
+r AS (SELECT k AS x, k AS y FROM v UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+c AS (SELECT r.x, min(v.vec_id) AS component_id FROM r JOIN v ON v.k = r.y GROUP BY 1),
+n AS (SELECT x, count(*) AS n FROM l GROUP BY 1)
+SELECT v.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.component_id, coalesce(v.vec_id = c.component_id, false) AS kept
+FROM v JOIN c ON c.x = v.k LEFT JOIN n ON n.x = v.k
+"""
+
+
+@query("op12_near_duplicates", OP12_SQL)
+def op12_near_duplicates(spark, sf_dir):
+    from cohortlens.llm.op12_neardup import near_duplicates
+    return near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE tbl AS (SELECT list(c ORDER BY i) AS tbl FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c
+                       FROM (SELECT unnest(range(256)) AS i))),
+d AS (SELECT *, coalesce(xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT)),
+             lambda c, x: xor(c >> 8, tbl[(xor(c, x) & 255) + 1]))) % 5 = 0, false) AS tampered FROM documents, tbl),
+f AS (SELECT doc_id, source, tampered, coalesce(text, '') AS t0, text IS NULL AS no_text,
+             CASE WHEN doc_id IS NULL THEN '-' ELSE length(doc_id::VARCHAR) || ':' || doc_id END || CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END
+             || CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END || CASE WHEN n_chars IS NULL THEN '-' ELSE length(n_chars::VARCHAR) || ':' || n_chars END AS head FROM d),
+g AS (SELECT doc_id, source, sha256(head || CASE WHEN no_text THEN '-' ELSE strlen(t0) || ':' || t0 END) AS leaf,
+             sha256(head || CASE WHEN no_text THEN '-' ELSE strlen(t0) || ':' || CASE WHEN tampered THEN translate(t0, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE t0 END END) AS used FROM f),
+o AS (SELECT *, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS t,
+             row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS m FROM g),
+up AS (SELECT 0 AS lv, t, i, leaf AS h, m FROM o
+       UNION ALL
+       SELECT lv + 1, t, i // 16, sha256(string_agg(h, '' ORDER BY i)), max((m + 15) // 16) FROM up WHERE m > 1 GROUP BY lv, t, i // 16),
+sub AS (SELECT t, h, row_number() OVER (ORDER BY encode(t)) - 1 AS i, count(*) OVER () AS m FROM up WHERE m = 1),
+over_ AS (SELECT 0 AS lv, i, h, m FROM sub
+       UNION ALL
+       SELECT lv + 1, i // 16, sha256(string_agg(h, '' ORDER BY i)), max((m + 15) // 16) FROM over_ WHERE m > 1 GROUP BY lv, i // 16),
+run AS (SELECT lv, t, i // 16 AS p, list(h ORDER BY i) AS hs FROM up WHERE m > 1 GROUP BY ALL),
+orun AS (SELECT lv, i // 16 AS p, list(h ORDER BY i) AS hs FROM over_ WHERE m > 1 GROUP BY ALL),
+walk AS (SELECT k, t, 0 AS lv, i, used AS h, '' AS proof FROM (SELECT *, row_number() OVER () AS k FROM o)
+       UNION ALL
+       SELECT k, w.t, w.lv + 1, i // 16, sha256(array_to_string(hs[1:i % 16], '') || h || array_to_string(hs[i % 16 + 2:], '')), proof || array_to_string(hs[1:i % 16], '') || array_to_string(hs[i % 16 + 2:], '')
+       FROM walk w JOIN run r ON r.t = w.t AND r.lv = w.lv AND r.p = w.i // 16),
+mid AS (SELECT k, t, h, proof FROM walk QUALIFY row_number() OVER (PARTITION BY k ORDER BY lv DESC) = 1),
+walk2 AS (SELECT k, 0 AS lv, sub.i, mid.h, proof FROM mid JOIN sub USING (t)
+       UNION ALL
+       SELECT k, w.lv + 1, i // 16, sha256(array_to_string(hs[1:i % 16], '') || h || array_to_string(hs[i % 16 + 2:], '')), proof || array_to_string(hs[1:i % 16], '') || array_to_string(hs[i % 16 + 2:], '')
+       FROM walk2 w JOIN orun r ON r.lv = w.lv AND r.p = w.i // 16),
+fin AS (SELECT k, h, proof FROM walk2 QUALIFY row_number() OVER (PARTITION BY k ORDER BY lv DESC) = 1),
+root AS (SELECT h AS root FROM over_ WHERE m = 1)
+SELECT x.doc_id, x.leaf, sub.h AS subroot, root, sha256(fin.proof) AS proof_sha256, fin.h AS folded_root, fin.h = root AS verified
+FROM (SELECT *, row_number() OVER () AS k FROM o) x JOIN fin USING (k) JOIN sub USING (t), root
+"""
+
+
+@query("op13_merkle", OP13_SQL)
+def op13_merkle(spark, sf_dir):
+    from cohortlens.llm.op13_merkle import manifest
+    return manifest(read(spark, sf_dir, "documents"), tamper=F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

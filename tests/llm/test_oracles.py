@@ -8,7 +8,7 @@ import pytest
 from cohortlens.llm import queries as Q
 
 SF = "/root/testdata/sf0.001"
-TABLES = "documents benchmark labels".split()
+TABLES = "documents benchmark labels embeddings".split()
 
 
 @pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
@@ -25,5 +25,5 @@ def test_matches_sql(spark, name):
 
 def test_every_operator_is_registered():
     names = {n.split("_")[0] for n in Q.queries()}
-    assert names == {f"op{i}" for i in range(1, 11)}
+    assert names == {f"op{i}" for i in range(1, 14)}
     assert os.path.exists(SF)
