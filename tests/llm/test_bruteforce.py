@@ -227,6 +227,40 @@ def test_viterbi_fold_finds_the_least_cost(spark):
         assert [w[a:b] for a, b in zip(cuts, cuts[1:])] == op9_sentencepiece._viterbi(w, cost, 3)
 
 
+def test_a_log_probability_model_is_encoded_by_viterbi(spark, monkeypatch):
+    """encode() end to end with scores that are log probabilities: short units by the SQL fold, units over MASK by ``_viterbi``."""
+    ps = ["a", "b", "c", "ab", "bc", "abc", "cab", "▁", "▁a", "▁ab", "bca"]
+    scores = [-3.25, -3.25, -3.5, -4.125, -4.125, -6.5, -6.5, -1.5, -2.25, -5.375, -7.0]
+    pieces = [None] * 256 + ps
+    op9_sentencepiece.piece_bytes.cache_clear()
+    monkeypatch.setattr(op9_sentencepiece, "load_pieces", lambda model: (pieces, [0.0] * 256 + scores, list(range(256)), False))
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("abc"), p=[0.5, 0.3, 0.2], size=n)) for n in (1, 2, 7, 59, 60, 61, 200)]
+    texts += ["abcx abc éab" + "abc" * 30 + "z" + "cab" * 10, "x" * 70 + " " + "x" * 10, "ab ab  cab\nbca"]
+    out = op9_sentencepiece.encode(docs_of(spark, texts), model="small")
+    back = {r.doc_id: r.text for r in op9_sentencepiece.decode(out, model="small").collect()}
+    cost = {p.replace("▁", " "): round(-s * 1e6) for p, s in zip(ps, scores)}
+    index = {p.replace("▁", " "): 256 + i for i, p in enumerate(ps)}
+    for r in out.collect():
+        want = []
+        for unit in (u for u in re.split(op9_sentencepiece.CUT, " " + texts[r.doc_id]) if u):
+            best = [(0, [])]        # least cost of each prefix, the longer last piece first
+            for e in range(1, len(unit) + 1):
+                ways = [(best[s][0] + (cost[unit[s:e]] if unit[s:e] in cost else op9_sentencepiece.UNKNOWN), s) for s in range(max(0, e - 3), e) if unit[s:e] in cost or e - s == 1]
+                c, s = min(ways)
+                best.append((c, best[s][1] + [unit[s:e]]))
+            want += [x for p in best[-1][1] for x in ([index[p]] if p in index else list(p.encode()))]
+        assert list(r.ids) == want and r.round_trip and back[r.doc_id] == texts[r.doc_id]
+    op9_sentencepiece.piece_bytes.cache_clear()
+
+
+def test_forward_units_are_the_pieces_between_the_cuts():
+    rng = np.random.default_rng(0)
+    for _ in range(3000):
+        t = "".join(rng.choice(list("ab Z9.,-é一\n \t▁ÀƁ_"), size=rng.integers(0, 30)))
+        assert re.findall(op9_sentencepiece.UNIT, t) == [u for u in re.split(op9_sentencepiece.CUT, t) if u]
+
+
 # -- op10 --------------------------------------------------------------------------------------
 
 def test_shards_have_equal_bytes_and_gapless_slots(spark):
