@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from cohortlens.session import materialize
+from cohortlens.session import Scratch
 
 
 def _mark(e: DataFrame):
@@ -21,18 +21,21 @@ def _mark(e: DataFrame):
 
 def components(edges: DataFrame) -> DataFrame:
     """``(v, comp)`` for every vertex of ``edges(u, v)``; ``comp`` is its component's smallest vertex."""
-    e = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-                         .where(F.col("u") != F.col("v")).distinct())
+    scratch = Scratch(edges.sparkSession, "components")
+    e = scratch.keep(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+                          .where(F.col("u") != F.col("v")).distinct())
     mark = _mark(e)
-    while True:
+    while mark[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                       .union(low.select("u", F.col("m").alias("v"))).where(F.col("u") != F.col("v")).distinct())
-        e = materialize(small)
-        now = _mark(e)
+        after = scratch.keep(small)
+        now = _mark(after)
+        scratch.drop(e)
+        e = after
         if now == mark:
             break
         mark = now

@@ -3,8 +3,8 @@ r"""n-gram Jaccard join with grouped prefixes, and the components of its links.
 A document's set is its distinct word ``q``-gram shingles (64-bit hashes).  Two
 documents link when ``100 |A & B| >= threshold_pct |A | B|``.
 
-* **Order.**  Shingle frequencies over all documents are counted in a table of fixed
-  size (``BUCKETS`` hashed counters).  Shingles whose counter stands out of the chance
+* **Order.**  Shingle frequencies over all documents are counted in a table of
+  hashed counters (``BUCKETS``, doubled with the number of documents up to ``MAX_BUCKETS``).  Shingles whose counter stands out of the chance
   variation of its load come last, by doublings; all others come in hash order.  Shingles of
   common lines and passages so stay out of prefixes.
 * **Groups.**  The prefix of a set of ``n`` shingles is its first
@@ -19,7 +19,9 @@ documents link when ``100 |A & B| >= threshold_pct |A | B|``.
   node, groups against pivots of each shared shingle's groups, then nodes against
   several random pivots per shingle.  The closing round verifies *every* remaining
   candidate pair of nodes in different components, so no link is lost, while a dense
-  group of thousands of near copies costs rows in proportion to its size.
+  group of thousands of near copies costs rows in proportion to its size: at each shingle
+  only nodes outside its most frequent component look for partners, and only in bands of
+  sizes that can link.
 
 Verification intersects the whole sets, rebuilt from the texts of the candidate nodes.
 
@@ -37,11 +39,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from cohortlens.llm.components import components
-from cohortlens.llm.textops import codepoints, lower_ascii, mix, word_hashes
-from cohortlens.session import materialize
+from cohortlens.llm.textops import CHUNK, codepoints, lower_ascii, mix, word_hashes
+from cohortlens.session import Scratch
 
 BUCKETS = 1 << 20
-_CHUNKS = 256
+MAX_BUCKETS = 1 << 24
+_CHUNK = 1 << 14              # counters that travel in one row
 BINS = 32
 FINE = 64                     # finer histogram: this many bins for up to 4,096 shingles, doubled with the size
 BROADCAST_IDS = 1_000_000     # ids (8 bytes each) a side may have to be broadcast; larger ones are joined by shuffle
@@ -71,42 +74,51 @@ def prefix_size(n: int, pct: int) -> int:
     return n - -(-pct * n // 100) + 1
 
 
-def _sketch(q: int):
+def _bucket(s: np.ndarray, buckets: int) -> np.ndarray:
+    return (s >> np.uint64(65 - buckets.bit_length())).astype(np.int64)
+
+
+def _sketch(q: int, buckets: int):
     def run(batches):
-        c = np.zeros(BUCKETS, dtype=np.int32)
+        c = np.zeros(buckets, dtype=np.int64)
         for b in batches:
-            for text in b.column("text").to_pylist():
+            held, n = [], 0
+            for text in [*b.column("text").to_pylist(), None]:
                 s = shingles(text, q)
-                c += np.bincount((s >> np.uint64(44)).astype(np.int64), minlength=BUCKETS).astype(np.int32) if len(s) > BUCKETS // 8 else 0
-                if len(s) <= BUCKETS // 8:
-                    np.add.at(c, (s >> np.uint64(44)).astype(np.int64), 1)
-        parts = c.reshape(_CHUNKS, -1)
-        yield pa.record_batch([pa.array(range(_CHUNKS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())],
-                              names=["chunk", "counts"])
+                held.append(s)
+                n += len(s)
+                if text is None or n > CHUNK:
+                    at = _bucket(np.concatenate(held), buckets)
+                    if buckets <= 1 << 22:
+                        c += np.bincount(at, minlength=buckets)
+                    else:
+                        at, more = np.unique(at, return_counts=True)
+                        c[at] += more
+                    held, n = [], 0
+        parts = c.reshape(-1, min(buckets, _CHUNK))
+        yield pa.record_batch([pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["chunk", "counts"])
     return run
 
 
 def _merge(key, frame):
     import pandas as pd
-    width = BUCKETS // _CHUNKS
-    total = np.zeros(width, dtype=np.int64)
-    for raw in frame["counts"]:
-        total += np.frombuffer(raw, dtype=np.int32 if len(raw) == 4 * width else np.int64)
+    total = sum(np.frombuffer(raw, dtype=np.int64) for raw in frame["counts"])
     return pd.DataFrame({"chunk": [key[0]], "salt": [0], "counts": [total.tobytes()]})
 
 
 def frequency_classes(docs: DataFrame, q: int) -> np.ndarray:
     """Per counter: 0 for ordinary shingles, else 1 and the doublings of its excess over the mean load."""
-    parts = docs.select("text").mapInArrow(_sketch(q), "chunk int, counts binary")
+    buckets = min(MAX_BUCKETS, max(BUCKETS, 1 << (4 * docs.count()).bit_length()))
+    parts = docs.select("text").mapInArrow(_sketch(q, buckets), "chunk int, counts binary")
     merged = "chunk int, salt int, counts binary"
-    parts = parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64)))     # merged in two levels: a few tables per task
+    parts = parts.withColumn("salt", F.floor(F.spark_partition_id() / 64).cast("int"))     # merged in two levels: a few tables per task
     rows = (parts.groupBy("chunk", "salt").applyInPandas(_merge, merged)
-                 .groupBy("chunk").applyInPandas(_merge, merged).collect())         # BUCKETS counters in all
-    c = np.zeros((_CHUNKS, BUCKETS // _CHUNKS), dtype=np.int64)
+                 .groupBy("chunk").applyInPandas(_merge, merged).collect())         # ``buckets`` counters in all
+    c = np.zeros((buckets // min(buckets, _CHUNK), min(buckets, _CHUNK)), dtype=np.int64)
     for r in rows:
         c[r.chunk] = np.frombuffer(r.counts, dtype=np.int64)
     c = c.reshape(-1)
-    mean = c.sum() / BUCKETS
+    mean = c.sum() / buckets
     chance = 6 * np.sqrt(mean) + 8          # six deviations of a load of single shingles
     over = (c - mean) / chance
     return np.where(over > 1, 1 + np.floor(np.log2(np.maximum(over, 1))), 0).astype(np.uint8)
@@ -120,11 +132,12 @@ def fine_bins(n: int) -> int:
     return FINE << max(0, (n - 1).bit_length() - 12)
 
 
-def _profile(q: int, pct: int, classes: np.ndarray):
+def _profile(q: int, pct: int, shared):
     schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("gkey", pa.int64()),
                         *((h, pa.int64()) for h in _HIST), ("fine", pa.binary()), ("prefix", pa.list_(pa.int64()))])
 
     def run(batches):
+        classes = shared.value
         for b in batches:
             n, sid, gkey, hist, fine, prefix = [], [], [], [], [], []
             for text in b.column("text").to_pylist():
@@ -138,7 +151,7 @@ def _profile(q: int, pct: int, classes: np.ndarray):
                     fine.append(b"")
                     prefix.append([])
                     continue
-                cls = classes[(s >> np.uint64(44)).astype(np.int64)]
+                cls = classes[_bucket(s, len(classes))]
                 first = s[np.argsort(cls, kind="stable")[:prefix_size(k, pct)]]
                 weight = np.arange(1, k + 1, dtype=np.uint64)
                 sid.append(int(mix((mix(s ^ np.uint64(k)) * weight).sum(keepdims=True, dtype=np.uint64)).view(np.int64)[0]))
@@ -206,29 +219,34 @@ def _attached(pairs: DataFrame, nodes: DataFrame, pct: int) -> DataFrame:
                  .mapInArrow(_fine_filter(pct), "a long, b long, ta long, tb long"))
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, q: int, pct: int) -> DataFrame:
-    """Of ``pairs(a, b, ta, tb)`` (nodes and a text hash of each) those that link, by whole sets."""
-    spark = docs.sparkSession
-    pairs = materialize(pairs.select("a", "b", "ta", "tb"))
+def _verify(docs: DataFrame, pairs: DataFrame, q: int, pct: int, scratch: Scratch) -> DataFrame:
+    """Of ``pairs(a, b, ta, tb)`` (nodes and a text hash of each) those that link, by whole sets: ``u, v``."""
+    pairs = scratch.keep(pairs.select("a", "b", "ta", "tb"))
     ids = pairs.select(F.col("ta").alias("th")).union(pairs.select(F.col("tb").alias("th"))).distinct()
     n = ids.count()
     if n == 0:
-        return spark.createDataFrame([], "u long, v long")
+        scratch.drop(pairs)
+        return docs.sparkSession.createDataFrame([], "u long, v long")
     ids = F.broadcast(ids) if n <= BROADCAST_IDS else ids
-    sets = (docs.select("text", F.xxhash64("text").alias("th")).join(ids, "th", "left_semi")
-                .mapInArrow(_sets(q), "th long, toks array<long>").dropDuplicates(["th"]))
-    sets = materialize(sets)
+    sets = scratch.keep(docs.select("text", F.xxhash64("text").alias("th")).join(ids, "th", "left_semi")
+                            .mapInArrow(_sets(q), "th long, toks array<long>").distinct())
     both = (pairs.join(sets.select(F.col("th").alias("ta"), F.col("toks").alias("x")), "ta")
                  .join(sets.select(F.col("th").alias("tb"), F.col("toks").alias("y")), "tb")
                  .select("a", "b", F.size("x").cast("long").alias("na"), F.size("y").cast("long").alias("nb"),
                          F.size(F.array_intersect("x", "y")).cast("long").alias("i")))
-    return both.where(F.col("i") * 100 >= (F.col("na") + F.col("nb") - F.col("i")) * pct).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    found = scratch.keep(both.where(F.col("i") * 100 >= (F.col("na") + F.col("nb") - F.col("i")) * pct)
+                             .select(F.col("a").alias("u"), F.col("b").alias("v")))
+    scratch.drop(pairs, sets)
+    return found
 
 
-def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """``nodes`` with the component of each (itself where it has no link)."""
-    return (nodes.join(components(links).withColumnRenamed("v", "sid"), "sid", "left")
-                 .withColumn("comp", F.coalesce("comp", "sid")))
+def _joined(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """``labels(sid, gkey, comp)`` after ``links``: only the components that these touch are contracted."""
+    comp = labels.select("sid", "comp")
+    e = (links.join(comp.select(F.col("sid").alias("u"), F.col("comp").alias("cu")), "u")
+              .join(comp.select(F.col("sid").alias("v"), F.col("comp").alias("cv")), "v").select(F.col("cu").alias("u"), F.col("cv").alias("v")))
+    merged = components(e).select(F.col("v").alias("comp"), F.col("comp").alias("to"))
+    return scratch.keep(labels.join(merged, "comp", "left").select("sid", "gkey", F.coalesce("to", "comp").alias("comp")))
 
 
 def jaccard_components(docs: DataFrame, q: int = 3, threshold_pct: int = 90) -> DataFrame:
@@ -241,9 +259,10 @@ def keep_one(docs: DataFrame, q: int = 3, threshold_pct: int = 90) -> DataFrame:
 
     Only the keys of what goes are joined, never the texts of what stays.
     """
-    found = materialize(_components(docs, q, threshold_pct).where(F.col("n_shingles") > 0)
-                        .groupBy("doc_id", "th").agg(F.max((~F.col("doc_id").eqNullSafe(F.col("component_id"))).cast("int")).alias("_goes"),
-                                                     F.count(F.lit(1)).alias("_rows")))
+    scratch = Scratch(docs.sparkSession, "keep-one")
+    found = scratch.keep(_components(docs, q, threshold_pct).where(F.col("n_shingles") > 0)
+                         .groupBy("doc_id", "th").agg(F.max((~F.col("doc_id").eqNullSafe(F.col("component_id"))).cast("int")).alias("_goes"),
+                                                      F.count(F.lit(1)).alias("_rows")))
     def of(rows):
         keys = rows.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
         return F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys
@@ -261,65 +280,74 @@ def keep_one(docs: DataFrame, q: int = 3, threshold_pct: int = 90) -> DataFrame:
 
 def _components(docs: DataFrame, q: int, threshold_pct: int) -> DataFrame:
     """``doc_id, th, n_shingles, component_id`` (``th``: hash of the text) of every document."""
-    pct = threshold_pct
+    pct, spark = threshold_pct, docs.sparkSession
+    scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    classes = frequency_classes(docs, q)
-    rows = materialize(docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(_profile(q, pct, classes), _PROFILE))
+    classes = spark.sparkContext.broadcast(frequency_classes(docs, q))
+    rows = scratch.keep(docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(_profile(q, pct, classes), _PROFILE))
     full = rows.where(F.col("n") > 0)
-    groups = full.select("gkey", "n", "prefix").dropDuplicates(["gkey"])
+    # nodes (distinct sets) and groups (identical prefix and size): all columns are keys, so copies collapse before they are shuffled
+    nodes = scratch.keep(full.groupBy("sid", "n", "gkey", *_HIST, "fine").agg(F.min("th").alias("th")))
+    groups = full.select("gkey", "n", "prefix").distinct()
 
     # postings of groups: one exchange by shingle serves the count per shingle and the join with it (both read the same columns, and
     # the join's null filter stands before the exchange)
     before = F.concat(F.array(F.lit(0).cast("long")), F.slice("prefix", F.lit(1), F.size("prefix") - 1))
     post = (groups.select("gkey", "n", F.posexplode(F.arrays_zip(F.col("prefix").alias("tok"), before.alias("prev"))).alias("pos", "e"))
                   .select("gkey", "n", "pos", "e.tok", "e.prev").where(F.col("tok").isNotNull()).repartition("tok"))
-    toks = (post.groupBy("tok").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("n", "gkey", "pos", "prev")).alias("first"))
-                .where(F.col("m") > 1).select("tok", F.col("first").alias("pivot")))
-    shared = materialize(post.join(toks, "tok").select("tok", "gkey", "n", "pos", "prev", "pivot"))
-
-    # nodes (distinct sets) of the groups that share a shingle or have several members
-    sizes = full.select("gkey", "sid").distinct().groupBy("gkey").agg(F.min("sid").alias("rep"), F.count(F.lit(1)).alias("m"))
-    wanted = sizes.join(shared.select("gkey", F.lit(True).alias("posted")).distinct(), "gkey", "left").where(F.col("posted") | (F.col("m") > 1))
-    nodes = materialize(full.join(wanted.select("gkey", "rep"), "gkey").select("sid", "th", "n", "gkey", *_HIST, "fine", "rep").dropDuplicates(["sid"]))
+    toks = (post.groupBy("tok").agg(F.count(F.lit(1)).alias("m"), F.min_by("gkey", F.struct("n", "pos", "prev")).alias("pivot"), F.min("n").alias("pn"))
+                .where(F.col("m") > 1))
+    shared = scratch.keep(post.join(toks, "tok").select("tok", "gkey", "n", "pos", "prev", "m", "pivot", "pn"))
     node = F.struct("sid", "n", *_HIST)
-    pair = [F.col("x.sid").alias("a"), F.col("y.sid").alias("b")]
+    pair = [F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")]
 
     # star rounds: group members with their group's first node, groups with the first group of each shared shingle
-    first = nodes.where(F.col("sid") == F.col("rep")).select("gkey", node.alias("x"))
-    close = (F.col("n") * 100 >= F.col("pivot.n") * pct) & (F.col("pivot.n") * 100 >= F.col("n") * pct)
-    cross = (shared.where((F.col("gkey") != F.col("pivot.gkey")) & close).select("gkey", F.col("pivot.gkey").alias("pivot")).distinct()
-                   .join(first, "gkey").join(first.select(F.col("gkey").alias("pivot"), F.col("x").alias("y")), "pivot"))
-    within = nodes.where(F.col("sid") != F.col("rep")).select("gkey", node.alias("x")).join(first.select("gkey", F.col("x").alias("y")), "gkey")
+    reps = nodes.groupBy("gkey").agg(F.min("sid").alias("sid"))
+    heads = scratch.keep(nodes.join(reps.select("sid"), "sid", "left_semi").select("gkey", node.alias("x")))
+    close = (F.col("n") * 100 >= F.col("pn") * pct) & (F.col("pn") * 100 >= F.col("n") * pct)
+    cross = (shared.where((F.col("gkey") != F.col("pivot")) & close).select("gkey", "pivot").distinct()
+                   .join(heads, "gkey").join(heads.select(F.col("gkey").alias("pivot"), F.col("x").alias("y")), "pivot"))
+    within = (nodes.select("gkey", node.alias("x")).join(heads.select("gkey", F.col("x").alias("y")), "gkey").where(F.col("x.sid") != F.col("y.sid")))
     pairs = cross.select("x", "y").union(within.select("x", "y")).where(_close("x", "y", pct)).select(*pair)
-    links = materialize(_verify(docs, _attached(pairs, nodes, pct), q, pct))
-    labels = materialize(_labelled(nodes.select("sid", "gkey"), links))
+    labels = _joined(nodes.select("sid", "gkey", F.col("sid").alias("comp")), _verify(docs, _attached(pairs, nodes, pct), q, pct, scratch), scratch)
 
+    dense = shared.where(F.col("m") >= DENSE).select("tok", "gkey", "pos", "prev")
     for seed in range(3):
         # several random pivots per shingle whose postings still span components
-        seats = _seats(shared, labels, nodes, node, DENSE)
+        seats = scratch.keep(_seats(dense, labels, nodes, node))
+        open_ = seats.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi")).select("tok")
+        seats_ = seats.join(open_, "tok", "left_semi")
         pick = [F.min_by(F.struct("comp", "pos", "x"), F.xxhash64("x.sid", F.lit(seed * PIVOTS + k))).alias(f"p{k}") for k in range(PIVOTS)]
-        pivots = (seats.groupBy("tok").agg(*pick).select("tok", F.explode(F.array(*[f"p{k}" for k in range(PIVOTS)])).alias("p"))
-                       .select("tok", F.col("p.pos").alias("qos"), F.col("p.comp").alias("comp2"), F.col("p.x").alias("y")).distinct())
-        pairs = seats.join(pivots, "tok").where(_candidate(pct)).select(*pair)
-        more = materialize(_verify(docs, _attached(pairs, nodes, pct), q, pct))
+        pivots = (seats_.groupBy("tok").agg(*pick).select("tok", F.explode(F.array(*[f"p{k}" for k in range(PIVOTS)])).alias("p"))
+                        .select("tok", F.col("p.pos").alias("qos"), F.col("p.comp").alias("comp2"), F.col("p.x").alias("y")).distinct())
+        pairs = seats_.join(pivots, "tok").where(_candidate(pct)).select(*pair)
+        more = _verify(docs, _attached(pairs, nodes, pct), q, pct, scratch)
+        scratch.drop(seats)
         if more.isEmpty():
             break
-        links = materialize(links.union(more))
-        labels = materialize(_labelled(nodes.select("sid", "gkey"), links))
+        labels, old = _joined(labels, more, scratch), labels
+        scratch.drop(old)
 
     # closing round: every candidate pair of nodes that lie in different components
-    seats = _seats(shared, labels, nodes, node, 2).repartition("tok")
-    other = seats.select("tok", F.col("pos").alias("qos"), F.col("prev").alias("qrev"), F.col("comp").alias("comp2"), F.col("x").alias("y"))
+    seats = scratch.keep(_seats(shared.select("tok", "gkey", "pos", "prev"), labels, nodes, node))
+    scratch.drop(shared, heads)
+    at = _open(seats, "tok").withColumn("band", _band(F.col("x.n"), pct))
+    other = at.select("tok", F.col("pos").alias("qos"), F.col("prev").alias("qrev"), F.col("comp").alias("comp2"), F.col("x").alias("y"),
+                      F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
     # where the shingle before is shared too, the pair is met there: it comes once per run of shared shingles
     again = (F.col("pos") > 0) & (F.col("qos") > 0) & (F.col("prev") == F.col("qrev"))
-    inside = seats.join(other, "tok").where((F.col("x.sid") < F.col("y.sid")) & ~again & _candidate(pct)).select(*pair)
-    open_ = (labels.groupBy("gkey").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi")).select("gkey"))
-    member = labels.join(open_, "gkey", "left_semi").join(nodes.select("sid", node.alias("x")), "sid").select("gkey", "comp", "x")
-    same = (member.join(member.select("gkey", F.col("comp").alias("comp2"), F.col("x").alias("y")), "gkey")
-                  .where((F.col("x.sid") < F.col("y.sid")) & (F.col("comp") != F.col("comp2")) & _close("x", "y", pct)).select(*pair))
-    more = materialize(_verify(docs, _attached(inside.union(same), nodes, pct), q, pct))
+    once = (F.col("comp2") == F.col("lead")) | (F.col("x.sid") < F.col("y.sid"))
+    inside = at.where(F.col("comp") != F.col("lead")).join(other, ["tok", "band"]).where(once & ~again & _candidate(pct)).select(*pair)
+    member = labels.join(nodes.select("sid", node.alias("x")), "sid").select("gkey", "comp", "x")
+    mates = _open(member, "gkey")
+    same = (mates.where(F.col("comp") != F.col("lead")).join(mates.select("gkey", F.col("comp").alias("comp2"), F.col("x").alias("y")), "gkey")
+                 .where(once & (F.col("comp") != F.col("comp2")) & _close("x", "y", pct)).select(*pair))
+    more = _verify(docs, _attached(inside.union(same), nodes, pct), q, pct, scratch)
+    scratch.drop(seats)
     if not more.isEmpty():
-        labels = materialize(_labelled(nodes.select("sid", "gkey"), links.union(more)))
+        labels, old = _joined(labels, more, scratch), labels
+        scratch.drop(old)
+    scratch.drop(nodes)
 
     placed = (rows.select("doc_id", "th", F.col("n").alias("n_shingles"), "sid").join(labels.select("sid", "comp"), "sid", "left")
                   .withColumn("comp", F.coalesce("comp", "sid")))
@@ -334,11 +362,19 @@ def _candidate(pct: int):
     return (F.col("comp") != F.col("comp2")) & (most * (100 + pct) >= pct * (F.col("x.n") + F.col("y.n"))) & _close("x", "y", pct)
 
 
-def _seats(shared: DataFrame, labels: DataFrame, nodes: DataFrame, node, least: int) -> DataFrame:
-    """``tok, pos, prev, comp, x``: nodes at the shingles that span several components and have ``least`` groups or more."""
-    spans = labels.groupBy("gkey").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    at = shared.select("tok", "gkey", "pos", "prev").join(spans, "gkey")
-    open_ = (at.groupBy("tok").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count(F.lit(1)).alias("m"))
-               .where((F.col("lo") != F.col("hi")) & (F.col("m") >= least)).select("tok"))
-    who = labels.join(nodes.select("sid", node.alias("x")), "sid").select("gkey", "comp", "x")
-    return at.select("tok", "gkey", "pos", "prev").join(open_, "tok", "left_semi").join(who, "gkey").select("tok", "pos", "prev", "comp", "x")
+def _seats(at: DataFrame, labels: DataFrame, nodes: DataFrame, node) -> DataFrame:
+    """``tok, pos, prev, comp, x``: the nodes of the postings ``at(tok, gkey, pos, prev)`` and their components."""
+    who = labels.select("sid", "comp").join(nodes.select("sid", "gkey", node.alias("x")), "sid").select("gkey", "comp", "x")
+    return at.join(who, "gkey").select("tok", "pos", "prev", "comp", "x")
+
+
+def _open(seats: DataFrame, key: str) -> DataFrame:
+    """``seats`` of the keys that span several components, with each key's most frequent component, ``lead``."""
+    comps = seats.groupBy(key, "comp").agg(F.count(F.lit(1)).alias("c"))
+    lead = comps.groupBy(key).agg(F.count(F.lit(1)).alias("_k"), F.max_by("comp", F.col("c")).alias("lead")).where(F.col("_k") > 1).select(key, "lead")
+    return seats.join(lead, key)
+
+
+def _band(n, pct: int):
+    """Sizes that can link lie in the same or in adjacent bands."""
+    return F.floor(F.log(n.cast("double")) / max(np.log(100 / pct) * (1 + 1e-9), 1e-6)).cast("long")
