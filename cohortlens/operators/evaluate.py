@@ -1,11 +1,10 @@
 """Clustering quality metrics and agreement.
 
 All metrics are computed from per-cluster aggregates (k rows, k checked
-against ``MAX_CLUSTERS``) joined back to the rows on the cluster key; no
-pairwise distances are ever formed.  The silhouette is the squared-
+against ``MAX_CLUSTERS``) joined back to the rows on the cluster key.  ``silhouette_sq`` is the squared-
 Euclidean silhouette (Spark's ``ClusteringEvaluator``), whose cluster means
-decompose exactly into per-cluster sums -- a distinct, named metric from
-the plain-Euclidean silhouette, which needs all pairs.
+decompose exactly into per-cluster sums; ``silhouette_exact`` is the plain-Euclidean
+one, from tiled distance sums.
 """
 
 from __future__ import annotations
@@ -13,11 +12,14 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortlens.functions.frames import q
+from cohortlens.operators.tiles import TILE, tiles, vector_rows
+from cohortlens.session import Scratch
 
 MAX_CLUSTERS = 10_000
 
@@ -111,6 +113,83 @@ def silhouette_sq(labelled: DataFrame, features: list[str], cluster: str = "clus
     return spark.createDataFrame([(float(ev.evaluate(vec)),)], "silhouette_sq double")
 
 
+TILE_GROUP = 64         # tiles that one task compares with a tile of queries
+
+
+def silhouette_samples(labelled: DataFrame, features: list[str], key: str = "key", cluster: str = "cluster",
+                       queries: Column | None = None) -> DataFrame:
+    """``key, cluster, silhouette`` by plain Euclidean distances to *all* rows, for all rows or those of ``queries``.
+
+    Rows are gathered into tiles of bounded size.  Every tile of queries meets every tile; a task keeps, for each
+    query row, one distance sum per cluster, so what is shuffled is ``k`` sums per query row and group of tiles, never a
+    pair of rows.  ``(b - a) / max(a, b)`` with ``a`` the mean distance to the own cluster's other rows and ``b``
+    the least mean distance to another cluster; 0 in a cluster of one row, and where all distances are 0; NaN when there is only one cluster.  Rows
+    with a null feature or cluster are left out.  Integer keys and clusters.
+    """
+    spark = labelled.sparkSession
+    scratch = Scratch(spark, "silhouette")
+    width = len(features)
+    rows = scratch.keep(vector_rows(labelled.where(F.col(cluster).isNotNull()), features, F.col(key).cast("long").alias("key"),
+                                    F.col(cluster).cast("long").alias("cluster"), *([] if queries is None else [queries.alias("asked")])))
+    sizes = scratch.keep(rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("m")))
+    n, k = sizes.agg(F.sum("m"), F.count(F.lit(1))).first()
+    asked = rows if queries is None else rows.where("asked")
+    if not n or k < 2:
+        return asked.select(F.col("key").alias(key), F.col("cluster").alias(cluster), F.lit(float("nan")).alias("silhouette"))
+    every = scratch.keep(tiles(rows.select("key", "cluster", "x"), width, n))
+    few = every if queries is None else scratch.keep(tiles(asked.select("key", "cluster", "x"), width, asked.count()))
+    few = few.select(F.col("tile").alias("q"), F.col("key").alias("qk"), F.col("cluster").alias("qc"), F.col("x").alias("qx"))
+    count = max(1, -(-n // TILE))
+    # one row per (tile of queries, tile): an equi-join on the tile's number, dealt to tasks by groups of tiles
+    turns = (few.withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))).join(every, "tile")
+                .withColumn("g", F.floor(F.col("tile") / TILE_GROUP)).repartition("q", "g").sortWithinPartitions("q", "g"))
+    schema = pa.schema([("key", pa.int64()), ("own", pa.int64()), ("cluster", pa.int64()), ("s", pa.float64())])
+
+    def sums(batches):
+        at, keys, own, acc = None, None, None, {}
+
+        def done():
+            names = sorted(acc)
+            out = np.array([acc[c] for c in names])
+            return pa.record_batch([pa.array(np.tile(keys, len(names))), pa.array(np.tile(own, len(names))), pa.array(np.repeat(names, len(keys)).astype(np.int64)),
+                                    pa.array(out.reshape(-1))], schema=schema)
+        for b in batches:
+            for r in b.to_pylist():
+                if at != (r["q"], r["g"]):
+                    if at is not None:
+                        yield done()
+                    at, acc = (r["q"], r["g"]), {}
+                    keys, own = np.frombuffer(r["qk"], dtype=np.int64), np.frombuffer(r["qc"], dtype=np.int64)
+                    x = np.frombuffer(r["qx"]).reshape(-1, width)
+                y, c = np.frombuffer(r["x"]).reshape(-1, width), np.frombuffer(r["cluster"], dtype=np.int64)
+                order = np.argsort(c, kind="stable")
+                names, first = np.unique(c[order], return_index=True)
+                y = y[order]
+                for s in range(0, len(x), 256):        # differences as such: no cancellation near zero
+                    d2 = np.zeros((len(x[s:s + 256]), len(y)))
+                    for j in range(width):
+                        d2 += (x[s:s + 256, j, None] - y[None, :, j]) ** 2
+                    part = np.add.reduceat(np.sqrt(d2), first, axis=1)
+                    for i, name in enumerate(names.tolist()):
+                        acc.setdefault(name, np.zeros(len(x)))[s:s + 256] += part[:, i]
+        if at is not None:
+            yield done()
+
+    per = (turns.mapInArrow(sums, "key long, own long, cluster long, s double").groupBy("key", "own", "cluster").agg(F.sum("s").alias("s"))
+                .join(sizes, "cluster"))
+    same = F.col("cluster") == F.col("own")
+    ab = per.groupBy("key", "own").agg(F.max(F.when(same, F.col("s") / F.nullif(F.col("m") - 1, F.lit(0)))).alias("a"),
+                                       F.min(F.when(~same, F.col("s") / F.col("m"))).alias("b"), F.max(F.when(same, F.col("m"))).alias("m"))
+    top = F.greatest("a", "b")
+    value = F.when((F.col("m") == 1) | (top == 0), F.lit(0.0)).otherwise((F.col("b") - F.col("a")) / top)
+    return ab.select(F.col("key").alias(key), F.col("own").alias(cluster), value.alias("silhouette"))
+
+
+def silhouette_exact(labelled: DataFrame, features: list[str], key: str = "key", cluster: str = "cluster") -> DataFrame:
+    """Mean plain-Euclidean silhouette of all rows; NaN for one cluster."""
+    return silhouette_samples(labelled, features, key, cluster).agg(F.avg("silhouette").alias("silhouette_exact"))
+
+
 # ----------------------------------------------------------------------- M11
 def adjusted_rand(labels_a: DataFrame, labels_b: DataFrame, key: str = "key", cluster: str = "cluster",
                   noise=-1) -> DataFrame:

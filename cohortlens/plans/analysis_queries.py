@@ -447,6 +447,22 @@ def q_silhouette_sq(spark, sf):
     return _round(evaluate.silhouette_sq(_labelled(spark, sf), FEATURE_COLS), {"silhouette_sq"})
 
 
+_DIST = "sqrt(" + " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in FEATURE_COLS) + ")"
+
+
+@query("silhouette_exact", f"""
+WITH p AS (SELECT f.*, l.cluster FROM features f JOIN cluster_labels l USING (key)),
+sz AS (SELECT cluster, count(*) AS m FROM p GROUP BY cluster),
+s AS (SELECT a.key, a.cluster AS own, b.cluster AS c, sum({_DIST}) AS s FROM p a, p b WHERE a.key % 50 = 0 GROUP BY a.key, a.cluster, b.cluster),
+ab AS (SELECT s.key, s.own, max(sz.m) FILTER (WHERE s.c = s.own) AS m, max(s.s / nullif(sz.m - 1, 0)) FILTER (WHERE s.c = s.own) AS a,
+              min(s.s / sz.m) FILTER (WHERE s.c <> s.own) AS b FROM s JOIN sz ON sz.cluster = s.c GROUP BY s.key, s.own)
+SELECT key, CAST(own AS BIGINT) AS cluster, round(CASE WHEN m = 1 OR greatest(a, b) = 0 THEN 0.0 ELSE (b - a) / greatest(a, b) END, 6) AS silhouette FROM ab
+""")
+def q_silhouette_exact(spark, sf):
+    out = evaluate.silhouette_samples(_labelled(spark, sf), FEATURE_COLS, queries=F.col("key") % 50 == 0)
+    return _round(out, {"silhouette"})
+
+
 @query("adjusted_rand", """
 WITH j AS (SELECT a.cluster AS a, b.cluster AS b FROM cluster_labels a JOIN cluster_labels_b b USING (key)
            WHERE a.cluster <> -1 AND b.cluster <> -1),

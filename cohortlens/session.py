@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -114,6 +115,11 @@ class Scratch:
         for t in tables:
             delete_path(self.spark, t._scratch)
 
+    def sweep(self) -> None:
+        """Let go of finished plans: Spark deletes a shuffle's files when the driver has collected its plan."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def close(self) -> None:
         delete_path(self.spark, self.path)
 
