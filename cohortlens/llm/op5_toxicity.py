@@ -23,6 +23,8 @@ from __future__ import annotations
 
 import unicodedata
 
+import gc
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -197,6 +199,9 @@ def fit(docs: DataFrame, labels: DataFrame, eligible, sample_rows: int = SAMPLE_
     y = t.column("y").to_numpy()[order].astype(np.int64)
     idx, tf = [vi[off[r]:off[r + 1]] for r in order], [vt[off[r]:off[r + 1]] for r in order]
     margin, bias = train(idx, tf, y, share)
+    del t, li, lt, vi, vt, idx, tf      # the sample goes before the corpus is scored
+    gc.collect()
+    pa.default_memory_pool().release_unused()
     return margin, bias, share
 
 

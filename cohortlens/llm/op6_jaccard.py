@@ -49,7 +49,7 @@ BINS = 32
 FINE = 64                     # finer histogram: this many bins for up to 4,096 shingles, doubled with the size
 BROADCAST_IDS = 1_000_000     # ids (8 bytes each) a side may have to be broadcast; larger ones are joined by shuffle
 PIVOTS = 6
-DENSE = 32          # pivot rounds look at shingles of this many groups or more; the closing round at all
+DENSE, DENSE_SHARE = 32, 1500      # pivot rounds look at shingles of this many groups, or 1 / DENSE_SHARE of them, or more; the closing round at all
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
                   0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
@@ -287,6 +287,7 @@ def _components(docs: DataFrame, q: int, threshold_pct: int) -> DataFrame:
     rows = scratch.keep(docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(_profile(q, pct, classes), _PROFILE))
     full = rows.where(F.col("n") > 0)
     # nodes (distinct sets) and groups (identical prefix and size): all columns are keys, so copies collapse before they are shuffled
+    scratch.sweep()
     nodes = scratch.keep(full.groupBy("sid", "n", "gkey", *_HIST, "fine").agg(F.min("th").alias("th")))
     groups = full.select("gkey", "n", "prefix").distinct()
 
@@ -311,7 +312,8 @@ def _components(docs: DataFrame, q: int, threshold_pct: int) -> DataFrame:
     pairs = cross.select("x", "y").union(within.select("x", "y")).where(_close("x", "y", pct)).select(*pair)
     labels = _joined(nodes.select("sid", "gkey", F.col("sid").alias("comp")), _verify(docs, _attached(pairs, nodes, pct), q, pct, scratch), scratch)
 
-    dense = shared.where(F.col("m") >= DENSE).select("tok", "gkey", "pos", "prev")
+    dense = shared.where(F.col("m") >= max(DENSE, heads.count() // DENSE_SHARE)).select("tok", "gkey", "pos", "prev")
+    scratch.sweep()
     for seed in range(3):
         # several random pivots per shingle whose postings still span components
         seats = scratch.keep(_seats(dense, labels, nodes, node))
@@ -327,10 +329,12 @@ def _components(docs: DataFrame, q: int, threshold_pct: int) -> DataFrame:
             break
         labels, old = _joined(labels, more, scratch), labels
         scratch.drop(old)
+        scratch.sweep()
 
     # closing round: every candidate pair of nodes that lie in different components
     seats = scratch.keep(_seats(shared.select("tok", "gkey", "pos", "prev"), labels, nodes, node))
     scratch.drop(shared, heads)
+    scratch.sweep()
     at = _open(seats, "tok").withColumn("band", _band(F.col("x.n"), pct))
     other = at.select("tok", F.col("pos").alias("qos"), F.col("prev").alias("qrev"), F.col("comp").alias("comp2"), F.col("x").alias("y"),
                       F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
@@ -348,6 +352,7 @@ def _components(docs: DataFrame, q: int, threshold_pct: int) -> DataFrame:
         labels, old = _joined(labels, more, scratch), labels
         scratch.drop(old)
     scratch.drop(nodes)
+    scratch.sweep()
 
     placed = (rows.select("doc_id", "th", F.col("n").alias("n_shingles"), "sid").join(labels.select("sid", "comp"), "sid", "left")
                   .withColumn("comp", F.coalesce("comp", "sid")))
