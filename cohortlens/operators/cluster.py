@@ -21,10 +21,11 @@ from pyspark.ml.feature import CountVectorizer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cohortlens.session import materialize
+from cohortlens.session import Scratch, materialize
 from cohortlens.functions.frames import numeric_columns, q
-from cohortlens.operators import evaluate
+from cohortlens.operators import evaluate, lloyd
 from cohortlens.operators.neighbors import _dist_arrays, grid_axes
+from cohortlens.operators.tiles import vector_rows
 
 MAX_GRID_DIMS = 3
 
@@ -97,19 +98,19 @@ def kmeans_k_scan(df: DataFrame, ks=range(2, 11), features=None, key: str = "key
     and the pick of each selection rule: elbow (arg-max of the relative inertia
     change + 1, clamped), best silhouette (max), Davies-Bouldin (min) and
     Calinski-Harabasz (max); NaN values are skipped.  Each k is the best of ``n_init``
-    starts; the vectors are assembled and cached once for all of them."""
+    starts; all models share each scan of the vectors (:mod:`cohortlens.operators.lloyd`).
+    Rows with a null feature are left out; an empty table gives no rows."""
     feats = list(features) if features else numeric_columns(df, exclude={key})
+    scratch, ks = Scratch(df.sparkSession, "k-scan"), [int(k) for k in ks]
+    vec = scratch.keep(vector_rows(df, feats))
+    first = lloyd.starts(vec, ks, n_init, seed)
     rows = []
-    vec = VectorAssembler(inputCols=feats, outputCol="features").transform(df.select(key, *feats)).persist()
-    try:
-        for k in ks:
-            model = _best_kmeans(vec, k, n_init, max_iter, seed)
-            lab = model.transform(vec).select(key, *feats, F.col("cluster").cast("int").alias("cluster"))
-            ix = evaluate.centroid_indices(lab, feats)
-            rows.append((int(k), float(model.summary.trainingCost), evaluate.silhouette_sq(lab, feats).first()[0],
-                         ix["davies_bouldin"], ix["calinski_harabasz"]))
-    finally:
-        vec.unpersist()
+    if first:
+        centres, cost = lloyd.lloyd(vec, first, max_iter)
+        best = [min(range(i * n_init, (i + 1) * n_init), key=lambda j: cost[j]) for i in range(len(ks))]
+        for k, i, ix in zip(ks, best, lloyd.indices(vec, [centres[i] for i in best])):
+            rows.append((k, cost[i], *[None if v is None else float(v) for v in ix.values()]))
+    scratch.close()
     inert = [r[1] for r in rows]
     # elbow rule: relative change (I[i+1] - I[i]) / I[i], arg-max (first) + 1, clamped to the last k
     rate = [(inert[i + 1] - inert[i]) / inert[i] if inert[i] else 0.0 for i in range(len(inert) - 1)]
@@ -132,6 +133,16 @@ def kmeans_k_scan(df: DataFrame, ks=range(2, 11), features=None, key: str = "key
         "elbow boolean, best_silhouette boolean, best_davies_bouldin boolean, best_calinski_harabasz boolean")
 
 
+def kmeans_steps(df: DataFrame, centres: list[list[float]], steps: int, features: list[str]) -> DataFrame:
+    """``cluster, n, <features>``: the centres after ``steps`` rounds from given ones, and the rows each attracted in the last."""
+    import numpy as np
+    scratch = Scratch(df.sparkSession, "kmeans-steps")
+    after, n = lloyd.fixed_steps(scratch.keep(vector_rows(df, features)), np.array(centres, dtype=float), steps)
+    scratch.close()
+    return df.sparkSession.createDataFrame([(i, int(m), *map(float, c)) for i, (m, c) in enumerate(zip(n, after))],
+                                           "cluster int, n long, " + ", ".join(f"`{f}` double" for f in features))
+
+
 # ------------------------------------------------------------------------ C4
 def _metric_expr(metric: str, a: list[Column], b: list[Column]) -> Column:
     if metric == "euclidean":

@@ -167,6 +167,26 @@ def q_kmeans_k_scan(spark, sf):
     return cluster.kmeans_k_scan(role(spark, sf, "features"), range(2, 11), FEATURE_COLS)
 
 
+def _steps_sql(steps: int, k: int) -> str:
+    """Lloyd rounds from the rows of the ``k`` smallest keys, one CTE per round."""
+    d2 = " + ".join(f"(f.{c} - c.{c}) * (f.{c} - c.{c})" for c in FEATURE_COLS)
+    cols = ", ".join(FEATURE_COLS)
+    parts = [f"c0 AS (SELECT row_number() OVER (ORDER BY key) - 1 AS cluster, 0 AS n, {cols} FROM features ORDER BY key LIMIT {k})"]
+    for i in range(steps):
+        parts.append(f"""a{i} AS (SELECT f.key, arg_min(c.cluster, ({d2}, c.cluster)) AS cluster FROM features f, c{i} c GROUP BY f.key)""")
+        parts.append(f"""c{i + 1} AS (SELECT c.cluster, count(f.key) AS n, """ + ", ".join(f"coalesce(avg(f.{c}), max(c.{c})) AS {c}" for c in FEATURE_COLS)
+                     + f""" FROM c{i} c LEFT JOIN a{i} a USING (cluster) LEFT JOIN features f ON f.key = a.key GROUP BY c.cluster)""")
+    return ("WITH " + ",\n".join(parts) + f"\nSELECT CAST(cluster AS INTEGER) AS cluster, n, "
+            + ", ".join(f"round({c}, 6) AS {c}" for c in FEATURE_COLS) + f" FROM c{steps}")
+
+
+@query("kmeans_fixed_steps", _steps_sql(5, 5))
+def q_kmeans_fixed_steps(spark, sf):
+    f = role(spark, sf, "features")
+    first = [[r[c] for c in FEATURE_COLS] for r in f.orderBy("key").limit(5).collect()]
+    return _round_all(cluster.kmeans_steps(f, first, 5, FEATURE_COLS), keep=("cluster", "n"))
+
+
 # ------------------------------------------------------------------------ C4
 @query("dbscan_core_points", f"""
 WITH p AS (SELECT key, f00, f01 FROM features)
