@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from cohortlens.session import materialize
 
 MIN_SITES = 4                   # whole passages of a few documents reach it also when one source holds a third of all rows
-CONTRACT_SITES = 10             # the spread in the SQL of op7_line_dedup and in the pipeline's brute force
+CONTRACT_SITES = MIN_SITES      # of the registered query and the pipeline
 LG_K = 12                       # HyperLogLog registers: 2^12, standard error 1.04 / 2^6
 STANDARD_ERROR = 1.04 / 2 ** (LG_K / 2)
 Z = 4

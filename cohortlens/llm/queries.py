@@ -134,7 +134,7 @@ WITH l AS (SELECT doc_id, source, unnest(a) AS line, unnest(range(len(a))) AS po
            FROM (SELECT doc_id, source, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL)),
 w AS (SELECT *, regexp_matches(line, '[^\x20\x09-\x0D]') AS has FROM l),
 b AS (SELECT line, min((doc_id, pos)) AS first FROM w WHERE has GROUP BY line
-      HAVING count(DISTINCT coalesce(source, chr(1))) >= 10),
+      HAVING count(DISTINCT coalesce(source, chr(1))) >= 4),
 k AS (SELECT w.doc_id, w.pos, w.line, b.line IS NULL OR b.first = (w.doc_id, w.pos) AS keep FROM w LEFT JOIN b ON w.has AND b.line = w.line)
 SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(x.t, '') END AS text, coalesce(x.n, 0)::INT AS n_lines, coalesce(x.r, 0)::INT AS n_removed
 FROM documents d LEFT JOIN (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) FILTER (keep) AS t, count(*) AS n, count(*) FILTER (NOT keep) AS r
