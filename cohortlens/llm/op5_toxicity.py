@@ -117,15 +117,10 @@ def sample_ids(labels: DataFrame, eligible, sample_rows: int, positive_share: fl
 
 
 def _featurize(batches):
-    schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("idx", pa.list_(pa.int32())), ("tf", pa.list_(pa.float32()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("idx", pa.list_(pa.int32()))])
     for b in batches:
-        idx, tf = [], []
-        for text in b.column("text").to_pylist():
-            f = features(text)
-            idx.append(f.astype(np.int32))
-            tf.append(np.full(len(f), 1 / max(PAD, len(f)), dtype=np.float32))
-        yield pa.record_batch([b.column("doc_id"), b.column("y"), pa.array(idx, pa.list_(pa.int32())),
-                               pa.array(tf, pa.list_(pa.float32()))], schema=schema)
+        idx = [features(text).astype(np.int32) for text in b.column("text").to_pylist()]
+        yield pa.record_batch([b.column("doc_id"), b.column("y"), pa.array(idx, pa.list_(pa.int32()))], schema=schema)
 
 
 def train(idx, tf, y, share: float, epochs: int = 6, batch: int = 32, lr: float = 0.5, l2: float = 4e-5,
@@ -136,9 +131,17 @@ def train(idx, tf, y, share: float, epochs: int = 6, batch: int = 32, lr: float
     in the mean as zero): it could only memorise the sample.
     """
     rng = np.random.default_rng(seed)
-    df = np.bincount(np.concatenate(idx) if len(idx) else np.zeros(0, dtype=np.int64), minlength=BUCKETS)
+    df = np.zeros(BUCKETS, dtype=np.int64)
+    for i in idx:
+        df[i] += 1              # a document's features are distinct
     known = df >= min_docs
-    tf, idx = [v[known[i]] for i, v in zip(idx, tf)], [i[known[i]] for i in idx]
+    # what is known, in one array: the sample is a large part of what the driver holds
+    size = [int(known[i].sum()) for i in idx]
+    flat, ends = np.empty(sum(size), dtype=np.int32), np.cumsum([0, *size])
+    for r, i in enumerate(idx):
+        flat[ends[r]:ends[r + 1]] = i[known[i]]
+    tf = [np.broadcast_to(v[:1], n) if len(v) else v for v, n in zip(tf, size)]     # one value a document
+    idx = [flat[a:b] for a, b in zip(ends, ends[1:])]
     emb = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     w = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
     b = np.zeros(2, dtype=np.float32)
@@ -190,16 +193,16 @@ def fit(docs: DataFrame, labels: DataFrame, eligible, sample_rows: int = SAMPLE_
     ids, share = sample_ids(labels, eligible, sample_rows, positive_share)
     picked = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull())
                   .join(F.broadcast(ids), "doc_id"))   # at most about sample_rows ids
-    t = picked.mapInArrow(_featurize, "doc_id long, y int, idx array<int>, tf array<float>").toArrow()
+    t = picked.mapInArrow(_featurize, "doc_id long, y int, idx array<int>").toArrow()
     if not t.num_rows:
         return None
     order = np.argsort(t.column("doc_id").to_numpy(), kind="stable")
-    li, lt = t.column("idx").combine_chunks(), t.column("tf").combine_chunks()
-    off, vi, vt = li.offsets.to_numpy(), li.values.to_numpy(), lt.values.to_numpy()
     y = t.column("y").to_numpy()[order].astype(np.int64)
-    idx, tf = [vi[off[r]:off[r + 1]] for r in order], [vt[off[r]:off[r + 1]] for r in order]
+    views = [i.values.to_numpy() for i in t.column("idx")]         # into the table, not copies
+    idx = [views[r] for r in order]
+    tf = [np.full(1 if len(i) else 0, 1 / max(PAD, len(i)), dtype=np.float32) for i in idx]
     margin, bias = train(idx, tf, y, share)
-    del t, li, lt, vi, vt, idx, tf      # the sample goes before the corpus is scored
+    del t, views, idx, tf      # the sample goes before the corpus is scored
     gc.collect()
     pa.default_memory_pool().release_unused()
     return margin, bias, share
