@@ -6,7 +6,7 @@ reaches the driver.  Labels come back as ``(key, cluster)`` frames.
 DBSCAN is built from joins and aggregations: locations and small cells
 (diameter < eps) whose members are neighbours without pairing, an exact
 cross-cell eps join, core flags by neighbour count, and connected components
-by min-label propagation with pointer jumping and checkpoints.
+by alternating star steps; above 3 features tiles of points are compared instead.
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from cohortlens.session import Scratch, materialize
 from cohortlens.functions.frames import numeric_columns, q
 from cohortlens.operators import evaluate, lloyd
-from cohortlens.operators.neighbors import _dist_arrays, grid_axes
+from cohortlens.operators.components import star_components
+from cohortlens.operators.epsgraph import EpsGraph, spanning_tree
 from cohortlens.operators.tiles import vector_rows
 
 MAX_GRID_DIMS = 3
@@ -187,14 +188,14 @@ def eps_neighbours(df: DataFrame, features: list[str], eps: float, key: str = "k
     * Only locations in *different* cells within reach are paired, through an
       equi-join on the shifted cell coordinates and the exact distance test.
 
-    Above 3 features see :func:`_projected_neighbours`.
+    For up to 3 features; above that see :mod:`cohortlens.operators.epsgraph`.
 
     Returns ``(points(key, _loc), locations(_loc, _w, _cell), cross pairs(_loc, _nloc, _nw))``.
     """
     pts, eps, metric = _points(df, features, key, eps, metric)
     d = len(features)
     if d > MAX_GRID_DIMS:
-        return _projected_neighbours(pts, d, eps, key, metric)
+        raise ValueError(f"a grid has at most {MAX_GRID_DIMS} axes; above that the pairs are never written out")
     xs = [f"_x{i}" for i in range(d)]
     side, reach = _small_cells(metric, eps, d)
     locs = (pts.groupBy(*xs).agg(F.min(key).alias("_loc"), F.count(F.lit(1)).alias("_w"))
@@ -214,33 +215,38 @@ def eps_neighbours(df: DataFrame, features: list[str], eps: float, key: str = "k
     return point_loc, cells, cross
 
 
-def _projected_neighbours(pts: DataFrame, d: int, eps: float, key: str, metric: str):
-    """:func:`eps_neighbours` in many dimensions: an eps-sized grid on at most 3
-    projected axes finds the candidates, the distance over all features decides.
-
-    Points of one projected cell need not be neighbours, so every location is a
-    cell of its own and all pairs are cross pairs; each is tested once (half of
-    the adjacent cells) and goes out in both directions.
-    """
-    xs = [f"_x{i}" for i in range(d)]
-    locs = materialize(pts.groupBy(*xs).agg(F.min(key).alias("_loc"), F.count(F.lit(1)).alias("_w")))
-    axes, slack = grid_axes(locs, xs)
-    cs = [f"_c{i}" for i in range(len(axes))]
-    side = eps * (1 + 1e-6) + 2 * slack
-    grid = locs.select("_loc", "_w", F.array(*xs).alias("_v"),
-                       *[F.floor(a / F.lit(side)).cast("long").alias(c) for a, c in zip(axes, cs)])
-    half = [o for o in itertools.product((-1, 0, 1), repeat=len(cs)) if o >= (0,) * len(cs)]
-    probe = (grid.withColumn("_o", F.explode(F.array(*[F.array(*[F.lit(v) for v in o]) for o in half])))
-                 .select("_loc", "_w", "_v", F.forall("_o", lambda v: v == 0).alias("_home"),
-                         *[(F.col(c) + F.col("_o")[i]).alias(c) for i, c in enumerate(cs)]))
-    other = grid.select(F.col("_loc").alias("_nloc"), F.col("_w").alias("_nw"), F.col("_v").alias("_nv"), *cs)
-    pairs = (probe.join(other, cs).where(~F.col("_home") | (F.col("_loc") < F.col("_nloc")))
-                  .where(_dist_arrays(metric, F.col("_v"), F.col("_nv")) <= F.lit(eps)))
-    cross = pairs.select(F.explode(F.array(
-        F.struct("_loc", "_nloc", "_nw"),
-        F.struct(F.col("_nloc").alias("_loc"), F.col("_loc").alias("_nloc"), F.col("_w").alias("_nw")))).alias("_p")).select("_p.*")
-    return (pts.join(locs.select(*xs, "_loc"), xs).select(key, "_loc"),
-            locs.select("_loc", "_w", F.struct("_loc").alias("_cell")), cross)
+def _tiled(df: DataFrame, features: list[str], eps: float, key: str, metric: str, scratch: Scratch):
+    """Points with their locations, and the eps graph of the finite locations (:mod:`cohortlens.operators.epsgraph`)."""
+    pts, eps, metric = _points(df, features, key, eps, metric)
+    xs = [f"_x{i}" for i in range(len(features))]
+    pts = scratch.keep(pts.select(F.col(key).cast("long").alias(key), F.array(*xs).alias("x")))
+    locs = scratch.keep(pts.groupBy("x").agg(F.min(key).alias("loc"), F.count(F.lit(1)).alias("w")))
+    finite = F.forall("x", lambda v: F.abs(v) < F.lit(float("inf")))       # any other location has no neighbour but itself
+    return pts.join(locs, "x").select(key, "loc"), locs, EpsGraph(locs.where(finite), eps, metric, scratch)
+
+
+def _tiled_counts(locs: DataFrame, graph: EpsGraph) -> DataFrame:
+    """``loc, n``: neighbours of every location, its own rows included."""
+    if graph.s is None:
+        return locs.select("loc", F.col("w").alias("n"))
+    return locs.join(graph.counts(), "loc", "left").select("loc", F.coalesce("n", "w").alias("n"))
+
+
+def _tiled_dbscan(df, features, eps, min_samples, key, metric) -> DataFrame:
+    scratch = Scratch(df.sparkSession, "dbscan")
+    points, locs, graph = _tiled(df, features, eps, key, metric, scratch)
+    core = scratch.keep(_tiled_counts(locs, graph).where(F.col("n") >= int(min_samples)).select("loc"))
+    if graph.s is None or core.isEmpty():
+        labels = core.select("loc", F.col("loc").alias("label"))
+    else:
+        joined = star_components(graph.links(core), scratch).withColumnRenamed("node", "loc")
+        labels = scratch.keep(core.join(joined, "loc", "left").select("loc", F.coalesce("label", "loc").alias("label")))
+        labels = labels.union(graph.border(labels))
+    out = (df.select(key).join(points.join(labels, "loc").select(key, "label"), key, "left")
+             .select(key, F.coalesce("label", F.lit(-1)).cast("long").alias("cluster")))
+    out = Scratch(df.sparkSession, "dbscan-labels").keep(out)
+    scratch.close()
+    return out
 
 
 def _location_counts(cells: DataFrame, cross: DataFrame) -> DataFrame:
@@ -254,49 +260,35 @@ def _location_counts(cells: DataFrame, cross: DataFrame) -> DataFrame:
 def dbscan_core_points(df: DataFrame, features: list[str], eps: float, min_samples: int,
                        key: str = "key", metric: str = "euclidean") -> DataFrame:
     """(key, n_neighbours including itself, is_core)."""
+    if len(features) > MAX_GRID_DIMS:
+        scratch = Scratch(df.sparkSession, "dbscan-core")
+        points, locs, graph = _tiled(df, features, eps, key, metric, scratch)
+        cnt = points.join(_tiled_counts(locs, graph), "loc").select(key, F.col("n").alias("n_neighbours"))
+        cnt = Scratch(df.sparkSession, "dbscan-counts").keep(cnt)
+        scratch.close()
+        return cnt.withColumn("is_core", F.col("n_neighbours") >= F.lit(int(min_samples)))
     point_loc, cells, cross = eps_neighbours(df, features, eps, key, metric)
     cnt = point_loc.join(_location_counts(cells, cross), "_loc").select(key, "n_neighbours")
     return cnt.withColumn("is_core", F.col("n_neighbours") >= F.lit(int(min_samples)))
 
 
-def connected_components(edges: DataFrame, nodes: DataFrame, src: str = "src", dst: str = "dst",
-                         max_iter: int = 100, checkpoint_every: int = 2) -> DataFrame:
-    """(node, label) with label = smallest node id of the node's component.
-
-    Min-label propagation with pointer jumping: each round takes the
-    smallest label among a node's neighbours (one join + aggregate over the
-    edge list) and then replaces every label by its label's label (one join),
-    so labels travel along paths in ~log(diameter) rounds instead of one hop
-    per round.  Labels only decrease and stay inside the component; the round
-    without any change is the fixed point.  The label table is checkpointed to
-    the shared folder every few rounds (short lineage, cheap recovery).
-    """
-    labels = nodes.select(F.col("node"), F.col("node").alias("label"))
-    e = edges.select(F.col(src).alias("node"), F.col(dst).alias("nbr"))
-    for it in range(max_iter):
-        nb = (e.join(labels.select(F.col("node").alias("nbr"), F.col("label").alias("_l")), "nbr")
-               .groupBy("node").agg(F.min("_l").alias("_m")))
-        hooked = (labels.join(nb, "node", "left")
-                        .select("node", F.least("label", F.coalesce("_m", "label")).alias("label")))
-        jumped = (hooked.join(hooked.select(F.col("node").alias("label"), F.col("label").alias("_ll")), "label", "left")
-                        .select("node", F.least("label", F.coalesce("_ll", "label")).alias("label")))
-        if (it + 1) % checkpoint_every == 0:
-            jumped = materialize(jumped)
-        changed = (jumped.join(labels.select("node", F.col("label").alias("_old")), "node")
-                         .where(F.col("label") != F.col("_old")).limit(1).count())
-        labels = jumped
-        if changed == 0:
-            break
-    else:
-        raise RuntimeError(f"connected components did not converge in {max_iter} rounds")
-    return labels
+def connected_components(edges: DataFrame, nodes: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """(node, label) with label = smallest node id of the node's component (:mod:`cohortlens.operators.components`)."""
+    scratch = Scratch(edges.sparkSession, "components")
+    found = star_components(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")), scratch)
+    out = nodes.select("node").join(found, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    out = Scratch(edges.sparkSession, "component-labels").keep(out)
+    scratch.close()
+    return out
 
 
 def dbscan(df: DataFrame, features: list[str], eps: float = 0.5, min_samples: int = 5, key: str = "key",
-           metric: str = "euclidean", max_iter: int = 100, checkpoint_every: int = 2) -> DataFrame:
+           metric: str = "euclidean") -> DataFrame:
     """DBSCAN labels ``(key, cluster)``; noise is -1.
 
-    Works on locations and small cells (see :func:`eps_neighbours`).  A
+    Above 3 features three passes over pairs of tiles give the neighbour counts, the links between
+    core locations and the border labels (integer keys; :mod:`cohortlens.operators.epsgraph`).  Up to 3 it
+    works on locations and small cells (see :func:`eps_neighbours`).  A
     location is core when the points within eps (its own included) number at
     least ``min_samples``.  Core locations of one cell are linked to the
     cell's smallest core location (a star, not all pairs); core locations of
@@ -306,6 +298,8 @@ def dbscan(df: DataFrame, features: list[str], eps: float = 0.5, min_samples: in
     neighbours (same cell or cross pairs); points inherit their location's
     label.
     """
+    if len(features) > MAX_GRID_DIMS:
+        return _tiled_dbscan(df, features, eps, min_samples, key, metric)
     point_loc, cells, cross = eps_neighbours(df, features, eps, key, metric)
     cross = materialize(cross)
     counts = materialize(_location_counts(cells, cross))
@@ -319,7 +313,7 @@ def dbscan(df: DataFrame, features: list[str], eps: float = 0.5, min_samples: in
     edges = (cross_core
              .unionByName(star.select("_loc", F.col("_rep").alias("_nloc")))
              .unionByName(star.select(F.col("_rep").alias("_loc"), F.col("_loc").alias("_nloc"))))
-    labels = connected_components(edges, core_ids, "_loc", "_nloc", max_iter, checkpoint_every)
+    labels = connected_components(edges, core_ids, "_loc", "_nloc")
     lab = labels.select(F.col("node").alias("_nloc"), F.col("label").alias("_l"))
     non_core = counts.join(core.select("_loc"), "_loc", "left_anti").select("_loc", "_cell")
     via_cross = cross.join(non_core.select("_loc"), "_loc", "left_semi").join(lab, "_nloc").select("_loc", "_l")
@@ -342,6 +336,45 @@ def bisecting_kmeans(df: DataFrame, k: int = 5, features=None, key: str = "key",
     return model.transform(vec).select(key, F.col("cluster").cast("int").alias("cluster")), model
 
 
+def _finite_locations(df: DataFrame, features: list[str], key: str, scratch: Scratch):
+    rows = scratch.keep(vector_rows(df, features, F.col(key).cast("long").alias(key)).where(F.forall("x", lambda v: F.abs(v) < F.lit(float("inf")))))
+    locs = scratch.keep(rows.groupBy("x").agg(F.min(key).alias("loc"), F.count(F.lit(1)).alias("w")))
+    return rows.join(locs, "x").select(key, "loc"), locs
+
+
+def linkage_tree(df: DataFrame, features: list[str], key: str = "key", metric: str = "euclidean") -> DataFrame:
+    """``lo, hi, distance``: the merges of single linkage over all rows, which are the edges of their minimum
+    spanning tree.  Rows with equal features are one end, named by the smallest key."""
+    scratch = Scratch(df.sparkSession, "linkage")
+    tree = spanning_tree(_finite_locations(df, features, key, scratch)[1], scratch, metric)
+    if tree is not None:
+        tree = Scratch(df.sparkSession, "linkage-tree").keep(tree.withColumnRenamed("d", "distance"))
+    scratch.close()
+    return tree if tree is not None else df.sparkSession.createDataFrame([], "lo long, hi long, distance double")
+
+
+def single_linkage(df: DataFrame, k: int, features=None, key: str = "key", metric: str = "euclidean") -> DataFrame:
+    """``key, cluster``: the single-linkage tree of all rows cut at ``k`` clusters; a cluster is named by its smallest key.
+
+    The ``k - 1`` longest edges of the minimum spanning tree go, of equal ones those with the larger ends first; what
+    is left connected is a cluster.  Rows with equal features stay together, so with fewer than ``k`` different rows each
+    of them is a cluster.  Rows with a null or non-finite feature are left out.  Integer keys.
+    """
+    feats = list(features) if features else numeric_columns(df, exclude={key})
+    scratch = Scratch(df.sparkSession, "linkage")
+    points, locs = _finite_locations(df, feats, key, scratch)
+    tree = spanning_tree(locs, scratch, metric)
+    labels = locs.select("loc", F.col("loc").alias("label"))
+    if tree is not None:
+        tree = scratch.keep(tree)
+        cut = tree.orderBy(F.desc("d"), F.desc("lo"), F.desc("hi")).limit(int(k) - 1).select("lo", "hi")
+        joined = star_components(tree.join(cut, ["lo", "hi"], "left_anti").select(F.col("hi").alias("u"), F.col("lo").alias("v")), scratch)
+        labels = locs.select("loc").join(joined.withColumnRenamed("node", "loc"), "loc", "left").select("loc", F.coalesce("label", "loc").alias("label"))
+    out = Scratch(df.sparkSession, "linkage-labels").keep(points.join(labels, "loc").select(key, F.col("label").alias("cluster")))
+    scratch.close()
+    return out
+
+
 # ------------------------------------------------------------------- C7 / C8
 def lda_topics(docs: DataFrame, key: str, tokens: str, n_topics: int = 5, max_features: int = 1000,
                max_iter: int = 10, seed: int = 42, vectorizer: str = "count"):

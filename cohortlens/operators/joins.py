@@ -11,14 +11,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortlens.functions.timefn import add_hours
 
 DICTIONARY_MAX_ROWS = 2_000_000
-# value types a hash aggregate can keep in its fixed-width buffer
-_FIXED_WIDTH = (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
-                T.DoubleType, T.DateType, T.TimestampType, T.TimestampNTZType, T.DecimalType)
 
 
 def sized_broadcast(df: DataFrame, max_rows: int = DICTIONARY_MAX_ROWS) -> DataFrame:
@@ -149,66 +146,65 @@ def nearest_admission(labs: DataFrame, admissions: DataFrame, lab_key: str = "la
     then the smaller ``hadm_id``.  Labs with a null time or no match are
     dropped; one output row per ``lab_key``.
 
-    Plan (skew-safe): each admission window is exploded into
-    ``bucket_hours`` buckets and each lab falls in exactly one bucket, so
-    the equi-join key is ``(subject_id, bucket)`` -- a subject with a huge
-    history is spread over its buckets -- and a pair meets at most once.
-    The exact range test is the residual join condition.
-
-    The arg-min is grouped by the lab key.  For one lab time c the order
-    (|t - c|, t) equals the order of ``2|t - c| + [t > c]``; appending the
-    rank of ``hadm_id`` among stays of the subject with the same admittime
-    makes one exact long key.  With fixed-width payload columns every output
-    column is a ``min_by(column, key)``: a hash aggregate with map-side
-    partial aggregation.  When the key could overflow (or a payload column is
-    variable-width) the same arg-min runs as ``min_by`` over a struct key.
+    Plan (skew-safe): time is cut into cells of ``bucket_hours``, twice that, four times that and so on.
+    A window takes the cell size that covers it with at most ``COVER + 2`` cells, however long it is, so a
+    stay of a year, or of thirty, is a few rows; a lab has one cell of each size that any window uses (a lazy scalar
+    subquery, at most some forty sizes, one for stays of like length).  The equi-join key is
+    ``(subject_id, size, cell)``: a subject with a huge history is spread over its cells, and a pair meets at
+    most once.  The exact range test is the residual join condition.
+
+    The arg-min is grouped by the lab key.  For one lab time c the order (|t - c|, t) equals the order of
+    ``2|t - c| + [t > c]``; with the rank of ``hadm_id`` among stays of the subject with the same admittime
+    it makes one exact DECIMAL(38) key, wide enough for any time and rank, and every output column is a
+    ``min_by(column, key)``: with fixed-width columns a hash aggregate with map-side partial aggregation.
     """
     lab_cols = [c for c in labs.columns if c not in drop_lab_cols]
     adm_cols = [c for c in admissions.columns if c != "subject_id"]
     clash = set(lab_cols) & set(adm_cols)
     if clash:
         raise ValueError(f"lab and admission columns clash: {sorted(clash)}")
-    bucket_us = int(bucket_hours) * 3_600_000_000
+    base_us = int(bucket_hours) * 3_600_000_000
 
-    def bucket_of(name: str) -> Column:
+    def us(name: str) -> Column:
         # time-zone independent: exact microseconds since the NTZ epoch
-        us = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', `{name}`)")
-        return F.floor(us / F.lit(bucket_us))
+        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', `{name}`)")
 
-    l = (labs.select(*lab_cols).where(F.col(time).isNotNull() & F.col("subject_id").isNotNull())
-             .withColumn("_b", bucket_of(time)))
     a = (admissions.where(F.col("admittime").isNotNull() & F.col("dischtime").isNotNull()
                           & F.col("subject_id").isNotNull())
          .withColumn("_lo", add_hours("admittime", -buffer_hours))
          .withColumn("_hi", add_hours("dischtime", buffer_hours))
+         # a window that ends before it begins holds no lab
+         .where(F.col("_lo") <= F.col("_hi"))
          # rank among the subject's stays with the same admittime (tie -> smaller hadm_id)
          .withColumn("_tr", F.dense_rank().over(Window.partitionBy("subject_id", "admittime").orderBy("hadm_id")) - 1)
-         .withColumn("_b", F.explode(F.sequence(bucket_of("_lo"), bucket_of("_hi")))))
-    a = a.select("subject_id", "_b", "_lo", "_hi", "_tr", *adm_cols)
-    cand = l.join(a, ["subject_id", "_b"], "inner").where(
+         .withColumn("_w", _cell_width(us("_hi") - us("_lo"), base_us)))
+    widths = a.agg(F.array_sort(F.collect_set("_w")).alias("w"))     # one row of at most some forty numbers
+    a = a.withColumn("_b", F.explode(F.sequence(_cell_of(us("_lo")), _cell_of(us("_hi")))))
+    a = a.select("subject_id", "_w", "_b", "_lo", "_hi", "_tr", *adm_cols)
+    l = (labs.select(*lab_cols).where(F.col(time).isNotNull() & F.col("subject_id").isNotNull())
+             .withColumn("_w", F.explode(widths.scalar())).withColumn("_b", _cell_of(us(time))))
+    cand = l.join(a, ["subject_id", "_w", "_b"], "inner").where(
         (F.col("_lo") <= F.col(time)) & (F.col(time) <= F.col("_hi")))
-    absdiff = F.abs(F.expr(f"timestampdiff(MICROSECOND, `{time}`, admittime)"))
     payload = [c for c in lab_cols + adm_cols if c != lab_key]
-    schema = dict((f.name, f.dataType) for f in cand.schema.fields)
-    fixed = all(isinstance(schema[c], _FIXED_WIDTH) and not (isinstance(schema[c], T.DecimalType)
-                                                            and schema[c].precision > 18) for c in payload)
-    bound = None
-    if fixed:   # bound the packed key: (2 * max window span + 1) * ranks < 2^62
-        span = admissions.agg(F.max(F.expr("timestampdiff(MICROSECOND, admittime, dischtime)"))).first()[0]
-        ties = (admissions.groupBy("subject_id", "admittime").agg(F.count(F.lit(1)).alias("n"))
-                          .agg(F.max("n")).first()[0])
-        if span is not None and ties:
-            span = abs(int(span)) + 2 * int(buffer_hours) * 3_600_000_000
-            if (2 * span + 2) * int(ties) < 2 ** 62:
-                bound = int(ties)
-    if bound:
-        key = ((F.lit(2) * absdiff + F.when(F.col("admittime") > F.col(time), 1).otherwise(0))
-               * F.lit(bound) + F.col("_tr"))
-        best = cand.groupBy(lab_key).agg(*[F.min_by(F.col(c), key).alias(c) for c in payload])
-        return best.select(lab_key, *payload)
-    key = F.struct(absdiff.alias("d"), F.col("admittime").alias("t"), F.col("hadm_id").alias("h"))
-    best = cand.groupBy(lab_key).agg(F.min_by(F.struct(*[F.col(c) for c in payload]), key).alias("_r"))
-    return best.select(lab_key, *[F.col(f"_r.`{c}`").alias(c) for c in payload])
+    apart = F.abs(F.expr(f"timestampdiff(MICROSECOND, `{time}`, admittime)")).cast("decimal(19,0)")
+    order = F.lit(2).cast("decimal(1,0)") * apart + F.when(F.col("admittime") > F.col(time), 1).otherwise(0).cast("decimal(1,0)")
+    # 22 digits for the order, 10 for the rank (a 32-bit number)
+    key = order.cast("decimal(22,0)") * F.lit(10 ** 10).cast("decimal(11,0)") + F.col("_tr").cast("decimal(10,0)")
+    best = cand.groupBy(lab_key).agg(*[F.min_by(F.col(c), key).alias(c) for c in payload])
+    return best.select(lab_key, *payload)
+
+
+COVER = 8           # cells that a window spans at most, but for its two ends
+
+
+def _cell_width(length: Column, base_us: int) -> Column:
+    """The smallest ``base_us * 2^j`` microseconds of which ``length`` spans at most ``COVER``."""
+    level = F.greatest(F.lit(0), F.ceil(F.log2((length + 1) / F.lit(float(base_us * COVER)))).cast("int"))
+    return F.lit(base_us) * F.pow(F.lit(2.0), level).cast("long")
+
+
+def _cell_of(time_us: Column) -> Column:
+    return F.floor((time_us - F.pmod(time_us, F.col("_w"))) / F.col("_w"))
 
 
 def attach_dictionary(df: DataFrame, dictionary: DataFrame, key, how: str = "left",

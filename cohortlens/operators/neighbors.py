@@ -132,38 +132,40 @@ def knn_distances(df: DataFrame, features: list[str], k: int = 5, key: str = "ke
     return pts.join(loc_d, xs, "left").select(key, "knn_distance")
 
 
-def largest_gap_value(values: DataFrame, col: str, buckets: int = 256) -> float | None:
-    """W7 on a distributed column: sort the values, take first differences,
-    and return the value just after the largest difference (first on ties).
+GROUP = 4096        # intervals that one window sorts
 
-    No global ordered window: values are cut into approximate-quantile
-    buckets; gaps inside a bucket come from a per-bucket ordered window,
-    gaps between buckets from the (bounded) table of bucket minima/maxima.
+
+def largest_gap_value(values: DataFrame, col: str, group: int = GROUP) -> float | None:
+    """W7 on a distributed column: of the sorted values, the one just after the largest difference (the
+    first such on ties); the value itself when all are equal, None for fewer than two.  Nulls and NaN are left out.
+
+    By the pigeonhole principle no gap inside a bucket can be the largest when ``n`` values fall into more than
+    ``n`` equal-width buckets, so a bucket is its minimum and maximum, one hash aggregate.  What lies between
+    neighbouring buckets is found level by level: ``group`` bucket numbers share a window, which therefore never
+    holds more than ``group`` rows, and go up as one interval; about ``log n / log group`` levels.
     """
-    v_all = values.select(F.col(col).alias("_v")).where(F.col("_v").isNotNull())
-    # gaps only exist between distinct values; collapsing duplicates first keeps a
-    # value shared by a third of all rows from landing in one window task
-    v = v_all.distinct()
-    probs = [i / buckets for i in range(1, buckets)]
-    bnd = v.agg(F.percentile_approx("_v", probs, 10_000).alias("b")).first()["b"]
-    if bnd is None:
+    v = values.select(F.col(col).cast("double").alias("v")).where("v is not null and not isnan(v)")
+    n, lo, hi = v.agg(F.count(F.lit(1)), F.min("v"), F.max("v")).first()
+    if n < 2:
         return None
-    bk = F.size(F.filter(F.array(*[F.lit(float(x)) for x in bnd]), lambda b: b < F.col("_v")))
-    vb = v.withColumn("_bk", bk)
-    w = Window.partitionBy("_bk").orderBy("_v")
-    inside = (vb.withColumn("_prev", F.lag("_v").over(w)).where(F.col("_prev").isNotNull())
-                .select((F.col("_v") - F.col("_prev")).alias("gap"), F.col("_prev").alias("lo"),
-                        F.col("_v").alias("hi")))
-    best_in = inside.orderBy(F.desc("gap"), F.asc("lo")).limit(1).collect()
-    ext = vb.groupBy("_bk").agg(F.min("_v").alias("mn"), F.max("_v").alias("mx")).orderBy("_bk").collect()
-    cand = [(r.gap, r.lo, r.hi) for r in best_in]
-    for a, b in zip(ext, ext[1:]):
-        cand.append((b["mn"] - a["mx"], a["mx"], b["mn"]))
-    if not cand:
-        # one distinct value: every difference is 0 and the second sorted value is returned
-        return float(ext[0]["mn"]) if ext and v_all.limit(2).count() == 2 else None
-    cand.sort(key=lambda t: (-t[0], t[1]))
-    return float(cand[0][2])
+    if lo == hi or math.isinf(lo) or math.isinf(hi):
+        # copies of one value, or a gap without end: before +inf, or after -inf
+        return float(hi) if not math.isinf(lo) else float(v.where(F.col("v") > F.lit(lo)).agg(F.coalesce(F.min("v"), F.lit(lo))).first()[0])
+    count = 2 * (n + 1)
+    number = F.least(F.floor((F.col("v") - F.lit(lo)) / F.lit(hi - lo) * F.lit(float(count))), F.lit(count - 1)).cast("long")
+    level = materialize(v.groupBy(number.alias("b")).agg(F.min("v").alias("lo"), F.max("v").alias("hi")))
+    best = (0.0, lo, lo)
+    while count > 1:
+        w = Window.partitionBy("g").orderBy("b")
+        gaps = (level.withColumn("g", F.floor(F.col("b") / F.lit(group)))
+                     .select("g", F.lag("hi").over(w).alias("before"), F.col("lo").alias("after"))
+                     .where("before is not null").withColumn("gap", F.col("after") - F.col("before")))
+        top = gaps.orderBy(F.desc("gap"), "before").limit(1).collect()
+        if top and (-top[0].gap, top[0].before) < (-best[0], best[1]):
+            best = (top[0].gap, top[0].before, top[0].after)
+        level = level.groupBy(F.floor(F.col("b") / F.lit(group)).alias("b")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        count = -(-count // group)
+    return float(best[2])
 
 
 def suggest_eps(df: DataFrame, features: list[str], k: int = 5, key: str = "key",

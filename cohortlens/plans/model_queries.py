@@ -214,6 +214,59 @@ def q_dbscan_core_points_all(spark, sf):
     return cluster.dbscan_core_points(role(spark, sf, "features"), FEATURE_COLS, DB_EPS, DB_MIN)
 
 
+DB_WIDE_EPS, DB_WIDE_MIN = 1.13, 4       # a radius at which the embeddings form clusters
+
+
+@query("dbscan_labels", f"""
+WITH RECURSIVE
+e AS (SELECT a.key AS u, b.key AS v FROM features a JOIN features b ON {_D_ALL} <= {DB_WIDE_EPS}),
+core AS (SELECT u AS key FROM e GROUP BY u HAVING count(*) >= {DB_WIDE_MIN}),
+r AS (SELECT key, key AS root FROM core
+      UNION
+      SELECT e.v, r.root FROM r JOIN e ON e.u = r.key JOIN core c ON c.key = e.v),
+lab AS (SELECT key, min(root) AS cluster FROM r GROUP BY key),
+border AS (SELECT e.u AS key, min(lab.cluster) AS cluster FROM e JOIN lab ON lab.key = e.v
+           WHERE e.u NOT IN (SELECT key FROM core) GROUP BY e.u)
+SELECT f.key, coalesce(lab.cluster, border.cluster, -1) AS cluster
+FROM features f LEFT JOIN lab ON lab.key = f.key LEFT JOIN border ON border.key = f.key
+""")
+def q_dbscan_labels(spark, sf):
+    return cluster.dbscan(role(spark, sf, "features"), FEATURE_COLS, DB_WIDE_EPS, DB_WIDE_MIN)
+
+
+# single linkage: Prim's order, in which the clusters of a cut are runs between its longest edges
+_PRIM = f"""
+dist AS (SELECT a.key AS u, b.key AS v, {_D_ALL} AS d FROM features a JOIN features b ON a.key <> b.key),
+prim AS (SELECT 1 AS step, v AS key, d, first_value(v) OVER (ORDER BY d, v) AS pick, min(d) OVER () AS height
+         FROM dist WHERE u = (SELECT min(key) FROM features)
+         UNION ALL
+         SELECT step + 1, key, d, first_value(key) OVER (ORDER BY d, key), min(d) OVER ()
+         FROM (SELECT p.step, p.key, least(p.d, n.d) AS d
+               FROM prim p JOIN dist n ON n.u = p.pick AND n.v = p.key WHERE p.key <> p.pick) x),
+steps AS (SELECT DISTINCT step, pick, height FROM prim)"""
+LINKAGE_K = 12
+
+
+@query("single_linkage", f"""
+WITH RECURSIVE {_PRIM},
+cuts AS (SELECT step, pick, row_number() OVER (ORDER BY height DESC, step) < {LINKAGE_K} AS cut FROM steps),
+runs AS (SELECT pick AS key, sum(CAST(cut AS INTEGER)) OVER (ORDER BY step) AS run FROM cuts
+         UNION ALL SELECT min(key), 0 FROM features)
+SELECT key, min(key) OVER (PARTITION BY run) AS cluster FROM runs
+""")
+def q_single_linkage(spark, sf):
+    return cluster.single_linkage(role(spark, sf, "features"), LINKAGE_K, FEATURE_COLS)
+
+
+@query("linkage_heights", f"""
+WITH RECURSIVE {_PRIM}
+SELECT round(height, 6) AS height, count(*) AS n_merges FROM steps GROUP BY 1
+""")
+def q_linkage_heights(spark, sf):
+    tree = cluster.linkage_tree(role(spark, sf, "features"), FEATURE_COLS)
+    return tree.groupBy(r6(F.col("distance")).alias("height")).agg(F.count(F.lit(1)).alias("n_merges"))
+
+
 # ------------------------------------------------------------------- C6 - C9
 @query("hierarchical")
 def q_hierarchical(spark, sf):

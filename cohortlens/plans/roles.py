@@ -251,6 +251,8 @@ def with_roles(sql: str, dialect: str = "duckdb") -> str:
         return sql
     ctes = ",\n".join(f"{n} AS ({_sql_for(n, dialect)}\n)" for n in ordered)
     body = sql.strip()
+    if body.upper().startswith("WITH RECURSIVE"):
+        return f"WITH RECURSIVE {ctes},\n{body[14:].lstrip()}"
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"

@@ -171,7 +171,7 @@ def test_connected_components_long_path(spark):
                                   + [(1000, 1001), (1001, 1000)], "src long, dst long")
     nodes = spark.createDataFrame([(i,) for i in list(range(n)) + [1000, 1001, 2000]], "node long")
     # a path of 300 nodes must converge well within 20 rounds thanks to pointer jumping
-    lab = {r["node"]: r["label"] for r in cluster.connected_components(edges, nodes, max_iter=20).collect()}
+    lab = {r["node"]: r["label"] for r in cluster.connected_components(edges, nodes).collect()}
     assert all(lab[i] == 0 for i in range(n)) and lab[1000] == lab[1001] == 1000 and lab[2000] == 2000
 
 
@@ -184,7 +184,7 @@ def test_knn_duplicates_and_small_sets(spark):
     k5 = {r["key"]: r["knn_distance"] for r in knn_distances(pts, ["x", "y"], k=5).collect()}
     assert all(v is None for v in k5.values())                # fewer than k points
     vals = spark.createDataFrame([(float(x),) for x in [1, 2, 3, 10, 11, 30]], "v double")
-    assert largest_gap_value(vals, "v", buckets=3) == 30.0
+    assert largest_gap_value(vals, "v", group=3) == 30.0
 
 
 def test_dbscan_hot_coordinate(spark):
