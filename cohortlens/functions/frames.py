@@ -26,6 +26,18 @@ def q(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+# bytes of one value in memory
+_WIDTH = {T.BooleanType: 1, T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.LongType: 8, T.FloatType: 4, T.DoubleType: 8,
+          T.DateType: 4, T.TimestampType: 8, T.TimestampNTZType: 8}
+
+
+def value_width(dtype: T.DataType) -> int | None:
+    """Bytes of a value of a fixed-width type, else None."""
+    if isinstance(dtype, T.DecimalType):
+        return 8 if dtype.precision <= 18 else 16
+    return _WIDTH.get(type(dtype))
+
+
 def stack_stats(wide: DataFrame, id_cols: list[str], features: list[str], stats: list[str],
                 feature_col: str = "feature") -> DataFrame:
     """Turn columns named ``{feature}__{stat}`` into rows ``(id..., feature, stat...)``.

@@ -14,8 +14,9 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType
 
-from cohortlens.functions.frames import melt, numeric_columns, q, stack_stats
+from cohortlens.functions.frames import melt, numeric_columns, q, stack_stats, value_width
 from cohortlens.functions.quantiles import exact_mode, quantile_columns
 from cohortlens.functions.timefn import days_between
 
@@ -205,6 +206,25 @@ def column_profile(df: DataFrame) -> DataFrame:
                                / F.greatest(F.col("rows"), F.lit(1)), 2).alias("missing_pct")))
 
 
+def column_memory(df: DataFrame) -> DataFrame:
+    """Per column: type, and the bytes its values take in memory: the width of a fixed-width value, eight bytes and
+    the text's own for text and binary values, the elements' for arrays; nulls take none.  One aggregation."""
+    def size(f):
+        c, t = q(f.name), f.dataType
+        if value_width(t):
+            return F.count(c) * F.lit(value_width(t))
+        if isinstance(t, (StringType, BinaryType)):
+            return F.coalesce(F.sum(F.octet_length(c) + F.lit(8).cast("long")), F.lit(0))
+        if isinstance(t, ArrayType) and value_width(t.elementType):
+            return F.coalesce(F.sum(F.when(c.isNotNull(), F.size(c) * F.lit(value_width(t.elementType)) + F.lit(8).cast("long"))), F.lit(0))
+        return F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(c))) + F.lit(8).cast("long")), F.lit(0))
+
+    agg = df.agg(*[size(f).cast("long").alias(f"_m{i}") for i, f in enumerate(df.schema.fields)])
+    rows = F.array(*[F.struct(F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("dtype"), F.col(f"_m{i}").alias("memory_bytes"))
+                     for i, f in enumerate(df.schema.fields)])
+    return agg.select(F.explode(rows).alias("c")).select("c.*")
+
+
 def table_shape(df: DataFrame) -> DataFrame:
     """Total rows, columns and missing cells."""
     return df.agg(F.count(F.lit(1)).alias("n_rows"),

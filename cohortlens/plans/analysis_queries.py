@@ -270,9 +270,46 @@ def q_anova_f(spark, sf):
     return _round(stats.anova(_long(spark, sf)), {"statistic"})
 
 
-@query("anova_test")
+# p-values by Simpson's rule on 4,000 intervals, the tail itself being integrated: the F tail as
+# 2 / B(d2/2, d1/2) * integral of sin^(d2-1) cos^(d1-1) from 0 to atan(sqrt(d2 / (d1 F))), the chi-squared tail over the root of x
+_SIMPSON = "CASE WHEN i = 0 OR i = 4000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+_P_ROUNDED = {"statistic", "df", "p_value", "adjusted_p_value", "neg_log10_p"}
+
+
+def _f_tail(stat: str, d1: str, d2: str, source: str) -> str:
+    """CTE ``pv(feature, p)`` of the F tail."""
+    power = "exp((d2 - 1) * ln(sin(i * h)) + (d1 - 1) * ln(cos(i * h)) + lb)"
+    return f"""th AS (SELECT feature, d1, d2, atan(sqrt(d2 / (d1 * s))) / 4000 AS h, ln(2) + lgamma((d1 + d2) / 2) - lgamma(d1 / 2) - lgamma(d2 / 2) AS lb
+       FROM (SELECT feature, {stat} AS s, CAST({d1} AS DOUBLE) AS d1, CAST({d2} AS DOUBLE) AS d2 FROM {source})),
+pv AS (SELECT feature, least(1.0, sum({_SIMPSON} * CASE WHEN i = 0 THEN CASE WHEN d2 = 1 THEN exp(lb) ELSE 0 END ELSE {power} END) * any_value(h) / 3) AS p
+       FROM th CROSS JOIN (SELECT unnest(range(4001)) AS i) GROUP BY feature)"""
+
+
+def _chi2_tail(stat: str, dof: str, source: str) -> str:
+    """CTE ``pv(feature, p)`` of the chi-squared tail."""
+    return f"""th AS (SELECT feature, k, sqrt(x) AS a, (greatest(sqrt(x), sqrt(k)) + 12 - sqrt(x)) / 4000 AS h, ln(2) * (1 - k / 2) - lgamma(k / 2) AS lb
+       FROM (SELECT feature, CAST({stat} AS DOUBLE) AS x, CAST({dof} AS DOUBLE) AS k FROM {source})),
+pv AS (SELECT feature, least(1.0, sum({_SIMPSON} * CASE WHEN a + i * h = 0 THEN CASE WHEN k = 1 THEN exp(lb) ELSE 0 END
+              ELSE exp((k - 1) * ln(a + i * h) - (a + i * h) * (a + i * h) / 2 + lb) END) * any_value(h) / 3) AS p
+       FROM th CROSS JOIN (SELECT unnest(range(4001)) AS i) GROUP BY feature)"""
+
+
+def _bonferroni_cols(p: str = "pv.p") -> str:
+    adjusted = f"least({p} * (SELECT count(*) FROM pv), 1.0)"
+    return (f"round({p}, 6) AS p_value, {p} < 0.05 AS significant, round({adjusted}, 6) AS adjusted_p_value, "
+            f"{adjusted} < 0.05 AS significant_adjusted, round(-log10({p} + 1e-10), 6) AS neg_log10_p")
+
+
+@query("anova_test", f"""WITH {_CLEAN},
+g AS (SELECT feature, cluster, count(*) AS n, avg(value) AS m, var_pop(value) AS v FROM d GROUP BY feature, cluster),
+t AS (SELECT feature, count(*) AS k, sum(n) AS N, sum(n * m) / sum(n) AS gm, sum(n * v) AS ssw FROM g GROUP BY feature),
+st AS (SELECT t.feature, t.k, CAST(t.N AS BIGINT) AS N, (sum(g.n * (g.m - t.gm) * (g.m - t.gm)) / (t.k - 1)) / (t.ssw / (t.N - t.k)) AS statistic
+       FROM g JOIN t USING (feature) GROUP BY t.feature, t.k, t.N, t.ssw, t.gm HAVING t.k >= 2),
+{_f_tail('statistic', 'k - 1', 'N - k', 'st')}
+SELECT feature, k, N, round(statistic, 6) AS statistic, {_bonferroni_cols()} FROM st JOIN pv USING (feature)
+""")
 def q_anova_test(spark, sf):
-    return stats.bonferroni(stats.with_f_pvalue(stats.anova(_long(spark, sf))))
+    return _round(stats.bonferroni(stats.with_f_pvalue(stats.anova(_long(spark, sf)))), _P_ROUNDED)
 
 
 _RANKS = """
@@ -296,9 +333,17 @@ def q_kruskal_h(spark, sf):
     return _round(stats.kruskal(_long(spark, sf)), {"statistic"})
 
 
-@query("kruskal_test")
+@query("kruskal_test", f"""WITH {_CLEAN},{_RANKS},
+rg AS (SELECT d.feature, d.cluster, count(*) AS n, sum(rk.r) AS R FROM d JOIN rk USING (feature, value)
+       GROUP BY d.feature, d.cluster),
+per AS (SELECT feature, count(*) AS k, sum(n) AS N, sum(R * R / n) AS s FROM rg GROUP BY feature HAVING count(*) >= 2),
+st AS (SELECT per.feature, per.k, CAST(per.N AS BIGINT) AS N, (12.0 / (per.N * (per.N + 1)) * per.s - 3 * (per.N + 1))
+              / (1 - ties.tie / (CAST(per.N AS DOUBLE) * per.N * per.N - per.N)) AS statistic FROM per JOIN ties USING (feature)),
+{_chi2_tail('statistic', 'k - 1', 'st')}
+SELECT feature, k, N, round(statistic, 6) AS statistic, {_bonferroni_cols()} FROM st JOIN pv USING (feature)
+""")
 def q_kruskal_test(spark, sf):
-    return stats.bonferroni(stats.with_chi2_pvalue(stats.kruskal(_long(spark, sf))))
+    return _round(stats.bonferroni(stats.with_chi2_pvalue(stats.kruskal(_long(spark, sf)))), _P_ROUNDED)
 
 
 _TWO = ("d AS (SELECT f.feature, l.cluster, f.value FROM feature_long f JOIN cluster_labels l USING (key) "
@@ -317,9 +362,18 @@ def q_mannwhitney_u(spark, sf):
     return _round(stats.mann_whitney(_long(spark, sf), 0, 1).drop("tie"), {"statistic"})
 
 
-@query("mannwhitney_test")
+@query("mannwhitney_test", f"""WITH {_TWO},{_RANKS},
+u0 AS (SELECT d.feature, CAST(sum(CASE WHEN d.cluster = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n1,
+              CAST(sum(CASE WHEN d.cluster = 1 THEN 1 ELSE 0 END) AS BIGINT) AS n2, sum(CASE WHEN d.cluster = 0 THEN rk.r ELSE 0 END) AS r1
+       FROM d JOIN rk USING (feature, value) GROUP BY d.feature),
+u1 AS (SELECT feature, n1, n2, r1 - n1 * (n1 + 1) / 2.0 AS statistic, CAST(n1 AS DOUBLE) * n2 AS nn, CAST(n1 + n2 AS DOUBLE) AS n, tie
+       FROM u0 JOIN ties USING (feature)),
+st AS (SELECT *, greatest(statistic, nn - statistic) - nn / 2 - 0.5 AS up, sqrt(nn / 12 * ((n + 1) - tie / (n * (n - 1)))) AS sigma FROM u1),
+{_chi2_tail('(up / sigma) * (up / sigma)', '1', 'st')}
+SELECT feature, n1, n2, round(statistic, 6) AS statistic, {_bonferroni_cols()} FROM st JOIN pv USING (feature)
+""")
 def q_mannwhitney_test(spark, sf):
-    return stats.bonferroni(stats.with_mw_pvalue(stats.mann_whitney(_long(spark, sf), 0, 1)))
+    return _round(stats.bonferroni(stats.with_mw_pvalue(stats.mann_whitney(_long(spark, sf), 0, 1))), _P_ROUNDED)
 
 
 @query("ttest", f"""WITH {_TWO},
@@ -334,9 +388,16 @@ def q_ttest(spark, sf):
     return _round(stats.t_test(_long(spark, sf), 0, 1), {"statistic", "df"})
 
 
-@query("ttest_test")
+@query("ttest_test", f"""WITH {_TWO},
+a AS (SELECT feature, count(*) AS n1, avg(value) AS m1, var_samp(value) AS v1 FROM d WHERE cluster = 0 GROUP BY feature),
+b AS (SELECT feature, count(*) AS n2, avg(value) AS m2, var_samp(value) AS v2 FROM d WHERE cluster = 1 GROUP BY feature),
+st AS (SELECT feature, n1, n2, (m1 - m2) / sqrt(v1 / n1 + v2 / n2) AS statistic, (v1 / n1 + v2 / n2) * (v1 / n1 + v2 / n2)
+              / ((v1 / n1) * (v1 / n1) / (n1 - 1) + (v2 / n2) * (v2 / n2) / (n2 - 1)) AS df FROM a JOIN b USING (feature)),
+{_f_tail('statistic * statistic', '1', 'df', 'st')}
+SELECT feature, n1, n2, round(statistic, 6) AS statistic, round(df, 6) AS df, {_bonferroni_cols()} FROM st JOIN pv USING (feature)
+""")
 def q_ttest_test(spark, sf):
-    return stats.bonferroni(stats.with_t_pvalue(stats.t_test(_long(spark, sf), 0, 1)))
+    return _round(stats.bonferroni(stats.with_t_pvalue(stats.t_test(_long(spark, sf), 0, 1))), _P_ROUNDED)
 
 
 def _chi2_sql(row: str, col: str, yates: bool) -> str:
@@ -363,11 +424,14 @@ def q_chi2_yates(spark, sf):
     return _round(stats.chi2_contingency(role(spark, sf, "doc_outcomes"), "quality", "toxic"), {"statistic"})
 
 
-@query("chi2_test")
+@query("chi2_test", f"""WITH st AS (SELECT 'all' AS feature, statistic, dof FROM ({_chi2_sql("cluster_name", "toxic", False).replace("round(sum(", "(sum(").replace(", 6)", ")")})),
+{_chi2_tail('statistic', 'dof', 'st')}
+SELECT round(statistic, 6) AS statistic, dof, round(p, 6) AS p_value FROM st JOIN pv USING (feature)
+""")
 def q_chi2_test(spark, sf):
     from cohortlens.functions.distributions import chi2_pvalue
     r = stats.chi2_contingency(role(spark, sf, "doc_outcomes"), "cluster_name", "toxic")
-    return r.withColumn("p_value", chi2_pvalue(F.col("statistic"), F.col("dof")))
+    return _round(r.withColumn("p_value", chi2_pvalue(F.col("statistic"), F.col("dof"))), {"statistic", "p_value"})
 
 
 @query("bonferroni", """

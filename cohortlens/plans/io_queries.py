@@ -14,13 +14,13 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import functions as F
 
 from cohortlens.functions.nulls import normalize_na
-from cohortlens.operators import features as feats
+from cohortlens.operators import features as feats, profile
 from cohortlens.plans.feature_queries import ORDER_TIMING_SQL
 from cohortlens.plans.join_queries import _FILTERED, q_merged_table
 from cohortlens.plans.registry import query
-from cohortlens.plans.roles import FEATURE_COLS, role
+from cohortlens.plans.roles import BASE_TABLES, FEATURE_COLS, role
 from cohortlens.session import scratch_path
-from cohortlens.sources import catalog, readers, sinks
+from cohortlens.sources import catalog, footers, readers, sinks
 from cohortlens.streaming.convert import convert_stream
 
 
@@ -74,6 +74,41 @@ def q_catalog_scan(spark, sf):
     return catalog.scan_directory(spark, sf)
 
 
+def _columns_sql(table: str) -> str:
+    whole = lambda agg: ("(UNPIVOT (SELECT " + agg + "(TRY_CAST(CAST(COLUMNS('(.*)') AS VARCHAR) AS BIGINT)) AS '\\1' FROM " + table
+                         + ") ON COLUMNS(*) INTO NAME column_name VALUE v)")
+    return f"""SELECT '{table}' AS table_name, d.column_name, d.t AS type, r.n AS n_rows,
+       CASE WHEN d.t LIKE 'array%' THEN NULL ELSE c.v END AS n_values,
+       CASE WHEN d.t IN ('int', 'bigint') AND c.v = r.n THEN lo.v END AS min_value, CASE WHEN d.t IN ('int', 'bigint') AND c.v = r.n THEN hi.v END AS max_value,
+       r.n * CASE d.t WHEN 'int' THEN 4 WHEN 'float' THEN 4 WHEN 'date' THEN 4 WHEN 'bigint' THEN 8 WHEN 'double' THEN 8 WHEN 'timestamp_ntz' THEN 8 END AS fixed_bytes
+FROM (SELECT column_name, CASE column_type WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' WHEN 'BIGINT' THEN 'bigint' WHEN 'DOUBLE' THEN 'double'
+        WHEN 'FLOAT' THEN 'float' WHEN 'DATE' THEN 'date' WHEN 'FLOAT[]' THEN 'array<float>' WHEN 'DOUBLE[]' THEN 'array<double>'
+        ELSE CASE WHEN column_type LIKE 'TIMESTAMP%' THEN 'timestamp_ntz' ELSE column_type END END AS t FROM (DESCRIBE SELECT * FROM {table})) d
+CROSS JOIN (SELECT count(*) AS n FROM {table}) r
+LEFT JOIN (UNPIVOT (SELECT count(COLUMNS('(.*)')) AS '\\1' FROM {table}) ON COLUMNS(*) INTO NAME column_name VALUE v) c USING (column_name)
+LEFT JOIN {whole('min')} lo USING (column_name) LEFT JOIN {whole('max')} hi USING (column_name)"""
+
+
+@query("catalog_columns", "\nUNION ALL\n".join(_columns_sql(t) for t in BASE_TABLES))
+def q_catalog_columns(spark, sf):
+    return footers.catalog_columns(spark, catalog.study_tables(catalog.scan_directory(spark, sf), list(BASE_TABLES)))
+
+
+@query("column_memory", """
+SELECT 'documents' AS table_name, 'doc_id' AS column_name, 'bigint' AS dtype, CAST(count(doc_id) * 8 AS BIGINT) AS memory_bytes FROM documents
+UNION ALL SELECT 'documents', 'text', 'string', CAST(coalesce(sum(strlen(text) + 8), 0) AS BIGINT) FROM documents
+UNION ALL SELECT 'documents', 'lang', 'string', CAST(coalesce(sum(strlen(lang) + 8), 0) AS BIGINT) FROM documents
+UNION ALL SELECT 'documents', 'source', 'string', CAST(coalesce(sum(strlen(source) + 8), 0) AS BIGINT) FROM documents
+UNION ALL SELECT 'documents', 'n_chars', 'bigint', CAST(count(n_chars) * 8 AS BIGINT) FROM documents
+UNION ALL SELECT 'embeddings', 'vec_id', 'bigint', CAST(count(vec_id) * 8 AS BIGINT) FROM embeddings
+UNION ALL SELECT 'embeddings', 'embedding', 'array<float>', CAST(coalesce(sum(len(embedding) * 4 + 8), 0) AS BIGINT) FROM embeddings
+UNION ALL SELECT 'embeddings', 'label', 'int', CAST(count(label) * 4 AS BIGINT) FROM embeddings
+""")
+def q_column_memory(spark, sf):
+    one = lambda t: profile.column_memory(readers.read_table(spark, sf, t)).select(F.lit(t).alias("table_name"), "*")
+    return one("documents").unionByName(one("embeddings"))
+
+
 @query("column_roles")
 def q_column_roles(spark, sf):
     return catalog.column_roles(role(spark, sf, "poe"))

@@ -6,9 +6,10 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from cohortlens.operators import cohort, joins
+from cohortlens.operators import cohort, idsets, joins
 from cohortlens.plans.registry import query
 from cohortlens.plans.roles import roles
+from cohortlens.session import Scratch
 
 POE_COLS = ["poe_id", "poe_seq", "subject_id", "hadm_id", "ordertime", "order_type", "order_subtype",
             "transaction_type", "discontinue_of_poe_id", "discontinued_by_poe_id", "order_provider_id",
@@ -127,6 +128,17 @@ def q_merged_table(spark, sf):
                               t["d_icd_diagnoses"], t["poe"], t["poe_detail"], t["prescriptions"])
 
 
+@query("join_merged_labs", f"""WITH {_FILTERED},
+lab AS (SELECT * FROM hospital_labs JOIN d_labitems USING (itemid))
+SELECT * FROM m5 JOIN lab USING (subject_id, hadm_id, order_provider_id)
+""")
+def q_join_merged_labs(spark, sf):
+    t = _filtered_tables(spark, sf)
+    labs, items = roles(spark, sf, "hospital_labs", "d_labitems")
+    return joins.merged_table(t["patients"], t["admissions"], t["transfers"], t["diagnoses_icd"], t["d_icd_diagnoses"], t["poe"],
+                              t["poe_detail"], t["prescriptions"], labs, items)
+
+
 @query("join_cardinality", f"""WITH {_FILTERED}
 SELECT 'patients_admissions' AS stage, count(*) AS n_rows FROM m1
 UNION ALL SELECT 'with_transfers', count(*) FROM m2
@@ -206,3 +218,32 @@ def q_admission_cohort(spark, sf):
     from cohortlens.plans.study import admission_cohort
     l, s, d, p = roles(spark, sf, "labevents", "stays", "d_labitems", "patients")
     return admission_cohort(l, s, d, subjects=cohort.filter_patients(p).select("subject_id"))
+
+
+# --------------------------------------------------- id bitmaps (F11 + U1 + J13 + S8)
+# what each study table is after its rule, and the subjects that all of them have
+_RESTRICTED = {"patients": "fp", "admissions": "fa", "transfers": "ft", "diagnoses_icd": "fd", "d_icd_diagnoses": "fdict", "poe": "fpoe",
+               "poe_detail": "poe_detail", "prescriptions": "frx"}
+_ALL_IDS = "ids AS (" + " INTERSECT ".join(f"SELECT subject_id FROM {t} WHERE subject_id IS NOT NULL"
+                                           for n, t in _RESTRICTED.items() if n != "d_icd_diagnoses") + ")"
+
+
+def _study_bitmap(spark, tables):
+    """Bitmap of the subjects that every filtered table has, stored."""
+    return Scratch(spark, "study-ids").keep(idsets.intersect_bitmaps([idsets.id_bitmap(t) for t in tables.values() if "subject_id" in t.columns]))
+
+
+@query("bitmap_intersection", f"WITH {_FILTERED},{_ALL_IDS}\nSELECT subject_id FROM ids")
+def q_bitmap_intersection(spark, sf):
+    return idsets.ids_of(_study_bitmap(spark, _filtered_tables(spark, sf)))
+
+
+for _name, _filtered in _RESTRICTED.items():
+    def _make_restricted(name):
+        def fn(spark, sf):
+            tables = _filtered_tables(spark, sf)
+            return idsets.restrict_tables({name: tables[name]}, _study_bitmap(spark, tables))[name]
+        return fn
+    _whole = _name == "d_icd_diagnoses"        # a dictionary has no subjects
+    query(f"restricted_{_name}", f"WITH {_FILTERED},{_ALL_IDS}\nSELECT * FROM {_filtered}"
+          + ("" if _whole else " WHERE subject_id IN (SELECT subject_id FROM ids)"))(_make_restricted(_name))

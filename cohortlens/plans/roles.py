@@ -123,6 +123,12 @@ SELECT event_id AS labevent_id, user_id AS subject_id, CAST(NULL AS BIGINT) AS h
        CASE WHEN event_id % 11 = 0 THEN NULL ELSE 'L' || CAST(user_id % 13 AS STRING) END AS order_provider_id,
        ts AS charttime, value AS valuenum
 FROM events""",
+    # labs taken in a stay: one per line item, ordered by the line's provider (joins the merged study table).
+    "hospital_labs": f"""
+SELECT l.l_orderkey * 8 + l.l_linenumber AS labevent_id, o.o_custkey AS subject_id, l.l_orderkey AS hadm_id,
+       CAST(l.l_partkey AS BIGINT) AS itemid, {_PROVIDER} AS order_provider_id,
+       l.l_shipdate AS charttime, l.l_quantity AS valuenum
+FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey""",
     "d_labitems": """
 SELECT p_partkey AS itemid, p_name AS label, p_type AS fluid, p_brand AS category FROM part""",
     # integer ids delivered as text with NA tokens and junk (for the NA rule).

@@ -17,6 +17,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from cohortlens.functions.frames import numeric_columns, temporal_columns
+from cohortlens.operators.idsets import id_bitmap
 from cohortlens.session import scratch_path
 
 # regex over a file path relative to the root: [<module>/]<table><suffix>[/part-file...]
@@ -78,17 +79,27 @@ def cached_subject_ids(spark: SparkSession, df: DataFrame, table: str, params: d
     from (so a rewritten or another source is another key); ``recalculate``
     overwrites it.
     """
+    ids = df.select(key).where(F.col(key).isNotNull()).distinct()
+    return _cached(spark, df, ids, table, params, recalculate, root)
+
+
+def cached_id_bitmap(spark: SparkSession, df: DataFrame, table: str, params: dict | None = None,
+                     recalculate: bool = False, key: str = "subject_id", root: str | None = None) -> DataFrame:
+    """The same set as stored bitmaps (:mod:`cohortlens.operators.idsets`), under the same cache key rules."""
+    return _cached(spark, df, id_bitmap(df, key), f"{table}-{key}-bitmap", params, recalculate, root)
+
+
+def _cached(spark, df, ids, name, params, recalculate, root) -> DataFrame:
     source = hashlib.sha1("\n".join(sorted(df.inputFiles())).encode()).hexdigest()
     tag = hashlib.sha1(json.dumps([params or {}, source], sort_keys=True, default=str).encode()).hexdigest()[:12]
-    path = f"{(root or scratch_path(spark, 'subject_ids')).rstrip('/')}/{table}-{tag}.parquet"
+    path = f"{(root or scratch_path(spark, 'subject_ids')).rstrip('/')}/{name}-{tag}.parquet"
     if not recalculate:
         try:
             return spark.read.parquet(path)
         except AnalysisException as e:
             if "PATH_NOT_FOUND" not in str(e):   # anything but "not cached yet" is a real error
                 raise
-    (df.select(key).where(F.col(key).isNotNull()).distinct()
-       .write.mode("overwrite").parquet(path))
+    ids.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
