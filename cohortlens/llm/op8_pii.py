@@ -8,7 +8,11 @@ Information-theoretic sanitisation adds the terms around them.  A protected enti
 
 * ``IC(e) = -ln(n_e / N)`` is what knowing entity ``e`` tells,
 * ``PMI(e, t) = ln(n_et N / (n_e n_t))`` is how much of it the term ``t`` discloses, ``n_et`` counting the
-  documents with ``t`` within ``CONTEXT`` words of ``e``.
+  documents with ``t`` among the ``CONTEXT`` terms before or after ``e``.
+
+A term is a run of two or more letters outside every pattern span, compared in lower case, however far it
+stands from the span; scripts without spaces have their terms between punctuation.  All four counts are of rows,
+so a table written several times over has the same spans as one copy of it.
 
 A term discloses an entity when ``PMI >= ALPHA * IC``, that is ``n_t <= n_et (N / n_e) ** (1 - ALPHA)``.
 For a value one text is enough: beside a value that stands once, the terms of at most ``N ** (1 - ALPHA)``
@@ -24,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 import regex
@@ -33,10 +38,9 @@ from cohortlens.session import materialize
 
 KINDS = ("email", "ip", "card", "phone")
 CONTEXT = 5
-REACH = 200          # code points on either side in which the context words are looked for
 ALPHA = 0.8
 MIN_KIND_TEXTS = 10
-TERM = r"\p{L}{3,}"
+TERM = r"\p{L}{2,}"
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
@@ -93,28 +97,33 @@ def joined(spans) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-
-
-def context(text: str, start: int, end: int) -> list[tuple[int, int]]:
-    """Up to ``CONTEXT`` whole words on either side of a span, as ``(start, end)``."""
-    lo, hi = max(0, start - REACH), min(len(text), end + REACH)
-    left = [(m.start(), m.end()) for m in _WORD.finditer(text, lo, start)]
-    if left and lo and left[0][0] == lo:
-        left = left[1:]
-    right = [(m.start(), m.end()) for m in _WORD.finditer(text, end, hi)]
-    if right and hi < len(text) and right[-1][1] == hi:
-        right = right[:-1]
-    return left[-CONTEXT:] + right[:CONTEXT]
+def contexts(text: str, base) -> list[list[tuple[int, int]]]:
+    """For each span the ``CONTEXT`` terms on either side as ``(start, end)``; terms that touch a span are none."""
+    if not base:
+        return []
+    spans, terms, k, reach = sorted((s, e) for _, s, e in base), [], 0, -1
+    for m in _TERM.finditer(text):
+        a, b = m.span()
+        while k < len(spans) and spans[k][0] < b:
+            reach = max(reach, spans[k][1])
+            k += 1
+        if reach <= a:
+            terms.append((a, b))
+    starts = [a for a, _ in terms]
+    out = []
+    for _, s, e in base:
+        i, j = bisect_left(starts, s), bisect_left(starts, e)
+        out.append(terms[max(0, i - CONTEXT):i] + terms[j:j + CONTEXT])
+    return out
 
 
-_SCAN = ("doc_id long, th long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, "
-         "spans string, mentions array<struct<kind:string,value:string,words:array<string>,at:array<int>>>")
+_SCAN = ("doc_id long, th long, row long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, "
+         "spans string, mentions array<struct<kind:string,value:string,terms:array<string>,at:array<int>>>")
 
 
 def _scan(batches):
-    mention = pa.struct([("kind", pa.string()), ("value", pa.string()), ("words", pa.list_(pa.string())), ("at", pa.list_(pa.int32()))])
-    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()),
+    mention = pa.struct([("kind", pa.string()), ("value", pa.string()), ("terms", pa.list_(pa.string())), ("at", pa.list_(pa.int32()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("row", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()),
                         ("spans", pa.string()), ("mentions", pa.list_(mention))])
     for b in batches:
         cols: list[list] = [[] for _ in range(len(KINDS) + 3)]
@@ -125,34 +134,40 @@ def _scan(batches):
             cols[-3].append(hashlib.sha256(joined(base).encode()).hexdigest())
             cols[-2].append(joined(base))
             found = []
-            for k, s, e in base:
-                words = context(text, s, e)
-                found.append({"kind": k, "value": text[s:e], "words": [text[x:y] for x, y in words], "at": [x for x, _ in words]})
+            for (k, s, e), near in zip(base, contexts(text, base)):
+                found.append({"kind": k, "value": text[s:e], "terms": [text[x:y] for x, y in near], "at": [x for x, _ in near]})
             cols[-1].append(found)
-        yield pa.record_batch([b.column("doc_id"), b.column("th"), *(pa.array(c, t) for c, t in zip(cols, schema.types[2:]))], schema=schema)
+        yield pa.record_batch([b.column("doc_id"), b.column("th"), b.column("row"), *(pa.array(c, t) for c, t in zip(cols, schema.types[3:]))], schema=schema)
 
 
-def _terms(text):
-    return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
+def _key(term):
+    """A term by the hash of its lower case; both sides lower it by the same function, after it is cut out."""
+    return F.xxhash64(F.lower(term))
+
+
+def _mentioned(scanned: DataFrame) -> DataFrame:
+    """``row, th, i, entity, is_kind, terms``: each mention as its value and as its kind."""
+    value, kind = F.xxhash64("m.kind", "m.value"), F.xxhash64("m.kind")
+    return (scanned.select("row", "th", F.posexplode("mentions").alias("i", "m"))
+                   .select("row", "th", "i", F.col("m.terms").alias("terms"),
+                           F.explode(F.array(F.struct(value.alias("entity"), F.lit(False).alias("is_kind")), F.struct(kind.alias("entity"), F.lit(True).alias("is_kind")))).alias("e"))
+                   .select("row", "th", "i", "e.entity", "e.is_kind", "terms"))
 
 
 def disclosing_terms(docs: DataFrame, scanned: DataFrame, alpha: float = ALPHA, min_kind_texts: int = MIN_KIND_TEXTS) -> DataFrame:
-    """``(entity, term, ratio)``: terms that disclose an entity (a value's hash, or a kind's)."""
+    """``(entity, term, ratio)``: terms (hashes) that disclose an entity (a value's hash, or a kind's)."""
     n_docs = max(1, scanned.count())
-    near = (scanned.select("doc_id", "th", F.explode("mentions").alias("m"))
-                   .select("doc_id", "th", F.explode(F.array(F.xxhash64("m.kind", "m.value"), F.xxhash64("m.kind"))).alias("entity"),
-                           (F.col("entity") == F.xxhash64("m.kind")).alias("is_kind"), F.col("m.words").alias("words")))
-    row = F.xxhash64("doc_id", "th")
-    entity = near.groupBy("entity").agg(F.count_distinct(row).alias("n_e"))
-    with_t = (near.select("doc_id", "th", "entity", "is_kind", F.explode(F.array_distinct(_terms(F.array_join("words", " ")))).alias("term"))
-                  .groupBy("entity", "term").agg(F.count_distinct(row).alias("n_et"), F.count_distinct("th").alias("texts"), F.max("is_kind").alias("is_kind"))
+    near = _mentioned(scanned)
+    entity = near.groupBy("entity").agg(F.count_distinct("row").alias("n_e"))
+    with_t = (near.select("row", "th", "entity", "is_kind", F.explode(F.transform("terms", _key)).alias("term")).distinct()
+                  .groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et"), F.count_distinct("th").alias("texts"), F.max("is_kind").alias("is_kind"))
                   .where(~F.col("is_kind") | (F.col("texts") >= min_kind_texts)))
     with_t = materialize(with_t.join(entity, "entity"))
     if with_t.isEmpty():
         return with_t.select("entity", "term", F.lit(0.0).alias("ratio"))
     # the whole vocabulary is counted before the join: candidates grow with the corpus, and so would a join of its terms with them
-    df = (docs.where(F.col("text").isNotNull()).select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
-              .groupBy("term").agg(F.count(F.lit(1)).alias("n_t")))
+    words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), _key))
+    df = docs.where(F.col("text").isNotNull()).select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     pmi = F.log(F.col("n_et") * F.lit(float(n_docs)) / (F.col("n_e").cast("double") * F.col("n_t")))
     ic = -F.log(F.col("n_e") / F.lit(float(n_docs)))
     return (with_t.join(df, "term").withColumn("pmi", pmi).withColumn("ic", ic)
@@ -160,30 +175,19 @@ def disclosing_terms(docs: DataFrame, scanned: DataFrame, alpha: float = ALPHA,
 
 
 def _with_terms(docs: DataFrame, alpha: float) -> DataFrame:
-    """The scan of every document with ``flags``: the disclosing terms beside its mentions."""
+    """The scan of every document with ``flags``: the disclosing terms beside its mentions, as (mention, term) places."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scanned = materialize(docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(_scan, _SCAN))
+    scanned = materialize(docs.select("doc_id", F.xxhash64("text").alias("th"), F.monotonically_increasing_id().alias("row"), "text").mapInArrow(_scan, _SCAN))
     bad = disclosing_terms(docs, scanned, alpha)
-    m = (scanned.select("doc_id", "th", F.posexplode("mentions").alias("i", "m"))
-                .select("doc_id", "th", "i", F.explode(F.array(F.xxhash64("m.kind", "m.value"), F.xxhash64("m.kind"))).alias("entity"),
-                        F.col("m.words").alias("words"))
-                .select("doc_id", "th", "i", "entity", F.explode(F.array_distinct(_terms(F.array_join("words", " ")))).alias("term")))
-    flags = (m.join(bad, ["entity", "term"]).groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
-              .agg(F.collect_set(F.struct("i", "term")).alias("flags")))
-    return scanned.join(flags, scanned.doc_id.eqNullSafe(F.col("_id")) & (scanned.th == F.col("_th")), "left").drop("_id", "_th")
-
-
-def term_spans(mentions, flags, base) -> list[tuple[str, int, int]]:
-    """Where the flagged terms stand beside their mentions, outside pattern spans, by start."""
-    out = set()
-    for f in flags or ():
-        m = mentions[f["i"]]
-        for word, at in zip(m["words"], m["at"]):
-            for x in _TERM.finditer(word):
-                a, b = at + x.start(), at + x.end()
-                if x.group().lower() == f["term"] and not any(a < e and s < b for _, s, e in base):
-                    out.add(("term", a, b))
-    return sorted(out, key=lambda s: s[1:])
+    m = _mentioned(scanned).select("row", "i", "entity", F.posexplode(F.transform("terms", _key)).alias("j", "term"))
+    flags = m.join(bad, ["entity", "term"]).groupBy("row").agg(F.collect_set(F.struct("i", "j")).alias("flags"))
+    return scanned.join(flags, "row", "left")
+
+
+def term_spans(mentions, flags) -> list[tuple[str, int, int]]:
+    """Where the flagged terms stand beside their mentions, by start."""
+    at = {(mentions[f["i"]]["at"][f["j"]], len(mentions[f["i"]]["terms"][f["j"]])) for f in flags or ()}
+    return [("term", a, a + n) for a, n in sorted(at)]
 
 
 def _parse(spans: str) -> list[tuple[str, int, int]]:
@@ -194,7 +198,7 @@ def _finish(batches):
     for b in batches:
         spans = []
         for base, mentions, flags in zip(b.column("spans").to_pylist(), b.column("mentions").to_pylist(), b.column("flags").to_pylist()):
-            more = term_spans(mentions, flags, _parse(base)) if flags else []
+            more = term_spans(mentions, flags)
             spans.append(",".join(x for x in (base, joined(more)) if x))
         yield pa.record_batch([*(b.column(c) for c in OUT[:-1]), pa.array(spans, pa.string())], names=OUT)
 

@@ -139,6 +139,65 @@ def test_one_text_is_enough_to_disclose_a_value(spark):
     assert all(out[i] == "" for i in range(60))
 
 
+def brute_terms(texts, alpha=op8_pii.ALPHA, context=op8_pii.CONTEXT, min_kind_texts=op8_pii.MIN_KIND_TEXTS):
+    """Term spans of every text from the counts of all of them, pair by pair."""
+    import math
+    import regex
+    n = len(texts)
+    found, beside = [], []
+    for t in texts:
+        base = brute_pii(t)
+        terms = [(m.start(), m.end()) for m in regex.finditer(r"\p{L}{2,}", t or "") if not any(m.start() < e and s < m.end() for _, s, e in base)]
+        found.append({m.lower() for m in regex.findall(r"\p{L}{2,}", t or "")})
+        pairs = []
+        for k, s, e in base:
+            left, right = [x for x in terms if x[1] <= s], [x for x in terms if x[0] >= e]
+            pairs += [(entity, t[a:b].lower(), a, b) for a, b in left[-context:] + right[:context] for entity in ((k, t[s:e]), (k,))]
+        beside.append((pairs, {e for k, s, x in base for e in ((k, t[s:x]), (k,))}))
+    out = []
+    for pairs, _ in beside:
+        spans = set()
+        for entity, term, a, b in pairs:
+            n_e = sum(entity in es for _, es in beside)
+            rows = [i for i, (ps, _) in enumerate(beside) if any(p[:2] == (entity, term) for p in ps)]
+            n_t = sum(term in f for f in found)
+            enough = len(entity) == 2 or len({texts[i] for i in rows}) >= min_kind_texts
+            ic = -math.log(n_e / n)
+            if enough and n_t and ic > 0 and math.log(len(rows) * n / (n_e * n_t)) >= alpha * ic - 1e-12:
+                spans.add((a, b))
+        out.append([f"term:{a}:{b}" for a, b in sorted(spans)])
+    return out
+
+
+def pii_texts():
+    rng = np.random.default_rng(8)
+    words = ["alpha", "be", "gamma", "delta", "Wu", "Li", "İstanbul", "straße", "omega", "ok", "mail", "call"]
+    values = ["a@b.cd", "zoe@example.org", "10.1.2.3", "+1 555 123 4567", "4111 1111 1111 1111"]
+    texts = [" ".join(rng.choice(words, rng.integers(3, 25))) for _ in range(60)]
+    for i in range(40):
+        w = list(rng.choice(words, rng.integers(2, 14)))
+        for _ in range(rng.integers(1, 3)):
+            w.insert(rng.integers(len(w) + 1), rng.choice(values))
+        texts.append(" ".join(w))
+    texts += [f"write now mail {i} to q{i}@x.yz please" for i in range(12)]            # "write", "now", "please" disclose the kind
+    return texts + ["İSTANBUL q@r.st Li", "é" * 300 + "一二三" * 100 + "、x@y.zw、名前 Wu", "u@v.wx" + " " * 500 + "faraway", "", None, "nobody here"]
+
+
+def test_disclosing_terms_equal_brute_force(spark):
+    texts = pii_texts()
+    want = brute_terms(texts)
+    got = {r.doc_id: [s for s in r.spans.split(",") if s.startswith("term")] for r in op8_pii.find_pii(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    assert sum(map(len, want)) > 30 and any("faraway" in texts[i][int(s.split(":")[1]):] for i, w in enumerate(want) if w and texts[i].startswith("u@") for s in w)
+
+
+def test_a_doubled_table_has_the_same_spans(spark):
+    docs = docs_of(spark, pii_texts())
+    one = sorted((r.doc_id, r.spans) for r in op8_pii.find_pii(docs).collect())
+    two = sorted((r.doc_id, r.spans) for r in op8_pii.find_pii(docs.union(docs)).collect())
+    assert two == sorted(one + one)
+
+
 # -- op6 ---------------------------------------------------------------------------------------
 
 def brute_components(texts, q=3, pct=90):
@@ -287,6 +346,33 @@ def test_rebalancing_edits_few_slots():
     assert load.max() - load.min() <= 2 and (old != new).sum() < 200
 
 
+def test_a_stored_map_is_edited(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    path = str(tmp_path / "map")
+
+    def run(df, n=8):
+        rows = op10_sharding.shard(df, n, map_path=path).collect()
+        load = np.bincount([r.shard for r in rows], weights=[r["size"] for r in rows], minlength=n)
+        return rows[0].map_version, load, {r.vslot: r.shard for r in op10_sharding.read_map(spark, path, rows[0].map_version).collect()}
+
+    v1, _, first = run(docs)
+    assert op10_sharding.map_versions(spark, path) == [0, 1] and v1 == 1
+    assert run(docs)[0] == 1                                    # balanced: no new version
+    more = docs.union(docs.where("doc_id % 10 = 3").withColumn("doc_id", F.col("doc_id") + 10**6))
+    v2, load, second = run(more)
+    assert v2 == 2 and load.max() - load.min() <= max(2, 0.001 * load.mean())
+    assert sum(first[s] != second[s] for s in first) < 400       # edited, not dealt anew
+    v3, load, third = run(more, 9)
+    moved = [s for s in second if second[s] != third[s]]
+    assert v3 == 3 and load.max() - load.min() <= max(2, 0.001 * load.mean()) and len(moved) < 4096 / 9 * 1.6
+    v4, load, fourth = run(more, 5)
+    assert v4 == 4 and set(fourth.values()) == set(range(5)) and load.max() - load.min() <= max(2, 0.001 * load.mean())
+    (tmp_path / "map" / "version=5").mkdir()                     # left half written
+    assert run(docs, 8)[0] == 5
+    with pytest.raises(ValueError):
+        op10_sharding.shard(docs, 8, n_slots=1024, map_path=path)
+
+
 # -- pipeline ----------------------------------------------------------------------------------
 
 def test_pipeline_equals_its_stages_by_brute_force(spark):
