@@ -2,9 +2,11 @@
 
 Every record hashes into one of ``n_slots`` virtual slots; the bytes per slot are
 one small aggregate; a map from slot to shard is stored with a version number.
-Version 0 deals the slots in turn; rebalancing edits it -- it moves (or swaps) as
+Version 0 deals the slots in turn; rebalancing edits the newest stored version -- it moves (or swaps) as
 few slots as it can from the fullest to the emptiest shard until no edit brings
-the shards' bytes closer -- and stores the result as the next version.  The law
+the shards' bytes closer -- and stores the result as the next version, or none where
+nothing was edited.  With fewer shards than the stored map has, the slots of the shards that
+are gone go to the emptiest ones first; new shards start empty.  The law
 that holds is therefore ``bytes``: shard sizes are near equal.
 
 Only the slot table (``n_slots`` rows, a parameter) reaches the driver.  Records
@@ -78,10 +80,40 @@ def rebalance(shard_of: np.ndarray, slot_bytes: np.ndarray, n_shards: int) -> np
         load[lo] += net
 
 
+def refit(shard_of: np.ndarray, slot_bytes: np.ndarray, n_shards: int) -> np.ndarray:
+    """A stored map for ``n_shards``: slots of shards that are gone, largest first, go to the emptiest shard."""
+    shard_of = shard_of.copy()
+    gone = np.flatnonzero(shard_of >= n_shards)
+    if len(gone):
+        stay = shard_of < n_shards
+        load = np.bincount(shard_of[stay], weights=slot_bytes[stay], minlength=n_shards).astype(np.int64)
+        slots = np.bincount(shard_of[stay], minlength=n_shards)
+        for i in gone[np.argsort(-slot_bytes[gone], kind="stable")]:
+            to = int(np.lexsort((slots, load))[0])
+            shard_of[i] = to
+            load[to] += slot_bytes[i]
+            slots[to] += 1
+    return shard_of
+
+
+def map_versions(spark: SparkSession, path: str) -> list[int]:
+    """Versions of the map that were written whole (their folder has Spark's success mark), ascending."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(top):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(top)]
+    found = [int(n.removeprefix("version=")) for n in names if n.startswith("version=")]
+    return sorted(v for v in found if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/version={v}/_SUCCESS")))
+
+
 def write_map(spark: SparkSession, path: str, version: int, shard_of: np.ndarray) -> None:
-    """Store one version of the slot-to-shard map; earlier versions stay readable."""
+    """Store one version of the slot-to-shard map; earlier versions stay readable.  What a lost driver left half written is replaced."""
+    if version in map_versions(spark, path):
+        raise FileExistsError(f"{path} has a version {version}")
     (spark.createDataFrame([(i, int(s)) for i, s in enumerate(shard_of)], "vslot int, shard int")
-          .coalesce(1).write.mode("errorifexists").parquet(f"{path}/version={version}"))
+          .coalesce(1).write.mode("overwrite").parquet(f"{path}/version={version}"))
 
 
 def read_map(spark: SparkSession, path: str, version: int) -> DataFrame:
@@ -91,6 +123,9 @@ def read_map(spark: SparkSession, path: str, version: int) -> DataFrame:
 def shard(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS, map_path: str | None = None) -> DataFrame:
     """One row per document: ``doc_id, size, text_crc32, vslot, shard, slot, map_version``.
 
+    With a ``map_path`` the newest map stored there is edited and the next version written beside it; without
+    one the map starts anew.  A stored map keeps its number of slots.
+
     ``slot`` is the row's place in its shard, gapless from 0: the rows of the
     shard's earlier virtual slots plus the row's rank in its own one.
     """
@@ -100,15 +135,29 @@ def shard(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS, map_path:
     bytes_, count = np.zeros(n_slots, dtype=np.int64), np.zeros(n_slots, dtype=np.int64)
     for r in slot_totals(rows).collect():   # at most n_slots rows
         bytes_[r.vslot], count[r.vslot] = r.bytes, r.rows
-    first = initial_map(n_slots, n_shards)
-    write_map(spark, path, 0, first)
-    write_map(spark, path, 1, rebalance(first, bytes_, n_shards))
+    stored = map_versions(spark, path)
+    if stored:
+        version = stored[-1]
+        old = np.full(n_slots, -1)
+        for r in read_map(spark, path, version).collect():   # n_slots rows
+            if r.vslot >= n_slots:
+                raise ValueError(f"the stored map has more than {n_slots} slots")
+            old[r.vslot] = r.shard
+        if (old < 0).any():
+            raise ValueError(f"the stored map has fewer than {n_slots} slots")
+    else:
+        version, old = 0, initial_map(n_slots, n_shards)
+        write_map(spark, path, 0, old)
+    new = rebalance(refit(old, bytes_, n_shards), bytes_, n_shards)
+    if (new != old).any():
+        version += 1
+        write_map(spark, path, version, new)
     counts = spark.createDataFrame([(i, int(c)) for i, c in enumerate(count)], "vslot int, n_rows long")
     before = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)
-    placed = (read_map(spark, path, 1).join(F.broadcast(counts), "vslot")
+    placed = (read_map(spark, path, version).join(F.broadcast(counts), "vslot")
               .withColumn("start", F.coalesce(F.sum("n_rows").over(before), F.lit(0))).drop("n_rows"))
     rank = F.row_number().over(Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size"))
     return (rows.withColumn("_rank", rank).join(F.broadcast(placed), "vslot")
                 .select("doc_id", "size", "text_crc32", "vslot", "shard",
                         (F.col("start") + F.col("_rank") - 1).cast("long").alias("slot"),
-                        F.lit(1).alias("map_version")))
+                        F.lit(version).alias("map_version")))
