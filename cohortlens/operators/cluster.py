@@ -215,12 +215,16 @@ def eps_neighbours(df: DataFrame, features: list[str], eps: float, key: str = "k
     return point_loc, cells, cross
 
 
-def _tiled(df: DataFrame, features: list[str], eps: float, key: str, metric: str, scratch: Scratch):
-    """Points with their locations, and the eps graph of the finite locations (:mod:`cohortlens.operators.epsgraph`)."""
+def _tiled(df: DataFrame, features: list[str], eps: float, key: str, metric: str, scratch: Scratch, named: bool = True):
+    """Points with their locations, and the eps graph of the finite locations (:mod:`cohortlens.operators.epsgraph`).
+
+    A location is named by its smallest key (integer keys), or else by a number of its own.
+    """
     pts, eps, metric = _points(df, features, key, eps, metric)
     xs = [f"_x{i}" for i in range(len(features))]
-    pts = scratch.keep(pts.select(F.col(key).cast("long").alias(key), F.array(*xs).alias("x")))
-    locs = scratch.keep(pts.groupBy("x").agg(F.min(key).alias("loc"), F.count(F.lit(1)).alias("w")))
+    pts = scratch.keep(pts.select((F.col(key).cast("long") if named else F.col(key)).alias(key), F.array(*xs).alias("x")))
+    locs = pts.groupBy("x").agg(*[F.min(key).alias("loc")] * named, F.count(F.lit(1)).alias("w"))
+    locs = scratch.keep(locs if named else locs.withColumn("loc", F.monotonically_increasing_id()))
     finite = F.forall("x", lambda v: F.abs(v) < F.lit(float("inf")))       # any other location has no neighbour but itself
     return pts.join(locs, "x").select(key, "loc"), locs, EpsGraph(locs.where(finite), eps, metric, scratch)
 
@@ -259,16 +263,13 @@ def _location_counts(cells: DataFrame, cross: DataFrame) -> DataFrame:
 
 def dbscan_core_points(df: DataFrame, features: list[str], eps: float, min_samples: int,
                        key: str = "key", metric: str = "euclidean") -> DataFrame:
-    """(key, n_neighbours including itself, is_core)."""
-    if len(features) > MAX_GRID_DIMS:
-        scratch = Scratch(df.sparkSession, "dbscan-core")
-        points, locs, graph = _tiled(df, features, eps, key, metric, scratch)
-        cnt = points.join(_tiled_counts(locs, graph), "loc").select(key, F.col("n").alias("n_neighbours"))
-        cnt = Scratch(df.sparkSession, "dbscan-counts").keep(cnt)
-        scratch.close()
-        return cnt.withColumn("is_core", F.col("n_neighbours") >= F.lit(int(min_samples)))
-    point_loc, cells, cross = eps_neighbours(df, features, eps, key, metric)
-    cnt = point_loc.join(_location_counts(cells, cross), "_loc").select(key, "n_neighbours")
+    """(key, n_neighbours including itself, is_core), by one pass over pairs of tiles whatever the
+    number of features: cells wholly within eps count by their weight, the others' points are compared as matrices."""
+    scratch = Scratch(df.sparkSession, "dbscan-core")
+    points, locs, graph = _tiled(df, features, eps, key, metric, scratch, named=False)
+    cnt = points.join(_tiled_counts(locs, graph), "loc").select(key, F.col("n").alias("n_neighbours"))
+    cnt = Scratch(df.sparkSession, "dbscan-counts").keep(cnt)
+    scratch.close()
     return cnt.withColumn("is_core", F.col("n_neighbours") >= F.lit(int(min_samples)))
 
 

@@ -1,7 +1,7 @@
 """Exact k-nearest-neighbour distances and the DBSCAN eps suggestion
 (SURVEY J16, C5, W7) in any dimension.
 
-No pairwise cross product: points are grouped by identical coordinates
+No pairwise cross product up to 3 features: points are grouped by identical coordinates
 (one row per location with its multiplicity), then searched on a grid whose
 cell size doubles each round.  In round j a still-unresolved location meets
 only the locations of its own and adjacent cells of size ``r_j``; every
@@ -9,8 +9,8 @@ point within ``r_j`` is among them, so once at least k points lie within
 ``r_j`` the k-th smallest candidate distance is exact.  Locations are
 dropped from the search as soon as they resolve, so a point never meets
 more than the points within about twice its own k-distance.  Above ``MAX_DIMS``
-features the grid lies on an orthonormal projection, which never lengthens a
-distance; the distances themselves use all features.
+features, where a grid prunes nothing, stripes of tiles are compared as matrices
+(:func:`cohortlens.operators.epsgraph.kth_distances`).
 """
 
 from __future__ import annotations
@@ -18,11 +18,12 @@ from __future__ import annotations
 import itertools
 import math
 
-from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cohortlens.session import materialize
+from cohortlens.session import Scratch, materialize
 from cohortlens.functions.frames import q
+from cohortlens.operators.epsgraph import kth_distances
+from cohortlens.operators.tiles import vector_rows
 
 MAX_DIMS = 3        # axes of the grid
 
@@ -35,32 +36,16 @@ def _dist(metric: str, a: list[Column], b: list[Column]) -> Column:
     raise ValueError(f"unsupported metric {metric}")
 
 
-def _dist_arrays(metric: str, a: Column, b: Column) -> Column:
-    """The same distance between two coordinate arrays (small generated code for many features)."""
-    if metric == "euclidean":
-        return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
-    if metric == "manhattan":
-        return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, v: s + v)
-    raise ValueError(f"unsupported metric {metric}")
-
-
-def grid_axes(pts: DataFrame, xs: list[str]) -> tuple[list[Column], float]:
-    """Up to ``MAX_DIMS`` orthonormal axes to lay a grid on, and the rounding error of their values.
-
-    Few features are their own axes.  More are projected on the first
-    principal axes: no projected difference is longer than the Euclidean (and
-    so the Manhattan) distance, so a grid on them prunes without losing a pair.
-    """
-    if len(xs) <= MAX_DIMS:
-        return [F.col(x) for x in xs], 0.0
-    finite = pts.where(" AND ".join(f"abs({x}) < double('infinity')" for x in xs))
-    scale = finite.agg(F.max(F.greatest(*[F.abs(F.col(x)) for x in xs]))).first()[0] or 0.0
-    slack = 1e-12 * len(xs) * scale
-    if len(finite.limit(2).collect()) < 2:
-        return [F.col(x) for x in xs[:MAX_DIMS]], slack
-    vec = VectorAssembler(inputCols=xs, outputCol="_f").transform(finite.select(*xs))
-    pc = PCA(k=MAX_DIMS, inputCol="_f", outputCol="_g").fit(vec).pc.toArray()
-    return [sum((F.col(x) * F.lit(float(w)) for x, w in zip(xs, pc[:, j])), F.lit(0.0)) for j in range(MAX_DIMS)], slack
+def _tiled_knn(df: DataFrame, features: list[str], k: int, key: str, metric: str) -> DataFrame:
+    _dist(metric, [], [])       # validate the metric name
+    scratch = Scratch(df.sparkSession, "knn")
+    pts = scratch.keep(vector_rows(df, features, key))
+    locs = scratch.keep(pts.groupBy("x").agg(F.count(F.lit(1)).alias("w")).withColumn("loc", F.monotonically_increasing_id()))
+    finite = locs.where(F.forall("x", lambda v: F.abs(v) < F.lit(float("inf"))))       # no other location is within reach of any
+    found = locs.select("loc", "x").join(kth_distances(finite, k, scratch, metric), "loc", "left")
+    out = Scratch(df.sparkSession, "knn-distances").keep(pts.join(found, "x").select(key, "knn_distance"))
+    scratch.close()
+    return out
 
 
 def knn_distances(df: DataFrame, features: list[str], k: int = 5, key: str = "key",
@@ -68,21 +53,19 @@ def knn_distances(df: DataFrame, features: list[str], k: int = 5, key: str = "ke
     """(key, knn_distance): distance to the k-th nearest point, counting the
     point itself as the first (distance 0); null when fewer than k points."""
     d = len(features)
+    if d > MAX_DIMS:
+        return _tiled_knn(df, features, k, key, metric)
     pts = df.select(key, *[q(f).cast("double").alias(f"_x{i}") for i, f in enumerate(features)]).where(
         " AND ".join(f"_x{i} IS NOT NULL" for i in range(d)))
     xs = [f"_x{i}" for i in range(d)]
     locs = pts.groupBy(*xs).agg(F.count(F.lit(1)).alias("_w")).withColumn("_loc", F.monotonically_increasing_id())
     locs = materialize(locs)  # stable location ids, read once per round
-    axes, slack = grid_axes(locs, xs)
-    gs = [f"_g{i}" for i in range(len(axes))]
-    grid = locs.select("_loc", "_w", F.array(*xs).alias("_x"), *[a.alias(g) for g, a in zip(gs, axes)])
+    gs = [f"_g{i}" for i in range(d)]
+    grid = locs.select("_loc", "_w", F.array(*xs).alias("_x"), *[F.col(x).alias(g) for g, x in zip(gs, xs)])
     st = locs.agg(F.sum("_w").alias("n"), *[x for c in xs for x in (F.min(c), F.max(c))]).first()
     n = st["n"] or 0
     spans = [(st[2 + 2 * i] or 0.0) - (st[1 + 2 * i] or 0.0) for i in range(d)]
     diag = math.sqrt(sum(s * s for s in spans)) if metric == "euclidean" else sum(spans)
-    if d > MAX_DIMS:
-        st = grid.agg(*[x for g in gs for x in (F.min(g), F.max(g))]).first()
-        spans = [(st[2 * i + 1] or 0.0) - (st[2 * i] or 0.0) for i in range(len(gs))]
     if r0 is None:
         # start at the radius that holds ~k points in the *densest* region: a dense
         # spot (say a third of all points in a tiny area) then resolves in the first
@@ -102,16 +85,14 @@ def knn_distances(df: DataFrame, features: list[str], k: int = 5, key: str = "ke
     done = []
     r = float(r0)
     for _ in range(max_rounds):
-        side = r if d <= MAX_DIMS else r * (1 + 1e-6) + 2 * slack
-        cells = [F.floor(F.col(g) / F.lit(side)).cast("long") for g in gs]
+        cells = [F.floor(F.col(g) / F.lit(r)).cast("long") for g in gs]
         probe = (unresolved.select("_loc", "_x", F.explode(F.array(*[F.array(*[F.lit(v) for v in o])
                                                                   for o in offsets])).alias("_o"),
                                    *[c.alias(f"_c{i}") for i, c in enumerate(cells)])
                  .select("_loc", "_x", *[(F.col(f"_c{i}") + F.col("_o")[i]).alias(f"_c{i}") for i in range(len(gs))]))
         other = grid.select(F.col("_w").alias("_wn"), F.col("_x").alias("_y"),
                             *[c.alias(f"_c{i}") for i, c in enumerate(cells)])
-        dist = (_dist_arrays(metric, F.col("_x"), F.col("_y")) if d > MAX_DIMS else
-                _dist(metric, [F.col("_x")[i] for i in range(d)], [F.col("_y")[i] for i in range(d)]))
+        dist = _dist(metric, [F.col("_x")[i] for i in range(d)], [F.col("_y")[i] for i in range(d)])
         pairs = (probe.join(other, [f"_c{i}" for i in range(len(gs))])
                       .select("_loc", "_wn", dist.alias("_d"))
                       .where(F.col("_d") <= F.lit(r)))

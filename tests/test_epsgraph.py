@@ -145,3 +145,46 @@ def test_star_components_of_one_giant(spark):
     assert len(got) == n + 201 + 200
     assert all(got[i] == 0 for i in range(n)) and all(got[i] == n for i in range(n, n + 201))
     assert all(got[2 * i] == got[2 * i + 1] == 2 * i for i in range(5000, 5100))
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
+def test_kth_distances_equal_brute_force(spark, small_tiles, monkeypatch, metric):
+    """Copies, a dense spot and tiles in several stripes; no pairs are exploded on a grid."""
+    from cohortlens.operators import neighbors
+    monkeypatch.setattr(epsgraph.kth_distances, "__defaults__", ("euclidean", 16))
+    x = blobs(8)
+    odd = [(None, 0.0, 0.0, 0.0, 0.0), (float("nan"), 0.0, 0.0, 0.0, 0.0), (float("inf"), 0.0, 0.0, 0.0, 0.0)]
+    got = {r.key: r.knn_distance for r in neighbors.knn_distances(table(spark, x, odd), COLS, 4, metric=metric).collect()}
+    want = np.sort(distances(x, metric), axis=1)[:, 3]
+    assert set(got) == {*range(len(x)), len(x) + 1, len(x) + 2} and got[len(x) + 1] is None and got[len(x) + 2] is None
+    assert all(abs(got[i] - want[i]) < 1e-12 for i in range(len(x))) and (want == 0).sum() > 20
+    few = neighbors.knn_distances(table(spark, x[:3]), COLS, 4, metric=metric).collect()
+    assert [r.knn_distance for r in few] == [None] * 3
+
+
+def test_pairs_of_tiles_meet_once_and_points_move_once_per_stripe(spark, small_tiles):
+    import pyarrow as pa
+    scratch = Scratch(spark, "test")
+    x = np.random.default_rng(1).normal(size=(400, 5))
+    locs = table(spark, x).select(F.col("key").alias("loc"), F.lit(1).cast("long").alias("w"), F.array(*COLS).alias("x"))
+    s = epsgraph.split(locs, scratch, "euclidean", 16)
+    n = int(s.base[-1])
+    assert s.stripes > 2 and s.per <= 3
+
+    def work(tiles, pairs):
+        return [len(tiles)] + [tiles[i].number for i, _ in pairs], [-1] + [tiles[j].number for _, j in pairs]
+    schema = pa.schema([("i", pa.int64()), ("j", pa.int64())])
+    every = [(p, q) for p in range(s.stripes) for q in range(p, s.stripes)]
+    rows = epsgraph.meet(s, scratch, every, work, schema, "i long, j long").collect()
+    pairs = [(r.i, r.j) for r in rows if r.j >= 0]
+    assert len(pairs) == len(set(pairs)) == n * (n + 1) // 2
+    assert sum(r.i for r in rows if r.j < 0) == n * s.stripes        # tiles sent: not one for each pair of tiles
+    scratch.close()
+
+
+def test_core_points_of_two_features_without_pair_rows(spark, monkeypatch):
+    """Two features take the same pass: no join of cells, whose longest task grew with the square of a dense spot."""
+    monkeypatch.setattr(cluster, "eps_neighbours", None)
+    x = np.random.default_rng(2).normal(size=(200, 5)).round(2)
+    got = {r.key: r.n_neighbours for r in cluster.dbscan_core_points(table(spark, x), COLS[:2], 0.3, 5).collect()}
+    assert got == dict(enumerate((distances(x[:, :2], "euclidean") <= 0.3).sum(1).tolist()))
