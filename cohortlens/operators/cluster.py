@@ -29,6 +29,7 @@ from cohortlens.operators.epsgraph import EpsGraph, spanning_tree
 from cohortlens.operators.tiles import vector_rows
 
 MAX_GRID_DIMS = 3
+SPREAD = 16_384         # rows of a partition, beyond which K-means spreads them
 
 
 def _vectors(df: DataFrame, features: list[str], key: str) -> DataFrame:
@@ -54,7 +55,10 @@ def kmeans(df: DataFrame, k: int = 5, features=None, key: str = "key", n_init: i
     lowest training cost wins.  Returns ``(labels(key, cluster), model)``.
     The assembled vectors are cached for the restarts and released after."""
     feats = list(features) if features else numeric_columns(df, exclude={key})
-    vec = _vectors(df, feats, key)
+    vec = _vectors(df, feats, key).select(key, "features")
+    n = vec.count()
+    if n > vec.rdd.getNumPartitions() * SPREAD:      # a few large files would leave most cores idle in every round
+        vec = vec.repartition(-(-n // SPREAD))
     if persist:
         vec = vec.persist()
     try:
@@ -107,6 +111,7 @@ def kmeans_k_scan(df: DataFrame, ks=range(2, 11), features=None, key: str = "key
     first = lloyd.starts(vec, ks, n_init, seed)
     rows = []
     if first:
+        vec = scratch.keep(lloyd.pack(vec, first[0].shape[1]))
         centres, cost = lloyd.lloyd(vec, first, max_iter)
         best = [min(range(i * n_init, (i + 1) * n_init), key=lambda j: cost[j]) for i in range(len(ks))]
         for k, i, ix in zip(ks, best, lloyd.indices(vec, [centres[i] for i in best])):
@@ -385,23 +390,25 @@ def lda_topics(docs: DataFrame, key: str, tokens: str, n_topics: int = 5, max_fe
     topic_distribution array, dominant_topic); ``model.stages`` are the
     fitted vocabulary and the LDA model.  ``tfidf`` weights are the smoothed
     ``tf * (ln((1+n)/(1+df)) + 1)``, L2-normalised per document: Spark's IDF
-    gives ``tf * ln((1+n)/(1+df))``, to which the counts are added.
+    gives ``ln((1+n)/(1+df))``.  Vectors stay sparse and are stored alone, without
+    the texts they come from, once for all passes of the fit and the topics.
     """
     if vectorizer not in ("count", "tfidf"):
         raise ValueError(f"unknown vectorizer {vectorizer}")
+    scratch = Scratch(docs.sparkSession, "lda")     # stays: the topics are read from it
     base = docs.select(key, tokens)
     cv_model = CountVectorizer(inputCol=tokens, outputCol="counts", vocabSize=max_features).fit(base)
     vec = cv_model.transform(base)
     feats = "counts"
     if vectorizer == "tfidf":
-        from pyspark.ml.feature import IDF, Normalizer
-        from pyspark.ml.functions import array_to_vector
-        idf = IDF(inputCol="counts", outputCol="_idf").fit(vec).transform(vec)
-        summed = idf.withColumn("_raw", array_to_vector(F.zip_with(
-            vector_to_array("_idf"), vector_to_array("counts"), lambda a, b: a + b)))
-        vec = Normalizer(inputCol="_raw", outputCol="_tfidf", p=2.0).transform(summed)
+        from pyspark.ml.feature import IDF, ElementwiseProduct, Normalizer
+        from pyspark.ml.linalg import Vectors
+        vec = scratch.keep(vec.select(key, "counts"))
+        idf = IDF(inputCol="counts", outputCol="_idf").fit(vec).idf.toArray()
+        weighted = ElementwiseProduct(scalingVec=Vectors.dense(idf + 1), inputCol="counts", outputCol="_raw").transform(vec)
+        vec = Normalizer(inputCol="_raw", outputCol="_tfidf", p=2.0).transform(weighted)
         feats = "_tfidf"
-    vec = vec.persist()     # every pass of the fit reads the vectors, not the texts
+    vec = scratch.keep(vec.select(key, feats)).persist()
     # every iteration sees the whole corpus (an epoch), as ``max_iter`` passes of the online method do
     lda_model = LDA(k=n_topics, maxIter=max_iter, optimizer="online", subsamplingRate=1.0, seed=seed,
                     featuresCol=feats, topicDistributionCol="_td").fit(vec)

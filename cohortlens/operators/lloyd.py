@@ -12,11 +12,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from cohortlens.operators.epsgraph import small_batches
 from cohortlens.operators.tiles import matrix
 
 SAMPLE = 4096       # rows that starts are picked from
 TOL = 1e-4          # centres stand still when they move by less than this share of the mean variance
 STEP = 4096         # rows whose distances are held at once
+BLOCK = 1024        # rows of a packed block
+SPREAD = 8192       # rows of a packed partition
 
 
 def plus_plus(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
@@ -43,6 +46,17 @@ def starts(rows: DataFrame, ks: list[int], n_init: int, seed: int) -> list[np.nd
     return [plus_plus(x, k, np.random.default_rng([seed, k, i])) for k in ks for i in range(n_init)]
 
 
+def pack(rows: DataFrame, width: int) -> DataFrame:
+    """``x`` of ``rows(x)`` as binary blocks of rows, which every round reads; spread evenly, however few files hold the rows."""
+    def run(batches):
+        for b in batches:
+            x = matrix(b.column("x"), width)
+            yield pa.record_batch([pa.array([x[at:at + BLOCK].tobytes() for at in range(0, len(x), BLOCK)], pa.binary())], names=["x"])
+
+    n, rows = rows.count(), rows.select("x")
+    return (rows.repartition(-(-n // SPREAD)) if n > SPREAD else rows).mapInArrow(run, "x binary")
+
+
 def nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Squared distances to all centres, and the nearest one (the first of equals)."""
     d2 = np.maximum(0, (x * x).sum(axis=1)[:, None] - 2 * (x @ centres.T) + (centres * centres).sum(axis=1)[None, :])
@@ -61,13 +75,13 @@ def _sums(models, width: int):
             for at in range(0, len(whole), STEP):
                 x = whole[at:at + STEP]
                 d2 = nearest(x - mid, flat - mid)[0]
+                own, r = np.zeros((len(x), len(flat))), np.arange(len(x))
                 for s, e in zip(cut, cut[1:]):
                     best = s + d2[:, s:e].argmin(axis=1)
-                    acc[:, 0] += np.bincount(best, minlength=len(flat))
-                    acc[:, 1] += np.bincount(best, weights=((x - flat[best]) ** 2).sum(axis=1), minlength=len(flat))
-                    order = np.argsort(best, kind="stable")
-                    names, first = np.unique(best[order], return_index=True)
-                    acc[names, 2:] += np.add.reduceat(x[order], first, axis=0)
+                    own[r, best] = 1
+                    acc[:, 1] += np.bincount(best, weights=d2[r, best], minlength=len(flat))
+                acc[:, 0] += own.sum(axis=0)
+                acc[:, 2:] += own.T @ x         # the sums of all models as one product
         used = np.flatnonzero(acc[:, 0])
         yield pa.record_batch([pa.array(np.repeat(used, width + 2)), pa.array(np.tile(np.arange(-2, width), len(used))), pa.array(acc[used].reshape(-1))], names=["c", "j", "s"])
     return run
@@ -76,7 +90,8 @@ def _sums(models, width: int):
 def step(rows: DataFrame, centres: list[np.ndarray], width: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Counts, costs (to the given centres) and coordinate sums of every model's centres after one shared scan."""
     models = rows.sparkSession.sparkContext.broadcast(centres)
-    got = (rows.select("x").mapInArrow(_sums(models, width), "c long, j long, s double").groupBy("c", "j").agg(F.sum("s").alias("s")).toArrow())
+    with small_batches(rows.sparkSession):
+        got = (rows.select("x").mapInArrow(_sums(models, width), "c long, j long, s double").groupBy("c", "j").agg(F.sum("s").alias("s")).toArrow())
     acc = np.zeros((sum(len(c) for c in centres), width + 2))
     acc[got.column("c").to_numpy(), got.column("j").to_numpy() + 2] = got.column("s").to_numpy()
     out, at = [], 0
@@ -163,7 +178,8 @@ def indices(rows: DataFrame, models: list[np.ndarray]) -> list[dict]:
         out = [(i, j, float(x)) for i, d in enumerate(dist) for j, x in enumerate(d)] + [(i, -1, s) for i, s in enumerate(sil)]
         yield pa.record_batch([pa.array([o[c] for o in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["i", "j", "s"])
 
-    got = rows.select("x").mapInArrow(run, "i long, j long, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect()    # a number per centre
+    with small_batches(rows.sparkSession):
+        got = rows.select("x").mapInArrow(run, "i long, j long, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect()    # a number per centre
     dist, sil = [np.zeros(len(m)) for m in models], [0.0] * len(models)
     for r in got:
         if r.j < 0:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortlens.functions.frames import melt, numeric_columns, q
 from cohortlens.functions.quantiles import exact_mode, quantile_columns
-from cohortlens.session import materialize
+from cohortlens.session import Scratch
 
 # Fixed value: token pattern equal to ``\w\w+`` over Unicode letters/digits.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
@@ -198,7 +198,8 @@ def tokenize(text: Column, pattern: str = TOKEN_PATTERN) -> Column:
 def term_counts(docs: DataFrame, key: str, text: str | None = "text", tokens: str | None = None) -> DataFrame:
     """(key, term, n) over whole documents."""
     tok = F.col(tokens) if tokens else tokenize(F.col(text))
-    return (docs.select(key, F.explode(tok).alias("term"))
+    # the outer form: of the inner one Spark infers a filter that takes every text apart a second time
+    return (docs.select(key, F.explode_outer(tok).alias("term")).where(F.col("term").isNotNull())
                 .groupBy(key, "term").agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -218,14 +219,16 @@ def tfidf(counts: DataFrame, key: str, max_features: int | None = 1000, n_docs:
     no tokens); the vocabulary cap keeps the top terms by corpus count (the
     cap's list is bounded, so it is broadcast).
     """
-    counts = materialize(counts)   # tokenising happens once; read for the vocabulary, df and weights
+    # tokenising happens once; read by column for the vocabulary with its df, and for the weights
+    scratch = Scratch(counts.sparkSession, "tfidf")
+    counts = scratch.keep(counts)
     if n_docs is None:
         n_docs = counts.select(key).distinct().count()
-    vocab = vocabulary(counts, max_features).select("term")
     # (key, term) pairs are unique, so a term's rows are its documents: one aggregate gives the
     # vocabulary and the document frequencies, one join the weights
     idf = (vocabulary(counts, max_features)
            .select("term", (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf")))
+    idf = scratch.keep(idf)
     w = counts.join(F.broadcast(idf) if max_features else idf, "term").withColumn("w", F.col("n") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
     return w.select(key, "term", (F.col("w") / norm).alias("tfidf"))

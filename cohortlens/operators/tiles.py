@@ -22,9 +22,11 @@ def vector_rows(df: DataFrame, features: list[str], *keep) -> DataFrame:
 
 
 def matrix(col, width: int) -> np.ndarray:
-    """A list column whose lists all have ``width`` numbers."""
+    """A list column whose lists all have ``width`` numbers, or a column of binary blocks of such rows."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
+    if pa.types.is_binary(col.type):
+        return np.concatenate([np.zeros(0), *[np.frombuffer(v.as_buffer()) for v in col]]).reshape(-1, width)
     off = col.offsets.to_numpy()
     return col.values.to_numpy(zero_copy_only=False)[off[0]:off[-1]].reshape(-1, width)
 

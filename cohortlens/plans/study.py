@@ -1,8 +1,8 @@
 """The study cohort: catalog tables -> cohort rules -> subject sample -> study join.
 
-One lazy plan: every table gets its fixed rule, the subjects present in all
+Every table gets its fixed rule, the subjects present in all
 filtered tables are intersected (left-semi joins on distinct ids), the first
-``n_subjects`` ids are taken (the sample is the feature), every table with a
+``n_subjects`` ids are taken and stored (the sample is the feature), every table with a
 ``subject_id`` is semi-joined to them, and the eight tables are merged.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortlens.operators import cohort, joins
+from cohortlens.session import Scratch
 from cohortlens.sources import readers
 
 STUDY_TABLES = ["patients", "admissions", "transfers", "diagnoses_icd", "d_icd_diagnoses", "poe",
@@ -23,6 +24,7 @@ def study_cohort(tables: dict[str, DataFrame], n_subjects: int | None = None,
                 for n, t in tables.items()}
     if n_subjects:
         ids = cohort.first_subjects(cohort.subject_intersection(list(filtered.values())), n_subjects)
+        ids = Scratch(ids.sparkSession, "study-subjects").keep(ids)     # else every table's semi-join finds them anew
         filtered = cohort.restrict_tables(filtered, ids)
     t = filtered
     return joins.merged_table(t["patients"], t["admissions"], t["transfers"], t["diagnoses_icd"],

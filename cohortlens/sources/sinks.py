@@ -42,8 +42,9 @@ def save_csv(df: DataFrame, path: str, header: bool = True) -> str:
 
 
 def save_parquet_and_csv(df: DataFrame, base: str) -> dict[str, str]:
-    """The same table as Parquet and CSV."""
-    return {"parquet": save_parquet(df, f"{base}.parquet"), "csv": save_csv(df, f"{base}.csv")}
+    """The same table as Parquet and CSV; the CSV is written from the Parquet, so ``df`` is computed once."""
+    path = save_parquet(df, f"{base}.parquet")
+    return {"parquet": path, "csv": save_csv(df.sparkSession.read.schema(df.schema).parquet(path), f"{base}.csv")}
 
 
 def _check_flat(df: DataFrame, fmt: str) -> None:
