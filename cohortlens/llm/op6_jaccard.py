@@ -13,7 +13,7 @@ documents link when ``100 |A & B| >= threshold_pct |A | B|``.
   prefix once.
 * **Filters.**  Size, position of the shared shingle, and an exact bound from histograms of the
   sets (``|A ^ B| >= sum |a_i - b_i|``) drop pairs before any set is read: 32 bins inside the
-  join, then bins in proportion to the set size.
+  join, then bins in proportion to the set size, then parities of two to four bits a shingle.
 * **Expand and verify.**  What is asked for is the components, so pairs inside one
   component need no look.  Star rounds verify members against their group's first
   node, groups against pivots of each shared shingle's groups, then nodes against
@@ -167,19 +167,59 @@ def _profile(q: int, pct: int, shared):
     return run
 
 
+def _once(batches, q: int):
+    """Text hashes and sets of each batch; copies of a text in this task are read once."""
+    seen: set[int] = set()
+    for b in batches:
+        th, sets = [], []
+        for t, text in zip(b.column("th").to_pylist(), b.column("text").to_pylist()):
+            if t not in seen:
+                seen.add(t)
+                th.append(t)
+                sets.append(shingles(text, q))
+        yield th, sets
+
+
 def _sets(q: int):
     schema = pa.schema([("th", pa.int64()), ("toks", pa.list_(pa.int64()))])
 
     def run(batches):
-        seen: set[int] = set()      # copies of a text in this task are read once
+        for th, sets in _once(batches, q):
+            yield pa.record_batch([pa.array(th, pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], schema=schema)
+    return run
+
+
+def parity(s: np.ndarray) -> bytes:
+    """Of each of 2 to 4 bits a shingle (a power of two, 8 at least), whether an odd number of shingles falls on it."""
+    bits = 8 << max(0, (2 * len(s) - 1).bit_length() - 3)
+    at = (s & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def parity_gap(x: bytes, y: bytes) -> int:
+    """Odd bits of the symmetric difference: no more than it has shingles."""
+    w = min(len(x), len(y))         # the finer one folds onto the coarser one
+    x, y = (np.bitwise_xor.reduce(np.frombuffer(p, dtype=np.uint8).reshape(-1, w), axis=0) for p in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _parities(q: int):
+    schema = pa.schema([("th", pa.int64()), ("n", pa.int64()), ("bits", pa.binary())])
+
+    def run(batches):
+        for th, sets in _once(batches, q):
+            yield pa.record_batch([pa.array(th, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                                   pa.array([parity(s) for s in sets], pa.binary())], schema=schema)
+    return run
+
+
+def _parity_filter(pct: int):
+    """Keeps the pairs whose parities leave room for a link."""
+    def run(batches):
         for b in batches:
-            th, toks = [], []
-            for t, text in zip(b.column("th").to_pylist(), b.column("text").to_pylist()):
-                if t not in seen:
-                    seen.add(t)
-                    th.append(t)
-                    toks.append(shingles(text, q).view(np.int64))
-            yield pa.record_batch([pa.array(th, pa.int64()), pa.array(toks, pa.list_(pa.int64()))], schema=schema)
+            keep = [parity_gap(x, y) * (100 + pct) <= (100 - pct) * (na + nb)
+                    for na, nb, x, y in zip(b.column("na").to_pylist(), b.column("nb").to_pylist(), b.column("xa").to_pylist(), b.column("xb").to_pylist())]
+            yield b.filter(pa.array(keep, pa.bool_())).select(["a", "b", "ta", "tb"])
     return run
 
 
@@ -219,24 +259,42 @@ def _attached(pairs: DataFrame, nodes: DataFrame, pct: int) -> DataFrame:
                  .mapInArrow(_fine_filter(pct), "a long, b long, ta long, tb long"))
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, q: int, pct: int, scratch: Scratch) -> DataFrame:
-    """Of ``pairs(a, b, ta, tb)`` (nodes and a text hash of each) those that link, by whole sets: ``u, v``."""
-    pairs = scratch.keep(pairs.select("a", "b", "ta", "tb"))
+def _texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame | None:
+    """``text, th`` of the texts that ``pairs(ta, tb)`` name; none without a pair."""
     ids = pairs.select(F.col("ta").alias("th")).union(pairs.select(F.col("tb").alias("th"))).distinct()
     n = ids.count()
-    if n == 0:
-        scratch.drop(pairs)
-        return docs.sparkSession.createDataFrame([], "u long, v long")
     ids = F.broadcast(ids) if n <= BROADCAST_IDS else ids
-    sets = scratch.keep(docs.select("text", F.xxhash64("text").alias("th")).join(ids, "th", "left_semi")
-                            .mapInArrow(_sets(q), "th long, toks array<long>").distinct())
-    both = (pairs.join(sets.select(F.col("th").alias("ta"), F.col("toks").alias("x")), "ta")
-                 .join(sets.select(F.col("th").alias("tb"), F.col("toks").alias("y")), "tb")
-                 .select("a", "b", F.size("x").cast("long").alias("na"), F.size("y").cast("long").alias("nb"),
-                         F.size(F.array_intersect("x", "y")).cast("long").alias("i")))
+    return docs.select("text", F.xxhash64("text").alias("th")).join(ids, "th", "left_semi") if n else None
+
+
+def _verify(docs: DataFrame, pairs: DataFrame, q: int, pct: int, scratch: Scratch) -> DataFrame:
+    """Of ``pairs(a, b, ta, tb)`` (nodes and a text hash of each) those that link, by whole sets: ``u, v``.
+
+    A pair takes a whole set through the shuffle, so parities (2 to 4 bits a shingle, not 64) drop most of the others first.
+    """
+    none = docs.sparkSession.createDataFrame([], "u long, v long")
+    pairs = scratch.keep(pairs.select("a", "b", "ta", "tb"))
+    texts = _texts_of(docs, pairs)
+    if texts is None:
+        scratch.drop(pairs)
+        return none
+    bits = scratch.keep(texts.mapInArrow(_parities(q), "th long, n long, bits binary").distinct())
+    near = scratch.keep(pairs.join(bits.select(F.col("th").alias("ta"), F.col("n").alias("na"), F.col("bits").alias("xa")), "ta")
+                             .join(bits.select(F.col("th").alias("tb"), F.col("n").alias("nb"), F.col("bits").alias("xb")), "tb")
+                             .mapInArrow(_parity_filter(pct), "a long, b long, ta long, tb long"))
+    scratch.drop(pairs, bits)
+    texts = _texts_of(docs, near)
+    if texts is None:
+        scratch.drop(near)
+        return none
+    sets = scratch.keep(texts.mapInArrow(_sets(q), "th long, toks array<long>").distinct())
+    both = (near.join(sets.select(F.col("th").alias("ta"), F.col("toks").alias("x")), "ta")
+                .join(sets.select(F.col("th").alias("tb"), F.col("toks").alias("y")), "tb")
+                .select("a", "b", F.size("x").cast("long").alias("na"), F.size("y").cast("long").alias("nb"),
+                        F.size(F.array_intersect("x", "y")).cast("long").alias("i")))
     found = scratch.keep(both.where(F.col("i") * 100 >= (F.col("na") + F.col("nb") - F.col("i")) * pct)
                              .select(F.col("a").alias("u"), F.col("b").alias("v")))
-    scratch.drop(pairs, sets)
+    scratch.drop(near, sets)
     return found
 
 

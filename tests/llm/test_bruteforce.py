@@ -482,3 +482,35 @@ def test_prefix_is_long_enough(n):
     for size in range(1, 300):
         p = op6_jaccard.prefix_size(size, 90)
         assert size - p + 1 == -(-90 * size // 100)
+
+
+@pytest.mark.parametrize("na,nb,both", [(1, 1, 0), (5, 4, 4), (100, 81, 80), (300, 300, 270), (900, 1200, 850), (4000, 3300, 3200), (3000, 3000, 0)])
+def test_parities_bound_the_difference(na, nb, both):
+    s = np.unique(np.random.default_rng(na).integers(0, 1 << 63, na + nb - both, dtype=np.uint64))
+    a, b = np.sort(s[:na]), np.sort(s[na - both:])
+    gap, apart = op6_jaccard.parity_gap(op6_jaccard.parity(a), op6_jaccard.parity(b)), len(np.setxor1d(a, b))
+    assert gap <= apart and (apart - gap) % 2 == 0
+    assert gap >= 0.4 * min(apart, na)
+    assert op6_jaccard.parity_gap(op6_jaccard.parity(a), op6_jaccard.parity(a)) == 0
+
+
+def test_sets_are_read_only_of_pairs_that_may_link(spark):
+    """Whole sets travel with every pair: of unrelated texts they would fill the disk."""
+    from cohortlens.session import Scratch
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{i}" for i in rng.integers(10 ** 6, size=2000)) for _ in range(12)]
+    texts.append(texts[0] + " and a few more words at the end")
+    docs = docs_of(spark, texts)
+    th = [r.th for r in docs.orderBy("doc_id").select(F.xxhash64("text").alias("th")).collect()]
+    pairs = spark.createDataFrame([(i, k, th[i], th[k]) for i in range(13) for k in range(i + 1, 13)], "a long, b long, ta long, tb long")
+    read = []
+
+    class Counting(Scratch):
+        def keep(self, df):
+            out = super().keep(df)
+            if "toks" in df.columns:
+                read.append(out.count())
+            return out
+
+    got = op6_jaccard._verify(docs, pairs, 5, 80, Counting(spark, "test-verify")).collect()
+    assert [tuple(r) for r in got] == [(0, 12)] and read == [2]
