@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortlens.functions.timefn import add_hours
+from cohortlens.session import Scratch
 
 DICTIONARY_MAX_ROWS = 2_000_000
 
@@ -103,12 +104,36 @@ def merged_table(patients: DataFrame, admissions: DataFrame, transfers: DataFram
       -(subject, hadm)- (poe -(poe_id, poe_seq, subject)- poe_detail)
       =left(subject, hadm, poe_id, poe_seq, provider null-safe)= prescriptions
       [-(subject, hadm, provider)- (labevents -(itemid)- lab_items)]
+
+    Every table is restricted to the stays that patients, admissions and diagnoses share before it is joined.
     """
-    stages = merge_stages(patients, admissions, transfers, diagnoses, icd_dictionary, poe,
+    stays = studied_stays(patients, admissions, diagnoses)
+    keys = {k: sized_broadcast(stays.select(k).distinct()) for k in ("hadm_id", "subject_id")}
+    transfers, diagnoses, poe, poe_detail, prescriptions, labevents = (
+        t and rows_of_keys(t, keys) for t in (transfers, diagnoses, poe, poe_detail, prescriptions, labevents))
+    stages = merge_stages(patients, stays, transfers, diagnoses, icd_dictionary, poe,
                           poe_detail, prescriptions, labevents, lab_items, detail_how)
     return list(stages.values())[-1]
 
 
+def studied_stays(patients: DataFrame, admissions: DataFrame, diagnoses: DataFrame) -> DataFrame:
+    """Admissions of ``patients`` with a row in ``diagnoses``, stored: every table of the study join is restricted to them."""
+    near = (admissions.join(patients.select("subject_id"), "subject_id", "left_semi")
+                      .join(diagnoses.select("subject_id", "hadm_id"), ["subject_id", "hadm_id"], "left_semi"))
+    return Scratch(admissions.sparkSession, "studied-stays").keep(near)
+
+
+def rows_of_keys(df: DataFrame, keys: dict[str, DataFrame]) -> DataFrame:
+    """Rows of ``df`` whose key is in each of ``keys`` (distinct values by column name) that it has a column for.
+
+    One semi-join for each key, so that each goes down to the side of a join below that holds it.
+    """
+    for k, values in keys.items():
+        if k in df.columns:
+            df = df.join(values, k, "left_semi")
+    return df
+
+
 def merge_stages(patients: DataFrame, admissions: DataFrame, transfers: DataFrame,
                  diagnoses: DataFrame, icd_dictionary: DataFrame, poe: DataFrame,
                  poe_detail: DataFrame, prescriptions: DataFrame,
