@@ -393,7 +393,9 @@ def _components(docs: DataFrame, q: int, threshold_pct: int) -> DataFrame:
     seats = scratch.keep(_seats(shared.select("tok", "gkey", "pos", "prev"), labels, nodes, node))
     scratch.drop(shared, heads)
     scratch.sweep()
-    at = _open(seats, "tok").withColumn("band", _band(F.col("x.n"), pct))
+    # leads and pairs are written: in place, their aggregates stood several times in one plan, which the driver holds
+    leads = scratch.keep(_leads(seats, "tok"))
+    at = seats.join(leads, "tok").withColumn("band", _band(F.col("x.n"), pct))
     other = at.select("tok", F.col("pos").alias("qos"), F.col("prev").alias("qrev"), F.col("comp").alias("comp2"), F.col("x").alias("y"),
                       F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
     # where the shingle before is shared too, the pair is met there: it comes once per run of shared shingles
@@ -401,11 +403,15 @@ def _components(docs: DataFrame, q: int, threshold_pct: int) -> DataFrame:
     once = (F.col("comp2") == F.col("lead")) | (F.col("x.sid") < F.col("y.sid"))
     inside = at.where(F.col("comp") != F.col("lead")).join(other, ["tok", "band"]).where(once & ~again & _candidate(pct)).select(*pair)
     member = labels.join(nodes.select("sid", node.alias("x")), "sid").select("gkey", "comp", "x")
-    mates = _open(member, "gkey")
+    inner = scratch.keep(_leads(member, "gkey"))
+    mates = member.join(inner, "gkey")
     same = (mates.where(F.col("comp") != F.col("lead")).join(mates.select("gkey", F.col("comp").alias("comp2"), F.col("x").alias("y")), "gkey")
                  .where(once & (F.col("comp") != F.col("comp2")) & _close("x", "y", pct)).select(*pair))
-    more = _verify(docs, _attached(inside.union(same), nodes, pct), q, pct, scratch)
-    scratch.drop(seats)
+    pairs = scratch.keep(inside.union(same).distinct())
+    scratch.drop(seats, leads, inner)
+    scratch.sweep()
+    more = _verify(docs, _attached(pairs, nodes, pct), q, pct, scratch)
+    scratch.drop(pairs)
     if not more.isEmpty():
         labels, old = _joined(labels, more, scratch), labels
         scratch.drop(old)
@@ -431,11 +437,10 @@ def _seats(at: DataFrame, labels: DataFrame, nodes: DataFrame, node) -> DataFram
     return at.join(who, "gkey").select("tok", "pos", "prev", "comp", "x")
 
 
-def _open(seats: DataFrame, key: str) -> DataFrame:
-    """``seats`` of the keys that span several components, with each key's most frequent component, ``lead``."""
+def _leads(seats: DataFrame, key: str) -> DataFrame:
+    """The keys of ``seats`` that span several components, with each key's most frequent component, ``lead``."""
     comps = seats.groupBy(key, "comp").agg(F.count(F.lit(1)).alias("c"))
-    lead = comps.groupBy(key).agg(F.count(F.lit(1)).alias("_k"), F.max_by("comp", F.col("c")).alias("lead")).where(F.col("_k") > 1).select(key, "lead")
-    return seats.join(lead, key)
+    return comps.groupBy(key).agg(F.count(F.lit(1)).alias("_k"), F.max_by("comp", F.col("c")).alias("lead")).where(F.col("_k") > 1).select(key, "lead")
 
 
 def _band(n, pct: int):

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlens.llm import op3_decontaminate, op4_secrets, op5_toxicity, op6_jaccard, op8_pii, op9_sentencepiece, op10_sharding, textops
+from cohortlens.llm import components, op3_decontaminate, op4_secrets, op5_toxicity, op6_jaccard, op8_pii, op9_sentencepiece, op10_sharding, textops
 from cohortlens.llm import queries as Q
 
 SF = "/root/testdata/sf0.01"
@@ -477,6 +477,51 @@ def test_pipeline_equals_its_stages_by_brute_force(spark):
     assert {r.doc_id for r in P.run(spark, sf).collect()} == {r.doc_id for r in five.collect()}
 
 
+# -- what the driver plans ---------------------------------------------------------------------
+
+def written(monkeypatch, *modules):
+    """The plans that the ``Scratch`` of the modules writes, as text."""
+    from cohortlens.session import Scratch
+    plans = []
+
+    class Noting(Scratch):
+        def keep(self, df):
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+            return super().keep(df)
+
+    for m in modules:
+        monkeypatch.setattr(m, "Scratch", Noting)
+    return plans
+
+
+def test_components_that_are_stars_take_no_round(spark, monkeypatch):
+    plans = written(monkeypatch, components)
+    links = [(i, 0) for i in range(1, 30)] + [(50, 40), (41, 40), (40, 41), (7, 7)]
+    got = components.components(spark.createDataFrame(links, "u long, v long"))
+    assert {r.v: r.comp for r in got.collect()} == {**{i: 0 for i in range(30)}, 40: 40, 41: 40, 50: 40} and got.count() == 33
+    assert len(plans) == 1
+    assert components.components(spark.createDataFrame([(3, 3)], "u long, v long")).count() == 0
+
+
+def test_a_round_of_components_plans_each_step_once(spark, monkeypatch):
+    """Of a path with a bush at its end: rounds are needed, none reads its large-star step several times in one plan."""
+    plans = written(monkeypatch, components)
+    links = [(i, i + 1) for i in range(40)] + [(40, i) for i in range(41, 80)] + [(90, 91), (92, 91), (92, 93)]
+    got = components.components(spark.createDataFrame(links, "u long, v long")).collect()
+    assert sorted((r.v, r.comp) for r in got) == [(i, 0) for i in range(80)] + [(i, 90) for i in range(90, 94)]
+    assert len(plans) > 1 and max(p.count("Join ") for p in plans) == 1
+
+
+def test_the_closing_round_is_planned_in_parts(spark, monkeypatch):
+    plans = written(monkeypatch, op6_jaccard)
+    rng = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base[:k] + [f"v{i}" for i in rng.integers(10 ** 6, size=2)] + base[k:]) for k in range(5, 55, 5)] + ["a b c d", "A b c d", None]
+    got = op6_jaccard.jaccard_components(docs_of(spark, texts), 5, 80)
+    assert sorted(tuple(r) for r in got.collect()) == brute_components(texts, 5, 80)
+    assert max(p.count("Aggregate [") for p in plans) <= 5
+
+
 @pytest.mark.parametrize("n", [0, 1, 2])
 def test_prefix_is_long_enough(n):
     for size in range(1, 300):
