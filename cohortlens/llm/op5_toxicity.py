@@ -23,8 +23,6 @@ from __future__ import annotations
 
 import unicodedata
 
-import gc
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -193,19 +191,25 @@ def fit(docs: DataFrame, labels: DataFrame, eligible, sample_rows: int = SAMPLE_
     ids, share = sample_ids(labels, eligible, sample_rows, positive_share)
     picked = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull())
                   .join(F.broadcast(ids), "doc_id"))   # at most about sample_rows ids
-    t = picked.mapInArrow(_featurize, "doc_id long, y int, idx array<int>").toArrow()
-    if not t.num_rows:
+    sample = picked.mapInArrow(_featurize, "doc_id long, y int, idx array<int>").withColumn("at", F.monotonically_increasing_id())
+    # a task trains on the bounded sample, the driver gets one float a bucket: what it would need for the sample it keeps for all later stages
+    model = sample.groupBy(F.lit(0).alias("all")).applyInArrow(_trained(share), "margin binary, bias double").toArrow()
+    if not model.num_rows:
         return None
-    order = np.argsort(t.column("doc_id").to_numpy(), kind="stable")
-    y = t.column("y").to_numpy()[order].astype(np.int64)
-    views = [i.values.to_numpy() for i in t.column("idx")]         # into the table, not copies
-    idx = [views[r] for r in order]
-    tf = [np.full(1 if len(i) else 0, 1 / max(PAD, len(i)), dtype=np.float32) for i in idx]
-    margin, bias = train(idx, tf, y, share)
-    del t, views, idx, tf      # the sample goes before the corpus is scored
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    return margin, bias, share
+    return np.frombuffer(model.column("margin")[0].as_py(), dtype=np.float32), model.column("bias")[0].as_py(), share
+
+
+def _trained(share: float):
+    """Margins and bias from the rows ``doc_id, y, idx, at`` of the whole sample, by doc_id, then place."""
+    def run(t: pa.Table) -> pa.Table:
+        order = np.lexsort((t.column("at").to_numpy(), t.column("doc_id").to_numpy()))
+        y = t.column("y").to_numpy()[order].astype(np.int64)
+        views = [i.values.to_numpy() for i in t.column("idx")]         # into the table, not copies
+        idx = [views[r] for r in order]
+        tf = [np.full(1 if len(i) else 0, 1 / max(PAD, len(i)), dtype=np.float32) for i in idx]
+        margin, bias = train(idx, tf, y, share)
+        return pa.table({"margin": pa.array([margin.tobytes()], pa.binary()), "bias": pa.array([bias], pa.float64())})
+    return run
 
 
 def _scores(texts, model) -> np.ndarray:
